@@ -8,6 +8,7 @@ pick a folder of our own.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +25,7 @@ def build_session(master: str | None = None, app: str = "quarry",
         SparkSession.builder.master(master or f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -37,9 +39,30 @@ def build_session(master: str | None = None, app: str = "quarry",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in Python workers (pandas UDFs pickle functions by module).
+
+    Deployments normally install the package or pass it with ``--py-files``; when the workers
+    cannot see it, the package is zipped on the driver and handed to ``addPyFile`` (Spark then
+    serves it to every executor), once per application.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    zip_dir = tempfile.mkdtemp(prefix="quarry-pyfiles-")
+    base = shutil.make_archive(os.path.join(zip_dir, "quarry"), "zip", os.path.dirname(pkg_dir), "quarry")
+    sc.addPyFile(base)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a local one only when the session names none."""
     current = spark.conf.get(_CKPT_KEY, None)
