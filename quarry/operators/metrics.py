@@ -41,6 +41,11 @@ def _guarded_positions(count: Column) -> Column:
     return F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
 
 
+def code_points(text) -> Column:
+    """The text as an array of single code points (surrogate pairs stay whole)."""
+    return F.regexp_extract_all(_c(text), F.lit("(?s)."), 0)
+
+
 def char_ngrams(text: Column, n: int) -> Column:
     """All character n-grams of ``text`` (whitespace already removed), in order."""
     return F.transform(_guarded_positions(F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
@@ -78,7 +83,7 @@ def ngram_match_stats(df: DataFrame, keys: list[str], hypothesis: str, reference
     ``keys[-1]`` (the example id) into ``spark.sql.shuffle.partitions`` parts — an explicit count,
     so AQE cannot fold the (small) raw-text shuffle into one task before the n-gram explosion
     multiplies it.  Everything after that exchange is partition-local and codegen'd: positions are
-    exploded with ``sequence`` and grams cut with ``substring`` / ``slice``.
+    exploded with ``sequence`` and grams are ``slice`` + ``array_join`` of unit arrays.
     ``weights`` (optional, a function of the gram column ``g``) weights unigram counts.
     """
     require_columns(df, hypothesis, reference, *keys)
@@ -88,16 +93,22 @@ def ngram_match_stats(df: DataFrame, keys: list[str], hypothesis: str, reference
     side = base.select(*keys, F.inline(F.array(
         F.struct(F.lit(1).alias("is_h"), F.col("_h").alias("t")),
         F.struct(F.lit(0).alias("is_h"), F.col("_r").alias("t")))))
+    # every side becomes arrays of units — code points (whitespace removed) and words — so an
+    # n-gram is slice + join, O(n); substring(s, pos, n) would rescan the UTF-8 prefix (quadratic)
     units = side.select(*keys, "is_h",
-                        (remove_whitespace("t") if char_order else F.lit("")).alias("s"),
-                        (words_fn(F.col("t")) if word_order else F.array().cast("array<string>")).alias("toks"))
+                        (code_points(remove_whitespace("t")) if char_order else F.array().cast("array<string>"))
+                        .alias("cs"),
+                        (words_fn(F.col("t")) if word_order else F.array().cast("array<string>")).alias("ws"))
     orders = [("c", n) for n in range(1, char_order + 1)] + [("w", n) for n in range(1, word_order + 1)]
-    spec = units.select(*keys, "is_h", "s", "toks", F.inline(F.array(
-        *[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for k, n in orders])))
-    count = F.when(F.col("kind") == "c", F.length("s")).otherwise(F.size("toks")) - F.col("n") + 1
-    pos = spec.select(*keys, "is_h", "s", "toks", "kind", "n", _positions(count).alias("pos"))
-    gram = F.when(F.col("kind") == "c", F.substring(F.col("s"), F.col("pos"), F.col("n"))) \
-        .otherwise(F.array_join(F.slice("toks", F.col("pos"), F.col("n")), "\u0001"))
+    spec = units.select(*keys, "is_h", F.inline(F.array(
+        *[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for k, n in orders])),
+        "cs", "ws")
+    arr = F.when(F.col("kind") == "c", F.col("cs")).otherwise(F.col("ws"))
+    spec = spec.select(*keys, "is_h", "kind", "n", arr.alias("u"))
+    pos = spec.select(*keys, "is_h", "kind", "n", "u", _positions(F.size("u") - F.col("n") + 1).alias("pos"))
+    piece = F.slice("u", F.col("pos"), F.col("n"))
+    # one code point per char unit, no whitespace inside a word: both joins are unambiguous
+    gram = F.when(F.col("kind") == "c", F.array_join(piece, "")).otherwise(F.array_join(piece, " "))
     grams = pos.select(*keys, "is_h", "kind", "n", gram.alias("g"))
     per_gram = grams.groupBy(*keys, "kind", "n", "g").agg(
         F.sum("is_h").alias("hc"), F.sum(1 - F.col("is_h")).alias("rc"))

@@ -80,7 +80,7 @@ pos as (select grp, example_id, is_h, s, toks, kind, n,
           unnest(range(1, greatest((case when kind = 'c' then length(s) else len(toks) end) - n + 2, 1))) as p
         from units, ords),
 grams as (select grp, example_id, is_h, kind, n,
-            case when kind = 'c' then substring(s, p, n) else array_to_string(list_slice(toks, p, p + n - 1), chr(1)) end as g
+            case when kind = 'c' then substring(s, p, n) else array_to_string(list_slice(toks, p, p + n - 1), ' ') end as g
           from pos),
 pg as (select grp, example_id, kind, n, g, sum(is_h)::double as hc, sum(1 - is_h)::double as rc
        from grams group by grp, example_id, kind, n, g),
