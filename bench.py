@@ -21,7 +21,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = build_session(master=f"local[{cpus}]", app="quarry-bench", shuffle_partitions=int(cpus))
+    # two shuffle partitions per core: smooths stragglers from long texts; AQE merges tiny ones
+    spark = build_session(master=f"local[{cpus}]", app="quarry-bench", shuffle_partitions=2 * int(cpus))
 
     # warm-up (JVM, codegen caches, Python workers); not timed
     QUERIES["exact_match"](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -75,48 +75,56 @@ def _positions(count: Column) -> Column:
 
 def ngram_match_stats(df: DataFrame, keys: list[str], hypothesis: str, reference: str,
                       char_order: int = 6, word_order: int = 0, words_fn=chrf_word_tokens,
-                      weights: Column | None = None) -> DataFrame:
-    """Per example and (kind, order): hypothesis count ``h``, reference count ``r`` and clipped
-    matches ``m = sum_g min(h_g, r_g)``.
-
-    ``keys`` must identify one (hypothesis, reference) pair.  The input is hash-partitioned by
-    ``keys[-1]`` (the example id) into ``spark.sql.shuffle.partitions`` parts — an explicit count,
-    so AQE cannot fold the (small) raw-text shuffle into one task before the n-gram explosion
-    multiplies it.  Everything after that exchange is partition-local and codegen'd: positions are
-    exploded with ``sequence`` and grams are ``slice`` + ``array_join`` of unit arrays.
+                      weights: Column | None = None, h_needs_ref: bool = False) -> DataFrame:
+    """Per distinct pair (``keys`` + ``_pair`` hash) and (kind, order): hypothesis count ``h``,
+    reference count ``r`` and clipped matches ``m = sum_g min(h_g, r_g)`` (plus unweighted
+    ``hu``/``ru``), already multiplied by the pair's copy count.  With ``h_needs_ref`` an order
+    whose reference has no n-gram contributes no hypothesis count (chrF's rule, per pair).
+
+    Plan: rows are first grouped by ``(keys, xxhash64(hypothesis, reference))`` — a partial
+    (map-side) aggregate, so copies of a pair collapse before the only shuffle, which moves raw
+    text, never n-grams.  Each distinct pair carries its copy count ``_w`` and is exploded once;
+    the per-gram and per-pair aggregates then reuse that hash partitioning (their keys include
+    it), so no exploded row is shuffled.  Statistics are additive, so a pair's statistics times
+    its copy count equal the statistics of its copies; pairs that share a key but differ in text
+    are kept apart by the hash and summed per key at the end.  n-grams are ``slice`` +
+    ``array_join`` over unit arrays (code points with whitespace removed, or words) — O(n) per
+    gram; ``substring(s, pos, n)`` would rescan the UTF-8 prefix and be quadratic in text length.
     ``weights`` (optional, a function of the gram column ``g``) weights unigram counts.
     """
     require_columns(df, hypothesis, reference, *keys)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(*keys, F.col(hypothesis).alias("_h"), F.col(reference).alias("_r")) \
-        .repartition(parts, keys[-1])
-    side = base.select(*keys, F.inline(F.array(
+    pair = F.xxhash64(F.col(hypothesis), F.col(reference))
+    distinct = df.groupBy(*keys, pair.alias("_pair")).agg(
+        F.first(hypothesis).alias("_h"), F.first(reference).alias("_r"), F.count(F.lit(1)).alias("_w"))
+    side = distinct.select(*keys, "_pair", "_w", F.inline(F.array(
         F.struct(F.lit(1).alias("is_h"), F.col("_h").alias("t")),
         F.struct(F.lit(0).alias("is_h"), F.col("_r").alias("t")))))
-    # every side becomes arrays of units — code points (whitespace removed) and words — so an
-    # n-gram is slice + join, O(n); substring(s, pos, n) would rescan the UTF-8 prefix (quadratic)
-    units = side.select(*keys, "is_h",
+    units = side.select(*keys, "_pair", "_w", "is_h",
                         (code_points(remove_whitespace("t")) if char_order else F.array().cast("array<string>"))
                         .alias("cs"),
                         (words_fn(F.col("t")) if word_order else F.array().cast("array<string>")).alias("ws"))
     orders = [("c", n) for n in range(1, char_order + 1)] + [("w", n) for n in range(1, word_order + 1)]
-    spec = units.select(*keys, "is_h", F.inline(F.array(
-        *[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for k, n in orders])),
-        "cs", "ws")
+    spec = units.select(*keys, "_pair", "_w", "is_h", F.inline(F.array(
+        *[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for k, n in orders])), "cs", "ws")
     arr = F.when(F.col("kind") == "c", F.col("cs")).otherwise(F.col("ws"))
-    spec = spec.select(*keys, "is_h", "kind", "n", arr.alias("u"))
-    pos = spec.select(*keys, "is_h", "kind", "n", "u", _positions(F.size("u") - F.col("n") + 1).alias("pos"))
+    spec = spec.select(*keys, "_pair", "_w", "is_h", "kind", "n", arr.alias("u"))
+    pos = spec.select(*keys, "_pair", "_w", "is_h", "kind", "n", "u",
+                      _positions(F.size("u") - F.col("n") + 1).alias("pos"))
     piece = F.slice("u", F.col("pos"), F.col("n"))
     # one code point per char unit, no whitespace inside a word: both joins are unambiguous
     gram = F.when(F.col("kind") == "c", F.array_join(piece, "")).otherwise(F.array_join(piece, " "))
-    grams = pos.select(*keys, "is_h", "kind", "n", gram.alias("g"))
-    per_gram = grams.groupBy(*keys, "kind", "n", "g").agg(
+    grams = pos.select(*keys, "_pair", "_w", "is_h", "kind", "n", gram.alias("g"))
+    per_gram = grams.groupBy(*keys, "_pair", "_w", "kind", "n", "g").agg(
         F.sum("is_h").alias("hc"), F.sum(1 - F.col("is_h")).alias("rc"))
     w = F.lit(1.0) if weights is None else F.when(F.col("n") == 1, weights).otherwise(F.lit(1.0))
-    return per_gram.groupBy(*keys, "kind", "n").agg(
+    per_pair = per_gram.groupBy(*keys, "_pair", "_w", "kind", "n").agg(
         F.sum(F.col("hc") * w).alias("h"), F.sum(F.col("rc") * w).alias("r"),
         F.sum(F.least("hc", "rc") * w).alias("m"),
         F.sum("hc").alias("hu"), F.sum("rc").alias("ru"))
+    if h_needs_ref:
+        per_pair = per_pair.withColumn("h", F.when(F.col("r") > 0, F.col("h")).otherwise(F.lit(0.0)))
+    return per_pair.select(*keys, "_pair", "kind", "n",
+                           *[(F.col(c) * F.col("_w")).alias(c) for c in ("h", "r", "m", "hu", "ru")])
 
 
 # A2 / A3 / A4 ---------------------------------------------------------------------------------
@@ -133,9 +141,7 @@ def _fscore(stats: DataFrame, group_by: list[str], beta: float, out: str) -> Dat
 
 
 def _chrf_stats(df, keys, prediction, reference, char_order, word_order):
-    stats = ngram_match_stats(df, keys, prediction, reference, char_order, word_order)
-    # an order with no reference n-gram contributes no hypothesis count
-    return stats.withColumn("h", F.when(F.col("r") > 0, F.col("h")).otherwise(F.lit(0.0)))
+    return ngram_match_stats(df, keys, prediction, reference, char_order, word_order, h_needs_ref=True)
 
 
 def chrf(df: DataFrame, prediction: str, reference: str, example_id: str = "example_id",
@@ -155,8 +161,9 @@ def chrf_per_example(df: DataFrame, prediction: str, reference: str, example_id:
                      out: str = "chrf") -> DataFrame:
     """Sentence-level chrF for every example (examples without any n-gram score 0)."""
     stats = _chrf_stats(df, [example_id], prediction, reference, char_order, word_order)
-    scored = _fscore(stats, [example_id], beta, out)
-    ids = df.select(example_id)
+    per_key = stats.groupBy(example_id, "kind", "n").agg(*[F.sum(c).alias(c) for c in ("h", "r", "m")])
+    scored = _fscore(per_key, [example_id], beta, out)
+    ids = df.select(example_id).distinct()
     return ids.join(scored, example_id, "left").select(example_id, F.coalesce(F.col(out), F.lit(0.0)).alias(out))
 
 

@@ -12,7 +12,14 @@ physical strategies, chosen by a size check on the query side:
   Block sizes bound the memory of each group; no cell ever materialises pairs as rows.
 
 Both end in the same merge: a per-query ``row_number`` window whose ``WindowGroupLimit`` keeps only
-k rows per query before the final shuffle.
+k rows per query before the final shuffle.  The merged top-k (at most queries x k rows) is
+checkpointed into the shared checkpoint folder: the expensive KB scan runs once, later uses
+(re-ranking, payload lookups, counts) read the small materialised result, and a lost executor never
+forces the scan to be replayed.
+
+Lookups of vectors and payloads for retrieved rows never shuffle the knowledge base: the retrieved
+side (bounded by queries x k, counted on the checkpointed candidates) is broadcast and the KB is
+streamed through a broadcast hash join; above the bound they fall back to a shuffle join.
 """
 
 from __future__ import annotations
@@ -75,22 +82,41 @@ def _merge_topk(cand: DataFrame, k: int, rank_col: str = "rank") -> DataFrame:
     return cand.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+MAX_BROADCAST_ROWS = 2_000_000
+
+
 def knn_topk(queries: DataFrame, kb: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id",
-             vector: str = "embedding", max_broadcast_rows: int = 100_000,
-             block_rows: int = 50_000) -> DataFrame:
-    """J2 + W1 + L4: ``(query_id, doc_id, sim, rank)`` for the k most similar KB rows per query."""
+             vector: str = "embedding", max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+             block_rows: int = 50_000, materialize: bool = True) -> DataFrame:
+    """J2 + W1 + L4: ``(query_id, doc_id, sim, rank)`` for the k most similar KB rows per query.
+
+    The query side is broadcast only when its float64 matrix (rows x dims x 8 bytes, measured by
+    one aggregate) fits ``max_broadcast_bytes``; otherwise the blocked cogroup path runs.
+    """
     require_columns(queries, query_id, vector)
     require_columns(kb, doc_id, vector)
     if k < 1:
         raise ValueError("k must be >= 1")
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("v"))
     d = kb.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(vector).alias("v"))
-    n_q = q.count()
-    if n_q <= max_broadcast_rows:
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    n_q, dim = int(size["n"]), int(size["dim"] or 0)
+    if n_q * max(dim, 1) * 8 <= max_broadcast_bytes:
         cand = _broadcast_candidates(q, d, k)
     else:
         cand = _blocked_candidates(q, d, k, n_q, block_rows)
-    return _merge_topk(cand, k)
+    top = _merge_topk(cand, k)
+    return top.checkpoint(eager=True) if materialize else top
+
+
+def _lookup(big: DataFrame, small: DataFrame, key: str, small_rows: int,
+            max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``big`` whose key is in ``small`` (joined with it).  ``small`` is broadcast when
+    its known row bound allows, so ``big`` is streamed, never shuffled."""
+    if small_rows <= max_rows:
+        return big.join(F.broadcast(small), key)
+    return big.join(small, key)
 
 
 def _broadcast_candidates(q: DataFrame, d: DataFrame, k: int) -> DataFrame:
@@ -155,11 +181,13 @@ def rerank(candidates: DataFrame, queries: DataFrame, kb: DataFrame, n_final: in
            vector: str = "embedding", retrieval_rank: str = "rank") -> DataFrame:
     """J4 + W2: re-score retrieved candidates by MaxSim and keep the best ``n_final``.
 
-    Ties keep retrieval order.  Candidates are bounded by queries x n_retrieve; the two lookups are
-    equi-joins whose strategy Catalyst/AQE picks from sizes.
+    Ties keep retrieval order.  The candidates (queries x n_retrieve rows, materialised by
+    ``knn_topk``) are counted and broadcast into the vector lookups, so neither the query table nor
+    the KB is shuffled.
     """
-    c = (candidates.join(queries.select(F.col("query_id"), F.col(vector).alias("_qv")), "query_id")
-         .join(kb.select(F.col("doc_id"), F.col(vector).alias("_dv")), "doc_id"))
+    n_c = candidates.count()
+    with_q = _lookup(queries.select(F.col("query_id"), F.col(vector).alias("_qv")), candidates, "query_id", n_c)
+    c = _lookup(kb.select(F.col("doc_id"), F.col(vector).alias("_dv")), with_q, "doc_id", n_c)
     scored = c.withColumn("maxsim", maxsim(F.col("_qv"), F.col("_dv"), token_dim)).drop("_qv", "_dv")
     w = Window.partitionBy("query_id").orderBy(F.desc("maxsim"), F.asc(retrieval_rank))
     return (scored.withColumn("final_rank", F.row_number().over(w))
@@ -169,16 +197,18 @@ def rerank(candidates: DataFrame, queries: DataFrame, kb: DataFrame, n_final: in
 # J5 / T6 --------------------------------------------------------------------------------------
 def rag_messages(query_messages: DataFrame, retrieved: DataFrame, payload: DataFrame, rank_col: str,
                  prefix: str, page_content: str = "page_content", code: str = "code",
-                 messages_col: str = "messages") -> DataFrame:
+                 messages_col: str = "messages", retrieved_rows: int | None = None) -> DataFrame:
     """Retrieved (query_id, doc_id, rank) -> templated (page_content, code) turns in rank order,
     followed by the query's own messages.
 
-    J5 is the equi-join to the payload on ``doc_id``; the per-query aggregate holds at most
-    n_final entries (bounded group).
+    J5 is the equi-join to the payload on ``doc_id``: with a known bound on the retrieved rows
+    (``retrieved_rows``) the retrieved side is broadcast and the payload streamed; without one,
+    Catalyst/AQE choose.  The per-query aggregate holds at most n_final entries (bounded group).
     """
     require_columns(payload, "doc_id", page_content, code)
-    ctx = retrieved.select("query_id", "doc_id", F.col(rank_col).alias("_rk")).join(
-        payload.select("doc_id", page_content, code), "doc_id")
+    r = retrieved.select("query_id", "doc_id", F.col(rank_col).alias("_rk"))
+    pl = payload.select("doc_id", page_content, code)
+    ctx = _lookup(pl, r, "doc_id", retrieved_rows) if retrieved_rows is not None else r.join(pl, "doc_id")
     ctx = ctx.select("query_id", "_rk", templated_turns(F.col(page_content), F.col(code), prefix).alias("_t"))
     per_q = ctx.groupBy("query_id").agg(ordered_turns(ctx, "_rk", "_t").alias("_ctx"))
     out = query_messages.join(per_q, "query_id", "left")

@@ -240,18 +240,18 @@ def q_knn_topk(spark, sf):
 def _reranked(spark, sf, n_retrieve, n_final):
     q, kb = fx.retrieval_queries(spark, sf), fx.knowledge_base(spark, sf)
     cand = RT.knn_topk(q, kb, n_retrieve)
-    return RT.rerank(cand, q, kb, n_final, TOKEN_DIM)
+    return RT.rerank(cand, q, kb, n_final, TOKEN_DIM), cand.count()
 
 
 def q_rerank_maxsim(spark, sf):
-    r = _reranked(spark, sf, RERANK_RETRIEVE, RERANK_FINAL)
+    r, _ = _reranked(spark, sf, RERANK_RETRIEVE, RERANK_FINAL)
     return r.select("query_id", "doc_id", F.col("final_rank").cast("long").alias("final_rank"),
                     F.round("maxsim", 5).alias("maxsim"))
 
 
 def q_rag_prompt(spark, sf):
     docs = fx.table(spark, sf, "documents")
-    r = _reranked(spark, sf, RAG_RETRIEVE, RAG_FINAL)
+    r, n_cand = _reranked(spark, sf, RAG_RETRIEVE, RAG_FINAL)
     payload = fx.knowledge_base(spark, sf).select("doc_id", (F.col("doc_id") % 200).alias("payload_id")).join(
         docs.select(F.col("doc_id").alias("payload_id"), F.col("text").alias("page_content"),
                     F.col("source").alias("code")), "payload_id")
@@ -259,7 +259,7 @@ def q_rag_prompt(spark, sf):
         docs.select(F.col("doc_id").alias("payload_id"), "text"), "payload_id")
     qm = qm.select("query_id", PR.templated_turns(F.col("text"), F.lit(None).cast("string"),
                                                   INSTRUCTION_PREFIX["conala"]).alias("messages"))
-    out = RT.rag_messages(qm, r, payload, "final_rank", INSTRUCTION_PREFIX["conala"])
+    out = RT.rag_messages(qm, r, payload, "final_rank", INSTRUCTION_PREFIX["conala"], retrieved_rows=n_cand)
     return out.select("query_id", F.size("messages").cast("long").alias("n_messages"),
                       render_cut("messages").alias("prompt"))
 

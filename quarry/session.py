@@ -30,6 +30,9 @@ def build_session(master: str | None = None, app: str = "quarry",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # local runs read a few MB: let AQE keep small shuffles spread over the cores (operators
+        # such as the n-gram metrics multiply rows after their raw-text shuffle)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         .config("spark.driver.memory", "16g")

@@ -40,7 +40,7 @@ def test_knn_broadcast_equals_brute_force(q_kb):
 def test_knn_blocked_path_equals_broadcast(q_kb):
     q, kb = q_kb
     a = _as_lists(RT.knn_topk(q, kb, 7))
-    b = _as_lists(RT.knn_topk(q, kb, 7, max_broadcast_rows=0, block_rows=64))
+    b = _as_lists(RT.knn_topk(q, kb, 7, max_broadcast_bytes=0, block_rows=64))
     assert a == b
 
 
@@ -52,12 +52,21 @@ def test_knn_ties_broken_by_doc_id(spark):
 
 def test_knn_plan_does_not_shuffle_kb_rows(q_kb):
     q, kb = q_kb
-    plan = plan_text(RT.knn_topk(q, kb, 5))
+    plan = plan_text(RT.knn_topk(q, kb, 5, materialize=False))
     assert "MapInPandas" in plan and "CartesianProduct" not in plan
     # the only exchange is the per-query merge of candidates
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_rerank_lookups_stream_the_kb(q_kb):
+    q, kb = q_kb
+    rr = RT.rerank(RT.knn_topk(q, kb, 4), q, kb, 2, token_dim=8)
+    plan = plan_text(rr)
+    assert plan.count("BroadcastHashJoin") >= 2
+    # exchanges only for the final per-query ranking window, none over KB rows
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_maxsim_matches_numpy(spark, q_kb):
     q, kb = q_kb
     cand = RT.knn_topk(q, kb, 4)
