@@ -156,6 +156,30 @@ def chrf(df: DataFrame, prediction: str, reference: str, example_id: str = "exam
     return _fscore(corpus, group_by, beta, out)
 
 
+def chrf_family(df: DataFrame, prediction: str, reference: str, example_id: str = "example_id",
+                group_by: list[str] | None = None, beta: float = 2.0) -> DataFrame:
+    """chrF and chrF++ from ONE n-gram pass: chrF++'s statistics contain chrF's (the character
+    orders), so both scores come out of the same corpus table in one aggregate."""
+    group_by = list(group_by or [])
+    stats = _chrf_stats(df, group_by + [example_id], prediction, reference, 6, 2)
+    corpus = stats.groupBy(*group_by, "kind", "n").agg(F.sum("h").alias("h"), F.sum("r").alias("r"),
+                                                        F.sum("m").alias("m"))
+    ok = (F.col("h") > 0) & (F.col("r") > 0)
+    chars = F.col("kind") == "c"
+    agg = corpus.groupBy(*group_by).agg(
+        F.avg(F.when(ok & chars, F.col("m") / F.col("h"))).alias("_pc"),
+        F.avg(F.when(ok & chars, F.col("m") / F.col("r"))).alias("_rc"),
+        F.avg(F.when(ok, F.col("m") / F.col("h"))).alias("_pa"),
+        F.avg(F.when(ok, F.col("m") / F.col("r"))).alias("_ra"))
+    b2 = beta * beta
+
+    def score(p, r):
+        return F.when(F.coalesce(F.col(p) + F.col(r), F.lit(0.0)) > 0,
+                      100.0 * (1 + b2) * F.col(p) * F.col(r) / (b2 * F.col(p) + F.col(r))).otherwise(F.lit(0.0))
+
+    return agg.select(*group_by, score("_pc", "_rc").alias("chrf"), score("_pa", "_ra").alias("chrf_pp"))
+
+
 def chrf_per_example(df: DataFrame, prediction: str, reference: str, example_id: str = "example_id",
                      char_order: int = 6, word_order: int = 0, beta: float = 2.0,
                      out: str = "chrf") -> DataFrame:

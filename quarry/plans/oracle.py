@@ -104,6 +104,20 @@ corp as (select grp, kind, n, sum(h) as h, sum(r) as r, sum(m) as m from ex2 gro
 sc as (""" + fscore("corp", "grp") + ")\n")
 
 
+def chrf_family_sql(src: str, prelude: str) -> str:
+    """(grp, chrf, chrf_pp) from one chrF++ statistics pass."""
+    ok = "h > 0 and r > 0"
+    def score(p, r):
+        return f"case when coalesce({p} + {r}, 0) > 0 then 100.0 * 5.0 * {p} * {r} / (4.0 * {p} + {r}) else 0.0 end"
+    return (prelude + ngram_ctes(src, 6, 2, chrf_words) + f""",
+ex2 as (select grp, example_id, kind, n, case when r > 0 then h else 0 end as h, r, m from ex),
+corp as (select grp, kind, n, sum(h) as h, sum(r) as r, sum(m) as m from ex2 group by grp, kind, n),
+pr as (select grp, avg(case when {ok} and kind = 'c' then m / h end) as pc, avg(case when {ok} and kind = 'c' then m / r end) as rc,
+         avg(case when {ok} then m / h end) as pa, avg(case when {ok} then m / r end) as ra from corp group by grp),
+sc as (select grp, {score('pc', 'rc')} as chrf, {score('pa', 'ra')} as chrf_pp from pr)
+""")
+
+
 def bleu_sql(src: str, prelude: str, weighted: bool) -> str:
     logs = " + ".join(f"ln(m{n} / h{n})" for n in range(1, 5))
     return (prelude + ngram_ctes(src, 0, 4, ws_words, weighted) + f""",
@@ -279,6 +293,38 @@ em as (select split, count(*) as n_examples, count(response) as n_responses,
 select em.split, n_examples, n_responses, exact_match, round(coalesce(sc.score, 0.0), 6) as chrf
 from em left join sc on sc.grp = em.split"""
 
+    carve_train = ("case when split = 'train' and row_number() over (partition by split = 'train' "
+                   "order by md5(concat('42:', cast(doc_id as varchar))), doc_id) <= 50 then 'validation' else split end")
+    s["prepare_apps"] = duck_with("apps_raw") + f""",
+c as (select *, {carve_train} as split2 from apps_raw),
+a as (select doc_id, split2 as split, {io_prompt} as prompt,
+        case when split2 = 'test' then null else ({first_solution}) end as answer from c)
+select doc_id, split, {user_turn('prompt', apps)} as user_content, {answer_turn('answer')} as assistant_content from a"""
+
+    s["prepare_mbpp"] = duck_with("mbpp_raw") + f""",
+m as (select *, case when doc_id % 10 = 0 then 'test' else 'train' end as split from mbpp_raw),
+a as (select doc_id, split, concat(text, ' Your code should pass these tests:',
+        array_to_string(list_transform(test_list, lambda t: chr(10) || t), '')) as prompt,
+        case when split = 'test' then null else code end as answer from m)
+select doc_id, split, {user_turn('prompt', 'mbpp')} as user_content, {answer_turn('answer')} as assistant_content from a"""
+
+    stop_cut = f"""case when p1 > 0 and (p2 = 0 or p1 <= p2) then substring(raw, 1, p1 - 1)
+      when p2 > 0 then substring(raw, 1, p2 - 1) else raw end"""
+    ev_prelude = duck_with("responses").rstrip() + f""",
+st as (select example_id, api_model, raw, instr(raw, '<|end|>') as p1, instr(raw, {stop2}) as p2 from responses),
+cl as (select example_id, case when api_model then raw
+         else {strip(f"split_part(({stop_cut}), '```', 1)")} end as response from st),
+aligned as (select p.example_id, p.split, p.reference, c.response from pairs p left join cl c on p.example_id = c.example_id)"""
+    ev_src = "select split as grp, example_id, coalesce(response, '') as hyp, reference as ref from aligned"
+    s["evaluate_run"] = chrf_family_sql(ev_src, ev_prelude) + """,
+em as (select split, count(*)::double as n_examples,
+  avg(case when response = reference then 1.0::double else 0.0::double end) as exact_match from aligned group by split),
+w as (select em.split, n_examples, exact_match, sc.chrf, sc.chrf_pp from em left join sc on sc.grp = em.split)
+select split, 'n_examples' as metric, round(n_examples, 6) as value from w
+union all select split, 'exact_match', round(exact_match, 6) from w
+union all select split, 'chrf', round(chrf, 6) from w
+union all select split, 'chrf_pp', round(chrf_pp, 6) from w"""
+
     s["knn_topk"] = duck_with("rq", "kb") + ", " + knn(5) + """
 select query_id, doc_id, rank, round(sim, 5) as sim from knn"""
 

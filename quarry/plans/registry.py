@@ -30,7 +30,7 @@ from ..session import scratch_path
 from ..sources import files as IO
 from ..streaming import telemetry as ST
 from . import fixtures as fx
-from .fixtures import duck_with
+from . import workflows as WF
 
 # query parameters (fixed per registered query)
 CARVE_N = 100
@@ -231,6 +231,35 @@ def q_flagship_eval(spark, sf):
                     F.round(F.coalesce("chrf", F.lit(0.0)), 6).alias("chrf")))
 
 
+PREP_VALIDATION = 50
+
+
+def _turn_columns(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, "split", F.col("messages")[0]["content"].alias("user_content"),
+                     F.col("messages")[1]["content"].alias("assistant_content"))
+
+
+def q_prepare_apps(spark, sf):
+    """E1 for apps: validation carved from train, I/O-mode prompt, first solution, test blinded."""
+    prepared = WF.prepare_dataset(fx.apps_raw(spark, sf), "apps", "doc_id", validation_size=PREP_VALIDATION)
+    return _turn_columns(prepared, "doc_id")
+
+
+def q_prepare_mbpp(spark, sf):
+    """E1 for mbpp: tests appended to the prompt, templated, test split blinded."""
+    raw = fx.mbpp_raw(spark, sf).withColumn(
+        "split", F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train"))
+    return _turn_columns(WF.prepare_dataset(raw, "mbpp", "doc_id"), "doc_id")
+
+
+def q_evaluate_run(spark, sf):
+    """E2 scoring: stop strings + fence cut (API outputs raw), keyed alignment, tall metrics by split."""
+    cleaned = WF.clean_responses(fx.responses(spark, sf), api_model="api_model", stops=STOPS)
+    refs = fx.pairs(spark, sf).select("example_id", "split", "reference")
+    tall = WF.evaluate_responses(cleaned, refs, group_by=["split"])
+    return tall.select("split", "metric", F.round("value", 6).alias("value"))
+
+
 def q_knn_topk(spark, sf):
     res = RT.knn_topk(fx.retrieval_queries(spark, sf), fx.knowledge_base(spark, sf), KNN_K)
     return res.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"),
@@ -425,6 +454,9 @@ QUERIES = {
     "em_at_k": q_em_at_k,
     "ngram_bleu": q_ngram_bleu,
     "weighted_bleu": q_weighted_bleu,
+    "prepare_apps": q_prepare_apps,
+    "prepare_mbpp": q_prepare_mbpp,
+    "evaluate_run": q_evaluate_run,
     "knn_topk": q_knn_topk,
     "rerank_maxsim": q_rerank_maxsim,
     "rag_prompt": q_rag_prompt,
