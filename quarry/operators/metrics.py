@@ -87,10 +87,11 @@ def ngram_match_stats(df: DataFrame, keys: list[str], hypothesis: str, reference
     the per-gram and per-pair aggregates then reuse that hash partitioning (their keys include
     it), so no exploded row is shuffled.  Statistics are additive, so a pair's statistics times
     its copy count equal the statistics of its copies; pairs that share a key but differ in text
-    are kept apart by the hash and summed per key at the end.  n-grams are ``slice`` +
-    ``array_join`` over unit arrays (code points with whitespace removed, or words) — O(n) per
-    gram; ``substring(s, pos, n)`` would rescan the UTF-8 prefix and be quadratic in text length.
-    ``weights`` (optional, a function of the gram column ``g``) weights unigram counts.
+    are kept apart by the hash and summed per key at the end.  n-grams are read from unit arrays
+    (code points with whitespace removed, or words) — O(n) per gram; ``substring(s, pos, n)``
+    would rescan the UTF-8 prefix and be quadratic in text length.
+    Character grams are keyed by packed code points (fixed-width longs), word grams by their text.
+    ``weights`` (optional, a function of the word-gram column ``g``) weights unigram counts.
     """
     require_columns(df, hypothesis, reference, *keys)
     pair = F.xxhash64(F.col(hypothesis), F.col(reference))
@@ -99,22 +100,29 @@ def ngram_match_stats(df: DataFrame, keys: list[str], hypothesis: str, reference
     side = distinct.select(*keys, "_pair", "_w", F.inline(F.array(
         F.struct(F.lit(1).alias("is_h"), F.col("_h").alias("t")),
         F.struct(F.lit(0).alias("is_h"), F.col("_r").alias("t")))))
+    no_longs, no_words = F.array().cast("array<bigint>"), F.array().cast("array<string>")
     units = side.select(*keys, "_pair", "_w", "is_h",
-                        (code_points(remove_whitespace("t")) if char_order else F.array().cast("array<string>"))
-                        .alias("cs"),
-                        (words_fn(F.col("t")) if word_order else F.array().cast("array<string>")).alias("ws"))
+                        (F.transform(code_points(remove_whitespace("t")), lambda c: F.ascii(c).cast("long"))
+                         if char_order else no_longs).alias("cp"),
+                        (words_fn(F.col("t")) if word_order else no_words).alias("ws"))
     orders = [("c", n) for n in range(1, char_order + 1)] + [("w", n) for n in range(1, word_order + 1)]
     spec = units.select(*keys, "_pair", "_w", "is_h", F.inline(F.array(
-        *[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for k, n in orders])), "cs", "ws")
-    arr = F.when(F.col("kind") == "c", F.col("cs")).otherwise(F.col("ws"))
-    spec = spec.select(*keys, "_pair", "_w", "is_h", "kind", "n", arr.alias("u"))
-    pos = spec.select(*keys, "_pair", "_w", "is_h", "kind", "n", "u",
-                      _positions(F.size("u") - F.col("n") + 1).alias("pos"))
-    piece = F.slice("u", F.col("pos"), F.col("n"))
-    # one code point per char unit, no whitespace inside a word: both joins are unambiguous
-    gram = F.when(F.col("kind") == "c", F.array_join(piece, "")).otherwise(F.array_join(piece, " "))
-    grams = pos.select(*keys, "_pair", "_w", "is_h", "kind", "n", gram.alias("g"))
-    per_gram = grams.groupBy(*keys, "_pair", "_w", "kind", "n", "g").agg(
+        *[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for k, n in orders])), "cp", "ws")
+    is_c = F.col("kind") == "c"
+    count = F.when(is_c, F.size("cp")).otherwise(F.size("ws")) - F.col("n") + 1
+    pos = spec.select(*keys, "_pair", "_w", "is_h", "kind", "n", "cp", "ws", _positions(count).alias("pos"))
+    # a character n-gram is its code points packed 3 per long (21 bits each; code points < 2^21),
+    # zero-padded past n: injective for a fixed order, fixed-width, no string built per gram
+    def cp_at(j):
+        return F.when(is_c & (F.col("n") > j), F.get(F.col("cp"), F.col("pos") - 1 + j)).otherwise(F.lit(0).cast("long"))
+    packed = [F.shiftleft(cp_at(3 * i), 42) + F.shiftleft(cp_at(3 * i + 1), 21) + cp_at(3 * i + 2)
+              for i in range(max(1, -(-char_order // 3)))]
+    # a word n-gram is its words joined by a space (no whitespace inside a word: unambiguous)
+    word_gram = F.when(~is_c, F.array_join(F.slice("ws", F.col("pos"), F.col("n")), " "))
+    k_cols = [f"_k{i}" for i in range(len(packed))]
+    grams = pos.select(*keys, "_pair", "_w", "is_h", "kind", "n",
+                       *[k.alias(c) for k, c in zip(packed, k_cols)], word_gram.alias("g"))
+    per_gram = grams.groupBy(*keys, "_pair", "_w", "kind", "n", *k_cols, "g").agg(
         F.sum("is_h").alias("hc"), F.sum(1 - F.col("is_h")).alias("rc"))
     w = F.lit(1.0) if weights is None else F.when(F.col("n") == 1, weights).otherwise(F.lit(1.0))
     per_pair = per_gram.groupBy(*keys, "_pair", "_w", "kind", "n").agg(
