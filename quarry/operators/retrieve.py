@@ -112,8 +112,9 @@ def knn_topk(queries: DataFrame, kb: DataFrame, k: int, query_id: str = "query_i
 
 def _lookup(big: DataFrame, small: DataFrame, key: str, small_rows: int,
             max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``big`` whose key is in ``small`` (joined with it).  ``small`` is broadcast when
-    its known row bound allows, so ``big`` is streamed, never shuffled."""
+    """Rows of ``big`` whose key is in ``small`` (joined with it).  ``small`` — narrow rows of ids
+    and ranks, never vectors or texts — is broadcast when its known row bound allows, so ``big``
+    is streamed, never shuffled."""
     if small_rows <= max_rows:
         return big.join(F.broadcast(small), key)
     return big.join(small, key)
@@ -181,13 +182,17 @@ def rerank(candidates: DataFrame, queries: DataFrame, kb: DataFrame, n_final: in
            vector: str = "embedding", retrieval_rank: str = "rank") -> DataFrame:
     """J4 + W2: re-score retrieved candidates by MaxSim and keep the best ``n_final``.
 
-    Ties keep retrieval order.  The candidates (queries x n_retrieve rows, materialised by
-    ``knn_topk``) are counted and broadcast into the vector lookups, so neither the query table nor
-    the KB is shuffled.
+    Ties keep retrieval order.  Only the candidates' ids (8 bytes each; at most queries x
+    n_retrieve of them, counted on the checkpointed candidates) are broadcast into the KB and query
+    scans, which stream through broadcast hash joins; the fetched vectors (as many rows as
+    candidates) are then attached to the candidates by ordinary equi-joins.
     """
     n_c = candidates.count()
-    with_q = _lookup(queries.select(F.col("query_id"), F.col(vector).alias("_qv")), candidates, "query_id", n_c)
-    c = _lookup(kb.select(F.col("doc_id"), F.col(vector).alias("_dv")), with_q, "doc_id", n_c)
+    doc_ids = candidates.select("doc_id").distinct()
+    query_ids = candidates.select("query_id").distinct()
+    dv = _lookup(kb.select(F.col("doc_id"), F.col(vector).alias("_dv")), doc_ids, "doc_id", n_c)
+    qv = _lookup(queries.select(F.col("query_id"), F.col(vector).alias("_qv")), query_ids, "query_id", n_c)
+    c = candidates.join(dv, "doc_id").join(qv, "query_id")
     scored = c.withColumn("maxsim", maxsim(F.col("_qv"), F.col("_dv"), token_dim)).drop("_qv", "_dv")
     w = Window.partitionBy("query_id").orderBy(F.desc("maxsim"), F.asc(retrieval_rank))
     return (scored.withColumn("final_rank", F.row_number().over(w))

@@ -71,9 +71,15 @@ def _chunked(df: DataFrame, ts: str, chunk_seconds: int) -> DataFrame:
 
 
 def running_stats(df: DataFrame, run: str, order: list[str], value: str | None = None,
-                  chunk_seconds: int = 86_400) -> DataFrame:
+                  chunk_seconds: int = 3_600) -> DataFrame:
     """Adds ``processed`` (rows so far, inclusive), ``total`` (rows in the run), ``pct`` and, with
-    ``value``, ``running_peak`` (max so far) per run in ``order`` (first column a timestamp)."""
+    ``value``, ``running_peak`` (max so far) per run in ``order`` (first column a timestamp).
+
+    The ordered window only ever sees one (run, chunk) group, so its size is bounded by the
+    telemetry rate times ``chunk_seconds``, whatever share of all rows a run holds; the chunk
+    carry-ins come from a table with one row per (run, chunk).  Results do not depend on
+    ``chunk_seconds``.
+    """
     require_columns(df, run, *order, *([value] if value else []))
     c = _chunked(df, order[0], chunk_seconds)
     aggs = [F.count(F.lit(1)).alias("_ccnt")] + ([F.max(value).alias("_cmax")] if value else [])
