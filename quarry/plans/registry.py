@@ -7,14 +7,11 @@ DataFrame; column names match the oracle's.  Floating results are rounded in bot
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import (FENCE_STOP, ICL_SEEDS, INSTRUCTION_PREFIX, PLACEHOLDER, SWEEP_GRID,
-                               WS_CLASS_RE2)
+from ..functions.fixed import FENCE_STOP, ICL_SEEDS, INSTRUCTION_PREFIX, SWEEP_GRID
 from ..functions.text import (completion_span, earliest_stop, fence_cut, render_cut, render_messages,
                               stop_truncate)
 from ..operators import align as AL

@@ -56,7 +56,10 @@ def ship_package(spark: SparkSession) -> None:
     cannot see it, the package is zipped on the driver and handed to ``addPyFile`` (Spark then
     serves it to every executor), once per application.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a local SparkContext (e.g. Spark Connect): nothing to ship
+        return
     if sc.applicationId in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
@@ -72,8 +75,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set(_CKPT_KEY, current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no local SparkContext (e.g. Spark Connect): the server owns checkpointing
+        return current
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 

@@ -44,7 +44,7 @@ def finish_summary(state: DataFrame) -> DataFrame:
 
 def run_summary_stream(spark: SparkSession, source_dir: str, out_dir: str | None = None,
                        checkpoint_dir: str | None = None, watermark: str = "1 day",
-                       available_now: bool = True):
+                       available_now: bool = True, max_files_per_trigger: int | None = None):
     """Start the stream over parquet poll files in ``source_dir``; returns (query, out_dir).
 
     With ``available_now`` the query processes every file present and stops (batch-like catch-up);
@@ -52,7 +52,10 @@ def run_summary_stream(spark: SparkSession, source_dir: str, out_dir: str | None
     """
     out_dir = out_dir or scratch_path(spark, "telemetry-summary")
     checkpoint_dir = checkpoint_dir or scratch_path(spark, "telemetry-ckpt")
-    polls = spark.readStream.schema(POLL_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    reader = spark.readStream.schema(POLL_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    polls = reader.parquet(source_dir)
     state = summary_stream(polls, watermark)
 
     def publish(batch: DataFrame, batch_id: int) -> None:

@@ -78,12 +78,21 @@ def test_run_outputs_layout_and_tall_metrics(spark):
     assert df.select(IO.format_with_unit("em", "MB").alias("x")).first().x == "0.5 MB"
 
 
+def test_write_metrics_json(spark):
+    df = spark.createDataFrame([("conala", "chrf", 56.85), ("conala", "exact_match", 0.35)],
+                               "dataset string, metric string, value double")
+    path = scratch_path(spark, "t-metrics")
+    IO.write_metrics(df, path, partition_by=["dataset"])
+    back = {r.metric: r.value for r in spark.read.json(path).collect()}
+    assert back == {"chrf": 56.85, "exact_match": 0.35}
+
+
 def test_stream_equals_batch(spark):
     polls = RN.poll_totals(fx.telemetry(spark, SF01), [0, 1]).select(
         F.col("run_id").cast("long").alias("run_id"), F.col("poll_ts").cast("timestamp").alias("poll_ts"), "used_mb")
     staged = scratch_path(spark, "t-polls")
     polls.repartition(3, "run_id").write.parquet(staged)
-    query, out = ST.run_summary_stream(spark, staged)
+    query, out = ST.run_summary_stream(spark, staged, max_files_per_trigger=1)  # several micro-batches
     query.awaitTermination()
     streamed = sorted(tuple(r) for r in spark.read.parquet(out).select(
         "run_id", "initial_mb", "peak_mb", "elapsed_s", "n_polls").collect())
