@@ -169,13 +169,17 @@ def maxsim(q_vec: Column, d_vec: Column, token_dim: int) -> Column:
     nq = (F.size(q_vec) / token_dim).cast("int")
     nd = (F.size(d_vec) / token_dim).cast("int")
 
+    def tokens(n):  # 0..n-1; empty for n < 1 (sequence(0, -1) would count down)
+        return F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
     def tok(v, i):
         return F.slice(v, i * token_dim + 1, F.lit(token_dim))
 
     return F.aggregate(
-        F.sequence(F.lit(0), nq - 1), F.lit(0.0),
-        lambda acc, i: acc + F.array_max(F.transform(F.sequence(F.lit(0), nd - 1),
-                                                      lambda j: _dot(tok(q_vec, i), tok(d_vec, j)))))
+        tokens(nq), F.lit(0.0),
+        lambda acc, i: acc + F.coalesce(F.array_max(F.transform(tokens(nd),
+                                                                lambda j: _dot(tok(q_vec, i), tok(d_vec, j)))),
+                                        F.lit(0.0)))
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, kb: DataFrame, n_final: int, token_dim: int,

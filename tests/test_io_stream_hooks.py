@@ -29,6 +29,12 @@ def test_prepared_roundtrip_prunes_partitions(spark):
     assert "PartitionFilters: [isnotnull(split" in plan and "(split#" in plan
 
 
+def test_load_corpus_tags_split(spark):
+    df = IO.load_corpus(spark, f"{SF01}/benchmark.parquet", split="test")
+    assert df.select("split").distinct().collect()[0].split == "test"
+    assert df.count() == spark.read.parquet(f"{SF01}/benchmark.parquet").count()
+
+
 def test_legacy_response_list_import(spark):
     d = tempfile.mkdtemp(prefix="quarry-test-")
     data = [["first\nline"], ["second"], ["third", "alt"]]

@@ -92,3 +92,8 @@ def test_rag_messages_order(spark):
     out = RT.rag_messages(qm, retrieved, payload, "rank", "P").first().messages
     assert [m.role for m in out] == ["user", "assistant", "user", "assistant", "user"]
     assert "first" in out[0].content and "second" in out[2].content and out[4].content == "q"
+
+
+def test_maxsim_empty_vectors(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [])], "q array<float>, d array<float>")
+    assert df.select(RT.maxsim(F.col("q"), F.col("d"), 2).alias("s")).first().s == 0.0

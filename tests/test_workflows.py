@@ -86,3 +86,15 @@ def test_apps_report_and_position_slice(spark):
     assert {(r.difficulty, r.k) for r in pk.collect()} >= {("interview", 1)}
     assert WF.position_slice(o, 10, 20, "problem_id").select("problem_id").distinct().count() == 10
     assert PLACEHOLDER  # fixed value importable
+
+
+def test_align_raises_on_missing_by_default(spark):
+    from quarry.operators import align as AL
+    refs = spark.createDataFrame([(1, "a"), (2, "b")], "example_id long, reference string")
+    resp = spark.createDataFrame([(1, "a")], "example_id long, response string")
+    with pytest.raises(Exception, match="unaligned"):
+        AL.align(refs, resp).collect()
+    assert AL.align(refs, resp, on_missing="wrong").count() == 2
+    orphan = spark.createDataFrame([(3, "c")], "example_id long, response string")
+    with pytest.raises(Exception, match="unaligned"):
+        AL.align(refs, orphan, on_missing="wrong").collect()
