@@ -40,10 +40,38 @@ _CAND_SCHEMA = "query_id long, doc_id long, sim double"
 _QUERY_CHUNK = 1024
 
 
+def _topk_rows(cat_s: np.ndarray, cat_i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the k best (sim desc, id asc) of (cat_s, cat_i).
+
+    ``argpartition`` preselects the k + slack largest values in O(width); the preselection is exact
+    unless a value tied with the k-th one lies outside it (an id tie-break could then prefer it), and
+    only such rows are fully sorted.
+    """
+    width = cat_s.shape[1]
+    m = min(width, k + 16)
+    if m < width:
+        pre = np.argpartition(-cat_s, m - 1, axis=1)[:, :m]
+        sub_s, sub_i = np.take_along_axis(cat_s, pre, axis=1), np.take_along_axis(cat_i, pre, axis=1)
+    else:
+        sub_s, sub_i = cat_s, cat_i
+    order = np.lexsort((sub_i, -sub_s), axis=1)[:, :k]
+    top_s, top_i = np.take_along_axis(sub_s, order, axis=1), np.take_along_axis(sub_i, order, axis=1)
+    if m < width:
+        kth = top_s[:, -1:]
+        unsafe = (cat_s >= kth).sum(axis=1) > (sub_s >= kth).sum(axis=1)
+        if unsafe.any():
+            rows = np.nonzero(unsafe)[0]
+            full = np.lexsort((cat_i[rows], -cat_s[rows]), axis=1)[:, :k]
+            top_s[rows] = np.take_along_axis(cat_s[rows], full, axis=1)
+            top_i[rows] = np.take_along_axis(cat_i[rows], full, axis=1)
+    return top_s, top_i
+
+
 def _local_topk(q_mat: np.ndarray, d_ids: np.ndarray, d_mat: np.ndarray, k: int,
                 best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Merge the top-k (sim desc, doc_id asc) of q x d into the running ``best`` (sims, ids),
-    both shaped (queries, k); empty slots hold -inf / max int."""
+    both shaped (queries, k); empty slots hold -inf / max int.  Queries are processed in chunks
+    so the similarity block stays ``_QUERY_CHUNK x batch`` doubles."""
     n = q_mat.shape[0]
     if best is None:
         best = (np.full((n, k), -np.inf), np.full((n, k), np.iinfo("int64").max, dtype="int64"))
@@ -53,9 +81,7 @@ def _local_topk(q_mat: np.ndarray, d_ids: np.ndarray, d_mat: np.ndarray, k: int,
         c = sims.shape[0]
         cat_s = np.concatenate([b_s[s:s + c], sims], axis=1)
         cat_i = np.concatenate([b_i[s:s + c], np.broadcast_to(d_ids, (c, len(d_ids)))], axis=1)
-        order = np.lexsort((cat_i, -cat_s), axis=1)[:, :k]
-        b_s[s:s + c] = np.take_along_axis(cat_s, order, axis=1)
-        b_i[s:s + c] = np.take_along_axis(cat_i, order, axis=1)
+        b_s[s:s + c], b_i[s:s + c] = _topk_rows(cat_s, cat_i, k)
     return b_s, b_i
 
 

@@ -97,3 +97,17 @@ def test_rag_messages_order(spark):
 def test_maxsim_empty_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [])], "q array<float>, d array<float>")
     assert df.select(RT.maxsim(F.col("q"), F.col("d"), 2).alias("s")).first().s == 0.0
+
+
+def test_topk_rows_exact_with_ties():
+    rng = np.random.default_rng(0)
+    for trial in range(50):
+        width, k = int(rng.integers(1, 120)), int(rng.integers(1, 30))
+        # few distinct values -> many ties across the preselection boundary
+        cat_s = rng.integers(0, 4, size=(7, width)).astype(float)
+        cat_i = np.stack([rng.permutation(width) for _ in range(7)]).astype("int64")
+        k = min(k, width)
+        got_s, got_i = RT._topk_rows(cat_s, cat_i, k)
+        for r in range(7):
+            exp = sorted(zip(-cat_s[r], cat_i[r]))[:k]
+            assert list(zip(-got_s[r], got_i[r])) == exp
