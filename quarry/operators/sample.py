@@ -52,6 +52,22 @@ def first_n(df: DataFrame, id_col: str, n: int, seed: int, rank_col: str = "rank
     return ranked.where(_check_enough(df, n).isNull()).drop("_k")
 
 
+def first_n_by_seed(df: DataFrame, id_col: str, n: int, seeds: list[int], rank_col: str = "rank",
+                    seed_col: str = "seed") -> DataFrame:
+    """``first_n`` for several seeds in ONE scan: rows are replicated per seed (a literal array),
+    and a per-seed ``row_number() <= n`` is planned as WindowGroupLimit — each map task keeps n
+    rows per seed before the exchange, so no seed group is ever gathered whole."""
+    require_columns(df, id_col)
+    if n > TOP_N_LIMIT:
+        raise ValueError(f"first_n_by_seed is for bounded samples (n <= {TOP_N_LIMIT})")
+    rep = df.select("*", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias(seed_col))
+    keyed = rep.withColumn("_k", F.md5(F.concat(F.col(seed_col).cast("string"), F.lit(":"),
+                                                F.col(id_col).cast("string"))))
+    w = Window.partitionBy(seed_col).orderBy("_k", id_col)
+    top = keyed.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+    return top.where(_check_enough(df, n).isNull()).drop("_k")
+
+
 def _chosen_ids_large(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """Ids of the first ``n`` rows for large ``n`` without gathering them into one task.
 

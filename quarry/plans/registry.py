@@ -1,5 +1,5 @@
-"""Registered queries: one Spark builder per SURVEY section 7.3 entry, and the DuckDB oracle SQL
-that computes the same rows from the same parquet tables.
+"""Registered queries: one Spark builder per SURVEY section 7.3 entry (the DuckDB oracle SQL for
+each lives in ``oracle.py``).
 
 Every builder reads whole tables under ``sf_dir`` (through the fixture views) and returns a flat
 DataFrame; column names match the oracle's.  Floating results are rounded in both engines.
@@ -114,12 +114,8 @@ def q_split_sizes(spark, sf):
 
 def q_icl_exemplars(spark, sf):
     train = fx.pairs(spark, sf).where(F.col("split") == "train")
-    out = None
-    for seed in ICL_SEEDS:
-        ex = SA.first_n(train, "example_id", ICL_N, seed).select(
-            F.lit(seed).alias("seed"), F.col("rank").cast("long").alias("rank"), "example_id")
-        out = ex if out is None else out.unionByName(ex)
-    return out
+    ex = SA.first_n_by_seed(train, "example_id", ICL_N, ICL_SEEDS)
+    return ex.select(F.col("seed").cast("int").alias("seed"), F.col("rank").cast("long").alias("rank"), "example_id")
 
 
 def _conala_test_messages(spark, sf):

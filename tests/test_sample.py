@@ -90,3 +90,16 @@ def test_complement_and_split_sizes(docs):
     assert rest.count() == docs.count() - 50
     sizes = {r.split: r.n_rows for r in SA.split_sizes(carved).collect()}
     assert sizes == {"validation": 50, "train": docs.count() - 50}
+
+
+def test_first_n_by_seed_matches_single_seed_and_plans_group_limit(spark):
+    train = fx.pairs(spark, SF01).where("split = 'train'")
+    multi = SA.first_n_by_seed(train, "example_id", 3, [42, 777, 97])
+    got = {}
+    for r in multi.collect():
+        got.setdefault(r.seed, {})[r["rank"]] = r.example_id
+    for seed in (42, 777, 97):
+        single = {r["rank"]: r.example_id for r in SA.first_n(train, "example_id", 3, seed).collect()}
+        assert got[seed] == single
+    plan = plan_text(multi)
+    assert "WindowGroupLimit" in plan and "Partial" in plan
