@@ -91,7 +91,7 @@ def ngram_match_stats(df: DataFrame, keys: list[str], hypothesis: str, reference
     (code points with whitespace removed, or words) — O(n) per gram; ``substring(s, pos, n)``
     would rescan the UTF-8 prefix and be quadratic in text length.
     Character grams are keyed by packed code points (fixed-width longs), word grams by their text.
-    ``weights`` (optional, a function of the word-gram column ``g``) weights unigram counts.
+    ``weights`` (optional, a function of the word-gram column ``g``) weights word unigram counts.
     """
     require_columns(df, hypothesis, reference, *keys)
     pair = F.xxhash64(F.col(hypothesis), F.col(reference))
@@ -124,7 +124,8 @@ def ngram_match_stats(df: DataFrame, keys: list[str], hypothesis: str, reference
                        *[k.alias(c) for k, c in zip(packed, k_cols)], word_gram.alias("g"))
     per_gram = grams.groupBy(*keys, "_pair", "_w", "kind", "n", *k_cols, "g").agg(
         F.sum("is_h").alias("hc"), F.sum(1 - F.col("is_h")).alias("rc"))
-    w = F.lit(1.0) if weights is None else F.when(F.col("n") == 1, weights).otherwise(F.lit(1.0))
+    w = F.lit(1.0) if weights is None else \
+        F.when((F.col("kind") == "w") & (F.col("n") == 1), weights).otherwise(F.lit(1.0))
     per_pair = per_gram.groupBy(*keys, "_pair", "_w", "kind", "n").agg(
         F.sum(F.col("hc") * w).alias("h"), F.sum(F.col("rc") * w).alias("r"),
         F.sum(F.least("hc", "rc") * w).alias("m"),
