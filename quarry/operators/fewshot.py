@@ -24,9 +24,9 @@ def ordered_turns(df: DataFrame, rank_col: str, turns_col: str) -> Column:
 
 
 def exemplar_turns(train: DataFrame, n: int, seed: int, id_col: str, instruction, reference,
-                   prefix: str) -> DataFrame:
+                   prefix) -> DataFrame:
     """One row, one column ``icl``: the n exemplars' templated turns, best-ranked first."""
-    if prefix in INSTRUCTION_PREFIX:
+    if isinstance(prefix, str) and prefix in INSTRUCTION_PREFIX:
         prefix = INSTRUCTION_PREFIX[prefix]
     ex = first_n(train, id_col, n, seed, rank_col="_rank")
     inst = F.col(instruction) if isinstance(instruction, str) else instruction
@@ -36,9 +36,11 @@ def exemplar_turns(train: DataFrame, n: int, seed: int, id_col: str, instruction
 
 
 def icl_prompt(test: DataFrame, train: DataFrame, n: int, seed: int, id_col: str, instruction,
-               reference, prefix: str, messages_col: str = "messages") -> DataFrame:
+               reference, prefix, messages_col: str = "messages") -> DataFrame:
     """Prepend the same n exemplar turns to every test row's messages.
 
+    ``prefix`` is a dataset name, a literal prefix or a Column.
+
     For APPS pass ``reference=json_first_element('solutions')`` (K7: always the first solution).
     """
     icl = exemplar_turns(train, n, seed, id_col, instruction, reference, prefix)
