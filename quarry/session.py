@@ -50,17 +50,18 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``quarry`` importable in Python workers (pandas UDFs pickle functions by module).
+    """Make ``quarry`` importable in local-mode Python workers (pandas UDFs pickle functions by
+    module), once per application.
 
-    Deployments normally install the package or pass it with ``--py-files``; when the workers
-    cannot see it, the package is zipped on the driver and handed to ``addPyFile`` (Spark then
-    serves it to every executor), once per application.
+    On a cluster the deployment ships the package (``spark-submit --py-files`` or an installed
+    wheel); nothing is done there.  In ``local[...]`` mode the package is zipped on the driver host
+    and handed to ``addPyFile``.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # a session without a local SparkContext (e.g. Spark Connect): nothing to ship
         return
-    if sc.applicationId in _SHIPPED:
+    if not sc.master.startswith("local") or sc.applicationId in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     zip_dir = tempfile.mkdtemp(prefix="quarry-pyfiles-")
