@@ -59,10 +59,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mbpp_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, test_list, code): a document's first line is the problem, every further line a
+    test (the whole text is used; one-line documents have no tests)."""
     d = table(spark, sf_dir, "documents")
     lines = F.split("text", "\n")
     return d.select("doc_id", F.get(lines, 0).alias("text"),
-                    F.slice(lines, F.lit(2), (F.col("doc_id") % 4).cast("int")).alias("test_list"),
+                    F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("test_list"),
                     F.col("source").alias("code"))
 
 
@@ -72,7 +74,7 @@ def apps_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "doc_id",
         F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train").alias("split"),
-        F.substring("text", 1, 200).alias("question"),
+        F.col("text").alias("question"),
         F.when(F.col("doc_id") % 3 == 0, "def f(x):").otherwise("").alias("starter_code"),
         F.when(m5 == 0, '{"fn_name":"f","inputs":[]}').when(m5 == 1, '{"inputs":[]}')
         .when(m5 == 2, "").when(m5 == 3, "{bad").otherwise('{"fn_name":""}').alias("input_output"),
@@ -147,10 +149,10 @@ select example_id, reference, rank,
 from pairs cross join (values (1),(2),(3),(4),(5),(6),(7),(8),(9),(10)) t(rank)""",
     "mbpp_raw": """
 select doc_id, string_split(text, chr(10))[1] as text,
-  list_slice(string_split(text, chr(10)), 2, 1 + doc_id % 4) as test_list, source as code from documents""",
+  list_slice(string_split(text, chr(10)), 2, len(string_split(text, chr(10)))) as test_list, source as code from documents""",
     "apps_raw": """
 select doc_id, case when doc_id % 10 = 0 then 'test' else 'train' end as split,
-  substring(text, 1, 200) as question,
+  text as question,
   case when doc_id % 3 = 0 then 'def f(x):' else '' end as starter_code,
   case doc_id % 5 when 0 then '{"fn_name":"f","inputs":[]}' when 1 then '{"inputs":[]}'
     when 2 then '' when 3 then '{bad' else '{"fn_name":""}' end as input_output,
