@@ -56,11 +56,11 @@ def run_summary(polls: DataFrame, run: str = "run_id", ts: str = "poll_ts", valu
     between first and last poll, number of polls.  All aggregates are partial (map-side)."""
     require_columns(polls, run, ts, value)
     ok_ts = F.when(F.col(value) >= 0, F.col(ts))
-    t = F.col(ts).cast("timestamp")
     return polls.groupBy(run).agg(
         F.coalesce(F.min_by(value, ok_ts), F.min_by(value, F.col(ts))).alias("initial_mb"),
         F.max(value).alias("peak_mb"),
-        ((F.unix_micros(F.max(t)) - F.unix_micros(F.min(t))) / 1e6).alias("elapsed_s"),
+        # difference taken on the column as stored: no session-time-zone (DST) conversion
+        (F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts)) / 1e6).alias("elapsed_s"),
         F.count(F.lit(1)).alias("n_polls"),
     )
 
