@@ -13,11 +13,29 @@ from pyspark.sql import functions as F
 from ._check import require_columns
 
 
+def _unique_references(references: DataFrame, key: str) -> DataFrame:
+    """One row per reference id.  Copies of an id collapse map-side (a hot id never reaches the join
+    as many rows); an id whose copies differ is an error, raised at run time."""
+    cols = [c for c in references.columns if c != key]
+    content = F.xxhash64(*[F.col(c) for c in cols]) if cols else F.lit(0)
+    agg = references.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_copies"), F.min(content).alias("_lo"), F.max(content).alias("_hi"),
+        *[F.first(c).alias(c) for c in cols])
+    guard = F.when(F.col("_lo") != F.col("_hi"), F.raise_error(F.concat(
+        F.lit(f"conflicting references for {key} "), F.col(key).cast("string"))))
+    return agg.where(guard.isNull()).drop("_lo", "_hi")
+
+
 def align_diagnostics(references: DataFrame, responses: DataFrame, key: str = "example_id") -> DataFrame:
-    """Full outer join with presence flags: every id on either side, once."""
+    """Full outer join with presence flags: every id on either side, once per response.
+
+    References are reduced to one row per id first (``_unique_references``), so the join is
+    one-to-many (a reference and its responses / generations) and never emits pairs inside a group
+    of copies.
+    """
     require_columns(references, key)
     require_columns(responses, key)
-    r = references.withColumn("_has_ref", F.lit(True))
+    r = _unique_references(references, key).drop("_copies").withColumn("_has_ref", F.lit(True))
     p = responses.withColumn("_has_resp", F.lit(True))
     j = r.join(p, key, "full_outer")
     return (j.withColumn("has_reference", F.coalesce("_has_ref", F.lit(False)))

@@ -18,8 +18,9 @@ checkpointed into the shared checkpoint folder: the expensive KB scan runs once,
 forces the scan to be replayed.
 
 Lookups of vectors and payloads for retrieved rows never shuffle the knowledge base: the retrieved
-side (bounded by queries x k, counted on the checkpointed candidates) is broadcast and the KB is
-streamed through a broadcast hash join; above the bound they fall back to a shuffle join.
+ids (bounded by queries x k, counted on the checkpointed candidates) are broadcast and the KB is
+streamed through a broadcast hash join; above the bound they fall back to a shuffle join.  A lookup
+returns one row per id, so copies of an id never multiply rows.
 """
 
 from __future__ import annotations
@@ -136,14 +137,18 @@ def knn_topk(queries: DataFrame, kb: DataFrame, k: int, query_id: str = "query_i
     return top.checkpoint(eager=True) if materialize else top
 
 
-def _lookup(big: DataFrame, small: DataFrame, key: str, small_rows: int,
-            max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``big`` whose key is in ``small`` (joined with it).  ``small`` — narrow rows of ids
-    and ranks, never vectors or texts — is broadcast when its known row bound allows, so ``big``
-    is streamed, never shuffled."""
-    if small_rows <= max_rows:
-        return big.join(F.broadcast(small), key)
-    return big.join(small, key)
+def _fetch(big: DataFrame, keys: DataFrame, key: str, key_rows: int,
+           max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """One row of ``big`` per key present in ``keys`` (a single column of ids).
+
+    ``keys`` — narrow ids with a known row bound — is broadcast when the bound allows, so ``big`` is
+    streamed through a broadcast hash join, never shuffled.  Copies of a key in ``big`` collapse in
+    a map-side-combined ``groupBy(key)``, so later joins on the key are one-to-one and never emit
+    pairs inside a key group.
+    """
+    ids = F.broadcast(keys) if key_rows <= max_rows else keys
+    matched = big.join(ids, key)
+    return matched.groupBy(key).agg(*[F.first(c).alias(c) for c in big.columns if c != key])
 
 
 def _broadcast_candidates(q: DataFrame, d: DataFrame, k: int) -> DataFrame:
@@ -220,8 +225,8 @@ def rerank(candidates: DataFrame, queries: DataFrame, kb: DataFrame, n_final: in
     n_c = candidates.count()
     doc_ids = candidates.select("doc_id").distinct()
     query_ids = candidates.select("query_id").distinct()
-    dv = _lookup(kb.select(F.col("doc_id"), F.col(vector).alias("_dv")), doc_ids, "doc_id", n_c)
-    qv = _lookup(queries.select(F.col("query_id"), F.col(vector).alias("_qv")), query_ids, "query_id", n_c)
+    dv = _fetch(kb.select(F.col("doc_id"), F.col(vector).alias("_dv")), doc_ids, "doc_id", n_c)
+    qv = _fetch(queries.select(F.col("query_id"), F.col(vector).alias("_qv")), query_ids, "query_id", n_c)
     c = candidates.join(dv, "doc_id").join(qv, "query_id")
     scored = c.withColumn("maxsim", maxsim(F.col("_qv"), F.col("_dv"), token_dim)).drop("_qv", "_dv")
     w = Window.partitionBy("query_id").orderBy(F.desc("maxsim"), F.asc(retrieval_rank))
@@ -236,14 +241,15 @@ def rag_messages(query_messages: DataFrame, retrieved: DataFrame, payload: DataF
     """Retrieved (query_id, doc_id, rank) -> templated (page_content, code) turns in rank order,
     followed by the query's own messages.
 
-    J5 is the equi-join to the payload on ``doc_id``: with a known bound on the retrieved rows
-    (``retrieved_rows``) the retrieved side is broadcast and the payload streamed; without one,
-    Catalyst/AQE choose.  The per-query aggregate holds at most n_final entries (bounded group).
+    J5 fetches one payload row per retrieved ``doc_id``: with a known bound on the retrieved rows
+    (``retrieved_rows``) the ids are broadcast and the payload streamed; without one, a shuffle
+    join.  The per-query aggregate holds at most n_final entries (bounded group).
     """
     require_columns(payload, "doc_id", page_content, code)
     r = retrieved.select("query_id", "doc_id", F.col(rank_col).alias("_rk"))
     pl = payload.select("doc_id", page_content, code)
-    ctx = _lookup(pl, r, "doc_id", retrieved_rows) if retrieved_rows is not None else r.join(pl, "doc_id")
+    bound = retrieved_rows if retrieved_rows is not None else MAX_BROADCAST_ROWS + 1
+    ctx = r.join(_fetch(pl, r.select("doc_id").distinct(), "doc_id", bound), "doc_id")
     ctx = ctx.select("query_id", "_rk", templated_turns(F.col(page_content), F.col(code), prefix).alias("_t"))
     per_q = ctx.groupBy("query_id").agg(ordered_turns(ctx, "_rk", "_t").alias("_ctx"))
     out = query_messages.join(per_q, "query_id", "left")

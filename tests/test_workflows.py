@@ -98,3 +98,14 @@ def test_align_raises_on_missing_by_default(spark):
     orphan = spark.createDataFrame([(3, "c")], "example_id long, response string")
     with pytest.raises(Exception, match="unaligned"):
         AL.align(refs, orphan, on_missing="wrong").collect()
+
+
+def test_align_collapses_reference_copies_and_rejects_conflicts(spark):
+    from quarry.operators import align as AL
+    refs = spark.createDataFrame([(1, "a")] * 50 + [(2, "b")], "example_id long, reference string")
+    resp = spark.createDataFrame([(1, "a"), (1, "a2"), (2, "b")], "example_id long, response string")
+    out = AL.align(refs, resp).collect()
+    assert len(out) == 3  # one reference row per id, one output row per response
+    bad = spark.createDataFrame([(1, "a"), (1, "z")], "example_id long, reference string")
+    with pytest.raises(Exception, match="conflicting references"):
+        AL.align(bad, resp.where("example_id = 1")).collect()
