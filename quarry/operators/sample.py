@@ -94,12 +94,13 @@ def carve(df: DataFrame, id_col: str, n: int, seed: int = 42, chosen: str = "val
     must be unique.
     """
     require_columns(df, id_col)
+    # the chosen-id side is made unique, so copies of an id never multiply rows in the join
     if n <= TOP_N_LIMIT:
         ids = (df.select(F.col(id_col).alias("_cid"), shuffle_key(id_col, seed).alias("_k"))
-               .orderBy("_k", "_cid").limit(n).select("_cid"))
+               .orderBy("_k", "_cid").limit(n).select("_cid").distinct())
         ids = F.broadcast(ids)  # at most TOP_N_LIMIT rows
     else:
-        ids = _chosen_ids_large(df, id_col, n, seed)
+        ids = _chosen_ids_large(df, id_col, n, seed).distinct()
     flagged = df.join(ids.withColumn("_chosen", F.lit(True)), F.col(id_col) == F.col("_cid"), "left")
     split = F.coalesce(_check_enough(df, n), F.when(F.col("_chosen"), F.lit(chosen)).otherwise(F.lit(rest)))
     return flagged.withColumn(split_col, split).drop("_cid", "_chosen")
