@@ -235,6 +235,18 @@ select example_id, (2 * (select n from icl) + 2)::bigint as n_messages,
   {cut(f"((select txt from icl) || {render_pair('nl', 'null')})")} as prompt
 from pairs where split = 'test'"""
 
+    s["icl_grid"] = duck_with("pairs") + f""",
+seeds as (select * from (values (42),(777),(5432),(55555),(97)) v(seed)),
+ns as (select * from (values (1),(2),(3)) v(n)),
+ex as (select * from (select s.seed, p.nl, p.reference, row_number() over (partition by s.seed
+          order by md5(concat(cast(s.seed as varchar), ':', cast(p.example_id as varchar))), p.example_id) as rk
+        from pairs p cross join seeds s where p.split = 'train') e where rk <= 3),
+cfg as (select ex.seed, ns.n, string_agg({render_pair('nl', 'reference')}, '' order by rk) as txt, count(*) as cnt
+        from ex join ns on ex.rk <= ns.n group by ex.seed, ns.n)
+select t.example_id, cfg.seed, cfg.n, (2 * cfg.cnt + 2)::bigint as n_messages,
+  {cut(f"(cfg.txt || {render_pair('t.nl', 'null')})")} as prompt
+from pairs t cross join cfg where t.split = 'test'"""
+
     s["render_cut"] = duck_with("pairs") + f""", {BLINDED}
 select example_id, {cut(render_pair('nl', 'reference'))} as prompt from blinded"""
 

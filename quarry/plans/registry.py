@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import FENCE_STOP, ICL_SEEDS, INSTRUCTION_PREFIX, SWEEP_GRID
+from ..functions.fixed import FENCE_STOP, ICL_SEEDS, ICL_SIZES, INSTRUCTION_PREFIX, SWEEP_GRID
 from ..functions.text import (completion_span, earliest_stop, fence_cut, render_cut, render_messages,
                               stop_truncate)
 from ..operators import align as AL
@@ -133,6 +133,15 @@ def q_icl_prompt(spark, sf):
                       render_cut("messages").alias("prompt"))
 
 
+def q_icl_grid(spark, sf):
+    """G1 x T7: every test prompt for every (n, seed) of the ICL grid, in one job."""
+    p = fx.pairs(spark, sf)
+    out = FS.icl_grid(_conala_test_messages(spark, sf), p.where(F.col("split") == "train"), ICL_SIZES, ICL_SEEDS,
+                      "example_id", "nl", "reference", "conala")
+    return out.select("example_id", F.col("seed").cast("int").alias("seed"), F.col("n").cast("int").alias("n"),
+                      F.size("messages").cast("long").alias("n_messages"), render_cut("messages").alias("prompt"))
+
+
 def q_render_cut(spark, sf):
     t = _templated_pairs(spark, sf)
     return t.select("example_id", render_cut("messages").alias("prompt"))
@@ -435,6 +444,7 @@ QUERIES = {
     "split_sizes": q_split_sizes,
     "icl_exemplars": q_icl_exemplars,
     "icl_prompt": q_icl_prompt,
+    "icl_grid": q_icl_grid,
     "render_cut": q_render_cut,
     "fence_cut": q_fence_cut,
     "stop_truncate": q_stop_truncate,

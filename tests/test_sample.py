@@ -103,3 +103,21 @@ def test_first_n_by_seed_matches_single_seed_and_plans_group_limit(spark):
         assert got[seed] == single
     plan = plan_text(multi)
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_icl_grid_equals_single_configs_without_cross_join(spark):
+    from quarry.functions.text import render_cut
+    from quarry.operators import prompt as P
+    p = fx.pairs(spark, SF01)
+    test = P.templated_messages(p.where("split = 'test'").withColumn("none", F.lit(None).cast("string")),
+                                "nl", "none", "conala")
+    train = p.where("split = 'train'")
+    grid = FS.icl_grid(test, train, [1, 2], [42, 97], "example_id", "nl", "reference", "conala")
+    plan = plan_text(grid)
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    got = {(r.seed, r.n, r.example_id): r.p for r in grid.select("seed", "n", "example_id", render_cut("messages").alias("p")).collect()}
+    for seed in (42, 97):
+        for n in (1, 2):
+            one = FS.icl_prompt(test, train, n, seed, "example_id", "nl", "reference", "conala")
+            for r in one.select("example_id", render_cut("messages").alias("p")).collect():
+                assert got[(seed, n, r.example_id)] == r.p
