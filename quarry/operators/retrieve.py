@@ -171,9 +171,11 @@ def _blocked_candidates(q: DataFrame, d: DataFrame, k: int, n_q: int, block_rows
     n_d = d.count()
     qb = max(1, math.ceil(n_q / block_rows))
     db = max(1, math.ceil(n_d / block_rows))
-    qx = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(qb)).alias("_qb"),
+    # blocks are assigned by row, not by id: rows sharing an id never concentrate in one cell
+    # (the row id is nondeterministic, so Spark re-runs the whole map stage on a fetch failure)
+    qx = q.select("*", F.pmod(F.monotonically_increasing_id(), F.lit(qb)).alias("_qb"),
                   F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("_db"))
-    dx = d.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(db)).alias("_db"),
+    dx = d.select("*", F.pmod(F.monotonically_increasing_id(), F.lit(db)).alias("_db"),
                   F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_qb"))
 
     def cell(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
