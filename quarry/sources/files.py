@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..operators._check import require_columns
 
-RUN_ADDRESS = ["model", "dataset", "strategy", "n", "seed"]
+# Where a run's outputs live — strategy is none / icl / rag / rag_rerank; n is the number of
+# exemplars or retrieved documents kept; seed the exemplar seed (NULL when unused)
+RUN_ADDRESS = ["model", "dataset", "temperature", "strategy", "n", "seed"]
 
 
 # S1 -------------------------------------------------------------------------------------------
@@ -83,7 +85,7 @@ def format_with_unit(value, unit: str):
 
 
 def write_run_outputs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Results addressed by (model, dataset, strategy, n, seed) partition directories."""
+    """Results addressed by (model, dataset, temperature, strategy, n, seed) partition directories."""
     require_columns(df, *RUN_ADDRESS)
     df.write.mode(mode).format(fmt).partitionBy(*RUN_ADDRESS).save(path)
 

@@ -74,13 +74,15 @@ def test_export_aligned_lines(spark):
 
 
 def test_run_outputs_layout_and_tall_metrics(spark):
-    df = spark.createDataFrame([("m", "conala", "icl", 3, 42, 0.5, 0.25)],
-                               "model string, dataset string, strategy string, n int, seed int, em double, chrf double")
+    df = spark.createDataFrame([("m", "conala", 0.2, "icl", 3, 42, 0.5, 0.25)],
+                               "model string, dataset string, temperature double, strategy string, n int, seed int, "
+                               "em double, chrf double")
     tall = IO.to_tall(df, IO.RUN_ADDRESS, ["em", "chrf"])
     assert sorted((r.metric, r.value) for r in tall.collect()) == [("chrf", 0.25), ("em", 0.5)]
     path = scratch_path(spark, "t-runs")
     IO.write_run_outputs(tall, path)
-    assert os.path.isdir(os.path.join(path, "model=m", "dataset=conala", "strategy=icl", "n=3", "seed=42"))
+    assert os.path.isdir(os.path.join(path, "model=m", "dataset=conala", "temperature=0.2", "strategy=icl", "n=3",
+                                      "seed=42"))
     assert df.select(IO.format_with_unit("em", "MB").alias("x")).first().x == "0.5 MB"
 
 
