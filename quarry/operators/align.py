@@ -17,7 +17,9 @@ def _unique_references(references: DataFrame, key: str) -> DataFrame:
     """One row per reference id.  Copies of an id collapse map-side (a hot id never reaches the join
     as many rows); an id whose copies differ is an error, raised at run time."""
     cols = [c for c in references.columns if c != key]
-    content = F.xxhash64(*[F.col(c) for c in cols]) if cols else F.lit(0)
+    # null flags next to the values: Spark's hash skips NULLs, so (NULL, 'x') and ('x', NULL)
+    # would otherwise hash alike
+    content = F.xxhash64(*[x for c in cols for x in (F.col(c), F.col(c).isNull())]) if cols else F.lit(0)
     agg = references.groupBy(key).agg(
         F.count(F.lit(1)).alias("_copies"), F.min(content).alias("_lo"), F.max(content).alias("_hi"),
         *[F.first(c).alias(c) for c in cols])

@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import INSTRUCTION_PREFIX
 from ..functions.text import concat_messages
-from .prompt import templated_turns
+from .prompt import resolve_prefix, templated_turns
 from .sample import first_n, first_n_by_seed
 
 
@@ -26,8 +25,7 @@ def ordered_turns(df: DataFrame, rank_col: str, turns_col: str) -> Column:
 def exemplar_turns(train: DataFrame, n: int, seed: int, id_col: str, instruction, reference,
                    prefix) -> DataFrame:
     """One row, one column ``icl``: the n exemplars' templated turns, best-ranked first."""
-    if isinstance(prefix, str) and prefix in INSTRUCTION_PREFIX:
-        prefix = INSTRUCTION_PREFIX[prefix]
+    prefix = resolve_prefix(prefix)
     ex = first_n(train, id_col, n, seed, rank_col="_rank")
     inst = F.col(instruction) if isinstance(instruction, str) else instruction
     ref = F.col(reference) if isinstance(reference, str) else reference
@@ -39,7 +37,7 @@ def icl_prompt(test: DataFrame, train: DataFrame, n: int, seed: int, id_col: str
                reference, prefix, messages_col: str = "messages") -> DataFrame:
     """Prepend the same n exemplar turns to every test row's messages.
 
-    ``prefix`` is a dataset name, a literal prefix or a Column.
+    ``prefix`` is a dataset name (strict) or a Column.
 
     For APPS pass ``reference=json_first_element('solutions')`` (K7: always the first solution).
     """
@@ -56,8 +54,7 @@ def icl_grid(test: DataFrame, train: DataFrame, ns: list[int], seeds: list[int],
     len(ns) x len(seeds) rows, broadcast.  Test rows are replicated per configuration by
     ``explode`` of a literal array and equi-joined on (seed, n): no cross join.
     """
-    if isinstance(prefix, str) and prefix in INSTRUCTION_PREFIX:
-        prefix = INSTRUCTION_PREFIX[prefix]
+    prefix = resolve_prefix(prefix)
     inst = F.col(instruction) if isinstance(instruction, str) else instruction
     ref = F.col(reference) if isinstance(reference, str) else reference
     ex = first_n_by_seed(train, id_col, max(ns), seeds, rank_col="_rank", seed_col="seed")

@@ -22,7 +22,9 @@ def generate_with(df: DataFrame, fn: Callable[[pd.Series], pd.Series], prompt_co
                   out: str = "response") -> DataFrame:
     """``out = fn(prompt)`` batch by batch."""
     require_columns(df, prompt_col)
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType(), True)])
+    if out != prompt_col:
+        df = df.drop(out)  # a rerun replaces an earlier response column
+    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.StringType(), True)])
 
     def run(batches):
         for pdf in batches:
@@ -46,7 +48,10 @@ def embed_with(df: DataFrame, fn: Callable[[pd.Series], object], text_col: str =
     """``out = fn(text)`` (a 2-D array or a sequence of vectors per batch), then L2-normalised
     JVM-side."""
     require_columns(df, text_col)
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()), True)])
+    if out != text_col:
+        df = df.drop(out)
+    schema = T.StructType([f for f in df.schema.fields if f.name != out]
+                          + [T.StructField(out, T.ArrayType(T.FloatType()), True)])
 
     def run(batches):
         for pdf in batches:

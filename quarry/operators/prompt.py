@@ -37,13 +37,22 @@ def templated_turns(instruction, response, prefix) -> Column:
     return F.array(message("user", user), message("assistant", answer))
 
 
+def resolve_prefix(prefix) -> Column:
+    """A dataset name (looked up strictly, F8: unknown names raise) or a Column (e.g. ``F.lit(text)``
+    or ``prefix_for(dataset_col)``)."""
+    if isinstance(prefix, Column):
+        return prefix
+    if prefix not in INSTRUCTION_PREFIX:
+        raise ValueError(f"no instruction prefix for dataset {prefix!r}; known: {sorted(INSTRUCTION_PREFIX)}"
+                         " (pass F.lit(text) for a custom prefix)")
+    return F.lit(INSTRUCTION_PREFIX[prefix])
+
+
 def templated_messages(df: DataFrame, instruction_col: str, response_col: str, prefix,
                        out: str = "messages") -> DataFrame:
-    """``prefix`` is a dataset name (looked up strictly, F8), a literal prefix, or a Column."""
+    """``prefix`` is a dataset name (strict, F8) or a Column."""
     require_columns(df, instruction_col, response_col)
-    if isinstance(prefix, str) and prefix in INSTRUCTION_PREFIX:
-        prefix = INSTRUCTION_PREFIX[prefix]
-    return df.withColumn(out, templated_turns(F.col(instruction_col), F.col(response_col), prefix))
+    return df.withColumn(out, templated_turns(F.col(instruction_col), F.col(response_col), resolve_prefix(prefix)))
 
 
 def prefix_for(dataset_col) -> Column:

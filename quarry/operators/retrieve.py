@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import concat_messages
 from .fewshot import ordered_turns
-from .prompt import templated_turns
+from .prompt import resolve_prefix, templated_turns
 from ._check import require_columns
 
 _CAND_SCHEMA = "query_id long, doc_id long, sim double"
@@ -104,9 +104,10 @@ def _matrix(series: pd.Series) -> np.ndarray:
 
 
 def _merge_topk(cand: DataFrame, k: int, rank_col: str = "rank") -> DataFrame:
-    """Global top-k per query; ties by doc_id."""
+    """Global top-k per query; ties by doc_id; at most one row per (query, doc)."""
+    one = cand.groupBy("query_id", "doc_id").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("doc_id"))
-    return cand.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+    return one.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
@@ -171,12 +172,16 @@ def _blocked_candidates(q: DataFrame, d: DataFrame, k: int, n_q: int, block_rows
     n_d = d.count()
     qb = max(1, math.ceil(n_q / block_rows))
     db = max(1, math.ceil(n_d / block_rows))
-    # blocks are assigned by row, not by id: rows sharing an id never concentrate in one cell
-    # (the row id is nondeterministic, so Spark re-runs the whole map stage on a fetch failure)
-    qx = q.select("*", F.pmod(F.monotonically_increasing_id(), F.lit(qb)).alias("_qb"),
-                  F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("_db"))
-    dx = d.select("*", F.pmod(F.monotonically_increasing_id(), F.lit(db)).alias("_db"),
-                  F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_qb"))
+    # blocks are assigned by row, not by id: rows sharing an id never concentrate in one cell (the
+    # row id is nondeterministic, so Spark re-runs the whole map stage on a fetch failure).  The
+    # block id is fixed in its own projection BEFORE the replication, so every copy of a row
+    # carries the same block.
+    # Both block columns are INT on both sides: cogroup keys of different types (BIGINT vs INT)
+    # hash to different partitions and the cells would never meet.
+    qx = q.withColumn("_qb", F.pmod(F.monotonically_increasing_id(), F.lit(qb)).cast("int")) \
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("_db"))  # array<int>
+    dx = d.withColumn("_db", F.pmod(F.monotonically_increasing_id(), F.lit(db)).cast("int")) \
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_qb"))  # array<int>
 
     def cell(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(dpdf) == 0:
@@ -238,7 +243,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, kb: DataFrame, n_final: in
 
 # J5 / T6 --------------------------------------------------------------------------------------
 def rag_messages(query_messages: DataFrame, retrieved: DataFrame, payload: DataFrame, rank_col: str,
-                 prefix: str, page_content: str = "page_content", code: str = "code",
+                 prefix, page_content: str = "page_content", code: str = "code",
                  messages_col: str = "messages", retrieved_rows: int | None = None) -> DataFrame:
     """Retrieved (query_id, doc_id, rank) -> templated (page_content, code) turns in rank order,
     followed by the query's own messages.
@@ -252,7 +257,8 @@ def rag_messages(query_messages: DataFrame, retrieved: DataFrame, payload: DataF
     pl = payload.select("doc_id", page_content, code)
     bound = retrieved_rows if retrieved_rows is not None else MAX_BROADCAST_ROWS + 1
     ctx = r.join(_fetch(pl, r.select("doc_id").distinct(), "doc_id", bound), "doc_id")
-    ctx = ctx.select("query_id", "_rk", templated_turns(F.col(page_content), F.col(code), prefix).alias("_t"))
+    ctx = ctx.select("query_id", "_rk", templated_turns(F.col(page_content), F.col(code),
+                                                        resolve_prefix(prefix)).alias("_t"))
     per_q = ctx.groupBy("query_id").agg(ordered_turns(ctx, "_rk", "_t").alias("_ctx"))
     out = query_messages.join(per_q, "query_id", "left")
     return out.withColumn(messages_col, concat_messages("_ctx", messages_col)).drop("_ctx")

@@ -24,11 +24,21 @@ def param_grid(spark: SparkSession, params: dict[str, list]) -> DataFrame:
     return df.drop("id")
 
 
+def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]):
+    """Join condition matching every column null-safely (a NULL grid value matches a NULL run value)."""
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(right[c])
+        cond = e if cond is None else cond & e
+    return cond
+
+
 def grid_missing(grid: DataFrame, runs: DataFrame) -> DataFrame:
-    """Grid cells with no finished run (anti join on every grid column)."""
+    """Grid cells with no finished run (null-safe anti join on every grid column)."""
     cols = grid.columns
     require_columns(runs, *cols)
-    return grid.join(runs.select(*cols).distinct(), cols, "left_anti")
+    done = runs.select(*cols).distinct()
+    return grid.join(done, _null_safe_on(grid, done, cols), "left_anti")
 
 
 def grid_coverage(grid: DataFrame, runs: DataFrame, metric: str) -> DataFrame:
@@ -36,7 +46,12 @@ def grid_coverage(grid: DataFrame, runs: DataFrame, metric: str) -> DataFrame:
     cols = grid.columns
     require_columns(runs, *cols, metric)
     per_cell = runs.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_runs"), F.min(metric).alias(f"best_{metric}"))
-    return (grid.join(per_cell, cols, "left")
+    per_cell = per_cell.select(*[F.col(c).alias(f"_r_{c}") for c in cols], "n_runs", f"best_{metric}")
+    cond = None
+    for c in cols:
+        e = grid[c].eqNullSafe(per_cell[f"_r_{c}"])
+        cond = e if cond is None else cond & e
+    return (grid.join(per_cell, cond, "left").drop(*[f"_r_{c}" for c in cols])
             .withColumn("n_runs", F.coalesce(F.col("n_runs"), F.lit(0).cast("long"))))
 
 
@@ -55,12 +70,15 @@ def run_summary(polls: DataFrame, run: str = "run_id", ts: str = "poll_ts", valu
     """Per run: initial reading (first successful poll, else the first poll), peak, elapsed seconds
     between first and last poll, number of polls.  All aggregates are partial (map-side)."""
     require_columns(polls, run, ts, value)
-    ok_ts = F.when(F.col(value) >= 0, F.col(ts))
+    t = F.col(ts)
+    if polls.schema[ts].dataType.typeName() not in ("timestamp", "timestamp_ntz"):
+        t = t.cast("timestamp")  # e.g. epoch seconds
+    ok_ts = F.when(F.col(value) >= 0, t)
     return polls.groupBy(run).agg(
-        F.coalesce(F.min_by(value, ok_ts), F.min_by(value, F.col(ts))).alias("initial_mb"),
+        F.coalesce(F.min_by(value, ok_ts), F.min_by(value, t)).alias("initial_mb"),
         F.max(value).alias("peak_mb"),
-        # difference taken on the column as stored: no session-time-zone (DST) conversion
-        (F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts)) / 1e6).alias("elapsed_s"),
+        # difference taken on the timestamps as stored: no session-time-zone (DST) conversion
+        (F.timestamp_diff("MICROSECOND", F.min(t), F.max(t)) / 1e6).alias("elapsed_s"),
         F.count(F.lit(1)).alias("n_polls"),
     )
 
@@ -103,12 +121,14 @@ def running_stats(df: DataFrame, run: str, order: list[str], value: str | None =
 
 # A14 / A15 ------------------------------------------------------------------------------------
 def best_run(runs: DataFrame, params: list[str], metric: str, sweep: list[str] | None = None) -> DataFrame:
-    """Per sweep: the parameters of the run minimising ``metric`` (ties: smallest parameters)."""
+    """Per sweep: the parameters of the finished run minimising ``metric`` (ties: smallest parameters)."""
     sweep = list(sweep or [])
     require_columns(runs, *params, metric, *sweep)
     key = F.struct(F.col(metric), *[F.col(p) for p in params])
     best = F.min_by(F.struct(*[F.col(p) for p in params], F.col(metric)), key)
-    return runs.groupBy(*sweep).agg(best.alias("_b")).select(*sweep, "_b.*")
+    # runs without a metric (failed / unfinished) cannot be the best run
+    finished = runs.where(F.col(metric).isNotNull())
+    return finished.groupBy(*sweep).agg(best.alias("_b")).select(*sweep, "_b.*")
 
 
 def seed_summary(runs: DataFrame, group_by: list[str], metric: str, seed: str = "seed") -> DataFrame:

@@ -290,7 +290,7 @@ def q_rag_prompt(spark, sf):
         docs.select(F.col("doc_id").alias("payload_id"), "text"), "payload_id")
     qm = qm.select("query_id", PR.templated_turns(F.col("text"), F.lit(None).cast("string"),
                                                   INSTRUCTION_PREFIX["conala"]).alias("messages"))
-    out = RT.rag_messages(qm, r, payload, "final_rank", INSTRUCTION_PREFIX["conala"], retrieved_rows=n_cand)
+    out = RT.rag_messages(qm, r, payload, "final_rank", "conala", retrieved_rows=n_cand)
     return out.select("query_id", F.size("messages").cast("long").alias("n_messages"),
                       render_cut("messages").alias("prompt"))
 

@@ -91,8 +91,7 @@ def build_prompts(test: DataFrame, strategy: str, *, train: DataFrame | None = N
         chosen = cand.where(F.col("rank") <= n_final)
         rank_col = "rank"
     qm = test.withColumnRenamed(id_col, "query_id")
-    out = RT.rag_messages(qm, chosen, payload, rank_col, INSTRUCTION_PREFIX[dataset],
-                          retrieved_rows=cand.count())
+    out = RT.rag_messages(qm, chosen, payload, rank_col, dataset, retrieved_rows=cand.count())
     return out.withColumnRenamed("query_id", id_col)
 
 

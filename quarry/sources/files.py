@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..operators._check import require_columns
 
-# Where a run's outputs live — strategy is none / icl / rag / rag_rerank; n is the number of
-# exemplars or retrieved documents kept; seed the exemplar seed (NULL when unused)
+# Where a run's outputs live.  strategy labels the prompt strategy as the run was made (none /
+# icl / rag, and rag_rerank when retrieved documents were re-ranked); n is the number of exemplars or
+# kept documents; seed the exemplar seed (NULL when unused); temperature is written as decimal(4,2)
+# so one sampling temperature always maps to one directory.
 RUN_ADDRESS = ["model", "dataset", "temperature", "strategy", "n", "seed"]
 
 
@@ -84,10 +86,16 @@ def format_with_unit(value, unit: str):
     return F.concat(v.cast("string"), F.lit(f" {unit}"))
 
 
-def write_run_outputs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Results addressed by (model, dataset, temperature, strategy, n, seed) partition directories."""
+def write_run_outputs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Results addressed by (model, dataset, temperature, strategy, n, seed) partition directories.
+
+    Idempotent per run: a dynamic partition overwrite replaces exactly the run addresses present in
+    ``df`` (a rerun after a failure rewrites its own directory) and leaves every other run alone.
+    """
     require_columns(df, *RUN_ADDRESS)
-    df.write.mode(mode).format(fmt).partitionBy(*RUN_ADDRESS).save(path)
+    out = df.withColumn("temperature", F.col("temperature").cast("decimal(4,2)"))
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+     .partitionBy(*RUN_ADDRESS).save(path))
 
 
 # S8 -------------------------------------------------------------------------------------------

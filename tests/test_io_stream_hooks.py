@@ -81,8 +81,12 @@ def test_run_outputs_layout_and_tall_metrics(spark):
     assert sorted((r.metric, r.value) for r in tall.collect()) == [("chrf", 0.25), ("em", 0.5)]
     path = scratch_path(spark, "t-runs")
     IO.write_run_outputs(tall, path)
-    assert os.path.isdir(os.path.join(path, "model=m", "dataset=conala", "temperature=0.2", "strategy=icl", "n=3",
+    IO.write_run_outputs(tall, path)  # a rerun rewrites its own run, no duplicates
+    assert os.path.isdir(os.path.join(path, "model=m", "dataset=conala", "temperature=0.20", "strategy=icl", "n=3",
                                       "seed=42"))
+    other = tall.withColumn("model", F.lit("m2"))
+    IO.write_run_outputs(other, path)  # another run leaves the first one alone
+    assert spark.read.parquet(path).count() == 4
     assert df.select(IO.format_with_unit("em", "MB").alias("x")).first().x == "0.5 MB"
 
 
@@ -117,7 +121,11 @@ def test_generate_hook(spark):
     def _upper(s: pd.Series) -> pd.Series:
         return s.str.upper()
     df = spark.createDataFrame([(1, "ab"), (2, "c")], "i int, prompt string")
-    assert {r.i: r.response for r in HK.generate_with(df, _upper).collect()} == {1: "AB", 2: "C"}
+    first = HK.generate_with(df, _upper)
+    assert {r.i: r.response for r in first.collect()} == {1: "AB", 2: "C"}
+    again = HK.generate_with(first, lambda s: s.str.lower())  # replaces the earlier response
+    assert again.columns == ["i", "prompt", "response"]
+    assert {r.i: r.response for r in again.collect()} == {1: "ab", 2: "c"}
 
 
 def test_embed_hook_unit_norm(spark):

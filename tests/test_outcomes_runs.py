@@ -99,3 +99,21 @@ def test_grid_and_best_run(spark):
     for seed, vals in by_seed.items():
         loss, lr, la = min(vals)
         assert best[seed] == (lr, la, loss)
+
+
+def test_best_run_ignores_unfinished_and_grid_is_null_safe(spark):
+    runs = spark.createDataFrame([(8, 16, 42, None), (16, 32, 42, 0.5), (32, 64, 42, 0.7)],
+                                 "lora_r int, lora_alpha int, seed int, eval_loss double")
+    best = RN.best_run(runs, ["lora_r", "lora_alpha"], "eval_loss", sweep=["seed"]).first()
+    assert (best.lora_r, best.lora_alpha, best.eval_loss) == (16, 32, 0.5)
+    grid = spark.createDataFrame([("none", None), ("icl", 42)], "strategy string, seed int")
+    done = spark.createDataFrame([("none", None, 0.1)], "strategy string, seed int, m double")
+    assert [(r.strategy, r.seed) for r in RN.grid_missing(grid, done).collect()] == [("icl", 42)]
+    cov = {(r.strategy, r.seed): r.n_runs for r in RN.grid_coverage(grid, done, "m").collect()}
+    assert cov == {("none", None): 1, ("icl", 42): 0}
+
+
+def test_run_summary_accepts_epoch_seconds(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 3600, 2.0)], "run_id int, poll_ts long, used_mb double")
+    r = RN.run_summary(df).first()
+    assert r.elapsed_s == 3600.0 and r.peak_mb == 2.0

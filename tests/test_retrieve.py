@@ -40,8 +40,17 @@ def test_knn_broadcast_equals_brute_force(q_kb):
 def test_knn_blocked_path_equals_broadcast(q_kb):
     q, kb = q_kb
     a = _as_lists(RT.knn_topk(q, kb, 7))
-    b = _as_lists(RT.knn_topk(q, kb, 7, max_broadcast_bytes=0, block_rows=64))
-    assert a == b
+    # several query blocks and several KB blocks
+    for rows in (64, 4):
+        b = _as_lists(RT.knn_topk(q, kb, 7, max_broadcast_bytes=0, block_rows=rows))
+        assert a == b
+
+
+def test_knn_kb_copies_do_not_repeat_a_document(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    kb = spark.createDataFrame([(7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [0.9, 0.1]), (9, [0.0, 1.0])],
+                               "doc_id long, embedding array<float>").repartition(2)
+    assert _as_lists(RT.knn_topk(q, kb, 2)) == {1: [7, 8]}
 
 
 def test_knn_ties_broken_by_doc_id(spark):
@@ -54,8 +63,14 @@ def test_knn_plan_does_not_shuffle_kb_rows(q_kb):
     q, kb = q_kb
     plan = plan_text(RT.knn_topk(q, kb, 5, materialize=False))
     assert "MapInPandas" in plan and "CartesianProduct" not in plan
-    # the only exchange is the per-query merge of candidates
-    assert plan.count("Exchange hashpartitioning") == 1
+    lines = plan.splitlines()
+    scan = max(i for i, ln in enumerate(lines) if "FileScan parquet" in ln)
+    mip = max(i for i, ln in enumerate(lines) if "MapInPandas" in ln)
+    # KB rows go straight from the scan into the scoring (no exchange in between); the exchanges
+    # above only move candidate rows (<= partitions x queries x k): the (query, doc) dedupe and the
+    # per-query merge, each with partial aggregation / WindowGroupLimit before it
+    assert not any("Exchange" in ln for ln in lines[mip:scan])
+    assert plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan
 
 
 def test_rerank_lookups_stream_the_kb(q_kb):
@@ -89,7 +104,7 @@ def test_rag_messages_order(spark):
     retrieved = spark.createDataFrame([(1, 10, 2), (1, 11, 1)], "query_id long, doc_id long, rank int")
     payload = spark.createDataFrame([(10, "second", "c2"), (11, "first", "c1")],
                                     "doc_id long, page_content string, code string")
-    out = RT.rag_messages(qm, retrieved, payload, "rank", "P").first().messages
+    out = RT.rag_messages(qm, retrieved, payload, "rank", F.lit("P")).first().messages
     assert [m.role for m in out] == ["user", "assistant", "user", "assistant", "user"]
     assert "first" in out[0].content and "second" in out[2].content and out[4].content == "q"
 

@@ -109,3 +109,19 @@ def test_align_collapses_reference_copies_and_rejects_conflicts(spark):
     bad = spark.createDataFrame([(1, "a"), (1, "z")], "example_id long, reference string")
     with pytest.raises(Exception, match="conflicting references"):
         AL.align(bad, resp.where("example_id = 1")).collect()
+
+
+def test_conflicting_copies_detected_with_nulls(spark):
+    from quarry.operators import align as AL
+    refs = spark.createDataFrame([(1, None, "x"), (1, "x", None)], "example_id long, reference string, split string")
+    resp = spark.createDataFrame([(1, "x")], "example_id long, response string")
+    with pytest.raises(Exception, match="conflicting references"):
+        AL.align(refs, resp).collect()
+
+
+def test_unknown_dataset_prefix_raises(spark):
+    df = spark.createDataFrame([(1, "q", "a")], "i int, instr string, resp string")
+    with pytest.raises(ValueError, match="no instruction prefix"):
+        PR.templated_messages(df, "instr", "resp", "magicoder")
+    custom = PR.templated_messages(df, "instr", "resp", F.lit("Solve:")).first().messages
+    assert custom[0].content.startswith("Solve:\n```")
