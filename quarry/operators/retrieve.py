@@ -41,12 +41,27 @@ _CAND_SCHEMA = "query_id long, doc_id long, sim double"
 _QUERY_CHUNK = 1024
 
 
+def _first_k_unique(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by (sim desc, id asc): drop exact copies (same id and sim, hence adjacent) and keep
+    the first k; returns (sims, ids, unique count) padded with -inf / max int."""
+    dup = np.zeros(i.shape, dtype=bool)
+    dup[:, 1:] = (i[:, 1:] == i[:, :-1]) & (s[:, 1:] == s[:, :-1])
+    order = np.argsort(dup, axis=1, kind="stable")[:, :k]
+    out_s, out_i = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
+    n_unique = (~dup).sum(axis=1)
+    pad = np.arange(out_s.shape[1])[None, :] >= n_unique[:, None]
+    out_s[pad], out_i[pad] = -np.inf, np.iinfo("int64").max
+    return out_s, out_i, n_unique
+
+
 def _topk_rows(cat_s: np.ndarray, cat_i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row, the k best (sim desc, id asc) of (cat_s, cat_i).
+    """Per row, the k best distinct (sim desc, id asc) entries of (cat_s, cat_i).
 
     ``argpartition`` preselects the k + slack largest values in O(width); the preselection is exact
-    unless a value tied with the k-th one lies outside it (an id tie-break could then prefer it), and
-    only such rows are fully sorted.
+    unless an entry outside it could still enter the top k — a value tied with the k-th one (an id
+    tie-break could prefer it) or copies of one id crowding the preselection — and only such rows
+    are fully sorted.  Copies of an id (same id, same score: the same document stored twice) count
+    once.
     """
     width = cat_s.shape[1]
     m = min(width, k + 16)
@@ -55,16 +70,18 @@ def _topk_rows(cat_s: np.ndarray, cat_i: np.ndarray, k: int) -> tuple[np.ndarray
         sub_s, sub_i = np.take_along_axis(cat_s, pre, axis=1), np.take_along_axis(cat_i, pre, axis=1)
     else:
         sub_s, sub_i = cat_s, cat_i
-    order = np.lexsort((sub_i, -sub_s), axis=1)[:, :k]
-    top_s, top_i = np.take_along_axis(sub_s, order, axis=1), np.take_along_axis(sub_i, order, axis=1)
+    order = np.lexsort((sub_i, -sub_s), axis=1)
+    top_s, top_i, n_unique = _first_k_unique(np.take_along_axis(sub_s, order, axis=1),
+                                             np.take_along_axis(sub_i, order, axis=1), k)
     if m < width:
         kth = top_s[:, -1:]
-        unsafe = (cat_s >= kth).sum(axis=1) > (sub_s >= kth).sum(axis=1)
+        unsafe = (n_unique < k) | ((cat_s >= kth).sum(axis=1) > (sub_s >= kth).sum(axis=1))
         if unsafe.any():
             rows = np.nonzero(unsafe)[0]
-            full = np.lexsort((cat_i[rows], -cat_s[rows]), axis=1)[:, :k]
-            top_s[rows] = np.take_along_axis(cat_s[rows], full, axis=1)
-            top_i[rows] = np.take_along_axis(cat_i[rows], full, axis=1)
+            full = np.lexsort((cat_i[rows], -cat_s[rows]), axis=1)
+            fs, fi, _ = _first_k_unique(np.take_along_axis(cat_s[rows], full, axis=1),
+                                        np.take_along_axis(cat_i[rows], full, axis=1), k)
+            top_s[rows], top_i[rows] = fs, fi
     return top_s, top_i
 
 

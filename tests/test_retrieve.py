@@ -48,9 +48,25 @@ def test_knn_blocked_path_equals_broadcast(q_kb):
 
 def test_knn_kb_copies_do_not_repeat_a_document(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
-    kb = spark.createDataFrame([(7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [0.9, 0.1]), (9, [0.0, 1.0])],
-                               "doc_id long, embedding array<float>").repartition(2)
-    assert _as_lists(RT.knn_topk(q, kb, 2)) == {1: [7, 8]}
+    rows = [(7, [1.0, 0.0])] * 5 + [(8, [0.9, 0.1]), (9, [0.0, 1.0])]
+    for parts in (1, 2, 3):
+        kb = spark.createDataFrame(rows, "doc_id long, embedding array<float>").repartition(parts)
+        assert _as_lists(RT.knn_topk(q, kb, 2)) == {1: [7, 8]}
+
+
+def test_topk_rows_exact_with_copies():
+    rng = np.random.default_rng(1)
+    for trial in range(50):
+        width, k = int(rng.integers(1, 150)), int(rng.integers(1, 25))
+        ids = rng.integers(0, 40, size=width)           # many copies of each id
+        score = {d: float(rng.integers(0, 6)) for d in range(40)}  # a copy has its document's score
+        cat_s = np.array([[score[d] for d in ids]] * 3)
+        cat_i = np.array([ids] * 3).astype("int64")
+        got_s, got_i = RT._topk_rows(cat_s, cat_i, k)
+        exp = sorted({(-score[d], d) for d in ids})[:k]
+        for r in range(3):
+            got = [(-a, b) for a, b in zip(got_s[r], got_i[r]) if np.isfinite(a)]
+            assert got == exp
 
 
 def test_knn_ties_broken_by_doc_id(spark):
