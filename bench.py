@@ -1,7 +1,8 @@
 """Benchmark: run every registered query at $BENCH_SF_DIR on local[$BENCH_CPUS] and print ONE JSON line.
 
 Each query is executed end to end with the ``noop`` sink (the whole plan runs, nothing is collected
-to the driver).  ``value`` is the sum of per-query seconds after one warm-up query.
+to the driver).  ``value`` is the sum of per-query seconds after one warm-up query; a query that
+fails still contributes its time and is listed under ``failed``.
 """
 
 from __future__ import annotations
@@ -35,12 +36,13 @@ def main() -> None:
         t0 = time.perf_counter()
         try:
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times[name] = round(time.perf_counter() - t0, 3)
-        except Exception as e:  # report, keep going
+        except Exception as e:  # report, keep going; its time still counts
             errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
+        times[name] = round(time.perf_counter() - t0, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": sf, "cpus": int(cpus)}
+    out["failed"] = sorted(errors)
     if errors:
         out["errors"] = errors
     print(json.dumps(out))

@@ -9,3 +9,15 @@ def require_columns(df: DataFrame, *cols: str) -> None:
     missing = [c for c in cols if c not in have]
     if missing:
         raise ValueError(f"missing input columns {missing}; have {sorted(have)}")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (``<=>``), keeping one copy of each key column."""
+    if not keys:
+        raise ValueError("join_null_safe needs at least one key")
+    r = right.select(*[right[c].alias(f"_r_{c}") if c in keys else right[c] for c in right.columns])
+    cond = None
+    for c in keys:
+        e = left[c].eqNullSafe(r[f"_r_{c}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in keys])

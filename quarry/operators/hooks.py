@@ -39,7 +39,9 @@ def l2_normalise(vec) -> Column:
     """Scale a vector to unit length (a zero vector stays zero)."""
     v = F.col(vec) if isinstance(vec, str) else vec
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: (x.cast("double") / norm).cast("float"))).otherwise(
+    # the norm is evaluated once (as array_repeat's argument) and zipped in: O(d), not O(d^2)
+    norms = F.array_repeat(norm, F.size(v))
+    return F.when(norm > 0, F.zip_with(v, norms, lambda x, n: (x.cast("double") / n).cast("float"))).otherwise(
         F.transform(v, lambda x: x.cast("float")))
 
 

@@ -46,17 +46,6 @@ def code_points(text) -> Column:
     return F.regexp_extract_all(_c(text), F.lit("(?s)."), 0)
 
 
-def char_ngrams(text: Column, n: int) -> Column:
-    """All character n-grams of ``text`` (whitespace already removed), in order."""
-    return F.transform(_guarded_positions(F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
-
-
-def token_ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams over a token array, tokens joined by U+0001."""
-    return F.transform(_guarded_positions(F.size(tokens) - n + 1),
-                       lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), "\u0001"))
-
-
 def chrf_word_tokens(text) -> Column:
     """chrF++ words: whitespace split; a token longer than one char loses a trailing ASCII
     punctuation mark into its own token, else a leading one."""
@@ -94,7 +83,8 @@ def ngram_match_stats(df: DataFrame, keys: list[str], hypothesis: str, reference
     ``weights`` (optional, a function of the word-gram column ``g``) weights word unigram counts.
     """
     require_columns(df, hypothesis, reference, *keys)
-    pair = F.xxhash64(F.col(hypothesis), F.col(reference))
+    # null flags next to the texts: Spark's hash skips NULLs, so (NULL, x) and (x, NULL) would collide
+    pair = F.xxhash64(F.col(hypothesis), F.col(hypothesis).isNull(), F.col(reference), F.col(reference).isNull())
     distinct = df.groupBy(*keys, pair.alias("_pair")).agg(
         F.first(hypothesis).alias("_h"), F.first(reference).alias("_r"), F.count(F.lit(1)).alias("_w"))
     side = distinct.select(*keys, "_pair", "_w", F.inline(F.array(

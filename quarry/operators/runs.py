@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._check import require_columns
+from ..functions.time import epoch_micros
+from ._check import join_null_safe, require_columns
 
 
 # G1 / G2 --------------------------------------------------------------------------------------
@@ -33,19 +34,22 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]):
     return cond
 
 
-def grid_missing(grid: DataFrame, runs: DataFrame) -> DataFrame:
-    """Grid cells with no finished run (null-safe anti join on every grid column)."""
+def grid_missing(grid: DataFrame, runs: DataFrame, metric: str | None = None) -> DataFrame:
+    """Grid cells with no finished run (null-safe anti join on every grid column); with ``metric``,
+    a run whose metric is NULL (failed / unfinished) does not count as finished."""
     cols = grid.columns
-    require_columns(runs, *cols)
-    done = runs.select(*cols).distinct()
+    require_columns(runs, *cols, *([metric] if metric else []))
+    finished = runs.where(F.col(metric).isNotNull()) if metric else runs
+    done = finished.select(*cols).distinct()
     return grid.join(done, _null_safe_on(grid, done, cols), "left_anti")
 
 
 def grid_coverage(grid: DataFrame, runs: DataFrame, metric: str) -> DataFrame:
-    """Every grid cell with its number of runs and best (lowest) metric; 0 / NULL when never run."""
+    """Every grid cell with its number of finished runs (metric not NULL) and best (lowest) metric;
+    0 / NULL when none finished."""
     cols = grid.columns
     require_columns(runs, *cols, metric)
-    per_cell = runs.groupBy(*cols).agg(F.count(F.lit(1)).alias("n_runs"), F.min(metric).alias(f"best_{metric}"))
+    per_cell = runs.groupBy(*cols).agg(F.count(metric).alias("n_runs"), F.min(metric).alias(f"best_{metric}"))
     per_cell = per_cell.select(*[F.col(c).alias(f"_r_{c}") for c in cols], "n_runs", f"best_{metric}")
     cond = None
     for c in cols:
@@ -70,22 +74,21 @@ def run_summary(polls: DataFrame, run: str = "run_id", ts: str = "poll_ts", valu
     """Per run: initial reading (first successful poll, else the first poll), peak, elapsed seconds
     between first and last poll, number of polls.  All aggregates are partial (map-side)."""
     require_columns(polls, run, ts, value)
-    t = F.col(ts)
-    if polls.schema[ts].dataType.typeName() not in ("timestamp", "timestamp_ntz"):
-        t = t.cast("timestamp")  # e.g. epoch seconds
+    t = epoch_micros(polls, ts)  # as stored: no session-time-zone (DST) conversion
     ok_ts = F.when(F.col(value) >= 0, t)
     return polls.groupBy(run).agg(
         F.coalesce(F.min_by(value, ok_ts), F.min_by(value, t)).alias("initial_mb"),
         F.max(value).alias("peak_mb"),
-        # difference taken on the timestamps as stored: no session-time-zone (DST) conversion
-        (F.timestamp_diff("MICROSECOND", F.min(t), F.max(t)) / 1e6).alias("elapsed_s"),
+        ((F.max(t) - F.min(t)) / 1e6).alias("elapsed_s"),
         F.count(F.lit(1)).alias("n_polls"),
     )
 
 
 # W4 / W5 --------------------------------------------------------------------------------------
 def _chunked(df: DataFrame, ts: str, chunk_seconds: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / chunk_seconds))
+    """Chunk id = epoch seconds of the column as stored (no session-time-zone conversion, so chunk
+    order always agrees with the column's order) divided by ``chunk_seconds``."""
+    return df.withColumn("_chunk", F.floor(epoch_micros(df, ts) / (chunk_seconds * 1_000_000)))
 
 
 def running_stats(df: DataFrame, run: str, order: list[str], value: str | None = None,
@@ -110,7 +113,7 @@ def running_stats(df: DataFrame, run: str, order: list[str], value: str | None =
         *([F.max("_cmax").over(before).alias("_prev_max")] if value else []))
     inside = Window.partitionBy(run, "_chunk").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    j = c.join(carry, [run, "_chunk"])
+    j = join_null_safe(c, carry, [run, "_chunk"])  # NULL run ids / timestamps keep their rows
     out = j.withColumn("processed", F.col("_prev_cnt") + F.row_number().over(inside))
     if value:
         out = out.withColumn("running_peak", F.greatest(F.max(value).over(upto),
@@ -135,7 +138,7 @@ def seed_summary(runs: DataFrame, group_by: list[str], metric: str, seed: str =
     """Mean / sample stddev / min / max of ``metric`` over seeds, per configuration."""
     require_columns(runs, *group_by, metric, seed)
     return runs.groupBy(*group_by).agg(
-        F.countDistinct(seed).alias("n_seeds"),
+        F.countDistinct(F.when(F.col(metric).isNotNull(), F.col(seed))).alias("n_seeds"),  # finished seeds
         F.avg(metric).alias(f"mean_{metric}"),
         F.stddev_samp(metric).alias(f"std_{metric}"),
         F.min(metric).alias(f"min_{metric}"),

@@ -350,10 +350,10 @@ select q.query_id, (2 * coalesce(ctx.n, 0) + 2)::bigint as n_messages,
   {cut(f"(coalesce(ctx.txt, '') || {render_pair('dq.text', 'null')})")} as prompt
 from rq q join documents dq on dq.doc_id = q.query_id % 200 left join ctx on ctx.query_id = q.query_id"""
 
-    s["apps_accuracy"] = duck_with("outcomes") + ", o0 as (select * from outcomes where gen_id = 0), " + difficulty("o0") + """,
+    s["apps_accuracy"] = duck_with("outcomes") + ", " + difficulty("outcomes") + """,
 g as (select difficulty, problem_id, gen_id, avg(case when status > 0 then 1.0::double else 0.0::double end) as pass_share,
         bool_and(status > 0) as all_pass, bool_or(status = -2) as ce, bool_or(status = -1) as re
-      from dd group by difficulty, problem_id, gen_id)
+      from dd where gen_id = 0 group by difficulty, problem_id, gen_id)
 select difficulty, round(avg(pass_share), 6) as avg_accuracy, round(avg(all_pass::int::double), 6) as strict_accuracy,
   round(sum(ce::int)::double / count(*), 6) as compile_error_rate, round(sum(re::int)::double / count(*), 6) as runtime_error_rate,
   sum(ce::int)::bigint as compile_errors, sum(re::int)::bigint as runtime_errors, count(*) as n_problems

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import FENCE_STOP, ICL_SEEDS, ICL_SIZES, INSTRUCTION_PREFIX, SWEEP_GRID
 from ..functions.text import (completion_span, earliest_stop, fence_cut, render_cut, render_messages,
                               stop_truncate)
+from ..operators._check import join_null_safe
 from ..operators import align as AL
 from ..operators import fewshot as FS
 from ..operators import hooks as HK
@@ -228,7 +229,7 @@ def q_flagship_eval(spark, sf):
     # a missing response scores as an empty hypothesis
     scored = a.withColumn("response", F.coalesce("response", F.lit("")))
     ch = M.chrf(scored, "response", "reference", group_by=["split"])
-    return (em.join(ch, "split", "left")
+    return (join_null_safe(em, ch, ["split"], "left")
             .select("split", "n_examples", "n_responses", F.round("exact_match", 6).alias("exact_match"),
                     F.round(F.coalesce("chrf", F.lit(0.0)), 6).alias("chrf")))
 
@@ -301,7 +302,8 @@ def _difficulty(o: DataFrame) -> DataFrame:
 
 
 def q_apps_accuracy(spark, sf):
-    o = _difficulty(fx.outcomes(spark, sf).where(F.col("gen_id") == 0))
+    # difficulty is a property of the problem: N comes from the whole outcome table, as in pass_at_k
+    o = _difficulty(fx.outcomes(spark, sf)).where(F.col("gen_id") == 0)
     a = OC.accuracy(o, ["difficulty"])
     return a.select("difficulty", *[F.round(c, 6).alias(c) for c in
                                     ("avg_accuracy", "strict_accuracy", "compile_error_rate", "runtime_error_rate")],
@@ -343,14 +345,15 @@ def q_run_progress(spark, sf):
 
 
 def q_telemetry_stream(spark, sf):
-    """Polls derived from events are staged as parquet files in the shared folder, consumed by a
-    file stream (one file per trigger), summarised with bounded per-run state; the published table
-    is read back."""
+    """Polls derived from events are staged as parquet files in the shared folder (spread over
+    the files by time, so every run's state is merged across micro-batches), consumed by a file
+    stream two files per trigger and summarised with bounded per-run state; the published table is
+    read back."""
     polls = _polls(spark, sf).select(F.col("run_id").cast("long").alias("run_id"),
                                      F.col("poll_ts").cast("timestamp").alias("poll_ts"), "used_mb")
     staged = scratch_path(spark, "telemetry-polls")
-    polls.repartition(4, "run_id").write.parquet(staged)
-    query, out_dir = ST.run_summary_stream(spark, staged)
+    polls.repartitionByRange(4, "poll_ts").write.parquet(staged)
+    query, out_dir = ST.run_summary_stream(spark, staged, max_files_per_trigger=2)
     query.awaitTermination()
     return _summary_out(spark.read.parquet(out_dir))
 

@@ -22,7 +22,7 @@ from ..operators import outcomes as OC
 from ..operators import prompt as PR
 from ..operators import retrieve as RT
 from ..operators import sample as SA
-from ..operators._check import require_columns
+from ..operators._check import join_null_safe, require_columns
 
 
 # E1 -------------------------------------------------------------------------------------------
@@ -38,8 +38,8 @@ def prepare_dataset(df: DataFrame, corpus: str, id_col: str, split_col: str = "s
     require_columns(df, id_col, split_col)
     n_val = VALIDATION_SIZE.get(corpus) if validation_size is None else validation_size
     if n_val:
-        train = df.where(F.col(split_col) == "train")
-        rest = df.where(F.col(split_col) != "train")
+        is_train = F.col(split_col).eqNullSafe(F.lit("train"))
+        train, rest = df.where(is_train), df.where(~is_train)  # NULL splits stay in ``rest``
         df = SA.carve(train, id_col, n_val, seed=seed, chosen="validation", rest="train",
                       split_col=split_col).unionByName(rest)
     if corpus in ("magicoder", "magicoder_oss"):
@@ -137,8 +137,8 @@ def evaluate_responses(responses: DataFrame, references: DataFrame, group_by: li
     hit = F.when(F.col(response) == F.col(reference), F.lit(1.0)).otherwise(F.lit(0.0))
     base = a.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n_examples"), F.avg(hit).alias("exact_match"))
     ch = M.chrf_family(scored, response, reference, key, group_by=keys)
-    tall = base.join(ch, keys, "left").unpivot(keys, ["n_examples", "exact_match", "chrf", "chrf_pp"],
-                                                "metric", "value")
+    tall = join_null_safe(base, ch, keys, "left").unpivot(keys, ["n_examples", "exact_match", "chrf", "chrf_pp"],
+                                                           "metric", "value")
     return tall.drop("_all") if keys == ["_all"] else tall
 
 

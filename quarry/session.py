@@ -71,17 +71,22 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only when the session names none."""
+    """The shared checkpoint folder: the SparkContext's checkpoint directory when one is set (by
+    ``spark.checkpoint.dir`` or ``setCheckpointDir``), else ``spark.checkpoint.dir``; only when the
+    session names none is a local folder chosen (local runs, tests)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no local SparkContext (e.g. Spark Connect): the server owns checkpointing
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     current = spark.conf.get(_CKPT_KEY, None)
     if not current:
         current = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set(_CKPT_KEY, current)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # no local SparkContext (e.g. Spark Connect): the server owns checkpointing
-        return current
-    if sc.getCheckpointDir() is None:
+    if sc is not None:
         sc.setCheckpointDir(current)
+        return sc.getCheckpointDir() or current
     return current
 
 

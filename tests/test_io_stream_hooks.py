@@ -19,6 +19,11 @@ from quarry.sources import files as IO
 from quarry.streaming import telemetry as ST
 
 
+def _local(path: str) -> str:
+    """A ``file:`` URI (scratch paths follow the checkpoint directory) as a local path."""
+    return path[len("file:"):] if path.startswith("file:") else path
+
+
 def test_prepared_roundtrip_prunes_partitions(spark):
     p = fx.pairs(spark, SF01)
     path = scratch_path(spark, "t-prepared")
@@ -61,9 +66,9 @@ def test_export_aligned_lines(spark):
     IO.export_aligned_text(p, path, {"predictions": "prediction", "references": "reference"}, parts=5)
     def lines(kind):
         out = []
-        for name in sorted(os.listdir(os.path.join(path, f"kind={kind}"))):
+        for name in sorted(os.listdir(os.path.join(_local(path), f"kind={kind}"))):
             if name.startswith("part-"):
-                with open(os.path.join(path, f"kind={kind}", name), encoding="utf-8") as f:
+                with open(os.path.join(_local(path), f"kind={kind}", name), encoding="utf-8") as f:
                     out += f.read().split("\n")[:-1]
         return out
     pred, ref = lines("predictions"), lines("references")
@@ -82,8 +87,8 @@ def test_run_outputs_layout_and_tall_metrics(spark):
     path = scratch_path(spark, "t-runs")
     IO.write_run_outputs(tall, path)
     IO.write_run_outputs(tall, path)  # a rerun rewrites its own run, no duplicates
-    assert os.path.isdir(os.path.join(path, "model=m", "dataset=conala", "temperature=0.20", "strategy=icl", "n=3",
-                                      "seed=42"))
+    assert os.path.isdir(os.path.join(_local(path), "model=m", "dataset=conala", "temperature=0.20", "strategy=icl",
+                                      "n=3", "seed=42"))
     other = tall.withColumn("model", F.lit("m2"))
     IO.write_run_outputs(other, path)  # another run leaves the first one alone
     assert spark.read.parquet(path).count() == 4
@@ -103,8 +108,10 @@ def test_stream_equals_batch(spark):
     polls = RN.poll_totals(fx.telemetry(spark, SF01), [0, 1]).select(
         F.col("run_id").cast("long").alias("run_id"), F.col("poll_ts").cast("timestamp").alias("poll_ts"), "used_mb")
     staged = scratch_path(spark, "t-polls")
-    polls.repartition(3, "run_id").write.parquet(staged)
-    query, out = ST.run_summary_stream(spark, staged, max_files_per_trigger=1)  # several micro-batches
+    # files cut by time: every run has polls in several files, so its state is merged across
+    # micro-batches (one file per trigger), including runs whose first successful poll comes later
+    polls.repartitionByRange(4, "poll_ts").write.parquet(staged)
+    query, out = ST.run_summary_stream(spark, staged, max_files_per_trigger=1)
     query.awaitTermination()
     streamed = sorted(tuple(r) for r in spark.read.parquet(out).select(
         "run_id", "initial_mb", "peak_mb", "elapsed_s", "n_polls").collect())
@@ -135,3 +142,9 @@ def test_embed_hook_unit_norm(spark):
     out = {r.i: r.embedding for r in HK.embed_with(df, _lens).collect()}
     assert np.linalg.norm(out[1]) == pytest.approx(1.0, abs=1e-6)
     assert out[2] == pytest.approx([0.0, 1.0])
+
+
+def test_checkpoint_dir_follows_the_context(spark):
+    from quarry.session import ensure_checkpoint_dir
+    assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+    assert scratch_path(spark, "x").startswith(spark.sparkContext.getCheckpointDir())

@@ -164,3 +164,9 @@ def test_copies_count_like_separate_rows(spark):
     assert a[0] == 3 * b[0] and a[1] == b[1]
     expected = py_chrf([rows[0], rows[0], rows[0], rows[1]])
     assert M.chrf(copies, "h", "r").first().chrf == pytest.approx(expected, abs=1e-9)
+
+
+def test_null_sides_do_not_collide(spark):
+    df = spark.createDataFrame([(1, None, "abc"), (1, "abc", None)], "example_id long, h string, r string")
+    st = M.ngram_match_stats(df, ["example_id"], "h", "r", char_order=3).agg(F.sum("r").alias("r"), F.sum("h").alias("h")).first()
+    assert st.r == 6 and st.h == 6

@@ -117,3 +117,38 @@ def test_run_summary_accepts_epoch_seconds(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (1, 3600, 2.0)], "run_id int, poll_ts long, used_mb double")
     r = RN.run_summary(df).first()
     assert r.elapsed_s == 3600.0 and r.peak_mb == 2.0
+
+
+def test_running_stats_keeps_null_timestamps(spark):
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1.0), (1, None, 2.0), (1, "2024-01-01 01:00:00", 3.0)],
+                               "run_id int, t string, used_mb double").withColumn("ts", F.to_timestamp("t"))
+    out = RN.running_stats(df, "run_id", ["ts"], value="used_mb").collect()
+    assert len(out) == 3 and sorted(r.processed for r in out) == [1, 2, 3] and {r.total for r in out} == {3}
+
+
+def test_chunks_follow_stored_order_across_dst(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(1, "2024-03-10 01:30:00", 5.0), (1, "2024-03-10 02:30:00", 1.0),
+                                    (1, "2024-03-10 03:10:00", 2.0)], "run_id int, t string, used_mb double") \
+            .withColumn("ts", F.to_timestamp_ntz("t"))
+        res = []
+        for chunk in (3600, 600):
+            rows = RN.running_stats(df, "run_id", ["ts"], value="used_mb", chunk_seconds=chunk).orderBy("ts").collect()
+            res.append([(r.processed, r.running_peak) for r in rows])
+        assert res[0] == res[1] == [(1, 5.0), (2, 5.0), (3, 5.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_unfinished_runs_do_not_count(spark):
+    runs = spark.createDataFrame([(16, 32, 42, 0.5), (16, 32, 7, None), (8, 16, 42, None)],
+                                 "lora_r int, lora_alpha int, seed int, eval_loss double")
+    s = {(r.lora_r, r.lora_alpha): r.n_seeds for r in RN.seed_summary(runs, ["lora_r", "lora_alpha"], "eval_loss").collect()}
+    assert s == {(16, 32): 1, (8, 16): 0}
+    grid = RN.param_grid(spark, {"lora_r": [8, 16], "lora_alpha": [16, 32]})
+    missing = sorted((r.lora_r, r.lora_alpha) for r in RN.grid_missing(grid, runs, "eval_loss").collect())
+    assert missing == [(8, 16), (8, 32), (16, 16)]
+    cov = {(r.lora_r, r.lora_alpha): r.n_runs for r in RN.grid_coverage(grid, runs, "eval_loss").collect()}
+    assert cov[(8, 16)] == 0 and cov[(16, 32)] == 1

@@ -125,3 +125,18 @@ def test_unknown_dataset_prefix_raises(spark):
         PR.templated_messages(df, "instr", "resp", "magicoder")
     custom = PR.templated_messages(df, "instr", "resp", F.lit("Solve:")).first().messages
     assert custom[0].content.startswith("Solve:\n```")
+
+
+def test_prepare_keeps_null_split_rows(spark):
+    df = spark.createDataFrame([(1, "train", "a", "b"), (2, None, "c", "d"), (3, "train", "e", "f"), (4, "test", "g", "h")],
+                               "example_id long, split string, instruction string, response string")
+    out = WF.prepare_dataset(df, "magicoder", "example_id", validation_size=1)
+    assert out.count() == 4
+    assert sorted((r.split or "") for r in out.collect()) == ["", "test", "train", "validation"]
+
+
+def test_evaluate_null_group_keeps_chrf(spark):
+    refs = spark.createDataFrame([(1, None, "same text")], "example_id long, split string, reference string")
+    resp = spark.createDataFrame([(1, "same text")], "example_id long, response string")
+    m = {r.metric: r.value for r in WF.evaluate_responses(resp, refs, group_by=["split"]).collect()}
+    assert m["exact_match"] == 1.0 and m["chrf"] == pytest.approx(100.0) and m["chrf_pp"] == pytest.approx(100.0)
