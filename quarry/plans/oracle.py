@@ -383,13 +383,14 @@ select run_id, ts, device, row_number() over w as processed, count(*) over (part
 from telemetry window w as (partition by run_id order by ts, device rows between unbounded preceding and current row)"""
 
     s["sweep_grid"] = duck_with("sweep_runs") + ", " + GRID + """,
-pc as (select lora_r, lora_alpha, count(*) as n_runs, min(eval_loss) as best from sweep_runs group by lora_r, lora_alpha)
+pc as (select lora_r, lora_alpha, count(eval_loss) as n_runs, min(eval_loss) as best from sweep_runs group by lora_r, lora_alpha)
 select g.lora_r, g.lora_alpha, coalesce(pc.n_runs, 0)::bigint as n_runs, pc.best as best_eval_loss
 from grid g left join pc on pc.lora_r = g.lora_r and pc.lora_alpha = g.lora_alpha"""
 
     s["grid_missing"] = duck_with("sweep_runs") + ", " + GRID + """
 select g.lora_r, g.lora_alpha from grid g
-where not exists (select 1 from sweep_runs s where s.lora_r = g.lora_r and s.lora_alpha = g.lora_alpha)"""
+where not exists (select 1 from sweep_runs s where s.lora_r = g.lora_r and s.lora_alpha = g.lora_alpha
+                  and s.eval_loss is not null)"""
 
     s["best_run"] = duck_with("sweep_runs") + """
 select seed, lora_r, lora_alpha, eval_loss from (select *, row_number() over (partition by seed

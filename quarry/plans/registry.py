@@ -369,7 +369,7 @@ def q_sweep_grid(spark, sf):
 
 
 def q_grid_missing(spark, sf):
-    g = RN.grid_missing(_sweep_grid(spark), fx.sweep_runs(spark, sf))
+    g = RN.grid_missing(_sweep_grid(spark), fx.sweep_runs(spark, sf), "eval_loss")
     return g.select(F.col("lora_r").cast("int").alias("lora_r"), F.col("lora_alpha").cast("int").alias("lora_alpha"))
 
 
