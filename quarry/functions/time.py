@@ -6,18 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def epoch_micros(df: DataFrame, col: str) -> Column:
-    """Microseconds since 1970-01-01 of ``col`` as stored.
+def _wall_clock_as_utc(c: Column) -> Column:
+    """A TIMESTAMP_NTZ wall clock as the TIMESTAMP instant with the same reading in UTC, rebuilt field
+    by field: a cast (or a function that casts implicitly, such as ``timestamp_diff``) would go
+    through the session time zone and shift wall-clock times inside a DST gap."""
+    return F.make_timestamp_ltz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                                F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
 
-    TIMESTAMP_NTZ values are rebuilt field by field at UTC (a cast to TIMESTAMP, or functions that
-    cast implicitly such as ``timestamp_diff``, would go through the session time zone and shift
-    wall-clock times inside a DST gap); TIMESTAMP values are instants; numbers are epoch seconds.
-    """
+def as_instant(df: DataFrame, col: str) -> Column:
+    """``col`` as a TIMESTAMP whose epoch equals the stored reading: TIMESTAMP as is; TIMESTAMP_NTZ,
+    DATE and timestamp strings as their wall clock in UTC; numbers as epoch seconds."""
     c = F.col(col)
     kind = df.schema[col].dataType.typeName()
-    if kind == "timestamp_ntz":
-        return F.unix_micros(F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
-                                              F.date_part(F.lit("SECOND"), c), F.lit("UTC")))
     if kind == "timestamp":
-        return F.unix_micros(c)
-    return (c.cast("double") * 1e6).cast("long")
+        return c
+    if kind == "timestamp_ntz":
+        return _wall_clock_as_utc(c)
+    if kind in ("date", "string"):
+        return _wall_clock_as_utc(c.cast("timestamp_ntz"))
+    return F.timestamp_micros((c.cast("double") * 1e6).cast("long"))
+
+
+def epoch_micros(df: DataFrame, col: str) -> Column:
+    """Microseconds since 1970-01-01 of ``col`` as stored (see ``as_instant``)."""
+    return F.unix_micros(as_instant(df, col))

@@ -12,9 +12,12 @@ def require_columns(df: DataFrame, *cols: str) -> None:
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where NULL matches NULL (``<=>``), keeping one copy of each key column."""
+    """Equi-join on ``keys`` where NULL matches NULL (``<=>``), keeping the left key columns — so only
+    join types whose output keys come from the left side are accepted."""
     if not keys:
         raise ValueError("join_null_safe needs at least one key")
+    if how not in ("inner", "left", "left_outer", "left_anti", "left_semi"):
+        raise ValueError(f"join_null_safe keeps the left keys; unsupported join type {how!r}")
     r = right.select(*[right[c].alias(f"_r_{c}") if c in keys else right[c] for c in right.columns])
     cond = None
     for c in keys:

@@ -42,10 +42,17 @@ _QUERY_CHUNK = 1024
 
 
 def _first_k_unique(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by (sim desc, id asc): drop exact copies (same id and sim, hence adjacent) and keep
-    the first k; returns (sims, ids, unique count) padded with -inf / max int."""
-    dup = np.zeros(i.shape, dtype=bool)
-    dup[:, 1:] = (i[:, 1:] == i[:, :-1]) & (s[:, 1:] == s[:, :-1])
+    """Rows sorted by (sim desc, id asc): keep each id's first (best) occurrence — copies of a
+    document may score a rounding step apart when they were scored in different batches — then the
+    first k; returns (sims, ids, unique count) padded with -inf / max int."""
+    width = i.shape[1]
+    pos = np.broadcast_to(np.arange(width), i.shape)
+    by_id = np.lexsort((pos, i), axis=1)                  # per id, its best position first
+    ids = np.take_along_axis(i, by_id, axis=1)
+    dup_by_id = np.zeros(i.shape, dtype=bool)
+    dup_by_id[:, 1:] = ids[:, 1:] == ids[:, :-1]
+    dup = np.empty_like(dup_by_id)
+    np.put_along_axis(dup, by_id, dup_by_id, axis=1)
     order = np.argsort(dup, axis=1, kind="stable")[:, :k]
     out_s, out_i = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
     n_unique = (~dup).sum(axis=1)
@@ -60,8 +67,8 @@ def _topk_rows(cat_s: np.ndarray, cat_i: np.ndarray, k: int) -> tuple[np.ndarray
     ``argpartition`` preselects the k + slack largest values in O(width); the preselection is exact
     unless an entry outside it could still enter the top k — a value tied with the k-th one (an id
     tie-break could prefer it) or copies of one id crowding the preselection — and only such rows
-    are fully sorted.  Copies of an id (same id, same score: the same document stored twice) count
-    once.
+    are fully sorted.  Copies of an id (the same document stored twice) count once, at their best
+    score.
     """
     width = cat_s.shape[1]
     m = min(width, k + 16)

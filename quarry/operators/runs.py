@@ -25,23 +25,13 @@ def param_grid(spark: SparkSession, params: dict[str, list]) -> DataFrame:
     return df.drop("id")
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]):
-    """Join condition matching every column null-safely (a NULL grid value matches a NULL run value)."""
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return cond
-
-
-def grid_missing(grid: DataFrame, runs: DataFrame, metric: str | None = None) -> DataFrame:
-    """Grid cells with no finished run (null-safe anti join on every grid column); with ``metric``,
-    a run whose metric is NULL (failed / unfinished) does not count as finished."""
+def grid_missing(grid: DataFrame, runs: DataFrame, metric: str) -> DataFrame:
+    """Grid cells with no finished run: a run counts once its ``metric`` is not NULL (failed or
+    unfinished runs leave the cell missing).  Null-safe anti join on every grid column."""
     cols = grid.columns
-    require_columns(runs, *cols, *([metric] if metric else []))
-    finished = runs.where(F.col(metric).isNotNull()) if metric else runs
-    done = finished.select(*cols).distinct()
-    return grid.join(done, _null_safe_on(grid, done, cols), "left_anti")
+    require_columns(runs, *cols, metric)
+    done = runs.where(F.col(metric).isNotNull()).select(*cols).distinct()
+    return join_null_safe(grid, done, cols, "left_anti")
 
 
 def grid_coverage(grid: DataFrame, runs: DataFrame, metric: str) -> DataFrame:
@@ -50,12 +40,7 @@ def grid_coverage(grid: DataFrame, runs: DataFrame, metric: str) -> DataFrame:
     cols = grid.columns
     require_columns(runs, *cols, metric)
     per_cell = runs.groupBy(*cols).agg(F.count(metric).alias("n_runs"), F.min(metric).alias(f"best_{metric}"))
-    per_cell = per_cell.select(*[F.col(c).alias(f"_r_{c}") for c in cols], "n_runs", f"best_{metric}")
-    cond = None
-    for c in cols:
-        e = grid[c].eqNullSafe(per_cell[f"_r_{c}"])
-        cond = e if cond is None else cond & e
-    return (grid.join(per_cell, cond, "left").drop(*[f"_r_{c}" for c in cols])
+    return (join_null_safe(grid, per_cell, cols, "left")
             .withColumn("n_runs", F.coalesce(F.col("n_runs"), F.lit(0).cast("long"))))
 
 
@@ -85,41 +70,46 @@ def run_summary(polls: DataFrame, run: str = "run_id", ts: str = "poll_ts", valu
 
 
 # W4 / W5 --------------------------------------------------------------------------------------
-def _chunked(df: DataFrame, ts: str, chunk_seconds: int) -> DataFrame:
-    """Chunk id = epoch seconds of the column as stored (no session-time-zone conversion, so chunk
-    order always agrees with the column's order) divided by ``chunk_seconds``."""
-    return df.withColumn("_chunk", F.floor(epoch_micros(df, ts) / (chunk_seconds * 1_000_000)))
+_LAST_CHUNK = 2 ** 62  # rows without a timestamp: one chunk after every real one
 
 
 def running_stats(df: DataFrame, run: str, order: list[str], value: str | None = None,
                   chunk_seconds: int = 3_600) -> DataFrame:
     """Adds ``processed`` (rows so far, inclusive), ``total`` (rows in the run), ``pct`` and, with
-    ``value``, ``running_peak`` (max so far) per run in ``order`` (first column a timestamp).
+    ``value``, ``running_peak`` (max so far) per run in ``order`` (first column a timestamp; NULLs
+    last, as SQL engines order by default).
 
     The ordered window only ever sees one (run, chunk) group, so its size is bounded by the
     telemetry rate times ``chunk_seconds``, whatever share of all rows a run holds; the chunk
-    carry-ins come from a table with one row per (run, chunk).  Results do not depend on
-    ``chunk_seconds``.
+    carry-ins come from a table with one row per (run, chunk).  Chunk ids use the epoch of the
+    timestamps as stored (no session-time-zone conversion), so results do not depend on
+    ``chunk_seconds`` or on the session.  The run key is carried as NULL-free columns (a NULL flag
+    plus the value as text), so the join to the carry-ins and the per-chunk window share one hash
+    partitioning — one shuffle of the rows.
     """
     require_columns(df, run, *order, *([value] if value else []))
-    c = _chunked(df, order[0], chunk_seconds)
+    c = df.select("*", F.col(run).isNull().alias("_rnull"),
+                  F.coalesce(F.col(run).cast("string"), F.lit("")).alias("_rkey"),
+                  F.coalesce(F.floor(epoch_micros(df, order[0]) / (chunk_seconds * 1_000_000)),
+                             F.lit(_LAST_CHUNK).cast("long")).alias("_chunk"))
+    rk = ["_rnull", "_rkey"]
     aggs = [F.count(F.lit(1)).alias("_ccnt")] + ([F.max(value).alias("_cmax")] if value else [])
-    chunks = c.groupBy(run, "_chunk").agg(*aggs)
-    before = Window.partitionBy(run).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = c.groupBy(*rk, "_chunk").agg(*aggs)
+    before = Window.partitionBy(*rk).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = chunks.select(
-        run, "_chunk",
+        *rk, "_chunk",
         F.coalesce(F.sum("_ccnt").over(before), F.lit(0)).alias("_prev_cnt"),
-        F.sum("_ccnt").over(Window.partitionBy(run)).alias("total"),
+        F.sum("_ccnt").over(Window.partitionBy(*rk)).alias("total"),
         *([F.max("_cmax").over(before).alias("_prev_max")] if value else []))
-    inside = Window.partitionBy(run, "_chunk").orderBy(*order)
+    inside = Window.partitionBy(*rk, "_chunk").orderBy(*[F.col(o).asc_nulls_last() for o in order])
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    j = join_null_safe(c, carry, [run, "_chunk"])  # NULL run ids / timestamps keep their rows
+    j = c.join(carry, [*rk, "_chunk"])
     out = j.withColumn("processed", F.col("_prev_cnt") + F.row_number().over(inside))
     if value:
         out = out.withColumn("running_peak", F.greatest(F.max(value).over(upto),
                                                         F.coalesce(F.col("_prev_max"), F.max(value).over(upto))))
     out = out.withColumn("pct", F.round(100.0 * F.col("processed") / F.col("total"), 2))
-    return out.drop("_chunk", "_prev_cnt", "_prev_max")
+    return out.drop("_chunk", "_prev_cnt", "_prev_max", "_rnull", "_rkey")
 
 
 # A14 / A15 ------------------------------------------------------------------------------------

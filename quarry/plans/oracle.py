@@ -394,10 +394,10 @@ where not exists (select 1 from sweep_runs s where s.lora_r = g.lora_r and s.lor
 
     s["best_run"] = duck_with("sweep_runs") + """
 select seed, lora_r, lora_alpha, eval_loss from (select *, row_number() over (partition by seed
-  order by eval_loss, lora_r, lora_alpha) as rn from sweep_runs) b where rn = 1"""
+  order by eval_loss, lora_r, lora_alpha) as rn from sweep_runs where eval_loss is not null) b where rn = 1"""
 
     s["icl_by_n"] = duck_with("sweep_runs") + """
-select lora_alpha, lora_r, count(distinct seed) as n_seeds, round(avg(eval_loss), 6) as mean_eval_loss,
+select lora_alpha, lora_r, count(distinct case when eval_loss is not null then seed end) as n_seeds, round(avg(eval_loss), 6) as mean_eval_loss,
   round(stddev_samp(eval_loss), 6) as std_eval_loss, round(min(eval_loss), 6) as min_eval_loss,
   round(max(eval_loss), 6) as max_eval_loss
 from sweep_runs group by lora_alpha, lora_r"""

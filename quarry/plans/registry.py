@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import FENCE_STOP, ICL_SEEDS, ICL_SIZES, INSTRUCTION_PREFIX, SWEEP_GRID
+from ..functions.time import as_instant
 from ..functions.text import (completion_span, earliest_stop, fence_cut, render_cut, render_messages,
                               stop_truncate)
 from ..operators._check import join_null_safe
@@ -349,8 +350,10 @@ def q_telemetry_stream(spark, sf):
     the files by time, so every run's state is merged across micro-batches), consumed by a file
     stream two files per trigger and summarised with bounded per-run state; the published table is
     read back."""
-    polls = _polls(spark, sf).select(F.col("run_id").cast("long").alias("run_id"),
-                                     F.col("poll_ts").cast("timestamp").alias("poll_ts"), "used_mb")
+    p = _polls(spark, sf)
+    # the wall clock as a UTC instant (a cast would go through the session time zone)
+    polls = p.select(F.col("run_id").cast("long").alias("run_id"), as_instant(p, "poll_ts").alias("poll_ts"),
+                     "used_mb")
     staged = scratch_path(spark, "telemetry-polls")
     polls.repartitionByRange(4, "poll_ts").write.parquet(staged)
     query, out_dir = ST.run_summary_stream(spark, staged, max_files_per_trigger=2)

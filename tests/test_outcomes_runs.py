@@ -89,7 +89,7 @@ def test_grid_and_best_run(spark):
     grid = RN.param_grid(spark, {"lora_r": [8, 16, 32, 64], "lora_alpha": [16, 32, 64, 128]})
     assert grid.count() == 16 and "CartesianProduct" not in plan_text(grid)
     runs = fx.sweep_runs(spark, SF01)
-    missing = [(r.lora_r, r.lora_alpha) for r in RN.grid_missing(grid, runs).collect()]
+    missing = [(r.lora_r, r.lora_alpha) for r in RN.grid_missing(grid, runs, "eval_loss").collect()]
     assert missing == [(64, 32)]  # cell index 13
     best = {r.seed: (r.lora_r, r.lora_alpha, r.eval_loss) for r in
             RN.best_run(runs, ["lora_r", "lora_alpha"], "eval_loss", sweep=["seed"]).collect()}
@@ -108,7 +108,7 @@ def test_best_run_ignores_unfinished_and_grid_is_null_safe(spark):
     assert (best.lora_r, best.lora_alpha, best.eval_loss) == (16, 32, 0.5)
     grid = spark.createDataFrame([("none", None), ("icl", 42)], "strategy string, seed int")
     done = spark.createDataFrame([("none", None, 0.1)], "strategy string, seed int, m double")
-    assert [(r.strategy, r.seed) for r in RN.grid_missing(grid, done).collect()] == [("icl", 42)]
+    assert [(r.strategy, r.seed) for r in RN.grid_missing(grid, done, "m").collect()] == [("icl", 42)]
     cov = {(r.strategy, r.seed): r.n_runs for r in RN.grid_coverage(grid, done, "m").collect()}
     assert cov == {("none", None): 1, ("icl", 42): 0}
 
@@ -123,7 +123,9 @@ def test_running_stats_keeps_null_timestamps(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1.0), (1, None, 2.0), (1, "2024-01-01 01:00:00", 3.0)],
                                "run_id int, t string, used_mb double").withColumn("ts", F.to_timestamp("t"))
     out = RN.running_stats(df, "run_id", ["ts"], value="used_mb").collect()
-    assert len(out) == 3 and sorted(r.processed for r in out) == [1, 2, 3] and {r.total for r in out} == {3}
+    assert len(out) == 3 and {r.total for r in out} == {3}
+    # NULL timestamps come last, as SQL engines order them by default
+    assert {r.t: r.processed for r in out} == {"2024-01-01 00:00:00": 1, "2024-01-01 01:00:00": 2, None: 3}
 
 
 def test_chunks_follow_stored_order_across_dst(spark):
@@ -152,3 +154,38 @@ def test_unfinished_runs_do_not_count(spark):
     assert missing == [(8, 16), (8, 32), (16, 16)]
     cov = {(r.lora_r, r.lora_alpha): r.n_runs for r in RN.grid_coverage(grid, runs, "eval_loss").collect()}
     assert cov[(8, 16)] == 0 and cov[(16, 32)] == 1
+
+
+def test_time_columns_of_any_stored_type(spark):
+    base = [(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 02:00:00", 3.0)]
+    df = spark.createDataFrame(base, "run_id int, t string, used_mb double")
+    for col in (F.col("t"), F.to_timestamp_ntz("t"), F.to_timestamp("t")):
+        r = RN.run_summary(df.withColumn("poll_ts", col)).first()
+        assert r.elapsed_s == 7200.0
+    d = spark.createDataFrame([(1, "2024-01-01", 1.0), (1, "2024-01-03", 2.0)], "run_id int, t string, used_mb double")
+    assert RN.run_summary(d.withColumn("poll_ts", F.to_date("t"))).first().elapsed_s == 2 * 86400.0
+    old = spark.conf.get("spark.sql.timestampType")
+    spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
+    try:
+        r = RN.run_summary(df.withColumn("poll_ts", F.to_timestamp_ntz("t"))).first()
+        assert r.elapsed_s == 7200.0
+    finally:
+        spark.conf.set("spark.sql.timestampType", old)
+
+
+def test_running_stats_single_row_shuffle_when_not_broadcast(spark):
+    polls = RN.poll_totals(fx.telemetry(spark, SF01), [0, 1])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(RN.running_stats(polls, "run_id", ["poll_ts"], value="used_mb"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plan.split("== Physical Plan ==")[-1].splitlines()
+    win = next(i for i, ln in enumerate(lines) if "Window [row_number()" in ln)
+    smj = next(i for i, ln in enumerate(lines) if "SortMergeJoin" in ln)
+    # the per-chunk window runs on the join's partitioning: no exchange between them
+    assert win < smj and not any("Exchange" in ln for ln in lines[win:smj])
+    # the rows are exchanged once, directly under the join (the other exchanges move the small
+    # per-(run, chunk) carry table)
+    assert "Exchange hashpartitioning(_rnull" in lines[smj + 1] or "Exchange hashpartitioning(_rnull" in lines[smj + 2]

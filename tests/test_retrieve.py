@@ -153,3 +153,12 @@ def test_topk_rows_exact_with_ties():
         for r in range(7):
             exp = sorted(zip(-cat_s[r], cat_i[r]))[:k]
             assert list(zip(-got_s[r], got_i[r])) == exp
+
+
+def test_topk_rows_copies_a_rounding_step_apart():
+    # the same document scored in two batches may differ by one ulp
+    s0 = 0.7
+    cat_s = np.array([[s0, np.nextafter(s0, 1.0), 0.69, 0.1]])
+    cat_i = np.array([[7, 7, 8, 9]], dtype="int64")
+    got_s, got_i = RT._topk_rows(cat_s, cat_i, 2)
+    assert list(got_i[0]) == [7, 8]
