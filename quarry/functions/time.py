@@ -14,20 +14,30 @@ def _wall_clock_as_utc(c: Column) -> Column:
                                 F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
 
 
-def as_instant(df: DataFrame, col: str) -> Column:
-    """``col`` as a TIMESTAMP whose epoch equals the stored reading: TIMESTAMP as is; TIMESTAMP_NTZ,
-    DATE and timestamp strings as their wall clock in UTC; numbers as epoch seconds."""
+def epoch_micros(df: DataFrame, col: str) -> Column:
+    """Microseconds since 1970-01-01 of ``col`` as stored, independent of the session time zone.
+
+    TIMESTAMP: the instant.  TIMESTAMP_NTZ and DATE: the wall clock read as UTC.  Numbers: epoch
+    seconds.  Strings: epoch seconds when numeric, else an ISO wall clock (read as UTC; a zone
+    offset inside the string is not supported); unparsable text gives NULL.
+    """
     c = F.col(col)
     kind = df.schema[col].dataType.typeName()
     if kind == "timestamp":
-        return c
+        return F.unix_micros(c)
     if kind == "timestamp_ntz":
-        return _wall_clock_as_utc(c)
-    if kind in ("date", "string"):
-        return _wall_clock_as_utc(c.cast("timestamp_ntz"))
-    return F.timestamp_micros((c.cast("double") * 1e6).cast("long"))
+        return F.unix_micros(_wall_clock_as_utc(c))
+    if kind == "date":
+        return F.unix_micros(_wall_clock_as_utc(c.cast("timestamp_ntz")))
+    if kind == "string":
+        secs = c.try_cast("double")
+        wall = F.unix_micros(_wall_clock_as_utc(c.try_cast("timestamp_ntz")))
+        return F.when(secs.isNotNull(), (secs * 1e6).cast("long")).otherwise(wall)
+    return (c.cast("double") * 1e6).cast("long")
 
 
-def epoch_micros(df: DataFrame, col: str) -> Column:
-    """Microseconds since 1970-01-01 of ``col`` as stored (see ``as_instant``)."""
-    return F.unix_micros(as_instant(df, col))
+def as_instant(df: DataFrame, col: str) -> Column:
+    """``col`` as a TIMESTAMP whose epoch is ``epoch_micros`` (for event-time operators)."""
+    if df.schema[col].dataType.typeName() == "timestamp":
+        return F.col(col)
+    return F.timestamp_micros(epoch_micros(df, col))

@@ -45,9 +45,7 @@ def _first_k_unique(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, n
     """Rows sorted by (sim desc, id asc): keep each id's first (best) occurrence — copies of a
     document may score a rounding step apart when they were scored in different batches — then the
     first k; returns (sims, ids, unique count) padded with -inf / max int."""
-    width = i.shape[1]
-    pos = np.broadcast_to(np.arange(width), i.shape)
-    by_id = np.lexsort((pos, i), axis=1)                  # per id, its best position first
+    by_id = np.argsort(i, axis=1, kind="stable")  # stable: per id, its best position first
     ids = np.take_along_axis(i, by_id, axis=1)
     dup_by_id = np.zeros(i.shape, dtype=bool)
     dup_by_id[:, 1:] = ids[:, 1:] == ids[:, :-1]

@@ -25,12 +25,13 @@ def param_grid(spark: SparkSession, params: dict[str, list]) -> DataFrame:
     return df.drop("id")
 
 
-def grid_missing(grid: DataFrame, runs: DataFrame, metric: str) -> DataFrame:
-    """Grid cells with no finished run: a run counts once its ``metric`` is not NULL (failed or
-    unfinished runs leave the cell missing).  Null-safe anti join on every grid column."""
+def grid_missing(grid: DataFrame, runs: DataFrame, metric: str | None = None) -> DataFrame:
+    """Grid cells with no finished run.  With ``metric`` a run counts once its metric is not NULL
+    (failed or unfinished runs leave the cell missing); without one, every listed run counts.
+    Null-safe anti join on every grid column."""
     cols = grid.columns
-    require_columns(runs, *cols, metric)
-    done = runs.where(F.col(metric).isNotNull()).select(*cols).distinct()
+    require_columns(runs, *cols, *([metric] if metric else []))
+    done = (runs.where(F.col(metric).isNotNull()) if metric else runs).select(*cols).distinct()
     return join_null_safe(grid, done, cols, "left_anti")
 
 
@@ -83,16 +84,16 @@ def running_stats(df: DataFrame, run: str, order: list[str], value: str | None =
     telemetry rate times ``chunk_seconds``, whatever share of all rows a run holds; the chunk
     carry-ins come from a table with one row per (run, chunk).  Chunk ids use the epoch of the
     timestamps as stored (no session-time-zone conversion), so results do not depend on
-    ``chunk_seconds`` or on the session.  The run key is carried as NULL-free columns (a NULL flag
-    plus the value as text), so the join to the carry-ins and the per-chunk window share one hash
-    partitioning — one shuffle of the rows.
+    ``chunk_seconds`` or on the session; rows are ordered by that same epoch (then the other
+    ``order`` columns).  The run key travels as ``struct(run)`` — never NULL itself, while a NULL
+    run id inside it matches NULL — so the join to the carry-ins and the per-chunk window share one
+    hash partitioning: one shuffle of the rows.
     """
     require_columns(df, run, *order, *([value] if value else []))
-    c = df.select("*", F.col(run).isNull().alias("_rnull"),
-                  F.coalesce(F.col(run).cast("string"), F.lit("")).alias("_rkey"),
-                  F.coalesce(F.floor(epoch_micros(df, order[0]) / (chunk_seconds * 1_000_000)),
-                             F.lit(_LAST_CHUNK).cast("long")).alias("_chunk"))
-    rk = ["_rnull", "_rkey"]
+    c = df.select("*", F.struct(F.col(run).alias("r")).alias("_rkey"), epoch_micros(df, order[0]).alias("_t"))
+    c = c.withColumn("_chunk", F.coalesce(F.floor(F.col("_t") / (chunk_seconds * 1_000_000)),
+                                          F.lit(_LAST_CHUNK).cast("long")))
+    rk = ["_rkey"]
     aggs = [F.count(F.lit(1)).alias("_ccnt")] + ([F.max(value).alias("_cmax")] if value else [])
     chunks = c.groupBy(*rk, "_chunk").agg(*aggs)
     before = Window.partitionBy(*rk).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,15 +102,16 @@ def running_stats(df: DataFrame, run: str, order: list[str], value: str | None =
         F.coalesce(F.sum("_ccnt").over(before), F.lit(0)).alias("_prev_cnt"),
         F.sum("_ccnt").over(Window.partitionBy(*rk)).alias("total"),
         *([F.max("_cmax").over(before).alias("_prev_max")] if value else []))
-    inside = Window.partitionBy(*rk, "_chunk").orderBy(*[F.col(o).asc_nulls_last() for o in order])
+    inside = Window.partitionBy(*rk, "_chunk").orderBy(F.col("_t").asc_nulls_last(),
+                                                       *[F.col(o).asc_nulls_last() for o in order[1:]])
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     j = c.join(carry, [*rk, "_chunk"])
     out = j.withColumn("processed", F.col("_prev_cnt") + F.row_number().over(inside))
     if value:
-        out = out.withColumn("running_peak", F.greatest(F.max(value).over(upto),
-                                                        F.coalesce(F.col("_prev_max"), F.max(value).over(upto))))
+        # greatest() skips NULLs: the first chunk of a run has no carry-in
+        out = out.withColumn("running_peak", F.greatest(F.max(value).over(upto), F.col("_prev_max")))
     out = out.withColumn("pct", F.round(100.0 * F.col("processed") / F.col("total"), 2))
-    return out.drop("_chunk", "_prev_cnt", "_prev_max", "_rnull", "_rkey")
+    return out.drop("_chunk", "_prev_cnt", "_prev_max", "_rkey", "_t")
 
 
 # A14 / A15 ------------------------------------------------------------------------------------

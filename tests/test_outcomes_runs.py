@@ -188,4 +188,20 @@ def test_running_stats_single_row_shuffle_when_not_broadcast(spark):
     assert win < smj and not any("Exchange" in ln for ln in lines[win:smj])
     # the rows are exchanged once, directly under the join (the other exchanges move the small
     # per-(run, chunk) carry table)
-    assert "Exchange hashpartitioning(_rnull" in lines[smj + 1] or "Exchange hashpartitioning(_rnull" in lines[smj + 2]
+    assert "Exchange hashpartitioning(_rkey" in lines[smj + 1] or "Exchange hashpartitioning(_rkey" in lines[smj + 2]
+
+
+def test_running_stats_key_and_time_edge_cases(spark):
+    # -0.0 and 0.0 are one run (as for groupBy); NULL run ids form their own run
+    df = spark.createDataFrame([(0.0, 1, 1.0), (-0.0, 2, 2.0), (None, 3, 3.0)], "run_id double, t long, used_mb double")
+    out = {(r.run_id is None, r.t): (r.processed, r.total) for r in RN.running_stats(df, "run_id", ["t"]).collect()}
+    assert out == {(False, 1): (1, 2), (False, 2): (2, 2), (True, 3): (1, 1)}
+    # time as text: epoch seconds or wall clocks; unparsable text is processed last, not an error
+    s = spark.createDataFrame([(1, "1704067200"), (1, "1704070800"), (1, "")], "run_id int, t string")
+    got = {r.t: r.processed for r in RN.running_stats(s, "run_id", ["t"]).collect()}
+    assert got == {"1704067200": 1, "1704070800": 2, "": 3}
+    w = spark.createDataFrame([(1, "2024-01-01 9:00:00"), (1, "2024-01-01 10:00:00"), (1, "2024-01-01 10:30:00")],
+                              "run_id int, t string")
+    for chunk in (3600, 86400):
+        got = {r.t: r.processed for r in RN.running_stats(w, "run_id", ["t"], chunk_seconds=chunk).collect()}
+        assert got == {"2024-01-01 9:00:00": 1, "2024-01-01 10:00:00": 2, "2024-01-01 10:30:00": 3}
