@@ -18,8 +18,9 @@ def epoch_micros(df: DataFrame, col: str) -> Column:
     """Microseconds since 1970-01-01 of ``col`` as stored, independent of the session time zone.
 
     TIMESTAMP: the instant.  TIMESTAMP_NTZ and DATE: the wall clock read as UTC.  Numbers: epoch
-    seconds.  Strings: epoch seconds when numeric, else an ISO wall clock (read as UTC; a zone
-    offset inside the string is not supported); unparsable text gives NULL.
+    seconds.  Strings: epoch seconds when numeric; an ISO timestamp with an explicit zone (``Z`` or
+    ``+hh:mm``) is the instant it names; any other ISO timestamp is a wall clock read as UTC.
+    Unparsable text, NaN, infinities and out-of-range values give NULL.
     """
     c = F.col(col)
     kind = df.schema[col].dataType.typeName()
@@ -31,9 +32,12 @@ def epoch_micros(df: DataFrame, col: str) -> Column:
         return F.unix_micros(_wall_clock_as_utc(c.cast("timestamp_ntz")))
     if kind == "string":
         secs = c.try_cast("double")
+        zoned = c.rlike(r"(?i)(z|[+-]\d{2}:?\d{2})$")
+        instant = F.unix_micros(c.try_cast("timestamp"))  # the string's own zone, not the session's
         wall = F.unix_micros(_wall_clock_as_utc(c.try_cast("timestamp_ntz")))
-        return F.when(secs.isNotNull(), (secs * 1e6).cast("long")).otherwise(wall)
-    return (c.cast("double") * 1e6).cast("long")
+        return (F.when(secs.isNotNull(), (secs * 1e6).try_cast("long"))
+                .when(zoned, instant).otherwise(wall))
+    return (c.cast("double") * 1e6).try_cast("long")
 
 
 def as_instant(df: DataFrame, col: str) -> Column:

@@ -16,6 +16,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     join types whose output keys come from the left side are accepted."""
     if not keys:
         raise ValueError("join_null_safe needs at least one key")
+    how = "inner" if how is None else how
     if how.lower().replace("_", "") not in ("inner", "left", "leftouter", "leftanti", "leftsemi", "anti", "semi"):
         raise ValueError(f"join_null_safe keeps the left keys; unsupported join type {how!r}")
     r = right.select(*[right[c].alias(f"_r_{c}") if c in keys else right[c] for c in right.columns])

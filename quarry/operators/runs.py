@@ -90,8 +90,9 @@ def running_stats(df: DataFrame, run: str, order: list[str], value: str | None =
     hash partitioning: one shuffle of the rows.
     """
     require_columns(df, run, *order, *([value] if value else []))
-    c = df.select("*", F.struct(F.col(run).alias("r")).alias("_rkey"), epoch_micros(df, order[0]).alias("_t"))
-    c = c.withColumn("_chunk", F.coalesce(F.floor(F.col("_t") / (chunk_seconds * 1_000_000)),
+    c = df.select("*", F.struct(F.col(run).alias("r")).alias("_rkey"),
+                  epoch_micros(df, order[0]).alias("_epoch_us"))
+    c = c.withColumn("_chunk", F.coalesce(F.floor(F.col("_epoch_us") / (chunk_seconds * 1_000_000)),
                                           F.lit(_LAST_CHUNK).cast("long")))
     rk = ["_rkey"]
     aggs = [F.count(F.lit(1)).alias("_ccnt")] + ([F.max(value).alias("_cmax")] if value else [])
@@ -102,8 +103,9 @@ def running_stats(df: DataFrame, run: str, order: list[str], value: str | None =
         F.coalesce(F.sum("_ccnt").over(before), F.lit(0)).alias("_prev_cnt"),
         F.sum("_ccnt").over(Window.partitionBy(*rk)).alias("total"),
         *([F.max("_cmax").over(before).alias("_prev_max")] if value else []))
-    inside = Window.partitionBy(*rk, "_chunk").orderBy(F.col("_t").asc_nulls_last(),
-                                                       *[F.col(o).asc_nulls_last() for o in order[1:]])
+    # the parsed time first (it defines the chunks), then every order column as given (ties)
+    inside = Window.partitionBy(*rk, "_chunk").orderBy(F.col("_epoch_us").asc_nulls_last(),
+                                                       *[F.col(o).asc_nulls_last() for o in order])
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     j = c.join(carry, [*rk, "_chunk"])
     out = j.withColumn("processed", F.col("_prev_cnt") + F.row_number().over(inside))
@@ -111,7 +113,7 @@ def running_stats(df: DataFrame, run: str, order: list[str], value: str | None =
         # greatest() skips NULLs: the first chunk of a run has no carry-in
         out = out.withColumn("running_peak", F.greatest(F.max(value).over(upto), F.col("_prev_max")))
     out = out.withColumn("pct", F.round(100.0 * F.col("processed") / F.col("total"), 2))
-    return out.drop("_chunk", "_prev_cnt", "_prev_max", "_rkey", "_t")
+    return out.drop("_chunk", "_prev_cnt", "_prev_max", "_rkey", "_epoch_us")
 
 
 # A14 / A15 ------------------------------------------------------------------------------------

@@ -205,3 +205,19 @@ def test_running_stats_key_and_time_edge_cases(spark):
     for chunk in (3600, 86400):
         got = {r.t: r.processed for r in RN.running_stats(w, "run_id", ["t"], chunk_seconds=chunk).collect()}
         assert got == {"2024-01-01 9:00:00": 1, "2024-01-01 10:00:00": 2, "2024-01-01 10:30:00": 3}
+
+
+def test_time_edge_values(spark):
+    # several raw values in one microsecond keep their raw order; NaN / inf / junk are processed last
+    d = spark.createDataFrame([(1, 1.00000005), (1, 1.0000001), (1, 1.0000002), (1, 1.0000003)], "run_id int, t double")
+    got = [r.processed for r in RN.running_stats(d, "run_id", ["t"]).orderBy("t").collect()]
+    assert got == [1, 2, 3, 4]
+    s = spark.createDataFrame([(1, "1704067200"), (1, "NaN"), (1, "inf"), (1, "20240101093000")], "run_id int, t string")
+    got = {r.t: r.processed for r in RN.running_stats(s, "run_id", ["t"]).collect()}
+    assert got["1704067200"] == 1 and sorted(got.values()) == [1, 2, 3, 4]
+    # an explicit zone in the text is honoured: 08:00Z happened before 09:00Z
+    z = spark.createDataFrame([(1, "2024-01-01T10:00:00+02:00"), (1, "2024-01-01T09:00:00Z")], "run_id int, poll_ts string") \
+        .withColumn("used_mb", F.lit(1.0))
+    assert RN.run_summary(z).first().elapsed_s == 3600.0
+    got = {r.poll_ts: r.processed for r in RN.running_stats(z, "run_id", ["poll_ts"]).collect()}
+    assert got == {"2024-01-01T10:00:00+02:00": 1, "2024-01-01T09:00:00Z": 2}
