@@ -337,6 +337,10 @@ union all select split, 'exact_match', round(exact_match, 6) from w
 union all select split, 'chrf', round(chrf, 6) from w
 union all select split, 'chrf_pp', round(chrf_pp, 6) from w"""
 
+    s["run_outputs_roundtrip"] = ("select 'stub' as model, 'conala' as dataset, 0.2::double as temperature, "
+                                  "'none' as strategy, 0 as n, split, metric, value from (\n"
+                                  + s["evaluate_run"] + "\n) ev")
+
     s["knn_topk"] = duck_with("rq", "kb") + ", " + knn(5) + """
 select query_id, doc_id, rank, round(sim, 5) as sim from knn"""
 

@@ -264,6 +264,22 @@ def q_evaluate_run(spark, sf):
     return tall.select("split", "metric", F.round("value", 6).alias("value"))
 
 
+def q_run_outputs_roundtrip(spark, sf):
+    """S6 + S7: the evaluate_run metrics written under a run address (partition directories,
+    idempotent per run) and read back."""
+    cleaned = WF.clean_responses(fx.responses(spark, sf), api_model="api_model", stops=STOPS)
+    refs = fx.pairs(spark, sf).select("example_id", "split", "reference")
+    tall = WF.evaluate_responses(cleaned, refs, group_by=["split"])
+    addressed = tall.select(F.lit("stub").alias("model"), F.lit("conala").alias("dataset"),
+                            F.lit(0.2).alias("temperature"), F.lit("none").alias("strategy"),
+                            F.lit(0).alias("n"), F.lit(None).cast("int").alias("seed"), "split", "metric", "value")
+    path = scratch_path(spark, "run-outputs")
+    IO.write_run_outputs(addressed, path)
+    back = spark.read.parquet(path)
+    return back.select("model", "dataset", F.col("temperature").cast("double").alias("temperature"), "strategy",
+                       F.col("n").cast("int").alias("n"), "split", "metric", F.round("value", 6).alias("value"))
+
+
 def q_knn_topk(spark, sf):
     res = RT.knn_topk(fx.retrieval_queries(spark, sf), fx.knowledge_base(spark, sf), KNN_K)
     return res.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"),
@@ -466,6 +482,7 @@ QUERIES = {
     "prepare_apps": q_prepare_apps,
     "prepare_mbpp": q_prepare_mbpp,
     "evaluate_run": q_evaluate_run,
+    "run_outputs_roundtrip": q_run_outputs_roundtrip,
     "knn_topk": q_knn_topk,
     "rerank_maxsim": q_rerank_maxsim,
     "rag_prompt": q_rag_prompt,
