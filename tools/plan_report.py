@@ -22,7 +22,7 @@ FEATURES = ["BroadcastHashJoin", "SortMergeJoin", "BroadcastNestedLoopJoin", "Ca
             "TakeOrderedAndProject", "WindowGroupLimit", "Window [", "MapInPandas", "FlatMapCoGroupsInPandas",
             "Generate", "Subquery"]
 # queries that write to the scratch folder when built are profiled through their readers only
-SIDE_EFFECTS = {"telemetry_stream", "responses_roundtrip", "dataset_roundtrip", "export_text"}
+SIDE_EFFECTS = {"telemetry_stream", "responses_roundtrip", "dataset_roundtrip", "export_text", "run_outputs_roundtrip"}
 
 
 def plan_of(df) -> str:
