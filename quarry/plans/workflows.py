@@ -35,7 +35,12 @@ def prepare_dataset(df: DataFrame, corpus: str, id_col: str, split_col: str = "s
     test blinded.  apps: I/O-mode prompt, first solution, templated, test blinded; train -> train +
     validation.  ``validation_size`` defaults to the corpus' fixed size (none for conala/mbpp).
     """
-    require_columns(df, id_col, split_col)
+    needs = {"magicoder": ("instruction", "response"), "magicoder_oss": ("problem", "solution"),
+             "conala": ("nl", "cmd"), "mbpp": ("text", "test_list", "code"),
+             "apps": ("question", "starter_code", "input_output", "solutions")}
+    if corpus not in needs:
+        raise ValueError(f"unknown corpus {corpus!r}; known: {sorted(needs)}")
+    require_columns(df, id_col, split_col, *needs[corpus])
     n_val = VALIDATION_SIZE.get(corpus) if validation_size is None else validation_size
     if n_val:
         is_train = F.col(split_col).eqNullSafe(F.lit("train"))

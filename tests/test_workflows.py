@@ -140,3 +140,22 @@ def test_evaluate_null_group_keeps_chrf(spark):
     resp = spark.createDataFrame([(1, "same text")], "example_id long, response string")
     m = {r.metric: r.value for r in WF.evaluate_responses(resp, refs, group_by=["split"]).collect()}
     assert m["exact_match"] == 1.0 and m["chrf"] == pytest.approx(100.0) and m["chrf_pp"] == pytest.approx(100.0)
+
+
+def test_prepare_checks_corpus_columns(spark):
+    df = spark.createDataFrame([(1, "train", "q")], "example_id long, split string, nl string")
+    with pytest.raises(ValueError, match="missing input columns"):
+        WF.prepare_dataset(df, "conala", "example_id")
+
+
+def test_build_prompts_rag_without_rerank_keeps_top_n_final(spark):
+    docs = fx.table(spark, SF01, "documents")
+    queries = fx.retrieval_queries(spark, SF01)
+    kb = fx.knowledge_base(spark, SF01)
+    qtext = queries.select(F.col("query_id").alias("example_id"), (F.col("query_id") % 200).alias("d")) \
+        .join(docs.select(F.col("doc_id").alias("d"), "text"), "d")
+    test = PR.templated_messages(qtext.withColumn("none", F.lit(None).cast("string")), "text", "none", "conala")
+    payload = kb.select("doc_id", (F.col("doc_id") % 200).alias("d")).join(
+        docs.select(F.col("doc_id").alias("d"), F.col("text").alias("page_content"), F.col("source").alias("code")), "d")
+    out = WF.build_prompts(test, "rag", queries=queries, kb=kb, payload=payload, n_retrieve=4, n_final=1)
+    assert {r.n for r in out.select(F.size("messages").alias("n")).collect()} == {4}
