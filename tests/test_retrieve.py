@@ -162,3 +162,10 @@ def test_topk_rows_copies_a_rounding_step_apart():
     cat_i = np.array([[7, 7, 8, 9]], dtype="int64")
     got_s, got_i = RT._topk_rows(cat_s, cat_i, 2)
     assert list(got_i[0]) == [7, 8]
+
+
+def test_n_final_above_n_retrieve_gives_fewer_docs(q_kb):
+    # Asking for more final documents than were retrieved keeps what there is, no error
+    q, kb = q_kb
+    rr = RT.rerank(RT.knn_topk(q, kb, 2), q, kb, 5, token_dim=8)
+    assert {r.c for r in rr.groupBy("query_id").agg(F.count("*").alias("c")).collect()} == {2}
