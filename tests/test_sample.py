@@ -121,3 +121,11 @@ def test_icl_grid_equals_single_configs_without_cross_join(spark):
             one = FS.icl_prompt(test, train, n, seed, "example_id", "nl", "reference", "conala")
             for r in one.select("example_id", render_cut("messages").alias("p")).collect():
                 assert got[(seed, n, r.example_id)] == r.p
+
+
+def test_seeded_order_prefix_equals_first_n(spark):
+    train = fx.pairs(spark, SF01).where("split = 'train'")
+    ordered = [r.example_id for r in SA.seeded_order(train, "example_id", 5432).select("example_id").collect()]
+    first = [r.example_id for r in SA.first_n(train, "example_id", 7, 5432).orderBy("rank").collect()]
+    assert ordered[:7] == first
+    assert sorted(ordered) == sorted(r.example_id for r in train.select("example_id").collect())
