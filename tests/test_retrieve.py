@@ -169,3 +169,8 @@ def test_n_final_above_n_retrieve_gives_fewer_docs(q_kb):
     q, kb = q_kb
     rr = RT.rerank(RT.knn_topk(q, kb, 2), q, kb, 5, token_dim=8)
     assert {r.c for r in rr.groupBy("query_id").agg(F.count("*").alias("c")).collect()} == {2}
+
+
+def test_knn_with_no_queries_is_empty(q_kb):
+    q, kb = q_kb
+    assert RT.knn_topk(q.where("query_id < 0"), kb, 3).count() == 0

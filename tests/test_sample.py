@@ -129,3 +129,8 @@ def test_seeded_order_prefix_equals_first_n(spark):
     first = [r.example_id for r in SA.first_n(train, "example_id", 7, 5432).orderBy("rank").collect()]
     assert ordered[:7] == first
     assert sorted(ordered) == sorted(r.example_id for r in train.select("example_id").collect())
+
+
+def test_carve_zero_rows_keeps_everything_in_rest(docs):
+    m = _split_map(SA.carve(docs, "doc_id", 0, seed=42))
+    assert set(m.values()) == {"train"} and len(m) == docs.count()
