@@ -3,16 +3,17 @@
 J2 — exact top-k by inner product on unit vectors (= cosine), ties broken by ``doc_id``.  Two
 physical strategies, chosen by a size check on the query side:
 
-* **broadcast** (query rows <= ``max_broadcast_rows``): the query matrix — bounded by that check —
-  is shipped once to every executor; each knowledge-base partition is scanned with
-  ``mapInPandas`` (Arrow batches, numpy matmul) keeping a running top-k per query, so a partition
-  emits at most ``queries x k`` rows and the KB itself is never shuffled.
-* **blocked** (larger query sides): queries and KB are hashed into blocks; every
+* **broadcast** (query matrix, rows x dims x 8 bytes, <= ``max_broadcast_bytes``): the matrix —
+  bounded by that check — is shipped once to every executor; each knowledge-base partition is
+  scanned with ``mapInPandas`` (Arrow batches, numpy matmul) keeping a running top-k per query
+  (copies of a document count once), so a partition emits at most ``queries x k`` rows and the KB
+  itself is never shuffled.
+* **blocked** (larger query sides): query and KB rows are assigned to blocks by row; every
   (query block, KB block) cell is a cogroup handled by ``applyInPandas`` with the same local top-k.
   Block sizes bound the memory of each group; no cell ever materialises pairs as rows.
 
-Both end in the same merge: a per-query ``row_number`` window whose ``WindowGroupLimit`` keeps only
-k rows per query before the final shuffle.  The merged top-k (at most queries x k rows) is
+Both end in the same merge: one row per (query, doc), then a per-query ``row_number`` window whose
+``WindowGroupLimit`` keeps only k rows per query before the final shuffle.  The merged top-k (at most queries x k rows) is
 checkpointed into the shared checkpoint folder: the expensive KB scan runs once, later uses
 (re-ranking, payload lookups, counts) read the small materialised result, and a lost executor never
 forces the scan to be replayed.
