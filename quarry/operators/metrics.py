@@ -2,11 +2,12 @@
 EM@k (A9) and corpus n-gram overlap (A10).
 
 Plan shape for the n-gram metrics (chrF, BLEU) at scale: the (hypothesis, reference) rows are
-hash-partitioned once by the example key — a shuffle of the raw text only.  The n-gram explosion,
-the per-gram counts and the per-example statistics then run partition-local (the aggregates'
-required distribution is already satisfied by that partitioning, so no exploded row is ever
-shuffled).  Only the per-example statistics (a few numbers per example) reach the final corpus
-aggregate, which is partial-aggregated map-side.
+grouped once by (example key, pair hash) — a map-side-combined aggregate, so copies of a pair
+collapse before the only shuffle, which moves raw text.  The n-gram explosion, the per-gram counts
+and the per-pair statistics then run partition-local (the aggregates' required distribution is
+already satisfied by that partitioning, so no exploded row is ever shuffled).  Only the per-pair
+statistics (a few numbers per pair) reach the final corpus aggregate, which is partial-aggregated
+map-side.
 """
 
 from __future__ import annotations
