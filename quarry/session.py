@@ -73,7 +73,8 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the SparkContext's checkpoint directory when one is set (by
     ``spark.checkpoint.dir`` or ``setCheckpointDir``), else ``spark.checkpoint.dir``; only when the
-    session names none is a local folder chosen (local runs, tests)."""
+    session names none and its master is ``local[...]`` is a local folder chosen (local runs, tests);
+    on any other master that is an error."""
     try:
         sc = spark.sparkContext
     except Exception:  # no local SparkContext (e.g. Spark Connect): the server owns checkpointing
@@ -82,6 +83,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     current = spark.conf.get(_CKPT_KEY, None)
     if not current:
+        if sc is None or not sc.master.split("[")[0] == "local":
+            raise ValueError(f"{_CKPT_KEY} is not set: name a folder that the driver and every executor share")
         current = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set(_CKPT_KEY, current)
     if sc is not None:
