@@ -38,6 +38,11 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their literal names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; NULL has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

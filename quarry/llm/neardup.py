@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket, materialise, mix64, shingles, word_chunks
+from .common import bucket, materialise, mix64, named, shingles, word_chunks
 
 SKETCH = 64
 TREES, BRANCH = 10, 2
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     an empty result.  Further columns pass through; their names must not begin with two underscores.
     """
     cols = docs.columns
-    numbered = docs.select(*cols, F.monotonically_increasing_id().alias("__rid"))
+    numbered = docs.select(*named(cols), F.monotonically_increasing_id().alias("__rid"))
     signed = T.StructType(numbered.schema.fields + [T.StructField("__n", T.LongType()), T.StructField("__key", T.BinaryType()),
                                                     T.StructField("__sketch", T.ArrayType(T.IntegerType()))])
     base = materialise(numbered.mapInArrow(_signer(shingle, text), signed), "signed", "zstd")
@@ -254,12 +254,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     more = _verified(_tree_pairs(sets, small_node, trees, branch, max_depth), base, reps, shingle, percent, text)
     comp = components(comp.select(F.col("kid").alias("a"), F.col("comp").alias("b")).unionByName(more))
     # labels: the smallest id (and its row) of each component
-    named = reps.select("key", "id", "rid", "kid").join(comp, "kid", "left").withColumn("comp", F.coalesce("comp", "kid"))
-    named = materialise(named, "named")
-    best = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), "rid")).alias("w"))
-    labels = named.select("key", "comp").join(best, "comp").select(
+    member = reps.select("key", "id", "rid", "kid").join(comp, "kid", "left").withColumn("comp", F.coalesce("comp", "kid"))
+    member = materialise(member, "members")
+    best = member.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), "rid")).alias("w"))
+    labels = member.select("key", "comp").join(best, "comp").select(
         F.col("key").alias("__key"), F.col("w.i").alias("__component"), F.col("w.rid").alias("__first"))
     out = base.join(labels, "__key", "left")
     alone = F.col("__key").isNull()
-    return out.select(*cols, F.col("__n"), F.when(alone, F.col(id_col)).otherwise(F.col("__component")).alias("__component"),
+    return out.select(*named(cols), F.col("__n"), F.when(alone, F.col(id_col)).otherwise(F.col("__component")).alias("__component"),
                       F.when(alone, F.lit(True)).otherwise(F.col("__first") == F.col("__rid")).alias("__winner"))

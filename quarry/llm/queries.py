@@ -5,13 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import inner_product_neighbours
+from .common import n_words
+from .hamming import hamming_top_k
+from .langid import identify, page_evidence, train
+from .licence import KEYWORD, LINE_END, MARK, RULES, SENTENCE_END, SENTENCES, scan_licences
+from .lm import score_texts
+from .mix import mix
 from .neardup import near_duplicates
+from .pack import pack
+from .shard import shard
+from .warc import archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes of every 100th vector, exactly."""
+    return hamming_top_k(table(spark, sf_dir, "embeddings"), k=10)
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source targets; documents labelled good weigh twice, bad ones half."""
+    docs = with_mix_columns(spark, table(spark, sf_dir, "documents"), sf_dir)
+    out = mix(docs.select("doc_id", "source", "__size", "__weight", "__draw"), draw=["doc_id", "__draw"])
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+                      F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+
+
+def with_mix_columns(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with ``__size`` (words), ``__weight`` (from the labels' quality) and ``__draw`` (hash of the text)."""
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__q"))
+    weight = F.when(F.col("__q") == 1, 2.0).when(F.col("__q") == 0, 0.5).otherwise(1.0)
+    out = docs.withColumn("__size", n_words(F.col("text"))).withColumn("__draw", F.xxhash64("text"))
+    return out.join(labels, out["doc_id"] == labels["__id"], "left").withColumn("__weight", weight).drop("__id", "__q")
+
+
+def op3_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products found for every 20th vector."""
+    return inner_product_neighbours(table(spark, sf_dir, "embeddings"), k=20)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class (4-word shingles, Jaccard of 0.8 or more)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -20,8 +56,135 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("doc_id").eqNullSafe(F.col("__component")).alias("kept"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences and licences of every document."""
+    out = scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("__sentences").cast("long").alias("n_known_sentences"),
+                      F.array_join("__sentences", ",").alias("sentence_ids"), F.array_join("__licences", ",").alias("licences"))
+
+
+def language_of_documents(docs: DataFrame, model) -> DataFrame:
+    """Documents declare their language in ``lang``; their ``source`` stands for the host."""
+    return identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document and every page, from one model; ``kept`` is false where it is rejected."""
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.select("lang", "text"))
+    found = language_of_documents(docs.select("doc_id", "text", "lang", "source"), model)
+    none = F.lit(None).cast("long")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    evidence = page_evidence(pages)
+    pages = pages.select("page_id", *[c.alias(k) for k, c in evidence.items()])
+    on_web = identify(pages, model, **{k: F.col(k) for k in evidence if k != "text"})
+    cols = [F.col("__language").alias("language"), F.col("__probability").alias("probability"),
+            F.col("__text_language").alias("text_language"), F.col("__kept").alias("kept")]
+    return found.select("doc_id", none.alias("page_id"), *cols).unionByName(on_web.select(none.alias("doc_id"), "page_id", *cols))
+
+
+def op7_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of the archives written for all pages, in index order; a page's id gives its capture time."""
+    out = archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"),
+                  captured=F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
+
+
+def op8_backoff_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the automaton learnt from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, held_out=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
+def op9_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes, equal texts together."""
+    out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 words; copies of a text never share one."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "source", n_words(F.col("text")).alias("__size"), F.xxhash64("text").alias("__cluster"))
+    return pack(docs, capacity=2048)
+
+
 QUERIES = {
+    "op1_exact_hamming_search": op1_exact_hamming_search,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_collision_neighbours": op3_collision_neighbours,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_licence_scan": op5_licence_scan,
+    "op6_language_id": op6_language_id,
+    "op7_warc_merge": op7_warc_merge,
+    "op8_backoff_scoring": op8_backoff_scoring,
+    "op9_lpt_sharding": op9_lpt_sharding,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+# ----------------------------------------------------------------------------------------------
+# DuckDB oracles
+# ----------------------------------------------------------------------------------------------
+#: brute force over sign codes written as strings of 64 signs
+_HAMMING = """
+WITH v AS (
+  SELECT vec_id, min(embedding) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  GROUP BY vec_id),
+c AS (SELECT vec_id, list_transform(e, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM v),
+d AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.b, r.b), p -> CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM c q JOIN c r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, vec_id, distance FROM k WHERE rank <= 10
+"""
+
+
+def _licence_sql() -> str:
+    values = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    word = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9.]+', ' ', 'g'))"
+    keyword = KEYWORD.replace("(?i)", "")
+    left, found = "'|' || array_to_string(ids, '||') || '|'", "[]::VARCHAR[]"
+    steps = []
+    for i, (name, run) in enumerate(RULES):
+        needle = "|" + "||".join(run) + "|"
+        steps.append(f"r{i + 1} AS (SELECT doc_id, ids, rid, replace(l, '{needle}', '#') AS l, "
+                     f"CASE WHEN contains(l, '{needle}') AND NOT list_contains(f, '{name}') THEN list_append(f, '{name}') ELSE f END AS f FROM r{i})")
+    return f"""
+WITH known(s, name) AS (VALUES {values}),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+cut AS (SELECT rid, string_split(regexp_replace(text, '{SENTENCE_END}', chr(1), 'g'), chr(1)) AS parts FROM docs),
+sent AS (SELECT rid, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM cut),
+named AS (SELECT rid, i, sent.s, known.name FROM sent LEFT JOIN known ON {word('sent.s')} = known.s
+          WHERE regexp_matches(sent.s, '{keyword}', 'i')),
+line AS (SELECT rid, i, unnest(string_split_regex(s, '{LINE_END}')) AS s,
+                generate_subscripts(string_split_regex(s, '{LINE_END}'), 1) AS j FROM named WHERE name IS NULL),
+hit AS (SELECT rid, i, 0 AS j, name FROM named WHERE name IS NOT NULL
+        UNION ALL SELECT rid, i, j, known.name FROM line JOIN known ON {word('line.s')} = known.s),
+seq AS (SELECT rid, list(name ORDER BY i, j) AS ids FROM hit GROUP BY rid),
+r0 AS (SELECT doc_id, rid, ids, {left} AS l, {found} AS f FROM seq JOIN docs USING (rid)),
+{", ".join(steps)}
+SELECT d.doc_id, CAST(coalesce(len(r.ids), 0) AS BIGINT) AS n_known_sentences,
+       coalesce(array_to_string(r.ids, ','), '') AS sentence_ids, coalesce(array_to_string(r.f, ','), '') AS licences
+FROM docs d LEFT JOIN r{len(RULES)} r USING (rid)
+"""
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(encode(coalesce(html, ''))) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN f.first IS NOT NULL AND f.first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first <> page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_hamming_search": _HAMMING,
+    "op5_licence_scan": _licence_sql(),
+}
