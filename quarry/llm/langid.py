@@ -139,19 +139,20 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
     ``declared``, ``suffix``, ``host`` and ``domain`` are string expressions over ``docs``; NULL or absent ones are no evidence.
     A NULL, empty or letterless text is rejected, whatever its other evidence.  Texts are read whole, whatever their
     length.  Ties go to the language that sorts first.  Repeated rows are rows like any others.  An empty table gives an
-    empty result; a model without languages rejects every row.  Further columns pass through; their names must not begin
-    with two underscores.
+    empty result; a model without languages rejects every row.  Further columns pass through, whatever their names.
     """
     k = len(model.languages)
     none = F.lit(None).cast("string")
-    base = docs
-    for name, c in (("__declared", declared), ("__suffix", suffix), ("__host", host), ("__domain", domain)):
-        base = base.withColumn(name, F.lower(c) if c is not None else none)
+    cols = docs.columns
+    plain = [f"c{i}" for i in range(len(cols))]
+    own = [F.col(p).alias(c) for p, c in zip(plain, cols)]
+    evidence = (("__declared", declared), ("__suffix", suffix), ("__host", host), ("__domain", domain))
+    base = docs.select(*[x.alias(p) for x, p in zip(named(cols), plain)], *[(F.lower(c) if c is not None else none).alias(x) for x, c in evidence])
     base = base.withColumn("__domain", F.coalesce("__domain", "__host"))
     fields = [T.StructField("__ll", T.ArrayType(T.DoubleType())), T.StructField("__even", T.DoubleType()), T.StructField("__grams", T.LongType())]
-    base = materialise(base.mapInArrow(_likelihood(model, text), T.StructType(base.schema.fields + fields)), "likelihoods", "zstd")
+    base = materialise(base.mapInArrow(_likelihood(model, plain[cols.index(text)]), T.StructType(base.schema.fields + fields)), "likelihoods", "zstd")
     if not k:
-        return base.select(*named(docs.columns), none.alias("__language"), F.lit(None).cast("double").alias("__probability"),
+        return base.select(*own, none.alias("__language"), F.lit(None).cast("double").alias("__probability"),
                            none.alias("__text_language"), F.lit(False).alias("__kept"))
     names = F.array(*[F.lit(x) for x in model.languages])
     prior = F.array(*[F.lit(x) for x in model.prior])
@@ -186,7 +187,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
     best = F.array_position("__score", F.col("__best")).cast("int")
     by_text = F.array_position("__ll", F.array_max("__ll")).cast("int")
     kept = (F.col("__grams") > 0) & (F.array_max("__ll") > F.col("__even"))
-    return out.select(*named(docs.columns), F.when(kept, F.element_at(names, best)).alias("__language"),
+    return out.select(*own, F.when(kept, F.element_at(names, best)).alias("__language"),
                       F.when(kept, F.array_max(_softmax(F.col("__score")))).alias("__probability"),
                       F.when(F.col("__grams") > 0, F.element_at(names, by_text)).alias("__text_language"), kept.alias("__kept"))
 

@@ -55,7 +55,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     """Documents of the bucket in which a source's budget ends, in key order: all that fit, then the
-    following ones that still fit the gap, then one more if that comes nearer."""
+    following ones that still fit the gap, then the one of nearest size if that comes nearer."""
     pdf = pdf.sort_values(["key", "rid"])
     size, need = pdf["size"].to_numpy(), float(pdf["need"].iloc[0])
     n = int(np.searchsorted(np.cumsum(size), need, "right"))
@@ -70,9 +70,9 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
         take[at] = True
         gap -= size[at]
         at += 1
-    left = np.where(take, np.iinfo(np.int64).max, size)
-    if len(left) and abs(left.min() - gap) < gap:
-        take[int(left.argmin())] = True
+    off = np.where(take, np.inf, np.abs(size - gap))
+    if len(off) and off.min() < gap:
+        take[int(off.argmin())] = True
     return pd.DataFrame({"rid": pdf["rid"].to_numpy()[take]})
 
 
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, *, source: str = "source", size: str = "__size", weight
     run = Window.partitionBy("source").orderBy("bucket")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("b")).withColumn("upto", F.sum("b").over(run))
     p = per.select(F.col("source").alias("s"), "rest")
-    ends = sums.join(p, sums["source"].eqNullSafe(p["s"])).where("upto > rest and upto - b <= rest") \
+    ends = sums.join(p, sums["source"].eqNullSafe(p["s"])).where("rest > 0 and upto > rest and upto - b <= rest") \
         .select("source", F.col("bucket").alias("end"), (F.col("rest") - F.col("upto") + F.col("b")).alias("need"))
     ends = ends.select(F.col("source").alias("s"), "end", "need")
     at = rows.join(ends, rows["source"].eqNullSafe(ends["s"]))

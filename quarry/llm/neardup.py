@@ -4,32 +4,35 @@ Each distinct shingle set gets a sketch of ``SKETCH`` minwise tokens.  The root
 independent trees sends a set to ``BRANCH`` children, each named by a chosen token position and the
 set's token there; a node that is still large sends its sets on in the same way, by positions chosen by
 the node's own hash.  Small nodes are compared exhaustively: sketches first (a pair is a candidate from
-``CANDIDATE`` equal tokens, four standard deviations below the threshold), then the full shingle sets
-of the candidates, exactly.
+``CANDIDATE`` equal tokens, four standard deviations below the threshold), then the full shingle sets of
+the members that have a candidate, exactly.  A node returns a spanning forest of its links, never its pairs.
 
-Groups of copies cost no pairs: equal sets collapse before the join; a first round compares the pieces
-of a few root children along maximum spanning forests only, and its components are then known, so the
-trees drop every node that lies in one component and compare across components only.
+Groups of copies cost no pairs either: equal sets collapse before the join; a first round compares the
+pieces of a few root children, so most groups are one known component when the trees begin, and these
+drop every node that lies in one component, compare across components only, and examine a pair in
+the first small root child that it shares.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket, materialise, mix64, named, shingles, word_chunks
+from .common import bucket, materialise, mix64, shingles, word_chunks
 
 SKETCH = 64
 TREES, BRANCH = 10, 2
 #: two sets of similarity 0.8 share 51 of 64 tokens on average, standard deviation 3.2
 CANDIDATE = 38
-SMALL_NODE = 1024
+#: members of a small node; a set of more than HEAVY shingles counts as several
+SMALL_NODE, HEAVY = 512, 8192
 MAX_DEPTH = 8
-SEED_TOKENS = 4
+SEED_TOKENS = 2
 
 _RNG = np.random.default_rng(4)
 _MUL = _RNG.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,63 +70,111 @@ def _signer(k: int, text: str):
     return sign
 
 
-def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Maximum spanning forest of a piece under the number of equal tokens, from CANDIDATE on."""
-    pdf = pdf.drop_duplicates("kid").sort_values("kid")
-    kid, s = pdf["kid"].to_numpy(), np.stack(pdf["sketch"].to_numpy())
-    n = len(kid)
-    best, via, out = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, bool)
-    a, b = [], []
-    for _ in range(n):
-        x = int(np.argmax(np.where(out, -2, best)))
-        if best[x] >= CANDIDATE:
-            a.append(kid[via[x]])
-            b.append(kid[x])
-        out[x] = True
-        near = (s == s[x]).sum(axis=1)
-        up = near > best
-        best[up], via[up] = near[up], x
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All candidate pairs of a node that lie in different known components."""
-    pdf = pdf.drop_duplicates("kid").sort_values("kid")
-    kid, comp, s = pdf["kid"].to_numpy(), pdf["comp"].to_numpy(), np.stack(pdf["sketch"].to_numpy())
-    a, b = [], []
-    for x in range(len(kid) - 1):
-        other = np.flatnonzero(comp[x + 1:] != comp[x]) + x + 1
-        hit = other[(s[other] == s[x]).sum(axis=1) >= CANDIDATE]
-        a.append(np.full(len(hit), kid[x]))
-        b.append(kid[hit])
-    cat = lambda v: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)
-    return pd.DataFrame({"a": cat(a), "b": cat(b)})
+def _grouped(df: DataFrame, fn: Callable, schema: str, prepare: Callable | None = None) -> DataFrame:
+    """``fn(columns, first, last)`` on every run of equal ``g``: rows are dealt and sorted by ``g``, so groups are cut out of whole
+    Arrow batches (small groups are many; a call per group through pandas would cost more than their work)."""
+    def run(batches):
+        kept = None
+        for b in batches:
+            if kept is not None:
+                b = pa.concat_batches([kept, b])
+            if not b.num_rows:
+                continue
+            g = b.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))
+            kept = b.slice(cut)
+            if cut:
+                yield from work(b.slice(0, cut))
+        if kept is not None and kept.num_rows:
+            yield from work(kept)
+
+    def work(b):
+        g = b.column("g").to_numpy()
+        cols = _arrays(b) | (prepare(b) if prepare else {})
+        at = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+        out = [fn(cols, i, j) for i, j in zip(at[:-1].tolist(), at[1:].tolist()) if j - i > 1]
+        out = [x for x in out if len(x[0])]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+    names = [x.split()[0] for x in schema.split(", ")]
+    return df.repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
+
+
+def _arrays(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    cols = {n: b.column(n).to_numpy() for n in ("g", "kid", "comp", "place", "done")}
+    return cols | {"sketch": b.column("sketch").flatten().to_numpy().reshape(-1, SKETCH)}
+
+
+def _partners(cols: dict, x: int, lo: int, hi: int) -> np.ndarray:
+    """Members between ``lo`` and ``hi`` of another component with enough tokens of ``x``'s, unless an earlier small node has
+    both (``done`` has a bit for each root child that is compared exhaustively, ``place`` is this node's bit)."""
+    y = np.flatnonzero(cols["comp"][lo:hi] != cols["comp"][x]) + lo
+    if not len(y):
+        return y
+    same = cols["sketch"][y] == cols["sketch"][x]
+    ok = same.sum(axis=1) >= CANDIDATE
+    y, same = y[ok], same[ok]
+    done = int(cols["done"][x]) & ((1 << int(cols["place"][x])) - 1)
+    if done and len(y):
+        y = y[~same[:, [i for i in range(SKETCH - 1) if done >> i & 1]].any(axis=1)]
+    return y
+
 
+def _with_partner(cols: dict, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of a node that have a candidate partner in it."""
+    found = np.zeros(j - i, bool)
+    for x in range(i, j - 1):
+        y = _partners(cols, x, x + 1, j)
+        if len(y):
+            found[x - i] = True
+            found[y - i] = True
+    return cols["g"][i:j][found], cols["kid"][i:j][found]
 
-def _verifier(k: int, percent: int):
-    def sets(col):
+
+def _set_columns(k: int, percent: int):
+    def prepare(b: pa.RecordBatch) -> dict[str, np.ndarray]:
         r, h = [], []
-        for i, j, row, word in word_chunks(col):
+        for i, j, row, word in word_chunks(b.column("text")):
             x, y = shingles(row, word, j - i, k)
             r.append(x + i)
             h.append(y)
-        return np.concatenate(r) if r else np.zeros(0, np.int64), np.concatenate(h) if h else np.zeros(0, np.uint64)
-
-    def verify(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                n = b.num_rows
-                (ra, ha), (rb, hb) = sets(b.column("ta")), sets(b.column("tb"))
-                r, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
-                order = np.lexsort((h, r))
-                r, h = r[order], h[order]
-                same = (r[1:] == r[:-1]) & (h[1:] == h[:-1])
-                both = np.bincount(r[1:][same], minlength=n)
-                union = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - both
-                yield b.select(["a", "b"]).filter(pa.array(100 * both >= percent * union))
-    return verify
+        r, h = np.concatenate(r), np.concatenate(h)
+        return {"shingle": h, "start": np.searchsorted(r, np.arange(b.num_rows + 1)), "percent": percent}
+    return prepare
+
+
+def _links(cols: dict, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of a node's links: candidates are compared on full sets, those with most partners first, until all that
+    are linked are known to be."""
+    kid, start, shingle, percent = cols["kid"], cols["start"], cols["shingle"], cols["percent"]
+    cols = cols | {"comp": cols["comp"].copy()}
+    comp = cols["comp"]
+    a, b = [], []
+    degree = np.zeros(j - i, np.int64)
+    if j - i > 2:
+        for x in range(i, j):
+            degree[x - i] = (np.count_nonzero(cols["sketch"][i:j] == cols["sketch"][x], axis=1) >= CANDIDATE).sum()
+    rank = np.argsort(-degree, kind="stable") + i
+    seen = np.zeros(j - i, bool)
+    for x in rank.tolist():
+        seen[x - i] = True
+        y = _partners(cols, x, i, j)
+        y = y[~seen[y - i]]
+        n, m = start[x + 1] - start[x], start[y + 1] - start[y]
+        y = y[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
+        if not len(y):
+            continue
+        own = shingle[start[x]:start[x + 1]]
+        size = start[y + 1] - start[y]
+        other = np.concatenate([shingle[start[v]:start[v + 1]] for v in y])
+        hit = own[np.minimum(np.searchsorted(own, other), n - 1)] == other
+        both = np.add.reduceat(hit, np.cumsum(size) - size)
+        for v in y[100 * both >= percent * (n + size - both)].tolist():
+            if comp[v] != comp[x]:
+                a.append(kid[x])
+                b.append(kid[v])
+                comp[i:j][comp[i:j] == comp[v]] = comp[x]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -146,76 +197,93 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("kid"), F.col("v").alias("comp")).distinct())
 
 
-def _verified(pairs: DataFrame, base: DataFrame, reps: DataFrame, k: int, percent: int, text: str) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough.  Texts are fetched once for the sets in a pair."""
-    pairs = materialise(pairs.distinct(), "pairs")
-    kids = pairs.select(F.col("a").alias("kid")).unionByName(pairs.select(F.col("b").alias("kid"))).distinct()
-    rids = reps.select("kid", "rid").join(kids, "kid", "left_semi")
-    texts = base.select(F.col("__rid").alias("rid"), F.col(text).alias("text")).join(rids, "rid").select("kid", "text")
-    texts = materialise(texts, "texts", "zstd")
-    both = pairs.join(texts.select(F.col("kid").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("kid").alias("b"), F.col("text").alias("tb")), "b")
-    return materialise(both.select("a", "b", "ta", "tb").mapInArrow(_verifier(k, percent), "a long, b long"), "links")
+class _Join:
+    """What the rounds share: the signed rows, the distinct sets and the similarity asked for."""
+
+    def __init__(self, base: DataFrame, reps: DataFrame, text: str, k: int, percent: int):
+        self.base, self.reps, self.text, self.k, self.percent = base, reps, text, k, percent
 
+    def links(self, members: DataFrame) -> DataFrame:
+        """Links within the nodes of ``(g, kid, comp, place, done)``: sketches narrow the members down, then texts are fetched
+        once per set and compared in the node."""
+        sketch = self.reps.select("kid", "sketch")
+        members = materialise(members, "members")
+        some = materialise(_grouped(members.join(sketch, "kid"), _with_partner, "g long, kid long"), "candidates")
+        rids = self.reps.select("kid", "rid").join(some.select("kid").distinct(), "kid", "left_semi")
+        texts = self.base.select(F.col("__rid").alias("rid"), F.col(self.text).alias("text")).join(rids, "rid").select("kid", "text")
+        texts = texts.join(sketch, "kid")
+        full = members.join(some.distinct(), ["g", "kid"]).join(texts, "kid")
+        return materialise(_grouped(full, _links, "a long, b long", _set_columns(self.k, self.percent)), "links")
 
-def _pieces(rows: DataFrame, stats: DataFrame, small: int) -> DataFrame:
-    """Members of every node in pieces of about ``small``, each piece with the node's first member."""
-    s = stats.select("node", "first", F.ceil(F.col("n") / small).alias("m"))
-    own = rows.join(s, "node").select("node", bucket(F.col("m"), "kid", "node").alias("piece"), "kid")
-    lead = s.where("m > 1").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("piece"),
-                                   F.col("first").alias("kid"))
-    return own.unionByName(lead)
 
+def _weight() -> Column:
+    """What a set counts towards a node's size."""
+    return (F.lit(1) + F.floor(F.col("n") / HEAVY)).cast("long")
 
-def _tree_pairs(sets: DataFrame, small: int, trees: int, branch: int, depth: int) -> DataFrame:
-    """Candidate pairs across components from all trees; ``sets`` is (kid, comp, sketch), written."""
+
+def _seed_members(sets: DataFrame, small: int) -> DataFrame:
+    """Members of the first root children, in pieces of about ``small``, each piece with the child's first member."""
+    rows = sets.select("kid", "w", F.posexplode(F.slice("sketch", 1, SEED_TOKENS)).alias("i", "token")).select(
+        F.xxhash64(F.lit(0), "i", "token").alias("node"), "kid", "w")
+    s = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.min("kid").alias("first")).where("n > 1") \
+        .select("node", "first", F.ceil(F.col("w") / small).alias("m"))
+    # the first member comes with every piece, not twice with its own
+    own = rows.join(s, "node").where("m = 1 or kid <> first").select("node", bucket(F.col("m"), "kid", "node").alias("piece"), "kid")
+    lead = s.where("m > 1").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("piece"), F.col("first").alias("kid"))
+    zero = F.lit(0).cast("long")
+    return own.unionByName(lead).select(F.xxhash64("node", "piece").alias("g"), "kid", F.col("kid").alias("comp"), zero.alias("place"), zero.alias("done"))
+
+
+def _tree_members(sets: DataFrame, small: int, trees: int, branch: int, depth: int) -> DataFrame:
+    """Members ``(g, kid, comp, place, done)`` of the small nodes of all trees that lie in several components; ``sets`` is
+    (kid, comp, w, sketch), written."""
     sketch = sets.select("kid", "sketch")
-    rows = sets.select("kid", "comp", F.posexplode(F.slice("sketch", 1, trees * branch)).alias("i", "token")) \
-        .select(F.xxhash64(F.lit(0), "i", "token").alias("node"), "kid", "comp")
-    found = []
+    rows = sets.select("kid", "comp", "w", F.posexplode(F.slice("sketch", 1, trees * branch)).alias("i", "token")) \
+        .select(F.xxhash64(F.lit(0), "i", "token").alias("node"), F.col("i").cast("long").alias("place"), "kid", "comp", "w")
+    found, done = [], None
     for level in range(1, depth + 1):
-        mixed = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                         F.count(F.lit(1)).alias("n")).where("lo <> hi").select("node", "n")
+        mixed = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("w").alias("n")) \
+            .where("lo <> hi").select("node", "n")
         rows = materialise(rows.join(mixed, "node"), "nodes")
-        leaf = rows.where(F.col("n") <= small).select("node", F.lit(0).cast("long").alias("piece"), "kid", "comp")
+        leaf = rows.where(F.col("n") <= small)
+        if level == 1:
+            done = leaf.groupBy("kid").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("done"))
+            # the first children were compared exhaustively in the first round, if small
+            leaf = leaf.where(F.col("place") >= SEED_TOKENS)
+        found.append(leaf.select(F.xxhash64("node").alias("g"), "kid", "comp", "place"))
         large = rows.where(F.col("n") > small)
-        if not large.isEmpty():
-            # one large component and few others: the others meet each piece of the large one
-            per = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
-            top = materialise(per.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("t"))
-                              .select("node", "n", F.col("t.comp").alias("top"), F.col("t.c").alias("c"),
-                                      (F.col("n") - F.col("t.c")).alias("rest")), "tops")
-            half = small // 2
-            last = level == depth
-            easy = top.where(F.lit(True) if last else F.col("rest") <= half) \
-                .withColumn("m", F.ceil(F.col("c") / half).cast("long")) \
-                .withColumn("r", F.ceil(F.col("rest") / half).cast("long"))
-            at = large.select("node", "kid", "comp").join(easy.select("node", "top", "m", "r"), "node")
-            # blocks of the rest (r, one unless the last level) against blocks of the largest component (m) and
-            # of the rest itself: a member meets every block of the other side
-            mine = F.when(F.col("comp") == F.col("top"), bucket(F.col("m"), "kid")).otherwise(
-                F.col("m") + bucket(F.col("r"), "kid"))
-            at = at.select("node", "kid", "comp", "m", "r", mine.alias("x"))
-            other = F.when(F.col("x") < F.col("m"), F.sequence(F.col("m"), F.col("m") + F.col("r") - 1)).otherwise(
-                F.sequence(F.lit(0).cast("long"), F.col("m") + F.col("r") - 1))
-            at = at.select("node", "kid", "comp", "x", "m", "r", F.explode(other).alias("y")).select(
-                "node", (F.least("x", "y") * (F.col("m") + F.col("r")) + F.greatest("x", "y")).alias("piece"), "kid", "comp")
-            leaf = leaf.unionByName(at)
-        found.append(materialise(leaf.join(sketch, "kid").groupBy("node", "piece").applyInPandas(_across, "a long, b long").distinct(), "found"))
-        if level == depth or large.isEmpty():
+        if large.isEmpty():
+            break
+        # one large component and few others: the others meet each block of the large one
+        per = large.groupBy("node", "comp").agg(F.sum("w").alias("c"))
+        top = materialise(per.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("t")).select(
+            "node", F.col("t.comp").alias("top"), F.col("t.c").alias("c"), (F.col("n") - F.col("t.c")).alias("rest")), "tops")
+        half, last = max(1, small // 2), level == depth
+        easy = top.where(F.lit(last) | (F.col("rest") <= half)).select(
+            "node", "top", F.ceil(F.col("c") / half).cast("long").alias("m"), F.ceil(F.col("rest") / half).cast("long").alias("r"))
+        at = large.select("node", "kid", "comp").join(easy, "node")
+        # blocks 0 .. m-1 of the largest component, m .. m+r-1 of the rest (one, but on the last level): a member meets every
+        # block of the rest, and one of the rest every block
+        block = F.when(F.col("comp") == F.col("top"), bucket(F.col("m"), "kid")).otherwise(F.col("m") + bucket(F.col("r"), "kid"))
+        at = at.select("node", "kid", "comp", "m", (F.col("m") + F.col("r")).alias("all"), block.alias("x"))
+        other = F.sequence(F.when(F.col("x") < F.col("m"), F.col("m")).otherwise(F.lit(0).cast("long")), F.col("all") - 1)
+        at = at.select("node", "kid", "comp", "x", "all", F.explode(other).alias("y"))
+        piece = F.least("x", "y") * F.col("all") + F.greatest("x", "y")
+        found.append(at.select(F.xxhash64("node", piece).alias("g"), "kid", "comp", F.lit(SKETCH - 1).cast("long").alias("place")))
+        if last:
             break
         deeper = large.join(top.where(F.col("rest") > half).select("node"), "node", "left_semi").join(sketch, "kid")
-        place = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(SKETCH))
-        rows = materialise(deeper.select("node", "kid", "comp", F.explode(F.array(*[
-            F.struct(place(i).alias("i"), F.element_at("sketch", (place(i) + 1).cast("int")).alias("token"))
-            for i in range(branch)])).alias("t")).select(
-                F.xxhash64("node", "t.i", "t.token").alias("node"), "kid", "comp").distinct(), "rows")
+        at = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(SKETCH))
+        child = F.explode(F.array(*[F.struct(at(i).alias("i"), F.element_at("sketch", (at(i) + 1).cast("int")).alias("token"))
+                                    for i in range(branch)])).alias("t")
+        rows = materialise(deeper.select("node", "kid", "comp", "w", child).select(
+            F.xxhash64("node", "t.i", "t.token").alias("node"), F.lit(SKETCH - 1).cast("long").alias("place"), "kid", "comp", "w").distinct(), "rows")
         if rows.isEmpty():
             break
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return out.join(done, "kid", "left").select("g", "kid", "comp", "place", F.coalesce("done", F.lit(0).cast("long")).alias("done"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
@@ -228,38 +296,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     A NULL, empty or blank text has no shingles, links with nothing and wins its own component.  Texts are
     compared whole, whatever their length; repeated rows are copies like any others (one of them wins).  A NULL
     id is larger than every id: a component of NULL ids only has a NULL ``__component``.  An empty table gives
-    an empty result.  Further columns pass through; their names must not begin with two underscores.
+    an empty result.  Further columns pass through, whatever their names.
     """
     cols = docs.columns
-    numbered = docs.select(*named(cols), F.monotonically_increasing_id().alias("__rid"))
+    plain = [f"c{i}" for i in range(len(cols))]
+    id_col, text = (plain[cols.index(x)] for x in (id_col, text))
+    numbered = docs.toDF(*plain).withColumn("__rid", F.monotonically_increasing_id())
     signed = T.StructType(numbered.schema.fields + [T.StructField("__n", T.LongType()), T.StructField("__key", T.BinaryType()),
                                                     T.StructField("__sketch", T.ArrayType(T.IntegerType()))])
     base = materialise(numbered.mapInArrow(_signer(shingle, text), signed), "signed", "zstd")
     per = base.where("__n > 0").groupBy(F.col("__key").alias("key")).agg(
         F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("__rid").alias("rid"))).alias("rep"),
-        F.first("__sketch").alias("sketch"))
+        F.first("__n").alias("n"), F.first("__sketch").alias("sketch"))
     reps = materialise(per.select(F.monotonically_increasing_id().alias("kid"), "key", F.col("rep.i").alias("id"),
-                                  F.col("rep.rid").alias("rid"), "sketch"), "reps")
-    # round one: pieces of a few root children, spanning forests only
-    rows = reps.select("kid", F.posexplode(F.slice("sketch", 1, SEED_TOKENS)).alias("i", "token")).select(
-        F.xxhash64(F.lit(0), "i", "token").alias("node"), "kid")
-    stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("kid").alias("first")).where("n > 1")
-    pieces = _pieces(rows, stats, small_node).join(reps.select("kid", "sketch"), "kid")
-    forest = pieces.groupBy("node", "piece").applyInPandas(_forest, "a long, b long")
-    links = _verified(forest, base, reps, shingle, percent, text)
+                                  F.col("rep.rid").alias("rid"), _weight().alias("w"), "sketch"), "reps")
+    join = _Join(base, reps, text, shingle, percent)
+    links = join.links(_seed_members(reps.select("kid", "w", "sketch"), small_node))
     comp = materialise(components(links), "comp")
-    # round two: all trees, across the components known so far
-    sets = materialise(reps.select("kid", "sketch").join(comp, "kid", "left").select(
-        "kid", F.coalesce("comp", "kid").alias("comp"), "sketch"), "sets")
-    more = _verified(_tree_pairs(sets, small_node, trees, branch, max_depth), base, reps, shingle, percent, text)
-    comp = components(comp.select(F.col("kid").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    sets = materialise(reps.select("kid", "w", "sketch").join(comp, "kid", "left").select(
+        "kid", F.coalesce("comp", "kid").alias("comp"), "w", "sketch"), "sets")
+    links = join.links(_tree_members(sets, small_node, trees, branch, max_depth))
+    comp = components(comp.select(F.col("kid").alias("a"), F.col("comp").alias("b")).unionByName(links))
     # labels: the smallest id (and its row) of each component
-    member = reps.select("key", "id", "rid", "kid").join(comp, "kid", "left").withColumn("comp", F.coalesce("comp", "kid"))
-    member = materialise(member, "members")
+    member = materialise(reps.select("key", "id", "rid", "kid").join(comp, "kid", "left").withColumn("comp", F.coalesce("comp", "kid")), "labels")
     best = member.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), "rid")).alias("w"))
     labels = member.select("key", "comp").join(best, "comp").select(
         F.col("key").alias("__key"), F.col("w.i").alias("__component"), F.col("w.rid").alias("__first"))
     out = base.join(labels, "__key", "left")
     alone = F.col("__key").isNull()
-    return out.select(*named(cols), F.col("__n"), F.when(alone, F.col(id_col)).otherwise(F.col("__component")).alias("__component"),
+    return out.select(*[F.col(p).alias(c) for p, c in zip(plain, cols)], F.col("__n"),
+                      F.when(alone, F.col(id_col)).otherwise(F.col("__component")).alias("__component"),
                       F.when(alone, F.lit(True)).otherwise(F.col("__first") == F.col("__rid")).alias("__winner"))

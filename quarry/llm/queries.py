@@ -132,13 +132,13 @@ _HAMMING = """
 WITH v AS (
   SELECT vec_id, min(embedding) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) = 64
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
   GROUP BY vec_id),
-c AS (SELECT vec_id, list_transform(e, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM v),
+c AS (SELECT vec_id, list_transform(e, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM v),
 d AS (
   SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.b, r.b), p -> CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+         CAST(list_sum(list_transform(list_zip(q.b, r.b), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
   FROM c q JOIN c r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d)
 SELECT query_id, rank, vec_id, distance FROM k WHERE rank <= 10
@@ -187,4 +187,5 @@ FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_hamming_search": _HAMMING,
     "op5_licence_scan": _licence_sql(),
+    "op7_warc_merge": _WARC_SQL,
 }
