@@ -32,7 +32,9 @@ CANDIDATE = 38
 #: members of a small node; a set of more than HEAVY shingles counts as several
 SMALL_NODE, HEAVY = 512, 8192
 MAX_DEPTH = 8
-SEED_TOKENS = 2
+#: the first rounds take this many root children per set; rounds after the first deal only children that are too large to be
+#: compared at once, around the member that had most links
+SEED_TOKENS, SEED_ROUNDS = 2, 3
 
 _RNG = np.random.default_rng(4)
 _MUL = _RNG.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -221,17 +223,24 @@ def _weight() -> Column:
     return (F.lit(1) + F.floor(F.col("n") / HEAVY)).cast("long")
 
 
-def _seed_members(sets: DataFrame, small: int) -> DataFrame:
-    """Members of the first root children, in pieces of about ``small``, each piece with the child's first member."""
-    rows = sets.select("kid", "w", F.posexplode(F.slice("sketch", 1, SEED_TOKENS)).alias("i", "token")).select(
-        F.xxhash64(F.lit(0), "i", "token").alias("node"), "kid", "w")
-    s = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.min("kid").alias("first")).where("n > 1") \
-        .select("node", "first", F.ceil(F.col("w") / small).alias("m"))
-    # the first member comes with every piece, not twice with its own
-    own = rows.join(s, "node").where("m = 1 or kid <> first").select("node", bucket(F.col("m"), "kid", "node").alias("piece"), "kid")
-    lead = s.where("m > 1").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("piece"), F.col("first").alias("kid"))
+def _seed_nodes(sets: DataFrame, small: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the first root children and, per child that lies in several components, how many pieces of about ``small`` it has
+    and its leader: the member with most links so far."""
+    rows = sets.select("kid", "comp", "w", "links", F.posexplode(F.slice("sketch", 1, SEED_TOKENS)).alias("i", "token")).select(
+        F.xxhash64(F.lit(0), "i", "token").alias("node"), "kid", "comp", "w", "links")
+    s = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("w").alias("w"),
+                                 F.max(F.struct("links", "kid")).alias("t")).where("lo <> hi")
+    s = s.select("node", F.col("t.kid").alias("lead"), F.ceil(F.col("w") / small).alias("m"))
+    return rows.select("node", "kid", "comp"), s if not salt else s.where("m > 1")
+
+
+def _seed_members(rows: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
+    """The pieces of the nodes as ``(g, kid, comp, place, done)``; the leader comes with every piece."""
+    at = rows.join(nodes, "node")
+    own = at.where("m = 1 or kid <> lead").select("node", bucket(F.col("m"), F.lit(salt), "kid", "node").alias("piece"), "kid", "comp")
+    lead = at.where("m > 1 and kid = lead").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("piece"), "kid", "comp")
     zero = F.lit(0).cast("long")
-    return own.unionByName(lead).select(F.xxhash64("node", "piece").alias("g"), "kid", F.col("kid").alias("comp"), zero.alias("place"), zero.alias("done"))
+    return own.unionByName(lead).select(F.xxhash64("node", "piece").alias("g"), "kid", "comp", zero.alias("place"), zero.alias("done"))
 
 
 def _tree_members(sets: DataFrame, small: int, trees: int, branch: int, depth: int) -> DataFrame:
@@ -311,10 +320,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     reps = materialise(per.select(F.monotonically_increasing_id().alias("kid"), "key", F.col("rep.i").alias("id"),
                                   F.col("rep.rid").alias("rid"), _weight().alias("w"), "sketch"), "reps")
     join = _Join(base, reps, text, shingle, percent)
-    links = join.links(_seed_members(reps.select("kid", "w", "sketch"), small_node))
-    comp = materialise(components(links), "comp")
-    sets = materialise(reps.select("kid", "w", "sketch").join(comp, "kid", "left").select(
-        "kid", F.coalesce("comp", "kid").alias("comp"), "w", "sketch"), "sets")
+    zero = F.lit(0).cast("long")
+    sets, links = reps.select("kid", F.col("kid").alias("comp"), "w", "sketch", zero.alias("links")), None
+    for salt in range(SEED_ROUNDS):
+        rows, nodes = _seed_nodes(sets, small_node, salt)
+        nodes = materialise(nodes, "seeds")
+        if salt and nodes.isEmpty():
+            break
+        new = join.links(_seed_members(rows, nodes, salt))
+        links = new if links is None else links.unionByName(new)
+        comp = materialise(components(links), "comp")
+        ends = links.select(F.col("a").alias("kid")).unionByName(links.select(F.col("b").alias("kid")))
+        ends = comp.join(ends.groupBy("kid").agg(F.count(F.lit(1)).alias("links")), "kid", "left")
+        sets = materialise(reps.select("kid", "w", "sketch").join(ends, "kid", "left").select(
+            "kid", F.coalesce("comp", "kid").alias("comp"), "w", "sketch", F.coalesce("links", zero).alias("links")), "sets")
     links = join.links(_tree_members(sets, small_node, trees, branch, max_depth))
     comp = components(comp.select(F.col("kid").alias("a"), F.col("comp").alias("b")).unionByName(links))
     # labels: the smallest id (and its row) of each component
