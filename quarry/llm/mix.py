@@ -20,7 +20,7 @@ from .common import materialise, named
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8_000
 
 
 def _positions(df: DataFrame, order: Column) -> DataFrame:

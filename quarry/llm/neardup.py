@@ -34,7 +34,10 @@ SMALL_NODE, HEAVY = 512, 8192
 MAX_DEPTH = 8
 #: the first rounds take this many root children per set; rounds after the first deal only children that are too large to be
 #: compared at once, around the member that had most links
-SEED_TOKENS, SEED_ROUNDS = 2, 3
+SEED_TOKENS, SEED_ROUNDS = 2, 2
+#: a larger node is compared in blocks of half a small node if its largest component holds at least half of it and the others fill
+#: at most this many blocks; else its sets are mostly unlike and part on the next level
+REST_BLOCKS = 8
 
 _RNG = np.random.default_rng(4)
 _MUL = _RNG.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,14 +106,18 @@ def _grouped(df: DataFrame, fn: Callable, schema: str, prepare: Callable | None
 
 
 def _arrays(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    cols = {n: b.column(n).to_numpy() for n in ("g", "kid", "comp", "place", "done")}
+    cols = {n: b.column(n).to_numpy() for n in ("g", "kid", "comp", "place", "done", "side")}
     return cols | {"sketch": b.column("sketch").flatten().to_numpy().reshape(-1, SKETCH)}
 
 
 def _partners(cols: dict, x: int, lo: int, hi: int) -> np.ndarray:
-    """Members between ``lo`` and ``hi`` of another component with enough tokens of ``x``'s, unless an earlier small node has
-    both (``done`` has a bit for each root child that is compared exhaustively, ``place`` is this node's bit)."""
-    y = np.flatnonzero(cols["comp"][lo:hi] != cols["comp"][x]) + lo
+    """Members between ``lo`` and ``hi`` of another component with enough tokens of ``x``'s, unless an earlier node has both
+    (``done`` has a bit for each root child that is compared exhaustively, ``place`` is this node's bit) or both are on the same
+    ``side`` of a piece of a larger node (0: no sides)."""
+    other = cols["comp"][lo:hi] != cols["comp"][x]
+    if cols["side"][x]:
+        other &= cols["side"][lo:hi] != cols["side"][x]
+    y = np.flatnonzero(other) + lo
     if not len(y):
         return y
     same = cols["sketch"][y] == cols["sketch"][x]
@@ -206,7 +213,7 @@ class _Join:
         self.base, self.reps, self.text, self.k, self.percent = base, reps, text, k, percent
 
     def links(self, members: DataFrame) -> DataFrame:
-        """Links within the nodes of ``(g, kid, comp, place, done)``: sketches narrow the members down, then texts are fetched
+        """Links within the nodes of ``(g, kid, comp, place, done, side)``: sketches narrow the members down, then texts are fetched
         once per set and compared in the node."""
         sketch = self.reps.select("kid", "sketch")
         members = materialise(members, "members")
@@ -235,18 +242,20 @@ def _seed_nodes(sets: DataFrame, small: int, salt: int) -> tuple[DataFrame, Data
 
 
 def _seed_members(rows: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
-    """The pieces of the nodes as ``(g, kid, comp, place, done)``; the leader comes with every piece."""
+    """The pieces of the nodes as ``(g, kid, comp, place, done, side)``; the leader comes with every piece."""
     at = rows.join(nodes, "node")
     own = at.where("m = 1 or kid <> lead").select("node", bucket(F.col("m"), F.lit(salt), "kid", "node").alias("piece"), "kid", "comp")
     lead = at.where("m > 1 and kid = lead").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("piece"), "kid", "comp")
     zero = F.lit(0).cast("long")
-    return own.unionByName(lead).select(F.xxhash64("node", "piece").alias("g"), "kid", "comp", zero.alias("place"), zero.alias("done"))
+    return own.unionByName(lead).select(F.xxhash64("node", "piece").alias("g"), "kid", "comp", zero.alias("place"), zero.alias("done"),
+                                         zero.alias("side"))
 
 
 def _tree_members(sets: DataFrame, small: int, trees: int, branch: int, depth: int) -> DataFrame:
-    """Members ``(g, kid, comp, place, done)`` of the small nodes of all trees that lie in several components; ``sets`` is
-    (kid, comp, w, sketch), written."""
+    """Members ``(g, kid, comp, place, done, side)`` of the nodes of all trees that lie in several components and are to be compared
+    exhaustively; ``sets`` is (kid, comp, w, sketch), written."""
     sketch = sets.select("kid", "sketch")
+    zero = F.lit(0).cast("long")
     rows = sets.select("kid", "comp", "w", F.posexplode(F.slice("sketch", 1, trees * branch)).alias("i", "token")) \
         .select(F.xxhash64(F.lit(0), "i", "token").alias("node"), F.col("i").cast("long").alias("place"), "kid", "comp", "w")
     found, done = [], None
@@ -255,33 +264,36 @@ def _tree_members(sets: DataFrame, small: int, trees: int, branch: int, depth: i
             .where("lo <> hi").select("node", "n")
         rows = materialise(rows.join(mixed, "node"), "nodes")
         leaf = rows.where(F.col("n") <= small)
+        large = rows.where(F.col("n") > small)
+        any_large = not large.isEmpty()
+        whole = leaf.select("kid", "place")
+        if any_large:
+            # one large component and fewer others: blocks of the others meet each block of the large one and each other
+            per = large.groupBy("node", "comp").agg(F.sum("w").alias("c"))
+            top = materialise(per.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("t")).select(
+                "node", F.col("t.comp").alias("top"), F.col("t.c").alias("c"), (F.col("n") - F.col("t.c")).alias("rest")), "tops")
+            half, last = max(1, small // 2), level == depth
+            fits = F.lit(last) | ((F.col("rest") <= REST_BLOCKS * half) & (F.col("rest") <= F.col("c")))
+            easy = top.where(fits).select("node", "top", F.ceil(F.col("c") / half).cast("long").alias("m"),
+                                          F.ceil(F.col("rest") / half).cast("long").alias("r"))
+            at = large.select("node", "place", "kid", "comp").join(easy, "node")
+            whole = whole.unionByName(at.select("kid", "place"))
+            # blocks 0 .. m-1 of the largest component, m .. m+r-1 of the rest; pieces are pairs of blocks, at least one of the rest
+            block = F.when(F.col("comp") == F.col("top"), bucket(F.col("m"), "kid")).otherwise(F.col("m") + bucket(F.col("r"), "kid"))
+            at = at.select("node", "place", "kid", "comp", "m", (F.col("m") + F.col("r")).alias("all"), block.alias("x"))
+            other = F.sequence(F.when(F.col("x") < F.col("m"), F.col("m")).otherwise(zero), F.col("all") - 1)
+            at = at.select("node", "place", "kid", "comp", "x", "all", F.explode(other).alias("y"))
+            piece = F.least("x", "y") * F.col("all") + F.greatest("x", "y")
+            side = F.when(F.col("x") == F.col("y"), zero).otherwise(F.lit(1) + (F.col("x") < F.col("y")).cast("long"))
+            found.append(at.select(F.xxhash64("node", piece).alias("g"), "kid", "comp", "place", side.alias("side")))
         if level == 1:
-            done = leaf.groupBy("kid").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("done"))
+            done = whole.groupBy("kid").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("done"))
             # the first children were compared exhaustively in the first round, if small
             leaf = leaf.where(F.col("place") >= SEED_TOKENS)
-        found.append(leaf.select(F.xxhash64("node").alias("g"), "kid", "comp", "place"))
-        large = rows.where(F.col("n") > small)
-        if large.isEmpty():
-            break
-        # one large component and few others: the others meet each block of the large one
-        per = large.groupBy("node", "comp").agg(F.sum("w").alias("c"))
-        top = materialise(per.groupBy("node").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("t")).select(
-            "node", F.col("t.comp").alias("top"), F.col("t.c").alias("c"), (F.col("n") - F.col("t.c")).alias("rest")), "tops")
-        half, last = max(1, small // 2), level == depth
-        easy = top.where(F.lit(last) | (F.col("rest") <= half)).select(
-            "node", "top", F.ceil(F.col("c") / half).cast("long").alias("m"), F.ceil(F.col("rest") / half).cast("long").alias("r"))
-        at = large.select("node", "kid", "comp").join(easy, "node")
-        # blocks 0 .. m-1 of the largest component, m .. m+r-1 of the rest (one, but on the last level): a member meets every
-        # block of the rest, and one of the rest every block
-        block = F.when(F.col("comp") == F.col("top"), bucket(F.col("m"), "kid")).otherwise(F.col("m") + bucket(F.col("r"), "kid"))
-        at = at.select("node", "kid", "comp", "m", (F.col("m") + F.col("r")).alias("all"), block.alias("x"))
-        other = F.sequence(F.when(F.col("x") < F.col("m"), F.col("m")).otherwise(F.lit(0).cast("long")), F.col("all") - 1)
-        at = at.select("node", "kid", "comp", "x", "all", F.explode(other).alias("y"))
-        piece = F.least("x", "y") * F.col("all") + F.greatest("x", "y")
-        found.append(at.select(F.xxhash64("node", piece).alias("g"), "kid", "comp", F.lit(SKETCH - 1).cast("long").alias("place")))
-        if last:
+        found.append(leaf.select(F.xxhash64("node").alias("g"), "kid", "comp", "place", zero.alias("side")))
+        if not any_large or last:
             break
-        deeper = large.join(top.where(F.col("rest") > half).select("node"), "node", "left_semi").join(sketch, "kid")
+        deeper = large.join(top.where(~fits).select("node"), "node", "left_semi").join(sketch, "kid")
         at = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(SKETCH))
         child = F.explode(F.array(*[F.struct(at(i).alias("i"), F.element_at("sketch", (at(i) + 1).cast("int")).alias("token"))
                                     for i in range(branch)])).alias("t")
@@ -292,7 +304,7 @@ def _tree_members(sets: DataFrame, small: int, trees: int, branch: int, depth: i
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.join(done, "kid", "left").select("g", "kid", "comp", "place", F.coalesce("done", F.lit(0).cast("long")).alias("done"))
+    return out.join(done, "kid", "left").select("g", "kid", "comp", "place", F.coalesce("done", zero).alias("done"), "side")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
