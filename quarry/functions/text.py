@@ -29,7 +29,9 @@ def py_strip(col) -> Column:
     ``trim`` only removes spaces and ``\\s`` misses U+001C..U+001F, U+0085 and the Z categories.
     """
     c = _c(col)
-    return F.regexp_replace(F.regexp_replace(c, rf"^{WS_CLASS_JAVA}+", ""), rf"{WS_CLASS_JAVA}+\z", "")
+    # the lookbehind starts a match at the first blank of a run only, so inner runs cost their length, not its square
+    return F.regexp_replace(F.regexp_replace(c, rf"\A{WS_CLASS_JAVA}+", ""),
+                            rf"(?<!{WS_CLASS_JAVA}){WS_CLASS_JAVA}+\z", "")
 
 
 def remove_whitespace(col) -> Column:
@@ -61,21 +63,41 @@ def contains_any(col, needles: Iterable[str]) -> Column:
 
 
 # F5 / F6 / F7 ---------------------------------------------------------------------------------
+def _whole_json(col) -> Column:
+    """The text as a variant, NULL unless all of it is one JSON value.
+
+    The parser stops after the first value, so the text is parsed inside an array and inside an object: trailing
+    characters break at least one of them.
+    """
+    c = _c(col)
+    inside = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    alone = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.when(inside.isNotNull(), F.try_variant_get(alone, "$.v", "variant"))
+
+
 def json_truthy_field(col, field: str) -> Column:
-    """``json.loads(s).get(field)`` in a try: bad JSON, non-objects and empty values give NULL."""
-    return F.nullif(F.get_json_object(_c(col), f"$.{field}"), F.lit(""))
+    """``json.loads(s).get(field)`` in a try, as text: bad JSON (anything after the value included), non-objects and
+    falsy values (``null``, ``false``, 0, ``""``, ``[]``, ``{}``) give NULL.  An object with a repeated key counts as bad."""
+    v = F.try_variant_get(_whole_json(col), f"$.{field}", "variant")
+    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    falsy = (v.isNull() | (kind == "VOID") | ((kind == "BOOLEAN") & (text == "false")) | ((kind == "STRING") & (text == ""))
+             | (kind.startswith("ARRAY") & (text == "[]")) | (kind.startswith("OBJECT") & (text == "{}"))
+             | (kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (text.try_cast("double") == 0)))
+    return F.when(~falsy, text)
 
 
 def json_first_element(col, strict: bool = False) -> Column:
-    """First element of a JSON string array; unparsable input gives ``''`` (K5).
+    """First element of a JSON array; unparsable input, trailing characters included, gives ``''`` (K5).
 
-    A valid empty array is an error in ``strict`` mode, NULL otherwise.
+    A valid empty array is an error in ``strict`` mode, NULL otherwise; so is a first element ``null``.
     """
-    parsed = F.from_json(_c(col), "array<string>")
-    first = F.get(parsed, 0)
+    whole = _whole_json(col)
+    n = F.size(F.try_variant_get(whole, "$", "array<variant>"))
+    first = F.try_variant_get(whole, "$[0]", "string")
     if strict:
-        first = F.when(F.size(parsed) == 0, F.raise_error(F.lit("solutions is an empty JSON array"))).otherwise(first)
-    return F.when(parsed.isNull(), F.lit("")).otherwise(first)
+        first = F.when(n == 0, F.raise_error(F.lit("solutions is an empty JSON array"))).otherwise(
+            F.coalesce(first, F.raise_error(F.lit("solutions has no text as first element"))))
+    return F.when(whole.isNull() | ~F.schema_of_variant(whole).startswith("ARRAY"), F.lit("")).otherwise(first)
 
 
 def empty_to_null(col) -> Column:
@@ -128,8 +150,10 @@ def render_messages(col, open_marker: str = CHATML_OPEN, close_marker: str = CHA
                     role_suffix: str = "\n") -> Column:
     """Render a message array to one string: ``open + role + suffix + content + close`` per turn."""
     return F.array_join(
-        F.transform(_c(col), lambda m: F.concat(F.lit(open_marker), m["role"], F.lit(role_suffix),
-                                                m["content"], F.lit(close_marker))), "")
+        F.transform(_c(col), lambda m: F.concat(
+            F.lit(open_marker), m["role"], F.lit(role_suffix),
+            # a turn without content must not vanish from the prompt
+            F.coalesce(m["content"], F.raise_error(F.lit("a turn has no content")).cast("string")), F.lit(close_marker))), "")
 
 
 def render_cut(col, **markers) -> Column:

@@ -45,9 +45,19 @@ def align_diagnostics(references: DataFrame, responses: DataFrame, key: str = "e
             .drop("_has_ref", "_has_resp"))
 
 
+def _unique_responses(responses: DataFrame, keys: list[str]) -> DataFrame:
+    """Responses, one row per key; a repeated key is an error, raised at run time (it would count twice in every score)."""
+    cols = [c for c in responses.columns if c not in keys]
+    agg = responses.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in cols])
+    name = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    guard = F.when(F.col("_copies") > 1, F.raise_error(F.concat(F.lit(f"several responses for {', '.join(keys)} "), name)))
+    return agg.where(guard.isNull()).drop("_copies")
+
+
 def align(references: DataFrame, responses: DataFrame, key: str = "example_id",
-          on_missing: str = "raise") -> DataFrame:
-    """One row per reference with its response.
+          on_missing: str = "raise", unique_responses: bool = False, generation: str = "gen_id") -> DataFrame:
+    """One row per reference and response.  With ``unique_responses`` several responses for one reference (and
+    ``generation``, where responses have that column) fail the job, as scores need.
 
     ``on_missing='raise'``: a reference without a response (or a response without a reference)
     fails the job.  ``on_missing='wrong'``: a missing response stays NULL (scored as wrong); a
@@ -55,7 +65,8 @@ def align(references: DataFrame, responses: DataFrame, key: str = "example_id",
     """
     if on_missing not in ("raise", "wrong"):
         raise ValueError("on_missing must be 'raise' or 'wrong'")
-    d = align_diagnostics(references, responses, key)
+    keys = [key, generation] if generation in responses.columns else [key]
+    d = align_diagnostics(references, _unique_responses(responses, keys) if unique_responses else responses, key)
     orphan = ~F.col("has_reference")
     bad = orphan | ~F.col("has_response") if on_missing == "raise" else orphan
     guard = F.when(bad, F.raise_error(F.concat(F.lit(f"unaligned {key} "), F.col(key).cast("string"))))

@@ -1,21 +1,21 @@
 """Text-overlap metrics: exact match (A1), chrF / chrF++ (A2, A3), per-example forms (A4),
 EM@k (A9) and corpus n-gram overlap (A10).
 
-Plan shape for the n-gram metrics (chrF, BLEU) at scale: the (hypothesis, reference) rows are
-grouped once by (example key, pair hash) — a map-side-combined aggregate, so copies of a pair
-collapse before the only shuffle, which moves raw text.  The n-gram explosion, the per-gram counts
-and the per-pair statistics then run partition-local (the aggregates' required distribution is
-already satisfied by that partitioning, so no exploded row is ever shuffled).  Only the per-pair
-statistics (a few numbers per pair) reach the final corpus aggregate, which is partial-aggregated
-map-side.
+Plan shape for the n-gram metrics (chrF, BLEU) at scale: a pair's statistics are computed where its
+row is (``mapInArrow`` over whole texts, numpy inside); only a few numbers per pair reach the corpus
+aggregate, which is partial-aggregated map-side.  No text is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import string
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import _c, remove_whitespace, split_whitespace
 from ._check import require_columns
 
 # --- fixed values: Python keywords (the language's reserved words), weight 1.0 in the weighted
@@ -37,94 +37,123 @@ def exact_match(df: DataFrame, prediction: str, reference: str, group_by: list[s
 
 
 # shared n-gram machinery ----------------------------------------------------------------------
-def _guarded_positions(count: Column) -> Column:
-    """``sequence(1, count)``, empty when count < 1 (Spark's sequence would count down)."""
-    return F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-
-
-def code_points(text) -> Column:
-    """The text as an array of single code points (surrogate pairs stay whole)."""
-    return F.regexp_extract_all(_c(text), F.lit("(?s)."), 0)
+_PUNCT = frozenset(string.punctuation)
+_SLICE_CHARS = 1 << 21  # characters handled at once in a task, however large its Arrow batches
 
 
-def chrf_word_tokens(text) -> Column:
+def chrf_words(text: str) -> list[str]:
     """chrF++ words: whitespace split; a token longer than one char loses a trailing ASCII
     punctuation mark into its own token, else a leading one."""
-    def edge(w):
-        n = F.length(w)
-        return (F.when(n == 1, F.array(w))
-                .when(w.rlike(r"\p{Punct}$"), F.array(F.substring(w, F.lit(1), n - 1), F.substring(w, -1, 1)))
-                .when(w.rlike(r"^\p{Punct}"), F.array(F.substring(w, 1, 1), F.substring(w, F.lit(2), n - 1)))
-                .otherwise(F.array(w)))
-    return F.flatten(F.transform(split_whitespace(_c(text)), edge))
-
-
-def _positions(count: Column) -> Column:
-    return F.explode(_guarded_positions(count))
+    out = []
+    for w in text.split():
+        if len(w) > 1 and w[-1] in _PUNCT:
+            out += (w[:-1], w[-1])
+        elif len(w) > 1 and w[0] in _PUNCT:
+            out += (w[0], w[1:])
+        else:
+            out.append(w)
+    return out
+
+
+def _dense(units: np.ndarray) -> np.ndarray:
+    return np.unique(units, return_inverse=True)[1].astype(np.int64)
+
+
+def _orders(unit: np.ndarray, text: np.ndarray, max_order: int):
+    """For n = 1 .. ``max_order``: the start of every n-gram that lies in one text and a number that equals another's exactly where
+    both are the same n-gram of the same pair.  ``unit`` numbers units per pair, ``text`` numbers texts (two per pair)."""
+    at, gram = np.arange(len(unit)), unit
+    yield at, gram
+    base = int(unit.max(initial=0)) + 1
+    for n in range(2, max_order + 1):
+        ok = at + n - 1 < len(unit)
+        at, gram = at[ok], gram[ok]
+        ok = text[at] == text[at + n - 1]
+        at, gram = at[ok], gram[ok]
+        gram = _dense(gram * base + unit[at + n - 1])  # both below 2^31
+        yield at, gram
+
+
+def _kind_stats(unit: np.ndarray, text: np.ndarray, pairs: int, max_order: int, weight: np.ndarray | None) -> list[np.ndarray]:
+    """Per order an array (5, pairs): h, r, m and the unweighted hu, ru.  ``weight`` weighs unigrams."""
+    out = []
+    for n, (at, gram) in enumerate(_orders(unit, text, max_order), 1):
+        kinds = int(gram.max(initial=-1)) + 1
+        hyp = text[at] % 2 == 0
+        pair = np.zeros(kinds, np.int64)
+        pair[gram] = text[at] // 2
+        h, r = (np.bincount(gram[x], minlength=kinds) for x in (hyp, ~hyp))
+        w = np.ones(kinds)
+        if n == 1 and weight is not None:
+            w[gram] = weight[at]
+        out.append(np.stack([np.bincount(pair, weights=c, minlength=pairs) for c in (h * w, r * w, np.minimum(h, r) * w, h, r)]).astype(np.float64))
+    return out
+
+
+def _unit_arrays(texts: list, kind: str) -> tuple[np.ndarray, np.ndarray, list | None]:
+    """Units of all texts numbered per pair, the text of each, and the words themselves."""
+    if kind == "c":
+        solid = ["".join(t.split()) for t in texts]
+        code = "".join(solid).encode("utf-32-le", "surrogatepass")
+        cp = np.frombuffer(code, np.uint32).astype(np.int64) if code else np.zeros(0, np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in solid])
+        return _dense((text // 2 << 21) + cp), text, None
+    words = [chrf_words(t) if kind == "chrf" else t.split() for t in texts]
+    flat = [w for ws in words for w in ws]
+    numbers: dict = {}
+    word = np.array([numbers.setdefault(w, len(numbers)) for w in flat], np.int64)
+    text = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+    return _dense((text // 2) * (len(numbers) + 1) + word), text, flat
+
+
+def _pair_stats(keys: list[str], char_order: int, word_order: int, words: str, weights: dict | None, h_needs_ref: bool):
+    def slices(b):
+        size = np.cumsum([len(h or "") + len(r or "") for h, r in zip(b.column("_h").to_pylist(), b.column("_r").to_pylist())])
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + _SLICE_CHARS, "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole):
+                n = b.num_rows
+                texts = [t or "" for pair in zip(b.column("_h").to_pylist(), b.column("_r").to_pylist()) for t in pair]
+                for kind, order, how in (("c", char_order, "c"), ("w", word_order, words)):
+                    if not order:
+                        continue
+                    unit, text, flat = _unit_arrays(texts, how)
+                    weight = None if weights is None or kind == "c" else np.array([weights.get(w, OTHER_WEIGHT) for w in flat])
+                    for o, stats in enumerate(_kind_stats(unit, text, n, order, weight), 1):
+                        if h_needs_ref:
+                            stats[0] = np.where(stats[1] > 0, stats[0], 0.0)
+                        yield pa.RecordBatch.from_arrays(
+                            [*[b.column(f"_k{i}") for i in range(len(keys))], pa.array([kind] * n, pa.string()),
+                             pa.array(np.full(n, o, np.int32)), *[pa.array(x) for x in stats]],
+                            names=[*keys, "kind", "n", "h", "r", "m", "hu", "ru"])
+    return run
 
 
 def ngram_match_stats(df: DataFrame, keys: list[str], hypothesis: str, reference: str,
-                      char_order: int = 6, word_order: int = 0, words_fn=chrf_word_tokens,
-                      weights: Column | None = None, h_needs_ref: bool = False) -> DataFrame:
-    """Per distinct pair (``keys`` + ``_pair`` hash) and (kind, order): hypothesis count ``h``,
-    reference count ``r`` and clipped matches ``m = sum_g min(h_g, r_g)`` (plus unweighted
-    ``hu``/``ru``), already multiplied by the pair's copy count.  With ``h_needs_ref`` an order
+                      char_order: int = 6, word_order: int = 0, words: str = "chrf",
+                      weights: dict[str, float] | None = None, h_needs_ref: bool = False) -> DataFrame:
+    """Per row and (kind, order): hypothesis count ``h``, reference count ``r`` and clipped matches
+    ``m = sum_g min(h_g, r_g)`` (plus unweighted ``hu``/``ru``).  With ``h_needs_ref`` an order
     whose reference has no n-gram contributes no hypothesis count (chrF's rule, per pair).
 
-    Plan: rows are first grouped by ``(keys, xxhash64(hypothesis, reference))`` — a partial
-    (map-side) aggregate, so copies of a pair collapse before the only shuffle, which moves raw
-    text, never n-grams.  Each distinct pair carries its copy count ``_w`` and is exploded once;
-    the per-gram and per-pair aggregates then reuse that hash partitioning (their keys include
-    it), so no exploded row is shuffled.  Statistics are additive, so a pair's statistics times
-    its copy count equal the statistics of its copies; pairs that share a key but differ in text
-    are kept apart by the hash and summed per key at the end.  n-grams are read from unit arrays
-    (code points with whitespace removed, or words) — O(n) per gram; ``substring(s, pos, n)``
-    would rescan the UTF-8 prefix and be quadratic in text length.
-    Character grams are keyed by packed code points (fixed-width longs), word grams by their text.
-    ``weights`` (optional, a function of the word-gram column ``g``) weights word unigram counts.
+    A pair's statistics depend on its own row only, so nothing is shuffled: Arrow batches are turned into arrays of
+    units (code points without whitespace, or words), n-grams are numbered order by order (an n-gram is its
+    first n-1 units' number and its last unit, so numbers are exact), and counts come from sorted numbers.  Rows hold a few numbers
+    per order afterwards and are summed map-side.  ``weights`` (word -> weight, others ``OTHER_WEIGHT``) weigh word
+    unigrams; ``words`` is "chrf" or "plain" (whitespace split).
     """
     require_columns(df, hypothesis, reference, *keys)
-    # null flags next to the texts: Spark's hash skips NULLs, so (NULL, x) and (x, NULL) would collide
-    pair = F.xxhash64(F.col(hypothesis), F.col(hypothesis).isNull(), F.col(reference), F.col(reference).isNull())
-    distinct = df.groupBy(*keys, pair.alias("_pair")).agg(
-        F.first(hypothesis).alias("_h"), F.first(reference).alias("_r"), F.count(F.lit(1)).alias("_w"))
-    side = distinct.select(*keys, "_pair", "_w", F.inline(F.array(
-        F.struct(F.lit(1).alias("is_h"), F.col("_h").alias("t")),
-        F.struct(F.lit(0).alias("is_h"), F.col("_r").alias("t")))))
-    no_longs, no_words = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-    units = side.select(*keys, "_pair", "_w", "is_h",
-                        (F.transform(code_points(remove_whitespace("t")), lambda c: F.ascii(c).cast("long"))
-                         if char_order else no_longs).alias("cp"),
-                        (words_fn(F.col("t")) if word_order else no_words).alias("ws"))
-    orders = [("c", n) for n in range(1, char_order + 1)] + [("w", n) for n in range(1, word_order + 1)]
-    spec = units.select(*keys, "_pair", "_w", "is_h", F.inline(F.array(
-        *[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for k, n in orders])), "cp", "ws")
-    is_c = F.col("kind") == "c"
-    count = F.when(is_c, F.size("cp")).otherwise(F.size("ws")) - F.col("n") + 1
-    pos = spec.select(*keys, "_pair", "_w", "is_h", "kind", "n", "cp", "ws", _positions(count).alias("pos"))
-    # a character n-gram is its code points packed 3 per long (21 bits each; code points < 2^21),
-    # zero-padded past n: injective for a fixed order, fixed-width, no string built per gram
-    def cp_at(j):
-        return F.when(is_c & (F.col("n") > j), F.get(F.col("cp"), F.col("pos") - 1 + j)).otherwise(F.lit(0).cast("long"))
-    packed = [F.shiftleft(cp_at(3 * i), 42) + F.shiftleft(cp_at(3 * i + 1), 21) + cp_at(3 * i + 2)
-              for i in range(max(1, -(-char_order // 3)))]
-    # a word n-gram is its words joined by a space (no whitespace inside a word: unambiguous)
-    word_gram = F.when(~is_c, F.array_join(F.slice("ws", F.col("pos"), F.col("n")), " "))
-    k_cols = [f"_k{i}" for i in range(len(packed))]
-    grams = pos.select(*keys, "_pair", "_w", "is_h", "kind", "n",
-                       *[k.alias(c) for k, c in zip(packed, k_cols)], word_gram.alias("g"))
-    per_gram = grams.groupBy(*keys, "_pair", "_w", "kind", "n", *k_cols, "g").agg(
-        F.sum("is_h").alias("hc"), F.sum(1 - F.col("is_h")).alias("rc"))
-    w = F.lit(1.0) if weights is None else \
-        F.when((F.col("kind") == "w") & (F.col("n") == 1), weights).otherwise(F.lit(1.0))
-    per_pair = per_gram.groupBy(*keys, "_pair", "_w", "kind", "n").agg(
-        F.sum(F.col("hc") * w).alias("h"), F.sum(F.col("rc") * w).alias("r"),
-        F.sum(F.least("hc", "rc") * w).alias("m"),
-        F.sum("hc").alias("hu"), F.sum("rc").alias("ru"))
-    if h_needs_ref:
-        per_pair = per_pair.withColumn("h", F.when(F.col("r") > 0, F.col("h")).otherwise(F.lit(0.0)))
-    return per_pair.select(*keys, "_pair", "kind", "n",
-                           *[(F.col(c) * F.col("_w")).alias(c) for c in ("h", "r", "m", "hu", "ru")])
+    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(hypothesis).alias("_h"), F.col(reference).alias("_r"))
+    numbers = [T.StructField(c, T.DoubleType()) for c in ("h", "r", "m", "hu", "ru")]
+    schema = T.StructType([*[T.StructField(k, f.dataType) for k, f in zip(keys, rows.schema.fields)],
+                           T.StructField("kind", T.StringType()), T.StructField("n", T.IntegerType()), *numbers])
+    return rows.mapInArrow(_pair_stats(keys, char_order, word_order, words, weights, h_needs_ref), schema)
 
 
 # A2 / A3 / A4 ---------------------------------------------------------------------------------
@@ -150,34 +179,39 @@ def chrf(df: DataFrame, prediction: str, reference: str, example_id: str = "exam
     """Corpus chrF (word_order=0) or chrF++ (word_order=2): statistics summed over the corpus
     (per ``group_by``) before precision/recall are averaged over the orders."""
     group_by = list(group_by or [])
-    stats = _chrf_stats(df, group_by + [example_id], prediction, reference, char_order, word_order)
+    stats = _chrf_stats(df, group_by, prediction, reference, char_order, word_order)
     corpus = stats.groupBy(*group_by, "kind", "n").agg(F.sum("h").alias("h"), F.sum("r").alias("r"),
                                                         F.sum("m").alias("m"))
     return _fscore(corpus, group_by, beta, out)
 
 
 def chrf_family(df: DataFrame, prediction: str, reference: str, example_id: str = "example_id",
-                group_by: list[str] | None = None, beta: float = 2.0) -> DataFrame:
+                group_by: list[str] | None = None, beta: float = 2.0, also: dict | None = None) -> DataFrame:
     """chrF and chrF++ from ONE n-gram pass: chrF++'s statistics contain chrF's (the character
-    orders), so both scores come out of the same corpus table in one aggregate."""
+    orders), so both scores come out of the same corpus table in one aggregate.  ``also`` maps further
+    columns to aggregate functions over the examples, computed in the same pass."""
     group_by = list(group_by or [])
-    stats = _chrf_stats(df, group_by + [example_id], prediction, reference, 6, 2)
+    keys = [*group_by, *(also or {})]
+    stats = _chrf_stats(df, keys, prediction, reference, 6, 2)
+    once = (F.col("kind") == "c") & (F.col("n") == 1)  # one row of each example
+    more = [f(F.when(once, F.col(c))).alias(f"_{c}") for c, f in (also or {}).items()]
     corpus = stats.groupBy(*group_by, "kind", "n").agg(F.sum("h").alias("h"), F.sum("r").alias("r"),
-                                                        F.sum("m").alias("m"))
+                                                        F.sum("m").alias("m"), *more)
     ok = (F.col("h") > 0) & (F.col("r") > 0)
     chars = F.col("kind") == "c"
     agg = corpus.groupBy(*group_by).agg(
         F.avg(F.when(ok & chars, F.col("m") / F.col("h"))).alias("_pc"),
         F.avg(F.when(ok & chars, F.col("m") / F.col("r"))).alias("_rc"),
         F.avg(F.when(ok, F.col("m") / F.col("h"))).alias("_pa"),
-        F.avg(F.when(ok, F.col("m") / F.col("r"))).alias("_ra"))
+        F.avg(F.when(ok, F.col("m") / F.col("r"))).alias("_ra"),
+        *[F.max(f"_{c}").alias(c) for c in (also or {})])
     b2 = beta * beta
 
     def score(p, r):
         return F.when(F.coalesce(F.col(p) + F.col(r), F.lit(0.0)) > 0,
                       100.0 * (1 + b2) * F.col(p) * F.col(r) / (b2 * F.col(p) + F.col(r))).otherwise(F.lit(0.0))
 
-    return agg.select(*group_by, score("_pc", "_rc").alias("chrf"), score("_pa", "_ra").alias("chrf_pp"))
+    return agg.select(*group_by, *(also or {}), score("_pc", "_rc").alias("chrf"), score("_pa", "_ra").alias("chrf_pp"))
 
 
 def chrf_per_example(df: DataFrame, prediction: str, reference: str, example_id: str = "example_id",
@@ -186,9 +220,7 @@ def chrf_per_example(df: DataFrame, prediction: str, reference: str, example_id:
     """Sentence-level chrF for every example (examples without any n-gram score 0)."""
     stats = _chrf_stats(df, [example_id], prediction, reference, char_order, word_order)
     per_key = stats.groupBy(example_id, "kind", "n").agg(*[F.sum(c).alias(c) for c in ("h", "r", "m")])
-    scored = _fscore(per_key, [example_id], beta, out)
-    ids = df.select(example_id).distinct()
-    return ids.join(scored, example_id, "left").select(example_id, F.coalesce(F.col(out), F.lit(0.0)).alias(out))
+    return _fscore(per_key, [example_id], beta, out)
 
 
 # A10 ------------------------------------------------------------------------------------------
@@ -203,12 +235,8 @@ def ngram_overlap(df: DataFrame, prediction: str, reference: str, example_id: st
     are weighted — the keyword-weighted overlap.  This is n-gram overlap only; it is not CodeBLEU.
     """
     group_by = list(group_by or [])
-    weights = None
-    if keyword_weights is not None:
-        m = F.create_map(*[x for k, v in keyword_weights.items() for x in (F.lit(k), F.lit(float(v)))])
-        weights = F.coalesce(F.try_element_at(m, F.col("g")), F.lit(OTHER_WEIGHT))
-    stats = ngram_match_stats(df, group_by + [example_id], prediction, reference, char_order=0,
-                              word_order=max_order, words_fn=split_whitespace, weights=weights)
+    stats = ngram_match_stats(df, group_by, prediction, reference, char_order=0, word_order=max_order,
+                              words="plain", weights=keyword_weights)
     orders = range(1, max_order + 1)
     corpus = stats.groupBy(*group_by).agg(
         *[F.sum(F.when(F.col("n") == n, F.col("m"))).alias(f"m{n}") for n in orders],

@@ -42,18 +42,19 @@ def generation_summary(outcomes: DataFrame, problem: str = "problem_id", generat
     s = F.col(status).cast("int")
     return outcomes.groupBy(*(group_by or []), problem, generation).agg(
         F.avg(F.when(s > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("pass_share"),
-        F.bool_and(s > 0).alias("all_pass"),
-        F.bool_or(s == -2).alias("compile_error"),
-        F.bool_or(s == -1).alias("runtime_error"),
+        # a test without a status has not passed
+        F.bool_and(F.coalesce(s > 0, F.lit(False))).alias("all_pass"),
+        F.bool_or(F.coalesce(s == -2, F.lit(False))).alias("compile_error"),
+        F.bool_or(F.coalesce(s == -1, F.lit(False))).alias("runtime_error"),
     )
 
 
 # A5 / A6 / A7 ---------------------------------------------------------------------------------
 def accuracy(outcomes: DataFrame, group_by: list[str], problem: str = "problem_id",
              generation: str = "gen_id", status: str = "status") -> DataFrame:
-    """Single-generation accuracy per group: average accuracy (mean over problems of the share of
-    passed tests), strict accuracy (share of problems passing every test) and compile/runtime error
-    counts and rates over generations."""
+    """Accuracy per group over all (problem, generation) rows: average accuracy (mean share of passed tests), strict
+    accuracy (share passing every test) and compile/runtime error counts and rates.  With one generation per
+    problem these are the single-generation figures."""
     g = generation_summary(outcomes, problem, generation, status, group_by)
     n = F.count(F.lit(1))
     return g.groupBy(*group_by).agg(
@@ -63,7 +64,8 @@ def accuracy(outcomes: DataFrame, group_by: list[str], problem: str = "problem_i
         F.sum(F.col("runtime_error").cast("long")).alias("runtime_errors"),
         (F.sum(F.col("compile_error").cast("double")) / n).alias("compile_error_rate"),
         (F.sum(F.col("runtime_error").cast("double")) / n).alias("runtime_error_rate"),
-        n.alias("n_problems"),
+        n.alias("n_generations"),
+        F.countDistinct(problem).alias("n_problems"),
     )
 
 

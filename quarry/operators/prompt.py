@@ -92,12 +92,16 @@ def prompt_io_mode(question, starter_code, input_output, invert_io_marker: bool
     return F.concat(_c(question), F.coalesce(empty_to_null(starter_code), F.lit("")), marker)
 
 
-def apps_messages(df: DataFrame, split_col: str = "split", strict: bool = False,
+def apps_messages(df: DataFrame, split_col: str = "split", strict: bool = True,
                   out: str = "messages") -> DataFrame:
-    """Full APPS preparation: P8 prompt, F6 first solution, P6 blind test, P4 template."""
+    """Full APPS preparation: P8 prompt, F6 first solution, P6 blind test, P4 template.
+
+    A row outside the test split must have an answer: an empty ``solutions`` array raises (``strict``), or, with
+    ``strict=False``, gives an empty answer; the placeholder stands for blinded answers only.
+    """
     require_columns(df, "question", "starter_code", "input_output", "solutions", split_col)
     answer = F.when(F.col(split_col) == "test", F.lit(None).cast("string")) \
-        .otherwise(json_first_element("solutions", strict=strict))
+        .otherwise(F.coalesce(json_first_element("solutions", strict=strict), F.lit("")))
     prompt = prompt_io_mode("question", "starter_code", "input_output")
     return df.withColumn(out, templated_turns(prompt, answer, INSTRUCTION_PREFIX["apps"]))
 

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from ._check import require_columns
 
-# Carves up to this size use a bounded top-N (TakeOrderedAndProject) and a broadcast of the chosen
-# ids; larger ones use the distributed range-sort path.
-TOP_N_LIMIT = 100_000
+# The selection by rank works on buckets of the shuffle key's leading hex digits, with about this many rows each.
+BUCKET_ROWS = 50_000
 
 
 # L1 -------------------------------------------------------------------------------------------
@@ -29,81 +28,73 @@ def seeded_order(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     return df.orderBy(shuffle_key(id_col, seed), F.col(id_col))
 
 
-def _check_enough(df: DataFrame, n: int) -> Column:
-    """Lazy K3 check: a scalar subquery counts the rows once; too few rows raise at run time."""
+# L2 / L3 --------------------------------------------------------------------------------------
+def _ranked_ids(df: DataFrame, id_col: str, n: int, seeds: list[int]) -> DataFrame:
+    """``(_seed, _cid, rank)`` of the first ``n`` rows of the shuffle of every seed, for any ``n``.
+
+    Only ids and keys move.  Rows fall into buckets by the leading digits of their key; bucket counts (one small aggregate) tell
+    how many rows precede a bucket, buckets that begin at ``n`` or later are dropped, and the others are numbered each in its own
+    group.  So no group grows with ``n`` or with the table, and the result doesn't depend on how often the plan runs a part.
+    """
+    ids = df.select(F.col(id_col).alias("_cid"), F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("_seed"))
+    ids = ids.withColumn("_k", F.md5(F.concat(F.col("_seed").cast("string"), F.lit(":"), F.col("_cid").cast("string"))))
     total = df.select(F.count(F.lit(1))).scalar()
-    return F.when(total < F.lit(n), F.raise_error(F.concat(
-        F.lit(f"cannot select {n} rows from "), total.cast("string"), F.lit(" rows"))))
+    # buckets by the first 32 bits of the key: as many as keep BUCKET_ROWS rows in each
+    buckets = F.greatest(F.lit(1).cast("long"), F.ceil(total / F.lit(BUCKET_ROWS)).cast("long"))
+    lead = F.coalesce(F.conv(F.substring("_k", 1, 8), 16, 10).cast("long"), F.lit(0).cast("long"))
+    ids = ids.withColumn("_b", F.floor(lead * buckets / F.lit(1 << 32)).cast("long"))
+    before = Window.partitionBy("_seed").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ids.groupBy("_seed", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    starts = counts.select("_seed", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_from")).where(F.col("_from") < n)
+    w = Window.partitionBy("_seed", "_b").orderBy("_k", "_cid")
+    # of a bucket n rows at most are needed: the limit is applied before the shuffle
+    # about n / BUCKET_ROWS + 1 buckets per seed begin below n; while these are few the ids are cut down where they are read
+    few = len(seeds) * (n // BUCKET_ROWS + 1) <= 100_000
+    at = ids.join(F.broadcast(starts) if few else starts, ["_seed", "_b"])
+    at = at.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    at = at.withColumn("rank", (F.col("_from") + F.col("_rn")).cast("int"))
+    return at.where(F.col("rank") <= n).select("_seed", "_cid", "rank")
+
+
+def _guarded(df: DataFrame, source: DataFrame, n: int) -> DataFrame:
+    """``df``, failing at run time where ``source`` has fewer than ``n`` rows (K3), also when ``df`` is empty: the check is a
+    branch of its own that adds no row, not a filter on the rows."""
+    bad = F.when(F.col("_n") < n, F.raise_error(F.concat(
+        F.lit(f"cannot select {n} rows from "), F.col("_n").cast("string"), F.lit(" rows"))).cast("int"))
+    check = source.agg(F.count(F.lit(1)).alias("_n")).where(bad.isNotNull())
+    return df.unionByName(check.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
 
 
-# L2 / L3 --------------------------------------------------------------------------------------
 def first_n(df: DataFrame, id_col: str, n: int, seed: int, rank_col: str = "rank") -> DataFrame:
-    """The first ``n`` rows of the seeded shuffle with their 1-based rank.
-
-    Plans as TakeOrderedAndProject (per-partition top-n, then an n-row merge): no full sort.
-    Nested by construction: for one seed, ``first_n(k)`` is a prefix of ``first_n(k+1)``.
-    """
-    require_columns(df, id_col)
-    if n > TOP_N_LIMIT:
-        raise ValueError(f"first_n is for bounded samples (n <= {TOP_N_LIMIT}); use carve() for larger")
-    keyed = df.withColumn("_k", shuffle_key(id_col, seed))
-    top = keyed.orderBy("_k", id_col).limit(n)
-    ranked = top.withColumn(rank_col, F.row_number().over(Window.orderBy("_k", id_col)))
-    return ranked.where(_check_enough(df, n).isNull()).drop("_k")
+    """The first ``n`` rows of the seeded shuffle with their 1-based rank; fewer than ``n`` rows raise (K3), also for an empty
+    ``df``.  Ids are ranked alone and the rows fetched by id, so texts don't ride through a sort.  Nested by construction:
+    for one seed, ``first_n(k)`` is a prefix of ``first_n(k+1)``.  ``id_col`` must be unique."""
+    out = first_n_by_seed(df, id_col, n, [seed], rank_col, "_seed_of")
+    return out.drop("_seed_of")
 
 
 def first_n_by_seed(df: DataFrame, id_col: str, n: int, seeds: list[int], rank_col: str = "rank",
                     seed_col: str = "seed") -> DataFrame:
-    """``first_n`` for several seeds in ONE scan: rows are replicated per seed (a literal array),
-    and a per-seed ``row_number() <= n`` is planned as WindowGroupLimit — each map task keeps n
-    rows per seed before the exchange, so no seed group is ever gathered whole."""
+    """``first_n`` for several seeds: ids are replicated per seed, rows only when they are chosen."""
     require_columns(df, id_col)
-    if n > TOP_N_LIMIT:
-        raise ValueError(f"first_n_by_seed is for bounded samples (n <= {TOP_N_LIMIT})")
-    rep = df.select("*", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias(seed_col))
-    keyed = rep.withColumn("_k", F.md5(F.concat(F.col(seed_col).cast("string"), F.lit(":"),
-                                                F.col(id_col).cast("string"))))
-    w = Window.partitionBy(seed_col).orderBy("_k", id_col)
-    top = keyed.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
-    return top.where(_check_enough(df, n).isNull()).drop("_k")
-
-
-def _chosen_ids_large(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """Ids of the first ``n`` rows for large ``n`` without gathering them into one task.
-
-    Range-partition by the shuffle key, sort within partitions, number rows inside each partition
-    (``monotonically_increasing_id`` minus the partition's base), add the row counts of all
-    earlier partitions (one row per partition), keep positions ``< n``.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.select(F.col(id_col).alias("_cid"), shuffle_key(id_col, seed).alias("_k"))
-         .repartitionByRange(parts, "_k", "_cid").sortWithinPartitions("_k", "_cid")
-         .select("_cid", F.spark_partition_id().alias("_pid"),
-                 (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-                 .alias("_local")))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.select("_pid", (F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt")).alias("_off"))
-    return s.join(F.broadcast(offsets), "_pid").where(F.col("_off") + F.col("_local") < n).select("_cid")
+    top = _ranked_ids(df, id_col, n, seeds).select("_cid", F.col("_seed").alias(seed_col), F.col("rank").alias(rank_col))
+    out = df.join(top, F.col(id_col).eqNullSafe(F.col("_cid"))).drop("_cid")
+    return _guarded(out, df, n)
 
 
 def carve(df: DataFrame, id_col: str, n: int, seed: int = 42, chosen: str = "validation",
           rest: str = "train", split_col: str = "split") -> DataFrame:
-    """Label the first ``n`` rows of the seeded shuffle ``chosen`` and the rest ``rest``.
+    """Label the first ``n`` rows of the seeded shuffle ``chosen`` and the rest ``rest``, for any ``n``.
 
-    Disjoint and exhaustive by construction (K16); fewer than ``n`` rows raise (K3).  ``id_col``
+    Disjoint and exhaustive by construction (K16); fewer than ``n`` rows raise (K3), an empty ``df`` included.  ``id_col``
     must be unique.
     """
     require_columns(df, id_col)
     # the chosen-id side is made unique, so copies of an id never multiply rows in the join
-    if n <= TOP_N_LIMIT:
-        ids = (df.select(F.col(id_col).alias("_cid"), shuffle_key(id_col, seed).alias("_k"))
-               .orderBy("_k", "_cid").limit(n).select("_cid").distinct())
-        ids = F.broadcast(ids)  # at most TOP_N_LIMIT rows
-    else:
-        ids = _chosen_ids_large(df, id_col, n, seed).distinct()
-    flagged = df.join(ids.withColumn("_chosen", F.lit(True)), F.col(id_col) == F.col("_cid"), "left")
-    split = F.coalesce(_check_enough(df, n), F.when(F.col("_chosen"), F.lit(chosen)).otherwise(F.lit(rest)))
-    return flagged.withColumn(split_col, split).drop("_cid", "_chosen")
+    ids = _ranked_ids(df, id_col, n, [seed]).select("_cid").distinct().withColumn("_chosen", F.lit(True))
+    flagged = df.join(ids, F.col(id_col).eqNullSafe(F.col("_cid")), "left")
+    split = F.when(F.col("_chosen"), F.lit(chosen)).otherwise(F.lit(rest))
+    return _guarded(flagged.withColumn(split_col, split).drop("_cid", "_chosen"), df, n)
 
 
 # J7 -------------------------------------------------------------------------------------------

@@ -105,8 +105,14 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(lora_r, lora_alpha, seed, eval_loss); grid cell 13 never ran."""
-    e = table(spark, sf_dir, "events").where(F.col("user_id") % 16 != 13)
+    """(lora_r, lora_alpha, seed, eval_loss); the run of one grid cell (r 64, alpha 32) is missing, for the queries that
+    look for such cells."""
+    return all_sweep_runs(spark, sf_dir).where("not (lora_r = 64 and lora_alpha = 32)")
+
+
+def all_sweep_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lora_r, lora_alpha, seed, eval_loss) from all events."""
+    e = table(spark, sf_dir, "events")
     q = F.floor((F.col("user_id") % 16) / 4)
     r = F.when(q == 0, 8).when(q == 1, 16).when(q == 2, 32).otherwise(64)
     a4 = F.col("user_id") % 4
@@ -122,11 +128,30 @@ def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def document_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, embedding) of every document that is no query's: documents share the vectors in turn."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.select(F.count(F.lit(1))).scalar()
+    docs = table(spark, sf_dir, "documents").select("doc_id").withColumn("vec_id", F.col("doc_id") % n)
+    queries = retrieval_queries(spark, sf_dir).select(F.col("query_id").alias("doc_id"))
+    return docs.join(e, "vec_id").select("doc_id", "embedding").join(queries, "doc_id", "left_anti")
+
+
 def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 != 0) \
         .select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
+#: (JSON text, its truthy ``fn_name`` as text, first element of a list or '' for anything else)
+JSON_CASES = [
+    ('{"fn_name":"f"}', "f", ""), ('{"fn_name":"f"} junk', None, ""), ('{"fn_name":false}', None, ""), ('{"fn_name":true}', "true", ""),
+    ('{"fn_name":0}', None, ""), ('{"fn_name":2}', "2", ""), ('{"fn_name":[]}', None, ""), ('{"fn_name":{}}', None, ""),
+    ('{"fn_name":null}', None, ""), ('{"fn_name":""}', None, ""), ('{"other":1}', None, ""), ('["a","b"]', None, "a"),
+    ('["a"] junk', None, ""), ('["a"], ["b"]', None, ""), ("[]", None, None), ("", None, ""), ("{bad", None, ""), ('"text"', None, ""),
+    (' ["a"] ', None, "a"), ('{"fn_name":"false"}', "false", ""),
+]
+
+
 # ---------------------------------------------------------------------------------------------
 # The same views for DuckDB (oracle side).  Only the tables are pre-registered there.
 DUCK_VIEWS = {
@@ -167,18 +192,22 @@ from events""",
 select user_id % 20 as run_id, ts, date_trunc('hour', ts) as poll_ts, cast(event_id % 4 as int) as device,
   case when event_id % 97 = 0 then -1.0 else value end as used_mb
 from events""",
-    "sweep_runs": """
+    "all_runs": """
 select case floor((user_id % 16) / 4) when 0 then 8 when 1 then 16 when 2 then 32 else 64 end as lora_r,
   case user_id % 4 when 0 then 16 when 1 then 32 when 2 then 64 else 128 end as lora_alpha,
   case event_id % 5 when 0 then 42 when 1 then 777 when 2 then 5432 when 3 then 55555 else 97 end as seed,
   round(avg(value), 6) as eval_loss
-from events where user_id % 16 <> 13 group by 1, 2, 3""",
+from events group by 1, 2, 3""",
+    "sweep_runs": "select * from all_runs where not (lora_r = 64 and lora_alpha = 32)",
+    "kb_docs": """
+select d.doc_id, e.embedding from documents d join embeddings e on e.vec_id = d.doc_id % (select count(*) from embeddings)
+where d.doc_id not in (select query_id from rq)""",
     "rq": "select vec_id as query_id, embedding from embeddings where vec_id % 50 = 0",
     "kb": "select vec_id as doc_id, embedding from embeddings where vec_id % 50 <> 0",
 }
 
 _ORDER = ["pairs", "responses", "candidates", "mbpp_raw", "apps_raw", "outcomes", "telemetry",
-          "sweep_runs", "rq", "kb"]
+          "all_runs", "sweep_runs", "rq", "kb", "kb_docs"]
 
 
 def duck_with(*views: str) -> str:
@@ -186,5 +215,7 @@ def duck_with(*views: str) -> str:
     need = set(views)
     if need & {"responses", "candidates"}:
         need.add("pairs")
+    if "sweep_runs" in need:
+        need.add("all_runs")
     parts = [f"{v} as ({DUCK_VIEWS[v].strip()})" for v in _ORDER if v in need]
     return "with " + ",\n".join(parts) + "\n"

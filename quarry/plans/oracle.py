@@ -7,7 +7,7 @@ views it needs (``duck_with``).  Helpers below mirror the Spark operators expres
 from __future__ import annotations
 
 from ..functions.fixed import INSTRUCTION_PREFIX, PLACEHOLDER, WS_CLASS_RE2
-from .fixtures import duck_with
+from .fixtures import JSON_CASES, duck_with
 from ..operators.metrics import KEYWORD_WEIGHT, OTHER_WEIGHT, PYTHON_KEYWORDS
 
 WS = WS_CLASS_RE2
@@ -165,6 +165,8 @@ SUMMARY = """select run_id, round(coalesce(arg_min(used_mb, case when used_mb >=
   round(max(used_mb), 6) as peak_mb, round((epoch_us(max(poll_ts)) - epoch_us(min(poll_ts))) / 1e6, 3) as elapsed_s,
   count(*) as n_polls from polls group by run_id"""
 
+ALL_POLLS = POLLS.replace("where device in (0, 1)", "")
+
 GRID = "grid as (select r.lora_r, a.lora_alpha from (values (8),(16),(32),(64)) r(lora_r) cross join (values (16),(32),(64),(128)) a(lora_alpha))"
 
 
@@ -218,6 +220,7 @@ union all select 'mbpp', count(*), sum(length(text))::bigint, sum(length(code)):
     carve = """select doc_id, case when row_number() over (order by md5(concat('42:', cast(doc_id as varchar))), doc_id) <= 100
   then 'validation' else 'train' end as split from documents"""
     s["split_carve"] = carve
+    s["split_carve_half"] = carve.replace("<= 100", "<= (select count(*) // 2 from documents)")
     s["split_sizes"] = f"with c as ({carve}) select split, count(*) as n_rows from c group by split"
 
     s["icl_exemplars"] = duck_with("pairs") + """,
@@ -347,20 +350,22 @@ select query_id, doc_id, rank, round(sim, 5) as sim from knn"""
     s["rerank_maxsim"] = duck_with("rq", "kb") + ", " + reranked(10, 3) + """
 select query_id, doc_id, final_rank, round(maxsim, 5) as maxsim from rr"""
 
-    s["rag_prompt"] = duck_with("rq", "kb") + ", " + reranked(5, 2) + f""",
+    s["knn_topk_blocked"] = s["knn_topk"]
+
+    s["rag_prompt"] = duck_with("rq", "kb_docs") + ", kb as (select * from kb_docs), " + reranked(5, 2) + f""",
 ctx as (select rr.query_id, string_agg({render_pair('d.text', 'd.source')}, '' order by rr.final_rank) as txt, count(*) as n
-        from rr join documents d on d.doc_id = rr.doc_id % 200 group by rr.query_id)
+        from rr join documents d on d.doc_id = rr.doc_id group by rr.query_id)
 select q.query_id, (2 * coalesce(ctx.n, 0) + 2)::bigint as n_messages,
   {cut(f"(coalesce(ctx.txt, '') || {render_pair('dq.text', 'null')})")} as prompt
-from rq q join documents dq on dq.doc_id = q.query_id % 200 left join ctx on ctx.query_id = q.query_id"""
+from rq q join documents dq on dq.doc_id = q.query_id left join ctx on ctx.query_id = q.query_id"""
 
     s["apps_accuracy"] = duck_with("outcomes") + ", " + difficulty("outcomes") + """,
 g as (select difficulty, problem_id, gen_id, avg(case when status > 0 then 1.0::double else 0.0::double end) as pass_share,
         bool_and(status > 0) as all_pass, bool_or(status = -2) as ce, bool_or(status = -1) as re
-      from dd where gen_id = 0 group by difficulty, problem_id, gen_id)
+      from dd group by difficulty, problem_id, gen_id)
 select difficulty, round(avg(pass_share), 6) as avg_accuracy, round(avg(all_pass::int::double), 6) as strict_accuracy,
   round(sum(ce::int)::double / count(*), 6) as compile_error_rate, round(sum(re::int)::double / count(*), 6) as runtime_error_rate,
-  sum(ce::int)::bigint as compile_errors, sum(re::int)::bigint as runtime_errors, count(*) as n_problems
+  sum(ce::int)::bigint as compile_errors, sum(re::int)::bigint as runtime_errors, count(*) as n_generations, count(distinct problem_id) as n_problems
 from g group by difficulty"""
 
     s["pass_at_k"] = duck_with("outcomes") + ", " + difficulty("outcomes") + """,
@@ -373,9 +378,9 @@ est as (select difficulty, k, n, c, case when n - c < k then 1.0::double when c
 select difficulty, k::bigint as k, round(avg(p), 6) as pass_at_k from est group by difficulty, k having min(n) >= k"""
 
     s["run_telemetry"] = duck_with("telemetry") + ", " + POLLS + "\n" + SUMMARY
-    s["telemetry_stream"] = s["run_telemetry"]
+    s["telemetry_stream"] = duck_with("telemetry") + ", " + ALL_POLLS + "\n" + SUMMARY
 
-    s["running_peak"] = duck_with("telemetry") + ", " + POLLS + """
+    s["running_peak"] = duck_with("telemetry") + ", " + ALL_POLLS + """
 select run_id, poll_ts, round(used_mb, 6) as used_mb, round(max(used_mb) over w, 6) as running_peak,
   row_number() over w as processed, count(*) over (partition by run_id) as total,
   round(100.0::double * (row_number() over w) / (count(*) over (partition by run_id)), 2) as pct
@@ -396,15 +401,15 @@ select g.lora_r, g.lora_alpha from grid g
 where not exists (select 1 from sweep_runs s where s.lora_r = g.lora_r and s.lora_alpha = g.lora_alpha
                   and s.eval_loss is not null)"""
 
-    s["best_run"] = duck_with("sweep_runs") + """
+    s["best_run"] = duck_with("all_runs") + """
 select seed, lora_r, lora_alpha, eval_loss from (select *, row_number() over (partition by seed
-  order by eval_loss, lora_r, lora_alpha) as rn from sweep_runs where eval_loss is not null) b where rn = 1"""
+  order by eval_loss, lora_r, lora_alpha) as rn from all_runs where eval_loss is not null) b where rn = 1"""
 
-    s["icl_by_n"] = duck_with("sweep_runs") + """
+    s["icl_by_n"] = duck_with("all_runs") + """
 select lora_alpha, lora_r, count(distinct case when eval_loss is not null then seed end) as n_seeds, round(avg(eval_loss), 6) as mean_eval_loss,
   round(stddev_samp(eval_loss), 6) as std_eval_loss, round(min(eval_loss), 6) as min_eval_loss,
   round(max(eval_loss), 6) as max_eval_loss
-from sweep_runs group by lora_alpha, lora_r"""
+from all_runs group by lora_alpha, lora_r"""
 
     s["responses_roundtrip"] = duck_with("responses") + f""", {CLEANED}
 select example_id, 0 as gen_id, response from cleaned"""
@@ -427,4 +432,81 @@ nv as (select doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n
 select doc_id, (i - 1)::bigint as dim,
   round((case when nm > 0 then (v[i] / nm)::float else v[i]::float end)::double, 5) as value
 from nv, range(1, 7) t(i)"""
+
+    # corpora as prepared -------------------------------------------------------------------
+    carve50 = ("case when split = 'train' and row_number() over (partition by split = 'train' "
+               "order by md5(concat('42:', {id})), {id2}) <= 50 then 'validation' else split end")
+    s["prepare_magicoder_oss"] = duck_with("pairs") + f"""
+select example_id, {carve50.format(id="cast(example_id as varchar)", id2="example_id")} as split,
+  nl as user_content, reference as assistant_content from pairs"""
+
+    s["prepare_conala"] = duck_with("pairs") + f""", {BLINDED}
+select example_id, split, {user_turn('nl', 'conala')} as user_content, {answer_turn('reference')} as assistant_content from blinded"""
+
+    s["prepare_joint"] = duck_with("pairs", "mbpp_raw") + f""", {BLINDED},
+m as (select doc_id, case when doc_id % 10 = 0 then 'test' else 'train' end as split,
+        concat(text, ' Your code should pass these tests:', array_to_string(list_transform(test_list, lambda t: chr(10) || t), '')) as prompt,
+        code from mbpp_raw),
+u as (select concat('conala-', example_id) as row_id, 'conala' as dataset, split, {user_turn('nl', 'conala')} as user_content,
+        {answer_turn('reference')} as assistant_content from blinded
+      union all
+      select concat('mbpp-', doc_id), 'mbpp', split, {user_turn('prompt', 'mbpp')},
+        {answer_turn("(case when split = 'test' then null else code end)")} from m)
+select row_id, dataset, {carve50.format(id="row_id", id2="row_id")} as split, user_content, assistant_content from u"""
+
+    # one run, end to end -------------------------------------------------------------------
+    e2e = duck_with("pairs", "telemetry").rstrip() + f""", {BLINDED},
+prm as (select example_id, replace({cut(render_pair('nl', 'reference'))}, 'e', 'E') as raw from blinded),
+st as (select example_id, raw, instr(raw, '<|end|>') as p1, instr(raw, {stop2}) as p2 from prm),
+cl as (select example_id, {strip(f"split_part(({stop_cut}), '```', 1)")} as response from st),
+aligned as (select p.example_id, p.split, p.reference, c.response from pairs p left join cl c on p.example_id = c.example_id)"""
+    tele = SUMMARY.strip()
+    s["run_end_to_end"] = chrf_family_sql(ev_src, e2e) + f""",
+em as (select split, count(*)::double as n_examples,
+  avg(case when response = reference then 1.0::double else 0.0::double end) as exact_match from aligned group by split),
+w as (select em.split, n_examples, exact_match, sc.chrf, sc.chrf_pp from em left join sc on sc.grp = em.split),
+{ALL_POLLS}
+, run as (select * from ({tele}) r where run_id = 0),
+vals as (select split, 'n_examples' as metric, n_examples as value, null as unit from w
+union all select split, 'exact_match', exact_match, null from w
+union all select split, 'chrf', chrf, null from w
+union all select split, 'chrf_pp', chrf_pp, null from w
+union all select 'all', 'peak_memory', peak_mb, 'MB' from run
+union all select 'all', 'elapsed', elapsed_s, 's' from run)
+select 'stub' as model, 'ckpt-1' as checkpoint, split, metric, round(value, 4) as value, unit from vals"""
+
+    s["run_address_two_runs"] = duck_with("all_runs") + """,
+a as (select round(avg(eval_loss), 6) as value from all_runs where seed = 42)
+select t as temperature, c as checkpoint, 'eval_loss' as metric, value from a,
+  (values (0.12::double, 'base'), (0.124::double, 'base'), (0.12::double, 'ckpt-1')) r(t, c)"""
+
+    # outcomes ------------------------------------------------------------------------------
+    s["apps_report"] = duck_with("outcomes") + """,
+dd as (select *, case when problem_id >= 0 and problem_id < 50 then 'interview' when problem_id >= 50 and problem_id < 80 then 'competition'
+         else 'outside' end as difficulty from outcomes),
+g as (select difficulty, problem_id, gen_id, bool_and(status > 0) as all_pass from dd group by difficulty, problem_id, gen_id),
+pp as (select difficulty, problem_id, count(*) as n, sum(all_pass::int)::bigint as c from g group by difficulty, problem_id),
+est as (select difficulty, k, n, case when n - c < k then 1.0::double when c = 0 then 0.0::double
+          else 1.0::double - list_reduce(list_transform(range(n - c + 1, n + 1), lambda i: 1.0::double - k::double / i::double),
+                                         lambda a, b: a * b) end as p from pp, (values (1), (2)) ks(k))
+select difficulty, 'strict_accuracy' as metric, round(avg(all_pass::int::double), 6) as value from g group by difficulty
+union all
+select difficulty, concat('pass_at_', k), round(avg(p), 6) from est group by difficulty, k having min(n) >= k"""
+
+    s["outcome_null_status"] = duck_with("outcomes") + ", o2 as (select problem_id, gen_id, test_id, " \
+        "case when test_id % 7 <> 0 then status end as status from outcomes), " + difficulty("o2") + """,
+g as (select difficulty, problem_id, gen_id, sum(case when status > 0 then 1 else 0 end)::double / count(*) as pass_share,
+        sum(case when status > 0 then 1 else 0 end) = count(*) as all_pass
+      from dd group by difficulty, problem_id, gen_id)
+select difficulty, round(avg(pass_share), 6) as avg_accuracy, round(avg(all_pass::int::double), 6) as strict_accuracy
+from g group by difficulty"""
+
+    # expected values written out case by case, not computed
+    lit = lambda x: "null" if x is None else q(x)
+    cases = ", ".join(f"({i}, {lit(name)}, {lit(first)})" for i, (_, name, first) in enumerate(JSON_CASES))
+    s["json_fields"] = f"""
+select d.doc_id, c.fn_name, c.first from documents d join (values {cases}) c(i, fn_name, first) on d.doc_id % {len(JSON_CASES)} = c.i"""
+
+    s["contains_any"] = "select doc_id, contains(text, 'License') or contains(text, '@') or contains(text, 'the th') as found from documents"
+    s["preview"] = "select doc_id, lang from documents where doc_id < 10"
     return s

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import FENCE_STOP, ICL_SEEDS, ICL_SIZES, INSTRUCTION_PREFIX, SWEEP_GRID
 from ..functions.time import as_instant
-from ..functions.text import (completion_span, earliest_stop, fence_cut, render_cut, render_messages,
-                              stop_truncate)
-from ..operators._check import join_null_safe
+from ..functions.text import (completion_span, contains_any, earliest_stop, fence_cut, json_first_element,
+                              json_truthy_field, render_cut, render_messages, stop_truncate)
 from ..operators import align as AL
 from ..operators import fewshot as FS
 from ..operators import hooks as HK
@@ -36,6 +35,7 @@ CARVE_N = 100
 ICL_N = 3
 ICL_SEED = 42
 KNN_K = 5
+KNN_BLOCK = 4096
 RERANK_RETRIEVE, RERANK_FINAL = 10, 3
 RAG_RETRIEVE, RAG_FINAL = 5, 2
 TOKEN_DIM = 8
@@ -110,6 +110,12 @@ def q_split_carve(spark, sf):
     return SA.carve(d, "doc_id", CARVE_N, seed=42).select("doc_id", "split")
 
 
+def q_split_carve_half(spark, sf):
+    """L2 with half of all rows chosen."""
+    d = fx.table(spark, sf, "documents").select("doc_id")
+    return SA.carve(d, "doc_id", d.count() // 2, seed=42).select("doc_id", "split")
+
+
 def q_split_sizes(spark, sf):
     return SA.split_sizes(q_split_carve(spark, sf))
 
@@ -184,7 +190,7 @@ def q_align_responses(spark, sf):
 
 def _aligned(spark, sf):
     refs = fx.pairs(spark, sf).select("example_id", "split", "reference")
-    return AL.align(refs, _cleaned_responses(spark, sf), on_missing="wrong")
+    return AL.align(refs, _cleaned_responses(spark, sf), on_missing="wrong", unique_responses=True)
 
 
 def q_exact_match(spark, sf):
@@ -223,16 +229,14 @@ def q_weighted_bleu(spark, sf):
 
 def q_flagship_eval(spark, sf):
     """J1 -> T2 -> A1 + A2 by split: keyed alignment of cleaned responses, EM and corpus chrF."""
-    a = _aligned(spark, sf)
-    hit = F.when(F.col("response") == F.col("reference"), F.lit(1.0)).otherwise(F.lit(0.0))
-    em = a.groupBy("split").agg(F.count(F.lit(1)).alias("n_examples"), F.count("response").alias("n_responses"),
-                                F.avg(hit).alias("exact_match"))
+    a = _aligned(spark, sf).withColumn("exact_match", F.when(F.col("response") == F.col("reference"), F.lit(1.0)).otherwise(F.lit(0.0)))
+    a = a.withColumn("n_responses", F.when(F.col("response").isNotNull(), F.lit(1)))
     # a missing response scores as an empty hypothesis
-    scored = a.withColumn("response", F.coalesce("response", F.lit("")))
-    ch = M.chrf(scored, "response", "reference", group_by=["split"])
-    return (join_null_safe(em, ch, ["split"], "left")
-            .select("split", "n_examples", "n_responses", F.round("exact_match", 6).alias("exact_match"),
-                    F.round(F.coalesce("chrf", F.lit(0.0)), 6).alias("chrf")))
+    a = a.withColumn("response", F.coalesce("response", F.lit("")))
+    ch = M.chrf_family(a, "response", "reference", group_by=["split"],
+                       also={"example_id": F.count, "n_responses": F.count, "exact_match": F.avg})
+    return ch.select("split", F.col("example_id").alias("n_examples"), "n_responses", F.round("exact_match", 6).alias("exact_match"),
+                     F.round("chrf", 6).alias("chrf"))
 
 
 PREP_VALIDATION = 50
@@ -286,26 +290,31 @@ def q_knn_topk(spark, sf):
                       F.round("sim", 5).alias("sim"))
 
 
-def _reranked(spark, sf, n_retrieve, n_final):
-    q, kb = fx.retrieval_queries(spark, sf), fx.knowledge_base(spark, sf)
+def _reranked(q, kb, n_retrieve, n_final):
     cand = RT.knn_topk(q, kb, n_retrieve)
     return RT.rerank(cand, q, kb, n_final, TOKEN_DIM), cand.count()
 
 
 def q_rerank_maxsim(spark, sf):
-    r, _ = _reranked(spark, sf, RERANK_RETRIEVE, RERANK_FINAL)
+    r, _ = _reranked(fx.retrieval_queries(spark, sf), fx.knowledge_base(spark, sf), RERANK_RETRIEVE, RERANK_FINAL)
     return r.select("query_id", "doc_id", F.col("final_rank").cast("long").alias("final_rank"),
                     F.round("maxsim", 5).alias("maxsim"))
 
 
+def q_knn_topk_blocked(spark, sf):
+    """J2 with the query side treated as too large to broadcast: blocks of queries meet blocks of the knowledge base."""
+    res = RT.knn_topk(fx.retrieval_queries(spark, sf), fx.knowledge_base(spark, sf), KNN_K, max_broadcast_bytes=0,
+                      block_rows=KNN_BLOCK)
+    return res.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"),
+                      F.round("sim", 5).alias("sim"))
+
+
 def q_rag_prompt(spark, sf):
-    docs = fx.table(spark, sf, "documents")
-    r, n_cand = _reranked(spark, sf, RAG_RETRIEVE, RAG_FINAL)
-    payload = fx.knowledge_base(spark, sf).select("doc_id", (F.col("doc_id") % 200).alias("payload_id")).join(
-        docs.select(F.col("doc_id").alias("payload_id"), F.col("text").alias("page_content"),
-                    F.col("source").alias("code")), "payload_id")
-    qm = fx.retrieval_queries(spark, sf).select("query_id", (F.col("query_id") % 200).alias("payload_id")).join(
-        docs.select(F.col("doc_id").alias("payload_id"), "text"), "payload_id")
+    """T6 over all documents: each is in the knowledge base with its own text, unless it is a query's."""
+    docs, q = fx.table(spark, sf, "documents"), fx.retrieval_queries(spark, sf)
+    r, n_cand = _reranked(q, fx.document_base(spark, sf), RAG_RETRIEVE, RAG_FINAL)
+    payload = docs.select("doc_id", F.col("text").alias("page_content"), F.col("source").alias("code"))
+    qm = q.select("query_id").join(docs.select(F.col("doc_id").alias("query_id"), "text"), "query_id")
     qm = qm.select("query_id", PR.templated_turns(F.col("text"), F.lit(None).cast("string"),
                                                   INSTRUCTION_PREFIX["conala"]).alias("messages"))
     out = RT.rag_messages(qm, r, payload, "final_rank", "conala", retrieved_rows=n_cand)
@@ -320,11 +329,11 @@ def _difficulty(o: DataFrame) -> DataFrame:
 
 def q_apps_accuracy(spark, sf):
     # difficulty is a property of the problem: N comes from the whole outcome table, as in pass_at_k
-    o = _difficulty(fx.outcomes(spark, sf)).where(F.col("gen_id") == 0)
+    o = _difficulty(fx.outcomes(spark, sf))
     a = OC.accuracy(o, ["difficulty"])
     return a.select("difficulty", *[F.round(c, 6).alias(c) for c in
                                     ("avg_accuracy", "strict_accuracy", "compile_error_rate", "runtime_error_rate")],
-                    "compile_errors", "runtime_errors", "n_problems")
+                    "compile_errors", "runtime_errors", "n_generations", "n_problems")
 
 
 def q_pass_at_k(spark, sf):
@@ -333,8 +342,8 @@ def q_pass_at_k(spark, sf):
     return p.select("difficulty", F.col("k").cast("long").alias("k"), F.round("pass_at_k", 6).alias("pass_at_k"))
 
 
-def _polls(spark, sf):
-    return RN.poll_totals(fx.telemetry(spark, sf), TELEMETRY_DEVICES)
+def _polls(spark, sf, devices=None):
+    return RN.poll_totals(fx.telemetry(spark, sf), devices)
 
 
 def _summary_out(s: DataFrame) -> DataFrame:
@@ -344,7 +353,7 @@ def _summary_out(s: DataFrame) -> DataFrame:
 
 
 def q_run_telemetry(spark, sf):
-    return _summary_out(RN.run_summary(_polls(spark, sf)))
+    return _summary_out(RN.run_summary(_polls(spark, sf, TELEMETRY_DEVICES)))  # the choice of devices is A12's
 
 
 def q_running_peak(spark, sf):
@@ -393,13 +402,13 @@ def q_grid_missing(spark, sf):
 
 
 def q_best_run(spark, sf):
-    b = RN.best_run(fx.sweep_runs(spark, sf), ["lora_r", "lora_alpha"], "eval_loss", sweep=["seed"])
+    b = RN.best_run(fx.all_sweep_runs(spark, sf), ["lora_r", "lora_alpha"], "eval_loss", sweep=["seed"])
     return b.select(F.col("seed").cast("int").alias("seed"), F.col("lora_r").cast("int").alias("lora_r"),
                     F.col("lora_alpha").cast("int").alias("lora_alpha"), "eval_loss")
 
 
 def q_icl_by_n(spark, sf):
-    s = RN.seed_summary(fx.sweep_runs(spark, sf), ["lora_alpha", "lora_r"], "eval_loss")
+    s = RN.seed_summary(fx.all_sweep_runs(spark, sf), ["lora_alpha", "lora_r"], "eval_loss")
     return s.select(F.col("lora_alpha").cast("int").alias("lora_alpha"), F.col("lora_r").cast("int").alias("lora_r"),
                     "n_seeds", *[F.round(c, 6).alias(c) for c in
                                  ("mean_eval_loss", "std_eval_loss", "min_eval_loss", "max_eval_loss")])
@@ -454,6 +463,98 @@ def q_embed_normalise(spark, sf):
         "doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+# the reference's corpora as they are prepared, and the rules for odd rows -----------------------
+def q_prepare_magicoder_oss(spark, sf):
+    """E1 for magicoder_oss: problems and solutions as plain turns, validation carved from train."""
+    raw = fx.pairs(spark, sf).select("example_id", "split", F.col("nl").alias("problem"), F.col("reference").alias("solution"))
+    return _turn_columns(WF.prepare_dataset(raw, "magicoder_oss", "example_id", validation_size=PREP_VALIDATION), "example_id")
+
+
+def q_prepare_conala(spark, sf):
+    """E1 for conala: templated turns, test answers blinded."""
+    raw = fx.pairs(spark, sf).select("example_id", "split", "nl", F.col("reference").alias("cmd"))
+    return _turn_columns(WF.prepare_dataset(raw, "conala", "example_id"), "example_id")
+
+
+def q_prepare_joint(spark, sf):
+    """The joint training set: messages, split and provenance of both corpora, validation carved once from all train rows."""
+    conala = fx.pairs(spark, sf).select(F.concat(F.lit("conala-"), F.col("example_id")).alias("row_id"), "split", "nl",
+                                        F.col("reference").alias("cmd"))
+    mbpp = fx.mbpp_raw(spark, sf).select(F.concat(F.lit("mbpp-"), F.col("doc_id")).alias("row_id"), F.when(
+        F.col("doc_id") % 10 == 0, "test").otherwise("train").alias("split"), "text", "test_list", "code")
+    return _turn_columns(WF.prepare_joint({"conala": conala, "mbpp": mbpp}, "row_id", validation_size=PREP_VALIDATION), "row_id") \
+        .withColumn("dataset", F.substring_index("row_id", "-", 1))
+
+
+def q_run_end_to_end(spark, sf):
+    """E2 in one run: prompts, model, cleaned responses, scores by split and the run's telemetry in one record, written under the
+    run's address and read back."""
+    prompts = _templated_pairs(spark, sf).select("example_id", render_cut("messages").alias("prompt"))
+    answers = HK.generate_with(prompts, _stub_model).select("example_id", F.col("response").alias("raw"))
+    refs = fx.pairs(spark, sf).select("example_id", "split", "reference")
+    scores = WF.evaluate_responses(WF.clean_responses(answers, stops=STOPS), refs, group_by=["split"])
+    telemetry = RN.run_summary(_polls(spark, sf)).where("run_id = 0")
+    path = scratch_path(spark, "run-record")
+    WF.write_run_record(scores, telemetry, path, {"model": "stub", "checkpoint": "ckpt-1", "dataset": "conala", "temperature": 0.2,
+                                                  "strategy": "none", "n": 0, "seed": None}, group_by=["split"])
+    back = spark.read.parquet(path)
+    return back.select("model", "checkpoint", F.coalesce("split", F.lit("all")).alias("split"), "metric", F.round("value", 4).alias("value"),
+                       "unit")
+
+
+def q_run_address_two_runs(spark, sf):
+    """Runs whose temperatures differ in the third decimal, and a base and a tuned run, keep their own results."""
+    runs = fx.all_sweep_runs(spark, sf).where("seed = 42").groupBy().agg(F.round(F.avg("eval_loss"), 6).alias("eval_loss"))
+    path = scratch_path(spark, "addresses")
+    for t, c in ((0.12, None), (0.124, None), (0.12, "ckpt-1")):
+        IO.write_run_outputs(IO.to_tall(runs.select(
+            F.lit("m").alias("model"), F.lit("conala").alias("dataset"), F.lit(t).alias("temperature"), F.lit("icl").alias("strategy"),
+            F.lit(3).alias("n"), F.lit(42).alias("seed"), F.lit(c).cast("string").alias("checkpoint"), F.col("eval_loss")),
+            [*IO.RUN_ADDRESS, "checkpoint"], ["eval_loss"]), path)
+    back = spark.read.parquet(path)
+    return back.select(F.col("temperature").cast("double").alias("temperature"), F.coalesce("checkpoint", F.lit("base")).alias("checkpoint"),
+                       "metric", F.round("value", 6).alias("value"))
+
+
+def q_apps_report(spark, sf):
+    """Accuracy and pass@k per difficulty, over all problems and generations."""
+    acc, at_k = WF.apps_report(fx.outcomes(spark, sf), slices=REPORT_SLICES, ks=(1, 2))
+    one = acc.select("difficulty", F.lit("strict_accuracy").alias("metric"), F.round("strict_accuracy", 6).alias("value"))
+    return one.unionByName(at_k.select("difficulty", F.concat(F.lit("pass_at_"), F.col("k")).alias("metric"), F.round("pass_at_k", 6).alias("value")))
+
+
+#: difficulty slices by position; problems beyond them are reported as outside
+REPORT_SLICES = [("interview", 0, 50), ("competition", 50, 80)]
+
+
+def q_outcome_null_status(spark, sf):
+    """A6/A8 where some tests have no status: such a test has not passed."""
+    o = fx.outcomes(spark, sf).withColumn("status", F.when(F.col("test_id") % 7 != 0, F.col("status")))
+    a = OC.accuracy(_difficulty(o), ["difficulty"])
+    return a.select("difficulty", F.round("avg_accuracy", 6).alias("avg_accuracy"), F.round("strict_accuracy", 6).alias("strict_accuracy"))
+
+
+def q_json_fields(spark, sf):
+    """F5/F6 on odd JSON: trailing characters, falsy values, non-objects, dealt to all documents in turn."""
+    texts = F.array(*[F.lit(x) for x, _, _ in fx.JSON_CASES])
+    d = fx.table(spark, sf, "documents").select("doc_id", F.element_at(
+        texts, (F.col("doc_id") % len(fx.JSON_CASES) + 1).cast("int")).alias("json"))
+    return d.select("doc_id", json_truthy_field("json", "fn_name").alias("fn_name"), json_first_element("json").alias("first"))
+
+
+def q_contains_any(spark, sf):
+    """documents that hold any of a list of strings."""
+    return fx.table(spark, sf, "documents").select("doc_id", contains_any("text", NEEDLES).alias("found"))
+
+
+NEEDLES = ["License", "@", "the th"]
+
+
+def q_preview(spark, sf):
+    """The first positions."""
+    return IO.preview(fx.table(spark, sf, "documents").select("doc_id", "lang"), 10, "doc_id")
+
+
 QUERIES = {
     "flagship_eval": q_flagship_eval,
     "messages_plain": q_messages_plain,
@@ -463,6 +564,7 @@ QUERIES = {
     "dataset_config": q_dataset_config,
     "joint_union": q_joint_union,
     "split_carve": q_split_carve,
+    "split_carve_half": q_split_carve_half,
     "split_sizes": q_split_sizes,
     "icl_exemplars": q_icl_exemplars,
     "icl_prompt": q_icl_prompt,
@@ -484,6 +586,7 @@ QUERIES = {
     "evaluate_run": q_evaluate_run,
     "run_outputs_roundtrip": q_run_outputs_roundtrip,
     "knn_topk": q_knn_topk,
+    "knn_topk_blocked": q_knn_topk_blocked,
     "rerank_maxsim": q_rerank_maxsim,
     "rag_prompt": q_rag_prompt,
     "apps_accuracy": q_apps_accuracy,
@@ -501,4 +604,14 @@ QUERIES = {
     "export_text": q_export_text,
     "batch_score": q_batch_score,
     "embed_normalise": q_embed_normalise,
+    "prepare_magicoder_oss": q_prepare_magicoder_oss,
+    "prepare_conala": q_prepare_conala,
+    "prepare_joint": q_prepare_joint,
+    "run_end_to_end": q_run_end_to_end,
+    "run_address_two_runs": q_run_address_two_runs,
+    "apps_report": q_apps_report,
+    "outcome_null_status": q_outcome_null_status,
+    "json_fields": q_json_fields,
+    "contains_any": q_contains_any,
+    "preview": q_preview,
 }

@@ -5,7 +5,8 @@
 * ``evaluate_responses`` — E2 scoring: clean, align by id, EM + chrF + chrF++ as a tall table.
 * ``apps_report`` — E3: outcome table -> difficulty -> accuracy and pass@k in one pass each.
 
-Each returns a lazy DataFrame; nothing is collected.
+Each returns a DataFrame; ``build_prompts("rag")`` runs the retrieval when it is called (its top-k is checkpointed and
+counted), the others run nothing before their result is used.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from ..operators import outcomes as OC
 from ..operators import prompt as PR
 from ..operators import retrieve as RT
 from ..operators import sample as SA
-from ..operators._check import join_null_safe, require_columns
+from ..operators._check import require_columns
+from ..sources import files as IO
 
 
 # E1 -------------------------------------------------------------------------------------------
@@ -62,6 +64,20 @@ def prepare_dataset(df: DataFrame, corpus: str, id_col: str, split_col: str = "s
     raise ValueError(f"unknown corpus {corpus!r}")
 
 
+def prepare_joint(corpora: dict[str, DataFrame], id_col: str, split_col: str = "split",
+                  validation_size: int | None = None, seed: int = 42) -> DataFrame:
+    """The joint training set of several corpora: ``(id, dataset, split, messages)``, each prepared by its own rules, then
+    validation rows carved once from all train rows.  Ids must be unique over the corpora."""
+    parts = [prepare_dataset(df, name, id_col, split_col, validation_size=0, seed=seed).select(
+        id_col, F.lit(name).alias("dataset"), split_col, "messages") for name, df in corpora.items()]
+    out = PR.union_corpora(parts)
+    if not validation_size:
+        return out
+    is_train = F.col(split_col).eqNullSafe(F.lit("train"))
+    carved = SA.carve(out.where(is_train), id_col, validation_size, seed=seed, split_col=split_col)
+    return carved.unionByName(out.where(~is_train))
+
+
 # Prompts ----------------------------------------------------------------------------------
 STRATEGIES = ("none", "icl", "rag")
 
@@ -129,30 +145,44 @@ def evaluate_responses(responses: DataFrame, references: DataFrame, group_by: li
                        on_missing: str = "wrong") -> DataFrame:
     """(group..., metric, value): n_examples, exact_match, chrf, chrf_pp from keyed responses.
 
-    A missing response (``on_missing='wrong'``) scores as an empty hypothesis.  chrF and chrF++
-    share one n-gram pass (``chrf_family``); EM and counts are one aggregate; the two per-group
-    results are joined on the group key (a constant key when ungrouped — never a cross join).
+    A missing response (``on_missing='wrong'``) scores as an empty hypothesis.  EM, counts, chrF and chrF++
+    come from one pass over the aligned rows (``chrf_family``) and one aggregate.
     """
     keys = list(group_by or [])
-    a = AL.align(references.select(key, reference, *keys), responses.select(key, response), key, on_missing)
+    generation = [c for c in ("gen_id",) if c in responses.columns]
+    a = AL.align(references.select(key, reference, *keys), responses.select(key, *generation, response), key, on_missing,
+                 unique_responses=True)
     if not keys:
         a = a.withColumn("_all", F.lit(1))
         keys = ["_all"]
-    scored = a.withColumn(response, F.coalesce(F.col(response), F.lit("")))
-    hit = F.when(F.col(response) == F.col(reference), F.lit(1.0)).otherwise(F.lit(0.0))
-    base = a.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n_examples"), F.avg(hit).alias("exact_match"))
-    ch = M.chrf_family(scored, response, reference, key, group_by=keys)
-    tall = join_null_safe(base, ch, keys, "left").unpivot(keys, ["n_examples", "exact_match", "chrf", "chrf_pp"],
-                                                           "metric", "value")
+    # an example counts once, whatever its number of generations; scores are means over (example, generation)
+    a = a.withColumn("exact_match", F.when(F.col(response) == F.col(reference), F.lit(1.0)).otherwise(F.lit(0.0)))
+    a = a.withColumn(response, F.coalesce(F.col(response), F.lit("")))
+    also = {"exact_match": F.avg, key: F.countDistinct if generation else F.count}
+    wide = M.chrf_family(a, response, reference, key, group_by=keys, also=also)
+    wide = wide.withColumn("n_examples", F.col(key).cast("double"))
+    tall = wide.unpivot(keys, ["n_examples", "exact_match", "chrf", "chrf_pp"], "metric", "value")
     return tall.drop("_all") if keys == ["_all"] else tall
 
 
+def write_run_record(scores: DataFrame, telemetry: DataFrame, path: str, address: dict, group_by: list[str]) -> None:
+    """One record of a run: its scores per group and its memory and time (one row of ``run_summary``), as tall rows
+    ``(group..., metric, value, unit)`` under the run's address."""
+    use = IO.to_tall(telemetry.select(F.col("peak_mb").alias("peak_memory"), F.col("elapsed_s").alias("elapsed")), [], ["peak_memory", "elapsed"])
+    use = use.withColumn("unit", F.when(F.col("metric") == "elapsed", "s").otherwise("MB"))
+    tall = scores.withColumn("unit", F.lit(None).cast("string")).unionByName(
+        use.select(*[F.lit(None).cast(scores.schema[g].dataType).alias(g) for g in group_by], "metric", "value", "unit"))
+    kinds = {"temperature": "double", "n": "int", "seed": "int"}
+    IO.write_run_outputs(tall.select(*[F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in address.items()], "*"), path)
+
+
 # E3 -------------------------------------------------------------------------------------------
 def apps_report(outcomes: DataFrame, slices=APPS_SLICES, ks=(1, 10, 100), position: str = "problem_id"):
-    """Difficulty from fixed position slices (J6/L5); returns (accuracy table, pass@k table)."""
-    labelled = outcomes.withColumn("difficulty", OC.range_label(position, slices)).where(F.col("difficulty").isNotNull())
-    single = labelled.where(F.col("gen_id") == 0)
-    return OC.accuracy(single, ["difficulty"]), OC.pass_at_k(labelled, ks=ks, group_by=["difficulty"])
+    """Difficulty from fixed position slices (J6/L5); returns (accuracy table, pass@k table) over all generations.
+    Problems outside every slice are reported as ``outside``."""
+    label = F.coalesce(OC.range_label(position, slices), F.lit("outside"))
+    labelled = outcomes.withColumn("difficulty", label)
+    return OC.accuracy(labelled, ["difficulty"]), OC.pass_at_k(labelled, ks=ks, group_by=["difficulty"])
 
 
 def position_slice(df: DataFrame, lo: int, hi: int, position: str = "example_id") -> DataFrame:

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..operators._check import require_columns
 
-# Where a run's outputs live.  strategy labels the prompt strategy as the run was made (none /
+# Where a run's outputs live (``checkpoint`` follows below these).  strategy labels the prompt strategy as the run was made (none /
 # icl / rag, and rag_rerank when retrieved documents were re-ranked); n is the number of exemplars or
-# kept documents; seed the exemplar seed (NULL when unused); temperature is written as decimal(4,2)
-# so one sampling temperature always maps to one directory.
+# kept documents; seed the exemplar seed (NULL when unused); checkpoint names the fine-tuned weights
+# (NULL for the base model); temperature is written with all its digits (two decimals at least), so different
+# temperatures never share a directory.
 RUN_ADDRESS = ["model", "dataset", "temperature", "strategy", "n", "seed"]
 
 
@@ -38,9 +39,15 @@ def save_prepared(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def load_prepared(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """A prepared dataset, optionally one split (pruned to that partition directory)."""
+    """A prepared dataset, optionally one split (pruned to that partition directory).  A split without rows is an
+    error, raised here (K8): one row is looked for, nothing else is read."""
     df = spark.read.parquet(path)
-    return df.where(F.col("split") == split) if split is not None else df
+    if split is None:
+        return df
+    one = df.where(F.col("split") == split)
+    if one.isEmpty():
+        raise ValueError(f"no rows of split {split!r} under {path}")
+    return one
 
 
 # S4 -------------------------------------------------------------------------------------------
@@ -51,9 +58,12 @@ def read_response_lists(spark: SparkSession, path: str) -> DataFrame:
     import path for existing result files — the engine's own format is ``write_responses``.
     """
     raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    lists = raw.select("file", F.posexplode(F.from_json("value", "array<array<string>>")).alias("example_id", "gens"))
-    return lists.select("file", F.col("example_id").cast("long"),
-                        F.posexplode("gens").alias("gen_id", "response"))
+    parsed = F.from_json("value", "array<array<string>>")
+    parsed = F.coalesce(parsed, F.raise_error(F.concat(F.lit("not a list of response lists: "), F.col("file"))))
+    lists = raw.select("file", F.posexplode(parsed).alias("example_id", "gens"))
+    # a position without responses stays, with NULLs
+    return lists.select("file", F.col("example_id").cast("long").alias("example_id"),
+                        F.posexplode_outer("gens").alias("gen_id", "response"))
 
 
 # S5 / S6 / S7 ---------------------------------------------------------------------------------
@@ -87,15 +97,20 @@ def format_with_unit(value, unit: str):
 
 
 def write_run_outputs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Results addressed by (model, dataset, temperature, strategy, n, seed) partition directories.
+    """Results addressed by (model, dataset, temperature, strategy, n, seed, checkpoint) partition directories;
+    a frame without ``checkpoint`` holds runs of the base model.
 
     Idempotent per run: a dynamic partition overwrite replaces exactly the run addresses present in
     ``df`` (a rerun after a failure rewrites its own directory) and leaves every other run alone.
     """
     require_columns(df, *RUN_ADDRESS)
-    out = df.withColumn("temperature", F.col("temperature").cast("decimal(4,2)"))
+    t = F.col("temperature").cast("double")
+    two = t.cast("decimal(20,2)")
+    out = df.withColumn("temperature", F.when(two.cast("double") == t, two.cast("string")).otherwise(t.cast("string")))
+    if "checkpoint" not in df.columns:
+        out = out.withColumn("checkpoint", F.lit(None).cast("string"))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
-     .partitionBy(*RUN_ADDRESS).save(path))
+     .partitionBy(*RUN_ADDRESS, "checkpoint").save(path))
 
 
 # S8 -------------------------------------------------------------------------------------------

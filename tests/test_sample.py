@@ -44,17 +44,38 @@ def test_carve_too_many_raises(docs):
         SA.carve(docs, "doc_id", 10_000, seed=42).collect()
 
 
-def test_large_carve_path_equals_top_n(docs, monkeypatch):
-    small = _split_map(SA.carve(docs, "doc_id", 300, seed=5))
-    monkeypatch.setattr(SA, "TOP_N_LIMIT", 10)
-    large = _split_map(SA.carve(docs, "doc_id", 300, seed=5))
-    assert small == large
-
-
-def test_carve_plan_uses_bounded_top_n(docs):
+@pytest.mark.parametrize("n", [0, 1, 299, 300, 301, 1000])
+def test_buckets_do_not_change_the_selection(docs, monkeypatch, n):
+    whole = _split_map(SA.carve(docs, "doc_id", n, seed=5))
+    monkeypatch.setattr(SA, "BUCKET_ROWS", 7)
+    assert whole == _split_map(SA.carve(docs, "doc_id", n, seed=5))
+    first = {r.doc_id for r in SA.first_n(docs, "doc_id", n, 5).collect()}
+    assert first == {i for i, split in whole.items() if split == "validation"}
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_large_carve_is_exact_without_exchange_reuse(spark, reuse):
+    ids = spark.range(0, 200_000, 1, 16).withColumnRenamed("id", "doc_id")
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    try:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        got = SA.carve(ids, "doc_id", 100_500, seed=1).where("split = 'validation'").select("doc_id")
+        want = ids.withColumn("k", SA.shuffle_key("doc_id", 1)).orderBy("k", "doc_id").limit(100_500).select("doc_id")
+        assert got.count() == 100_500 and got.exceptAll(want).count() == 0
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+
+
+def test_an_empty_train_split_raises(docs):
+    none = docs.where("doc_id < 0")
+    for df in (SA.carve(none, "doc_id", 5), SA.first_n(none, "doc_id", 5, 1), SA.first_n_by_seed(none, "doc_id", 5, [1, 2])):
+        with pytest.raises(Exception, match="cannot select 5 rows from 0 rows"):
+            df.collect()
+
+
+def test_carve_moves_ids_alone(docs):
     plan = plan_text(SA.carve(docs, "doc_id", 100, seed=42))
-    assert "TakeOrderedAndProject" in plan
-    assert "CartesianProduct" not in plan
+    assert "CartesianProduct" not in plan and "SinglePartition" not in plan.split("Subquery")[0].replace("functions=[count(1)]", "")
 
 
 def test_first_n_nested(spark):
