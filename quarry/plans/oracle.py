@@ -250,6 +250,11 @@ select t.example_id, cfg.seed, cfg.n, (2 * cfg.cnt + 2)::bigint as n_messages,
   {cut(f"(cfg.txt || {render_pair('t.nl', 'null')})")} as prompt
 from pairs t cross join cfg where t.split = 'test'"""
 
+    s["icl_prompt_by_n"] = f"""
+with g as (select seed, n, avg(length(prompt)) as c from ({s["icl_grid"]}) x group by seed, n)
+select 'conala' as dataset, n, count(distinct seed) as n_seeds, round(avg(c), 4) as mean_prompt_chars, round(stddev_samp(c), 4) as std_prompt_chars,
+  round(min(c), 4) as min_prompt_chars, round(max(c), 4) as max_prompt_chars from g group by n"""
+
     s["render_cut"] = duck_with("pairs") + f""", {BLINDED}
 select example_id, {cut(render_pair('nl', 'reference'))} as prompt from blinded"""
 

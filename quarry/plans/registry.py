@@ -150,6 +150,13 @@ def q_icl_grid(spark, sf):
                       F.size("messages").cast("long").alias("n_messages"), render_cut("messages").alias("prompt"))
 
 
+def q_icl_prompt_by_n(spark, sf):
+    """A15 over the ICL grid: mean prompt length per (dataset, n) over the seeds."""
+    runs = q_icl_grid(spark, sf).groupBy("seed", "n").agg(F.avg(F.length("prompt")).alias("prompt_chars"))
+    s = RN.seed_summary(runs.withColumn("dataset", F.lit("conala")), ["dataset", "n"], "prompt_chars")
+    return s.select("dataset", "n", "n_seeds", *[F.round(f"{f}_prompt_chars", 4).alias(f"{f}_prompt_chars") for f in ("mean", "std", "min", "max")])
+
+
 def q_render_cut(spark, sf):
     t = _templated_pairs(spark, sf)
     return t.select("example_id", render_cut("messages").alias("prompt"))
@@ -569,6 +576,7 @@ QUERIES = {
     "icl_exemplars": q_icl_exemplars,
     "icl_prompt": q_icl_prompt,
     "icl_grid": q_icl_grid,
+    "icl_prompt_by_n": q_icl_prompt_by_n,
     "render_cut": q_render_cut,
     "fence_cut": q_fence_cut,
     "stop_truncate": q_stop_truncate,

@@ -21,11 +21,14 @@ from ..session import scratch_path
 POLL_SCHEMA = "run_id bigint, poll_ts timestamp, used_mb double"
 
 
-def summary_stream(polls: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Streaming A11 over a poll stream (``poll_ts`` must be TIMESTAMP, not TIMESTAMP_NTZ)."""
+def summary_stream(polls: DataFrame) -> DataFrame:
+    """Streaming A11 over a poll stream (``poll_ts`` must be TIMESTAMP, not TIMESTAMP_NTZ).
+
+    State is one row per run and is kept for the life of the query: a run has no end that the stream could see, and a late
+    poll still counts.  The published table holds every run, so the output mode is complete and a watermark would do nothing.
+    """
     ok_ts = F.when(F.col("used_mb") >= 0, F.col("poll_ts"))
-    return (polls.withWatermark("poll_ts", watermark)
-            .groupBy("run_id")
+    return (polls.groupBy("run_id")
             .agg(F.min_by("used_mb", ok_ts).alias("_initial_ok"),
                  F.min_by("used_mb", F.col("poll_ts")).alias("_initial_any"),
                  F.max("used_mb").alias("peak_mb"),
@@ -43,12 +46,13 @@ def finish_summary(state: DataFrame) -> DataFrame:
 
 
 def run_summary_stream(spark: SparkSession, source_dir: str, out_dir: str | None = None,
-                       checkpoint_dir: str | None = None, watermark: str = "1 day",
+                       checkpoint_dir: str | None = None,
                        available_now: bool = True, max_files_per_trigger: int | None = None):
     """Start the stream over parquet poll files in ``source_dir``; returns (query, out_dir).
 
     With ``available_now`` the query processes every file present and stops (batch-like catch-up);
-    otherwise it keeps running and the caller owns ``query.stop()``.
+    otherwise it keeps running and the caller owns ``query.stop()``.  Each trigger overwrites the table in ``out_dir``; read
+    it between triggers, or after the query has ended.
     """
     out_dir = out_dir or scratch_path(spark, "telemetry-summary")
     checkpoint_dir = checkpoint_dir or scratch_path(spark, "telemetry-ckpt")
@@ -56,7 +60,7 @@ def run_summary_stream(spark: SparkSession, source_dir: str, out_dir: str | None
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     polls = reader.parquet(source_dir)
-    state = summary_stream(polls, watermark)
+    state = summary_stream(polls)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         finish_summary(batch).write.mode("overwrite").parquet(out_dir)

@@ -1,7 +1,6 @@
 """Hand-made tables for the scalar text and prompt functions (whitespace zoo, JSON zoo, fences,
 stop strings, templates)."""
 
-import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,30 +47,36 @@ def test_fence_cut_cases(spark):
     assert got == {i: v.split("```")[0].strip() for i, v in enumerate(vals)}
 
 
-def _py_apps(io_s, sol_s, split):
-    try:
-        io = json.loads(io_s)
-        fn = None if not io.get("fn_name") else io["fn_name"]
-    except ValueError:
-        fn = None
-    try:
-        sols = json.loads(sol_s)
-    except ValueError:
-        sols = [""]
-    return fn, (None if split == "test" else sols[0])
+# expected values written out: (input_output, its function name), (solutions, the first one)
+NAMES = [('{"fn_name":"f","inputs":[]}', "f"), ('{"inputs":[]}', None), ("", None), ("{bad", None), ('{"fn_name":""}', None),
+         ('{"fn_name":"f"} junk', None), ('{"fn_name":false}', None), ('{"fn_name":0}', None), ('{"fn_name":0.0}', None),
+         ('{"fn_name":[]}', None), ('{"fn_name":{}}', None), ('{"fn_name":null}', None), ('{"fn_name":"false"}', "false"),
+         ('{"fn_name":"f"}] {', None), ('["fn_name"]', None), (None, None)]
+FIRSTS = [('["s1","s2"]', "s1"), ('["only"]', "only"), ("", ""), ("bad[", ""), ('["a"] junk', ""), ('["a"], ["b"]', ""),
+          (' ["a"]\n', "a"), ('{"a":1}', ""), ("[]", None)]
 
 
 def test_json_zoo(spark):
-    ios = ['{"fn_name":"f","inputs":[]}', '{"inputs":[]}', "", "{bad", '{"fn_name":""}']
-    sols = ['["s1","s2"]', '["only"]', "", "bad["]
-    rows = [(i, io, sol) for i, (io, sol) in enumerate((a, b) for a in ios for b in sols)]
-    df = spark.createDataFrame(rows, "i int, io string, sol string")
-    out = df.select("i", "io", "sol", T.json_truthy_field("io", "fn_name").alias("fn"),
-                    T.json_first_element("sol").alias("first")).collect()
-    for r in out:
-        fn, first = _py_apps(r.io, r.sol, "train")
-        assert r.fn == fn
-        assert r.first == first
+    names = {r.i: r.o for r in _one_col(spark, [x for x, _ in NAMES]).select("i", T.json_truthy_field("s", "fn_name").alias("o")).collect()}
+    assert [names[i] for i in range(len(NAMES))] == [want for _, want in NAMES]
+    firsts = {r.i: r.o for r in _one_col(spark, [x for x, _ in FIRSTS]).select("i", T.json_first_element("s").alias("o")).collect()}
+    assert [firsts[i] for i in range(len(FIRSTS))] == [want for _, want in FIRSTS]
+
+
+def test_strip_is_linear_in_inner_blanks(spark):
+    import time
+    text = "a" + " " * 400_000 + "b" + " " * 10
+    df = _one_col(spark, [text])
+    df.select(T.py_strip("s")).collect()
+    t = time.perf_counter()
+    assert df.select(T.py_strip("s").alias("o")).first().o == text.strip()
+    assert time.perf_counter() - t < 20  # a quadratic pattern takes minutes
+
+
+def test_a_turn_without_content_raises(spark):
+    df = spark.createDataFrame([([("user", "q"), ("assistant", None)],)], "m array<struct<role:string,content:string>>")
+    with pytest.raises(Exception, match="no content"):
+        df.select(T.render_messages("m")).collect()
 
 
 def test_json_first_element_empty_array(spark):
