@@ -12,7 +12,7 @@ and a failure arc of weight ``rest(h)`` (what the discounts leave) to the state
 p(w) = (c(w) + 1) / (N + V + 1).  The probabilities after any history sum to one.
 
 Texts are scored in blocks.  A block asks for the counts of its rarer words and for the arcs it may need (distinct per
-block), gets them by two joins, and is traversed once from left to right, all its texts in step, each carrying its
+block), gets by two joins what it doesn't know already, and is traversed once from left to right, all its texts in step, each carrying its
 state.
 """
 
@@ -157,22 +157,32 @@ def _blocks(size: int):
 
 
 def _wanted(states):
-    """Distinct rarer words and possible arcs of every block, as (block, arc, key)."""
+    """Distinct rarer words and possible arcs of every block, as (block, arc, key, own): ``own`` is how often the word stands in
+    the block's training texts, so that words found nowhere else need no answer."""
     def want(batches):
         st = states.value
         for b in batches:
             block = b.column("block").to_numpy()
             for x in np.unique(block):
-                t, n = tokens(b.column("text").filter(pa.array(block == x)))
+                part = b.filter(pa.array(block == x))
+                t, n = tokens(part.column("text"))
                 number = _find(st.words, t)
-                rare = np.unique(t[number < 0])
+                rare, own = _own_counts(t, n, number, part.column("held_out"))
                 arcs = [h[ok] << _SHIFT | number[ok] for h in st.histories(number, n) for ok in [(h >= 0) & (number >= 0)]]
                 arcs = np.unique(np.concatenate(arcs))
                 yield _rows(block=np.full(len(rare) + len(arcs), x), arc=np.r_[np.zeros(len(rare), bool), np.ones(len(arcs), bool)],
-                            key=np.r_[rare, arcs])
+                            key=np.r_[rare, arcs], own=np.r_[own, np.zeros(len(arcs), np.int64)])
     return want
 
 
+def _own_counts(t: np.ndarray, count: np.ndarray, number: np.ndarray, held_out) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rarer words and how often each stands in texts that are trained on."""
+    rare = number < 0
+    word, at = np.unique(t[rare], return_inverse=True)
+    trained = np.repeat(~held_out.to_numpy(zero_copy_only=False).astype(bool), count)[rare]
+    return word, np.bincount(at[trained], minlength=len(word))
+
+
 def traverse(st: States, number: np.ndarray, base: np.ndarray, count: np.ndarray, arcs: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """log10 probability of every text: one step per token for all texts at once, longest first, each carrying its state."""
     order = np.argsort(-count, kind="stable")
@@ -213,8 +223,9 @@ def _score(states):
         is_arc = answers.column("arc").to_numpy(zero_copy_only=False).astype(bool)
         key, c, weight = (answers.column(x).to_numpy(zero_copy_only=False) for x in ("key", "c", "weight"))
         number = _find(st.words, t)
-        word, pick = np.unique(key[~is_arc], return_index=True)
-        rare = c[~is_arc][pick]
+        word, rare = _own_counts(t, n, number, texts.column("held_out"))
+        told, pick = np.unique(key[~is_arc], return_index=True)
+        rare[_find(word, told)] = c[~is_arc][pick]
         at = _find(word, t)
         seen = np.r_[rare, 0][at]  # -1: the last, 0
         p = np.where(number >= 0, np.r_[st.p1, 1.0][number], (seen + 1) / (st.total + st.kinds + 1))
@@ -288,10 +299,10 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
             if not keep.any():
                 break
     shared = sc.broadcast(st)
-    wanted = corpus.select("block", "text").mapInArrow(_wanted(shared), "block long, arc boolean, key long")
-    wanted = materialise(wanted, "wanted")
+    wanted = corpus.select("block", "held_out", "text").mapInArrow(_wanted(shared), "block long, arc boolean, key long, own long")
+    wanted = materialise(wanted, "wanted", "zstd")
     none = F.lit(0.0)
-    found = wanted.where("not arc").join(words, F.col("key") == F.col("word")).select("block", "arc", "key", "c", none.alias("weight"))
+    found = wanted.where("not arc").join(words, F.col("key") == F.col("word")).where("c <> own").select("block", "arc", "key", "c", none.alias("weight"))
     if arcs is not None:
         found = found.unionByName(wanted.where("arc").join(arcs, F.col("key") == F.col("code")).select(
             "block", "arc", "key", "c", F.log10("p").alias("weight")))
