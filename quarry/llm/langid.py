@@ -81,12 +81,14 @@ def _count(batches):
 
 
 def train(labelled: DataFrame, *, label: str = "lang", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """Fits on about ``rows`` rows with a label and a text; labels with fewer than ``MIN_LABELLED`` of them are not
+    """Fits on about ``rows`` different texts that have a label; labels with fewer than ``MIN_LABELLED`` of them are not
     languages.  Without any, the model knows no language and rejects every text."""
     some = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.lower(label).alias("label"), F.col(text).alias("text"))
     n = some.count()
     if n > rows:
         some = some.where(bucket(1 << 30, F.lit(6), "text") < int((1 << 30) * rows / n))
+    # copies of a text count once, so that a text with very many copies cannot fill the sample
+    some = some.groupBy("label", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     some = materialise(some, "labelled", "zstd")
     size = {r["label"]: r["n"] for r in some.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(MIN_LABELLED, max(1, n // 50)))
             .orderBy(F.desc("n"), "label").limit(rows // MIN_LABELLED).collect()}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, named
+from .common import materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -85,10 +85,14 @@ def mix(docs: DataFrame, *, source: str = "source", size: str = "__size", weight
     seed a document's key, so that reruns agree.  A NULL source is a source of its own, after all others; a source of
     size 0 has target 0 and its documents are taken 0 times.  Repeated rows share a key and are taken one after
     the other.  An empty table gives an empty result.  Whole documents are taken, never parts.  Further columns
-    pass through; their names must not begin with two underscores.
+    pass through, whatever their names.
     """
+    cols = docs.columns
+    plain = [f"c{i}" for i in range(len(cols))]
+    source, size, weight = (plain[cols.index(x)] for x in (source, size, weight))
+    draw = [plain[cols.index(x)] for x in draw]
     n = F.coalesce(F.col(size), F.lit(0)).cast("long")
-    base = materialise(docs.withColumn("__rid", F.monotonically_increasing_id()), "mixed", "zstd")
+    base = materialise(docs.toDF(*plain).withColumn("__rid", F.monotonically_increasing_id()), "mixed", "zstd")
     w = F.coalesce(F.col(weight), F.lit(1.0)).cast("double")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *draw), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     rows = base.select(F.col("__rid").alias("rid"), F.col(source).alias("source"), n.alias("size"), w.alias("w"),
@@ -120,5 +124,5 @@ def mix(docs: DataFrame, *, source: str = "source", size: str = "__size", weight
     out = out.join(p, out[source].eqNullSafe(p["s"]))
     times = (F.col("epochs") + F.coalesce("more", F.lit(0))).cast("long")
     times = F.when(F.col("source_size") > 0, times).otherwise(F.lit(0).cast("long"))
-    return out.select(*named(docs.columns), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
+    return out.select(*[F.col(p).alias(c) for p, c in zip(plain, cols)], F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
                       times.alias("__times"), (times * n).alias("__taken"))

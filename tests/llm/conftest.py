@@ -5,12 +5,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, `rank.x` int, kept string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, `rank.x` int, kept string, " \
+       "target string, epochs string, rid string, comp string, id string, c0 string, grp string"
 
 
 def doc(i, text, lang="en", source="s"):
     """A row of documents with further columns whose names clash with the operators' own."""
-    return (i, text, lang, source, None, "big", 7, "yes")
+    return (i, text, lang, source, None, "big", 7, "yes", "t", "e", "r", None, "x", "c", "g")
 
 
 @pytest.fixture(scope="session")
