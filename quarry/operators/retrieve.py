@@ -39,7 +39,7 @@ from .prompt import resolve_prefix, templated_turns
 from ._check import require_columns
 
 _CAND_SCHEMA = "query_id long, doc_id long, sim double"
-_QUERY_CHUNK = 1024
+_QUERY_CHUNK, _KB_CHUNK = 512, 4096
 
 
 def _first_k_unique(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,18 +94,20 @@ def _topk_rows(cat_s: np.ndarray, cat_i: np.ndarray, k: int) -> tuple[np.ndarray
 def _local_topk(q_mat: np.ndarray, d_ids: np.ndarray, d_mat: np.ndarray, k: int,
                 best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Merge the top-k (sim desc, doc_id asc) of q x d into the running ``best`` (sims, ids),
-    both shaped (queries, k); empty slots hold -inf / max int.  Queries are processed in chunks
-    so the similarity block stays ``_QUERY_CHUNK x batch`` doubles."""
+    both shaped (queries, k); empty slots hold -inf / max int.  Both sides are processed in chunks, so the
+    similarity block stays ``_QUERY_CHUNK x _KB_CHUNK`` doubles (16 MB), whatever the batch or block."""
     n = q_mat.shape[0]
     if best is None:
         best = (np.full((n, k), -np.inf), np.full((n, k), np.iinfo("int64").max, dtype="int64"))
     b_s, b_i = best
-    for s in range(0, n, _QUERY_CHUNK):
-        sims = q_mat[s:s + _QUERY_CHUNK] @ d_mat.T
-        c = sims.shape[0]
-        cat_s = np.concatenate([b_s[s:s + c], sims], axis=1)
-        cat_i = np.concatenate([b_i[s:s + c], np.broadcast_to(d_ids, (c, len(d_ids)))], axis=1)
-        b_s[s:s + c], b_i[s:s + c] = _topk_rows(cat_s, cat_i, k)
+    for t in range(0, len(d_ids), _KB_CHUNK):
+        ids, mat = d_ids[t:t + _KB_CHUNK], d_mat[t:t + _KB_CHUNK]
+        for s in range(0, n, _QUERY_CHUNK):
+            sims = q_mat[s:s + _QUERY_CHUNK] @ mat.T
+            c = sims.shape[0]
+            cat_s = np.concatenate([b_s[s:s + c], sims], axis=1)
+            cat_i = np.concatenate([b_i[s:s + c], np.broadcast_to(ids, (c, len(ids)))], axis=1)
+            b_s[s:s + c], b_i[s:s + c] = _topk_rows(cat_s, cat_i, k)
     return b_s, b_i
 
 
@@ -177,7 +179,7 @@ def _fetch(big: DataFrame, keys: DataFrame, key: str, key_rows: int,
 
 def _broadcast_candidates(q: DataFrame, d: DataFrame, k: int) -> DataFrame:
     spark = q.sparkSession
-    local = q.toPandas()  # bounded by max_broadcast_rows (checked by the caller)
+    local = q.toPandas()  # its matrix is within max_broadcast_bytes (checked by the caller)
     shipped = spark.sparkContext.broadcast((local["query_id"].to_numpy("int64"), _matrix(local["v"])))
 
     def scan(batches):

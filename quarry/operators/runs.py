@@ -71,6 +71,7 @@ def run_summary(polls: DataFrame, run: str = "run_id", ts: str = "poll_ts", valu
 
 
 # W4 / W5 --------------------------------------------------------------------------------------
+CHUNK_ROWS = 50_000
 _LAST_CHUNK = 2 ** 62  # rows without a timestamp: one chunk after every real one
 
 
@@ -80,8 +81,9 @@ def running_stats(df: DataFrame, run: str, order: list[str], value: str | None =
     ``value``, ``running_peak`` (max so far) per run in ``order`` (first column a timestamp; NULLs
     last, as SQL engines order by default).
 
-    The ordered window only ever sees one (run, chunk) group, so its size is bounded by the
-    telemetry rate times ``chunk_seconds``, whatever share of all rows a run holds; the chunk
+    The ordered window only ever sees one (run, chunk) group.  Chunks are at most ``chunk_seconds`` long and shorter where a run
+    is dense, so that its chunks hold about ``CHUNK_ROWS`` rows if its times are spread evenly; rows without a time are spread by
+    hash if time is the only order column (with others they form one chunk, as do rows of one instant).  The chunk
     carry-ins come from a table with one row per (run, chunk).  Chunk ids use the epoch of the
     timestamps as stored (no session-time-zone conversion), so results do not depend on
     ``chunk_seconds`` or on the session; rows are ordered by that same epoch (then the other
@@ -92,8 +94,17 @@ def running_stats(df: DataFrame, run: str, order: list[str], value: str | None =
     require_columns(df, run, *order, *([value] if value else []))
     c = df.select("*", F.struct(F.col(run).alias("r")).alias("_rkey"),
                   epoch_micros(df, order[0]).alias("_epoch_us"))
-    c = c.withColumn("_chunk", F.coalesce(F.floor(F.col("_epoch_us") / (chunk_seconds * 1_000_000)),
-                                          F.lit(_LAST_CHUNK).cast("long")))
+    # chunks shrink until the densest run has about CHUNK_ROWS rows in each; rows without a time tie in it and, where no other
+    # order column tells them apart, in any order: they are spread by hash
+    per = c.groupBy("_rkey").agg(F.count("_epoch_us").alias("n"), (F.max("_epoch_us") - F.min("_epoch_us")).alias("span"),
+                                 F.count(F.when(F.col("_epoch_us").isNull(), 1)).alias("bare"))
+    dense = per.agg(F.min(F.when(F.col("n") > CHUNK_ROWS, F.col("span") * F.lit(float(CHUNK_ROWS)) / F.col("n"))).alias("w")).scalar()
+    width = F.greatest(F.lit(1.0), F.least(F.lit(chunk_seconds * 1_000_000.0), F.coalesce(dense, F.lit(float("inf")))))
+    last = F.lit(_LAST_CHUNK).cast("long")
+    if len(order) == 1:
+        bare = per.agg(F.ceil(F.max("bare") / CHUNK_ROWS).cast("long").alias("b")).scalar()
+        last = last + F.pmod(F.xxhash64(*df.columns), F.greatest(F.lit(1).cast("long"), F.coalesce(bare, F.lit(1).cast("long"))))
+    c = c.withColumn("_chunk", F.coalesce(F.floor(F.col("_epoch_us") / width).cast("long"), last))
     rk = ["_rkey"]
     aggs = [F.count(F.lit(1)).alias("_ccnt")] + ([F.max(value).alias("_cmax")] if value else [])
     chunks = c.groupBy(*rk, "_chunk").agg(*aggs)

@@ -221,3 +221,23 @@ def test_time_edge_values(spark):
     assert RN.run_summary(z).first().elapsed_s == 3600.0
     got = {r.poll_ts: r.processed for r in RN.running_stats(z, "run_id", ["poll_ts"]).collect()}
     assert got == {"2024-01-01T10:00:00+02:00": 1, "2024-01-01T09:00:00Z": 2}
+
+
+def test_one_dense_hour_and_rows_without_time_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(RN, "CHUNK_ROWS", 500)
+    base = spark.range(20_000)
+    hour = base.select(F.lit(1).alias("run_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 150_000).alias("ts"),
+                       (F.col("id") % 977).cast("double").alias("used_mb"))
+    bare = base.select(F.lit(2).alias("run_id"), F.lit(None).cast("timestamp").alias("ts"), F.col("id").cast("double").alias("used_mb"))
+    out = RN.running_stats(hour.unionByName(bare), "run_id", ["ts"], value="used_mb")
+    got = out.where("run_id = 1").orderBy("ts").select("processed", "total", "running_peak").collect()
+    assert [r.processed for r in got] == list(range(1, 20_001)) and {r.total for r in got} == {20_000}
+    assert [r.running_peak for r in got] == [float(min(i, 976)) for i in range(20_000)]
+    rest = out.where("run_id = 2").orderBy("processed").select("processed", "running_peak", "used_mb").collect()
+    assert [r.processed for r in rest] == list(range(1, 20_001))
+    peak = 0.0
+    for r in rest:
+        peak = max(peak, r.used_mb)
+        assert r.running_peak == peak
+    groups = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert groups < 20_000
