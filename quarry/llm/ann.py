@@ -2,7 +2,7 @@
 
 Vectors are mapped to unit vectors in one more dimension (divided by the largest norm, the last component filling up to
 length 1; queries get 0 there), so that the nearest are those of largest inner product.  Each of ``PROJECTIONS`` random
-projections keeps the rows of a block as a sorted array.  A query opens a window around its own projection in every
+projections keeps the rows of a block as a sorted array, and every row's place in it.  A query opens a window around its own projection in every
 array; virtual rehashing widens the windows level by level without new hashing.  A row that has fallen into
 ``THRESHOLD`` of the windows is verified on its original vector; the search ends when ``VERIFY`` of the block and at
 least ``MIN_VERIFY`` rows are verified.
@@ -33,44 +33,53 @@ class CollisionIndex:
         self.ids, self.vectors = ids, vectors
         x = vectors / norm
         x = np.c_[x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))]
-        # orthogonal directions, as many blocks of them as needed
+        # orthogonal directions, as many sets of them as needed
         rng, dims, need = np.random.default_rng(seed), x.shape[1], PROJECTIONS
-        blocks = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-need // dims))]
-        self.axes = np.concatenate(blocks, axis=1)[:, :need]
+        sets = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-need // dims))]
+        self.axes = np.concatenate(sets, axis=1)[:, :need]
         p = (x @ self.axes).T
-        self.order = np.argsort(p, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(p, self.order, axis=1)
+        order = np.argsort(p, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(p, order, axis=1)
+        kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
+        self.place = np.empty(p.shape, kind)  # of every row in every sorted array
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=kind)[None, :], axis=1)
         self.width = float(np.std(p)) * FIRST_WIDTH or 1e-9
 
-    def candidates(self, query: np.ndarray) -> np.ndarray:
-        """Rows that collide with the query in enough windows."""
+    def candidates(self, queries: np.ndarray):
+        """For every query (by its number) the rows that collide with it in enough windows; queries whose windows are wide enough
+        are yielded level by level."""
         n = len(self.ids)
-        want = min(n, max(MIN_VERIFY, int(VERIFY * n)))
-        need = int(THRESHOLD * PROJECTIONS)
+        want, need = min(n, max(MIN_VERIFY, int(VERIFY * n))), int(THRESHOLD * PROJECTIONS)
         if want == n:
-            return np.arange(n)
-        at = np.r_[query / np.sqrt((query * query).sum()), 0.0] @ self.axes
-        hits = np.zeros(n, np.int64)
-        lo = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at)])
-        hi, width = lo.copy(), self.width
-        for _ in range(LEVELS):
-            ring = []
-            for j, (s, o) in enumerate(zip(self.sorted, self.order)):
-                a, b = s.searchsorted(at[j] - width), s.searchsorted(at[j] + width, "right")
-                ring += (o[a:lo[j]], o[hi[j]:b])
-                lo[j], hi[j] = a, b
-            hits += np.bincount(np.concatenate(ring), minlength=n)
-            if np.count_nonzero(hits >= need) >= want:
-                break
-            width *= WIDEN
-        return np.flatnonzero(hits >= need)
+            yield from ((q, np.arange(n)) for q in range(len(queries)))
+            return
+        unit = queries / np.sqrt((queries * queries).sum(axis=1, keepdims=True))
+        at = np.c_[unit, np.zeros(len(unit))] @ self.axes
+        open_, width = np.arange(len(queries)), self.width
+        for level in range(LEVELS):
+            lo = np.stack([s.searchsorted(a - width) for s, a in zip(self.sorted, at[open_].T)])
+            hi = np.stack([s.searchsorted(a + width, "right") for s, a in zip(self.sorted, at[open_].T)])
+            size = (hi - lo).astype(self.place.dtype)
+            lo = lo.astype(self.place.dtype)
+            wait = np.ones(len(open_), bool)
+            for i, q in enumerate(open_.tolist()):
+                # a place lies in a window if it is less than its size above its start (unsigned, so below wraps round)
+                hits = ((self.place - lo[:, i:i + 1]) < size[:, i:i + 1]).sum(axis=0, dtype=np.uint8)
+                found = np.flatnonzero(hits >= need)
+                if len(found) >= want or level == LEVELS - 1:
+                    wait[i] = False
+                    yield q, found
+            open_, width = open_[wait], width * WIDEN
+            if not len(open_):
+                return
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        c = self.candidates(query)
-        c = c[self.ids[c] != own]
-        score = (self.vectors[c] * query).sum(axis=1)
-        best = np.lexsort((self.ids[c], -score))[:k]
-        return self.ids[c][best], score[best]
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int):
+        """For every query its number and the ids and scores of the ``k`` best verified rows but ``own``."""
+        for q, c in self.candidates(queries):
+            c = c[self.ids[c] != own[q]]
+            score = (self.vectors[c] * queries[q]).sum(axis=1)
+            best = np.lexsort((self.ids[c], -score))[:k]
+            yield q, self.ids[c][best], score[best]
 
 
 def _cell(k: int, norm: float):
@@ -78,9 +87,9 @@ def _cell(k: int, norm: float):
         q, i, d = [], [], []
         if len(rows) and len(queries):
             index = CollisionIndex(rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()), norm)
-            for own, v in zip(queries["id"].to_numpy(), queries["v"]):
-                ids, score = index.top(np.asarray(v), own, k)
-                q.append(np.full(len(ids), own))
+            own = queries["id"].to_numpy()
+            for x, ids, score in index.top(np.stack(queries["v"].to_numpy()), own, k):
+                q.append(np.full(len(ids), own[x]))
                 i.append(ids)
                 d.append(score)
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .common import bucket
 
-ROW_BLOCK = 1 << 18
+ROW_BLOCK = 1 << 16
 QUERY_BLOCK = 1 << 13
 
 
