@@ -1,6 +1,6 @@
 """Vector retrieval and retrieval-augmented prompts.
 
-J2 — exact top-k by inner product on unit vectors (= cosine), ties broken by ``doc_id``.  Two
+J2 — exact top-k by inner product on unit vectors (= cosine), ties (scores equal to 12 decimals) broken by ``doc_id``.  Two
 physical strategies, chosen by a size check on the query side:
 
 * **broadcast** (query matrix, rows x dims x 8 bytes, <= ``max_broadcast_bytes``): the matrix —
@@ -103,7 +103,8 @@ def _local_topk(q_mat: np.ndarray, d_ids: np.ndarray, d_mat: np.ndarray, k: int,
     for t in range(0, len(d_ids), _KB_CHUNK):
         ids, mat = d_ids[t:t + _KB_CHUNK], d_mat[t:t + _KB_CHUNK]
         for s in range(0, n, _QUERY_CHUNK):
-            sims = q_mat[s:s + _QUERY_CHUNK] @ mat.T
+            # a matrix product may score equal vectors a rounding step apart; 12 decimals make them ties again
+            sims = np.round(q_mat[s:s + _QUERY_CHUNK] @ mat.T, 12)
             c = sims.shape[0]
             cat_s = np.concatenate([b_s[s:s + c], sims], axis=1)
             cat_i = np.concatenate([b_i[s:s + c], np.broadcast_to(ids, (c, len(ids)))], axis=1)

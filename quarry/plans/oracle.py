@@ -145,7 +145,7 @@ tok as (select c.query_id, c.doc_id, c.rank, i.i,
         cross join range(0, 8) i(i) cross join range(0, 8) j(j)
         group by c.query_id, c.doc_id, c.rank, i.i),
 ms as (select query_id, doc_id, rank, sum(best) as maxsim from tok group by query_id, doc_id, rank),
-rr as (select * from (select *, row_number() over (partition by query_id order by maxsim desc, rank) as final_rank from ms) f
+rr as (select * from (select *, row_number() over (partition by query_id order by round(maxsim, 9) desc, rank) as final_rank from ms) f
        where final_rank <= {n_final})"""
 
 
