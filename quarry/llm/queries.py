@@ -9,7 +9,7 @@ from .ann import inner_product_neighbours
 from .common import n_words
 from .hamming import hamming_top_k
 from .langid import identify, page_evidence, train
-from .licence import KEYWORD, LINE_END, MARK, RULES, SENTENCE_END, SENTENCES, scan_licences
+from .licence import KEYWORD, LINE_END, RULES, SENTENCE_END, SENTENCES, scan_licences
 from .lm import score_texts
 from .mix import mix
 from .neardup import near_duplicates
