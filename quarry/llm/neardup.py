@@ -31,6 +31,7 @@ TREES, BRANCH = 10, 2
 CANDIDATE = 38
 #: members of a small node; a set of more than HEAVY shingles counts as several
 SMALL_NODE, HEAVY = 512, 8192
+EDGES_PER_TASK = 100_000
 MAX_DEPTH = 8
 #: the first rounds take this many root children per set; rounds after the first deal only children that are too large to be
 #: compared at once, around the member that had most links
@@ -188,20 +189,22 @@ def _links(cols: dict, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 
 def components(edges: DataFrame) -> DataFrame:
     """``(kid, comp)`` for every end of an edge ``(a, b)``: the smallest id reachable.  Alternating large and
-    small stars; every round is a written table, and hot hubs are minima with map-side combine."""
+    small stars; every round is a written table, and hot hubs are minima with map-side combine.  The edges are mostly few, so
+    each round runs with as many tasks as they need."""
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     state = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state or not now[0]:
             break
-        state = now
+        state, tasks = now, 1 + now[0] // EDGES_PER_TASK
+        e = e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), "cc")
     return e.select(F.col("u").alias("kid"), F.col("v").alias("comp")).unionByName(
         e.select(F.col("v").alias("kid"), F.col("v").alias("comp")).distinct())
 
