@@ -5,7 +5,7 @@ are fused with three other pieces of evidence, each a smoothed table computed by
 the language declared in the markup, the address suffix, and the host's prior, which is smoothed towards its domain's
 and that towards the whole collection's.  One pass over the texts, no shuffle of texts; the tables are joined.
 
-A text for which no language is likelier than evenly spread trigrams is rejected, as is one without any letter.
+A text for which evenly spread trigrams are clearly likelier than every language is rejected, as is one without any letter.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ MIN_LABELLED = 20
 BITS = 14
 #: a text's evidence counts for at most this many independent trigrams
 EFFECTIVE = 60.0
+#: how much likelier (in nats) evenly spread trigrams must be than every language for a text to be rejected: a few rare trigrams
+#: of a short text are not enough
+REJECT = 20.0
 #: strength (in rows) of the smoothing of host towards domain, domain towards all, and of the evidence tables
 STRENGTH = 10.0
 
@@ -188,7 +191,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
     out = out.withColumn("__score", score).withColumn("__best", F.array_max("__score"))
     best = F.array_position("__score", F.col("__best")).cast("int")
     by_text = F.array_position("__ll", F.array_max("__ll")).cast("int")
-    kept = (F.col("__grams") > 0) & (F.array_max("__ll") > F.col("__even"))
+    kept = (F.col("__grams") > 0) & (F.array_max("__ll") + REJECT > F.col("__even"))
     return out.select(*own, F.when(kept, F.element_at(names, best)).alias("__language"),
                       F.when(kept, F.array_max(_softmax(F.col("__score")))).alias("__probability"),
                       F.when(F.col("__grams") > 0, F.element_at(names, by_text)).alias("__text_language"), kept.alias("__kept"))
