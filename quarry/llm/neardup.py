@@ -30,7 +30,7 @@ TREES, BRANCH = 10, 2
 #: two sets of similarity 0.8 share 51 of 64 tokens on average, standard deviation 3.2
 CANDIDATE = 38
 #: members of a small node; a set of more than HEAVY shingles counts as several
-SMALL_NODE, HEAVY = 512, 8192
+SMALL_NODE, HEAVY = 1024, 4096
 EDGES_PER_TASK = 100_000
 MAX_DEPTH = 8
 #: the first rounds take this many root children per set; rounds after the first deal only children that are too large to be
