@@ -175,13 +175,24 @@ FROM docs d LEFT JOIN r{len(RULES)} r USING (rid)
 """
 
 
-_WARC_SQL = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(encode(coalesce(html, ''))) AS d FROM pages),
-f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
-SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
-       CASE WHEN f.first IS NOT NULL AND f.first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN f.first <> page_id THEN f.first END AS refers_to
-FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
+_WARC_SQL = r"""
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha256(encode(coalesce(html, ''))) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d),
+k AS (
+  SELECT p.*, f.first,
+         regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www[0-9]*\.', '') AS host,
+         regexp_extract(lower(url), '^[a-z]+://[^/?#]*([^#]*)', 1) AS rest
+  FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100),
+u AS (
+  SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' ||
+            CASE WHEN rest = '' OR rest[1] = '?' THEN '/' || rest ELSE rest END AS url_key,
+         strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(1700000000 + page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
+  FROM k)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, url_key, captured,
+       row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position
+FROM u
 """
 
 ORACLE_SQL: dict[str, str] = {
