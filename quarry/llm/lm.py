@@ -1,19 +1,18 @@
 """Scoring texts with a weighted backoff automaton learnt from the corpus.
 
-Tokens are words (A-Z lower-cased) and one end token per text.  Every token's count is kept, so the unigrams cover the
-whole corpus.  Histories are states: the words, pairs, ... whose share of all training tokens is at least ``STATE_SHARE``
-(so there are at most ``1 / STATE_SHARE`` states of each length: the only tables held by every task), and the start of a
-text.  From a state there is an arc for every word of the state vocabulary seen at least ``MIN_COUNT`` times after it, weighted by
-absolute discounting,
+Tokens are words (A-Z lower-cased) and one end token per text.  Every token and every n-gram of up to ``ORDER`` tokens (the
+start of a text counts as one) is counted, at any size of the corpus.  Histories are states: every word, the longer ones
+seen at least ``MIN_COUNT`` times, and the start of a text; these are absolute counts, so more text only adds states.  From
+a state there is an arc for every word seen at least ``MIN_COUNT`` times after it, weighted by absolute discounting,
 
     p(w | h) = (c(h w) - DISCOUNT) / c(h) + rest(h) * p(w | shorter h),
 
 and a failure arc of weight ``rest(h)`` (what the discounts leave) to the state of the longest shorter history.  At the root,
 p(w) = (c(w) + 1) / (N + V + 1).  The probabilities after any history sum to one.
 
-Texts are scored in blocks.  A block asks for the counts of its rarer words and for the arcs it may need (distinct per
-block), gets by two joins what it doesn't know already, and is traversed once from left to right, all its texts in step, each carrying its
-state.
+No task holds the model.  Texts are scored in blocks: a block asks for the counts of its distinct words and n-grams, gets by one
+join those it doesn't know already from its own texts, and follows all its tokens through the automaton, one length of
+history after the other.
 """
 
 from __future__ import annotations
@@ -28,12 +27,11 @@ from pyspark.sql import types as T
 from .common import materialise, mix64, row_chunks, string_buffers, word_chunks
 
 ORDER = 3
-STATE_SHARE = 5e-5
 MIN_COUNT = 2
 DISCOUNT = 0.75
 BLOCK_BYTES = 16 << 20
-END = int(mix64(np.array([0x454E44], np.uint64)).view(np.int64)[0])
-_SHIFT = 20  # bits of a word's number in an arc's code
+END, START = (int(mix64(np.array([x], np.uint64)).view(np.int64)[0]) for x in (0x454E44, 0x5354415254))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,76 +65,38 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
-class States:
-    """Vocabulary and states.  State 0 is the root, 1 the start of a text, then the words (state ``2 + number``), then longer
-    histories; ``code`` (sorted, with ``of``) names a state by its first part and its last word."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, texts: int, total: int, kinds: int):
-        self.words, self.total, self.kinds = words, total, kinds
-        self.p1 = (counts + 1) / (total + kinds + 1)
-        n = len(words)
-        self.count = np.r_[total, texts, counts].astype(np.float64)
-        self.depth = np.r_[0, np.ones(n + 1, np.int64)]
-        self.suffix = np.zeros(n + 2, np.int64)
-        self.rest = np.ones(n + 2)
-        self.code = np.arange(n, dtype=np.int64)
-        self.of = 2 + np.arange(n, dtype=np.int64)
-
-    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        """Histories one word longer than the longest so far."""
-        first, word = codes >> _SHIFT, codes & ((1 << _SHIFT) - 1)
-        suffix = self.step(self.suffix[first], word)
-        new = len(self.count) + np.arange(len(codes))
-        self.count = np.r_[self.count, counts]
-        self.depth = np.r_[self.depth, self.depth[first] + 1]
-        self.suffix = np.r_[self.suffix, suffix]
-        self.rest = np.r_[self.rest, np.ones(len(codes))]
-        order = np.argsort(np.r_[self.code, codes], kind="stable")
-        self.code, self.of = np.r_[self.code, codes][order], np.r_[self.of, new][order]
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The state after reading ``word`` (-1: not in the vocabulary): the longest known history."""
-        out = np.zeros(len(state), np.int64)
-        open_ = np.flatnonzero(word >= 0)
-        s, w = state[open_], word[open_]
-        while len(open_):
-            at = _find(self.code, s << _SHIFT | w)
-            hit = at >= 0
-            out[open_[hit]] = self.of[at[hit]]
-            s, w, open_ = self.suffix[s[~hit]], w[~hit], open_[~hit]
-        return out
-
-    def histories(self, number: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-        """Per length, for every token the state of exactly that many tokens before it (-1: no such state)."""
-        start = np.zeros(len(number), bool)
-        start[np.cumsum(count) - count] = True
-        before = np.r_[-1, number[:-1]]
-        first = np.where(start, 1, np.where(before >= 0, before + 2, -1))
-        out = [first]
-        for _ in range(int(self.depth.max()) - 1):
-            last = np.r_[-1, out[-1][:-1]]
-            at = _find(self.code, last << _SHIFT | before)
-            out.append(np.where((last >= 0) & (before >= 0) & ~start & (at >= 0), self.of[at], -1))
-        return out
-
-
-def _count_words(batches):
-    for b in _slices(batches):
-        t, n = tokens(b.column(0))
-        w, c = np.unique(t, return_counts=True)
-        yield _rows(word=w, c=c)
-
-
-def _count_arcs(states, length: int):
+def _before(x: np.ndarray, first) -> np.ndarray:
+    """What stands at the token before."""
+    return np.concatenate([np.array([first], x.dtype), x[:-1]])[:len(x)]
+
+
+def grams(t: np.ndarray, count: np.ndarray, order: int, words: np.ndarray | None = None):
+    """For every length, per token: the n-gram ending there and its history (without the token) as 64-bit hashes, whether there
+    is such a history, and such an n-gram.  With ``words`` (sorted), only those are in n-grams of two and more."""
+    start = np.zeros(len(t), bool)
+    start[np.cumsum(count) - count] = True
+    known = np.ones(len(t), bool) if words is None else _find(words, t) >= 0
+    yield t, np.zeros(len(t), np.int64), np.ones(len(t), bool), np.ones(len(t), bool)
+    key, inside = t, known
+    for length in range(2, order + 1):
+        history = _before(key, START)
+        open_ = _before(inside, False) & ~start
+        if length == 2:
+            history[start] = START
+            open_ |= start
+        key = mix64(history.view(np.uint64) * _STEP + t.view(np.uint64) + np.uint64(length)).view(np.int64)
+        inside = open_ & known
+        yield key, history, open_, inside
+
+
+def _count(order: int, words: np.ndarray | None):
+    """Distinct n-grams of texts, with their histories (0: a word's) and counts."""
     def count(batches):
-        st = states.value
         for b in _slices(batches):
             t, n = tokens(b.column(0))
-            number = _find(st.words, t)
-            h = st.histories(number, n)[length - 1]
-            ok = (h >= 0) & (number >= 0)
-            code, c = np.unique(h[ok] << _SHIFT | number[ok], return_counts=True)
-            yield _rows(code=code, c=c)
+            for key, history, _, inside in grams(t, n, order, words):
+                key, at, c = np.unique(key[inside], return_index=True, return_counts=True)
+                yield _rows(key=key, history=history[inside][at], c=c)
     return count
 
 
@@ -156,103 +116,105 @@ def _blocks(size: int):
     return number
 
 
-def _wanted(states):
-    """Distinct rarer words and possible arcs of every block, as (block, arc, key, own): ``own`` is how often the word stands in
-    the block's training texts, so that words found nowhere else need no answer."""
+def _own(key: np.ndarray, trained: np.ndarray):
+    """The distinct n-grams, which of them each token's is, and how often each stands in texts that are trained on."""
+    key, at = np.unique(key, return_inverse=True)
+    return key, at, np.bincount(at[trained], minlength=len(key))
+
+
+def _trained(held_out, count: np.ndarray) -> np.ndarray:
+    return np.repeat(~held_out.to_numpy(zero_copy_only=False).astype(bool), count)
+
+
+def _wanted(order: int, words: np.ndarray | None):
+    """Distinct n-grams of every block, as (block, key, own): n-grams found nowhere else than in the block need no answer."""
     def want(batches):
-        st = states.value
         for b in batches:
             block = b.column("block").to_numpy()
             for x in np.unique(block):
                 part = b.filter(pa.array(block == x))
                 t, n = tokens(part.column("text"))
-                number = _find(st.words, t)
-                rare, own = _own_counts(t, n, number, part.column("held_out"))
-                arcs = [h[ok] << _SHIFT | number[ok] for h in st.histories(number, n) for ok in [(h >= 0) & (number >= 0)]]
-                arcs = np.unique(np.concatenate(arcs))
-                yield _rows(block=np.full(len(rare) + len(arcs), x), arc=np.r_[np.zeros(len(rare), bool), np.ones(len(arcs), bool)],
-                            key=np.r_[rare, arcs], own=np.r_[own, np.zeros(len(arcs), np.int64)])
+                trained = _trained(part.column("held_out"), n)
+                for key, _, _, inside in grams(t, n, order, words):
+                    key, _, own = _own(key[inside], trained[inside])
+                    yield _rows(block=np.full(len(key), x), key=key, own=own)
     return want
 
 
-def _own_counts(t: np.ndarray, count: np.ndarray, number: np.ndarray, held_out) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rarer words and how often each stands in texts that are trained on."""
-    rare = number < 0
-    word, at = np.unique(t[rare], return_inverse=True)
-    trained = np.repeat(~held_out.to_numpy(zero_copy_only=False).astype(bool), count)[rare]
-    return word, np.bincount(at[trained], minlength=len(word))
-
-
-def traverse(st: States, number: np.ndarray, base: np.ndarray, count: np.ndarray, arcs: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """log10 probability of every text: one step per token for all texts at once, longest first, each carrying its state."""
-    order = np.argsort(-count, kind="stable")
-    first, left = (np.cumsum(count) - count)[order], count[order]
-    fail = np.log10(st.rest)
-    score = np.zeros(len(count))
-    state = np.ones(len(count), np.int64)
-    for t in range(int(left[0]) if len(left) else 0):
-        live = int(np.searchsorted(-left, -t, "left"))
-        at = first[:live] + t
-        w, s = number[at], state[:live]
-        value = np.zeros(live)
-        open_ = np.arange(live)
-        x = s
-        while len(open_):
-            a = np.where((w[open_] >= 0) & (x > 0), _find(arcs, x << _SHIFT | np.maximum(w[open_], 0)), -1)
-            hit, root = a >= 0, x == 0
-            value[open_[hit]] += weight[a[hit]]
-            value[open_[root]] += base[at[open_[root]]]
-            go = ~hit & ~root
-            open_, x = open_[go], x[go]
-            value[open_] += fail[x]
-            x = st.suffix[x]
-        score[:live] += value
-        state[:live] = st.step(s, w)
-    out = np.zeros(len(count))
-    out[order] = score
-    return out
-
-
 _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(states):
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        st = states.value
-        t, n = tokens(texts.column("text").combine_chunks())
-        is_arc = answers.column("arc").to_numpy(zero_copy_only=False).astype(bool)
-        key, c, weight = (answers.column(x).to_numpy(zero_copy_only=False) for x in ("key", "c", "weight"))
-        number = _find(st.words, t)
-        word, rare = _own_counts(t, n, number, texts.column("held_out"))
-        told, pick = np.unique(key[~is_arc], return_index=True)
-        rare[_find(word, told)] = c[~is_arc][pick]
-        at = _find(word, t)
-        seen = np.r_[rare, 0][at]  # -1: the last, 0
-        p = np.where(number >= 0, np.r_[st.p1, 1.0][number], (seen + 1) / (st.total + st.kinds + 1))
-        base = np.log10(p)
-        arc, pick = np.unique(key[is_arc], return_index=True)
+def _score(order: int, words: np.ndarray | None, total: int, kinds: int, texts: int, start_kept: float, least: float, min_count: int,
+           discount: float):
+    """Scores of a block's texts.  Every n-gram has its count and, as a history, what its arcs keep (the sum of their discounted
+    counts); one that no answer names stands in the block only, and so do its arcs."""
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        t, n = tokens(docs.column("text").combine_chunks())
+        trained = _trained(docs.column("held_out"), n)
+        told, pick = np.unique(answers.column("key").to_numpy(), return_index=True)
+        told_c, told_kept = (answers.column(x).to_numpy()[pick] for x in ("c", "kept"))
+        steps, counts, kept = [], [], []
+        keys = at = None
+        for key, history, open_, inside in grams(t, n, order, words):
+            shorter, shorter_at = keys, at
+            places = np.flatnonzero(inside)
+            keys, at, c = _own(key[places], trained[places])
+            answer = _find(told, keys)
+            c = np.where(answer >= 0, np.r_[told_c, 0][answer], c).astype(np.float64)
+            k = np.where(answer >= 0, np.r_[told_kept, 0.0][answer], 0.0)
+            if shorter is not None:  # arcs of histories that stand in this block only
+                first = np.zeros(len(keys), np.int64)
+                first[at] = places
+                arc = c >= min_count
+                h = _find(shorter, history[first[arc]])
+                own = np.bincount(h[h >= 0], weights=(c[arc] - discount)[h >= 0], minlength=len(shorter))
+                kept[-1] = np.where(known, kept[-1], own)
+            known = answer >= 0
+            kept.append(k)
+            counts.append(c)
+            steps.append((open_, places, at))
+        spread = lambda x, i: _spread(x[steps[i][2]], steps[i][1], len(t))
+        c = spread(counts[0], 0)
+        p = base = (c + 1) / (total + kinds + 1)
+        seen = c > 0
+        start = np.zeros(len(t), bool)
+        start[np.cumsum(n) - n] = True
+        for i in range(1, order):
+            of, rest = _before(c, 0.0), _before(spread(kept[i - 1], i - 1), 0.0)
+            if i == 1:
+                of[start], rest[start] = texts, start_kept
+            state = steps[i][0] & (of >= (np.where(start, 1, least) if i == 1 else max(min_count, least)))
+            c = spread(counts[i], i)
+            of = np.where(state, of, 1.0)
+            p = np.where(state, np.where(c >= min_count, c - discount, 0.0) / of + (1.0 - rest / of) * p, p)
         text = np.repeat(np.arange(len(n)), n)
-        return pa.table({
-            "id": texts.column("id"), "held_out": texts.column("held_out"), "n_tokens": n,
-            "n_known": np.bincount(text, weights=(number >= 0) | (seen > 0), minlength=len(n)).astype(np.int64),
-            "base_score": np.bincount(text, weights=base, minlength=len(n)),
-            "score": traverse(st, number, base, n, arc, weight[is_arc][pick].astype(np.float64))})
+        per_text = lambda x: np.bincount(text, weights=x, minlength=len(n))
+        return pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": n,
+                         "n_known": per_text(seen).astype(np.int64), "base_score": per_text(np.log10(base)),
+                         "score": per_text(np.log10(p))})
     return score
 
 
+def _spread(x: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    out[places] = x
+    return out
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", held_out=None, order: int = ORDER,
-                state_share: float = STATE_SHARE, min_count: int = MIN_COUNT, discount: float = DISCOUNT,
+                state_share: float = 0.0, min_count: int = MIN_COUNT, discount: float = DISCOUNT,
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row: whether it was kept from training
     (``held_out``, a boolean column; NULL: not), its tokens, those seen in training, the training tokens, and the log10
     probability under the unigrams alone and under the automaton.
 
-    Words and arcs are identified by 64-bit hashes.  A NULL, empty or blank text is one end token; texts are scored whole,
+    Words and n-grams are identified by 64-bit hashes.  A NULL, empty or blank text is one end token; texts are scored whole,
     whatever their length.  Repeated rows count and are scored each.  Where nothing is trained on, every token has probability 1.  An empty
     table gives an empty result.  Other columns are not read, whatever their names.
+
+    A caller who wants a smaller model may ask with ``state_share`` for n-grams of only the words, and longer histories, that
+    make up that share of all training tokens; without it there is no such bound.
     """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
     out_ = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), out_.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = T.StructType([*plain.schema.fields, T.StructField("at", T.LongType())])
@@ -260,59 +222,29 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         "block", F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("at")).drop("at")
     corpus = materialise(corpus, "corpus", "zstd")
     train = corpus.where(~F.col("held_out")).select("text")
-    words = train.mapInArrow(_count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    words = materialise(words, "words")
-    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(1.0, state_share * total)
-    # at most 1 / state_share rows
-    top = words.where(F.col("c") >= least).orderBy("word").toPandas()
-    ends = words.where(F.col("word") == END).first()
-    st = States(top["word"].to_numpy(np.int64), top["c"].to_numpy(np.float64), ends["c"] if ends else 0, total, kinds)
-    vocabulary = F.broadcast(spark.createDataFrame(list(enumerate(st.p1.tolist())), "w long, p1 double"))
-    number = F.col("code").bitwiseAND((1 << _SHIFT) - 1)
-    arcs = None
-    for length in range(1, order):
-        shared = sc.broadcast(st)
-        seen = train.mapInArrow(_count_arcs(shared, length), "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-        seen = materialise(seen.where(F.col("c") >= min_count), "arcs")
-        # what the discounts leave to the failure arc: one row per state
-        kept = seen.groupBy(F.shiftright("code", _SHIFT).alias("s")).agg(F.sum(F.col("c") - discount).alias("k")).toPandas()
-        st.rest[kept["s"].to_numpy(np.int64)] = 1.0 - kept["k"].to_numpy(np.float64) / st.count[kept["s"].to_numpy(np.int64)]
-        # smoothed weights: the shorter history's probability comes from its arc or its failure
-        per = F.broadcast(spark.createDataFrame(_frame(st, length), "s long, n double, rest double, suffix long, suffix_rest double"))
-        a = seen.withColumn("s", F.shiftright("code", _SHIFT)).withColumn("w", number).join(per, "s").join(vocabulary, "w")
-        if arcs is None:
-            shorter = F.col("p1")
-        else:
-            lower = arcs.select(F.col("code").alias("lower"), F.col("p").alias("lower_p"))
-            a = a.withColumn("lower", F.shiftleft("suffix", _SHIFT).bitwiseOR(F.col("w"))).join(lower, "lower", "left")
-            shorter = F.coalesce("lower_p", F.col("suffix_rest") * F.col("p1"))
-        a = a.select("code", "c", ((F.col("c") - discount) / F.col("n") + F.col("rest") * shorter).alias("p"))
-        arcs = materialise(a if arcs is None else arcs.unionByName(a), "weighted")
-        if length < order - 1:
-            # histories one longer: at most 1 / state_share, none ending in the end token
-            more = seen.where(F.col("c") >= least).orderBy("code").toPandas()
-            end = _find(st.words, np.array([END]))[0]
-            codes = more["code"].to_numpy(np.int64)
-            keep = (codes & ((1 << _SHIFT) - 1)) != end
-            st.add(codes[keep], more["c"].to_numpy(np.float64)[keep])
-            if not keep.any():
-                break
-    shared = sc.broadcast(st)
-    wanted = corpus.select("block", "held_out", "text").mapInArrow(_wanted(shared), "block long, arc boolean, key long, own long")
-    wanted = materialise(wanted, "wanted", "zstd")
-    none = F.lit(0.0)
-    found = wanted.where("not arc").join(words, F.col("key") == F.col("word")).where("c <> own").select("block", "arc", "key", "c", none.alias("weight"))
-    if arcs is not None:
-        found = found.unionByName(wanted.where("arc").join(arcs, F.col("key") == F.col("code")).select(
-            "block", "arc", "key", "c", F.log10("p").alias("weight")))
-    scored = corpus.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_score(shared), _SCORES)
+
+    def counted(order: int, words: np.ndarray | None) -> DataFrame:
+        c = train.mapInArrow(_count(order, words), "key long, history long, c long").groupBy("key").agg(
+            F.first("history").alias("history"), F.sum("c").alias("c"))
+        return c.where((F.col("history") == 0) | (F.col("c") >= min_count))
+
+    words = None
+    least = 1.0
+    if state_share > 0:  # at most 1 / state_share words
+        single = materialise(counted(1, None), "words")
+        least = max(least, state_share * (single.agg(F.sum("c")).first()[0] or 0))
+        words = single.where(F.col("c") >= least).select("key").orderBy("key").toPandas()["key"].to_numpy(np.int64)
+    counts = materialise(counted(order, words), "counts", "zstd")
+    total, kinds, texts = counts.where("history = 0").agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("key") == END, F.col("c"))), F.lit(0))).first()
+    # what the discounts leave to the failure arc is the history's count less the sum of its arcs' discounted counts
+    kept = counts.where("history <> 0").groupBy(F.col("history").alias("of")).agg(F.sum(F.col("c") - discount).alias("kept"))
+    kept = materialise(kept, "kept", "zstd")
+    start = kept.where(F.col("of") == START).first()
+    model = counts.join(kept, F.col("key") == F.col("of"), "left").select("key", "c", F.coalesce("kept", F.lit(0.0)).alias("kept"))
+    wanted = corpus.select("block", "held_out", "text").mapInArrow(_wanted(order, words), "block long, key long, own long")
+    found = wanted.join(model, "key").where("c <> own").select("block", "key", "c", "kept")
+    score = _score(order, words, total, kinds, texts, start["kept"] if start else 0.0, least, min_count, discount)
+    scored = corpus.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, _SCORES)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                          "base_score", "score")
-
-
-def _frame(st: States, length: int) -> list[tuple]:
-    """The states of one length (at most 1 / state_share, and the start)."""
-    at = np.flatnonzero(st.depth == length)
-    s = st.suffix[at]
-    return list(zip(at.tolist(), st.count[at].tolist(), st.rest[at].tolist(), s.tolist(), np.where(s == 0, 1.0, st.rest[s]).tolist()))

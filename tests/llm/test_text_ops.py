@@ -266,3 +266,18 @@ def test_lm_odd_rows(spark, odd_docs, no_docs):
     none = score_texts(odd_docs, held_out=F.lit(True)).collect()
     assert all(r["score"] == 0.0 and r["train_tokens"] == 0 and r["n_known"] == 0 for r in none)
     assert score_texts(no_docs).count() == 0
+
+
+def test_every_repeated_ngram_counts_whatever_its_share(spark):
+    # of 120,000 words, each passage's stand 3 times: far under one in 20,000
+    rng = random.Random(5)
+    passages = [" ".join(f"w{p}x{i}" for i in range(12)) for p in range(10)]
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(300)] + passages * 3
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(1000 + i, t, True) for i, t in enumerate(passages)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, out boolean")
+    got = {r["doc_id"]: r for r in score_texts(df, held_out=F.col("out"), block_bytes=20_000).collect()}
+    for d, want in zip(rows, brute_scores(rows, 0.0)):
+        r = got[d[0]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[:3]
+        assert math.isclose(r["base_score"], want[3], rel_tol=1e-9) and math.isclose(r["score"], want[4], rel_tol=1e-9)
+    assert all(got[1000 + i]["score"] > 0.3 * got[1000 + i]["base_score"] for i in range(10))
