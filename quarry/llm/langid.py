@@ -1,6 +1,6 @@
 """Language identification by Bayesian evidence fusion.
 
-Text likelihoods come from hashed byte trigrams (multinomial, smoothed), fitted on a bounded sample of labelled texts.  They
+Text likelihoods come from hashed byte trigrams (multinomial, smoothed), fitted on a bounded sample of each label's texts.  They
 are fused with three other pieces of evidence, each a smoothed table computed by grouped aggregation over all rows:
 the language declared in the markup, the address suffix, and the host's prior, which is smoothed towards its domain's
 and that towards the whole collection's.  One pass over the texts, no shuffle of texts; the tables are joined.
@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from .common import bucket, materialise, named, row_chunks, string_buffers
 
-#: the model is fitted on about this many labelled rows (chosen by hash), whatever the table's size
-TRAIN_ROWS = 20_000
+#: the model is fitted on about this many different texts of each label at most (chosen by hash), whatever the table's size
+TRAIN_ROWS = 5_000
+#: which labels are languages is counted over the whole table
 MIN_LABELLED = 20
 BITS = 14
 #: a text's evidence counts for at most this many independent trigrams
@@ -84,19 +85,22 @@ def _count(batches):
 
 
 def train(labelled: DataFrame, *, label: str = "lang", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """Fits on about ``rows`` different texts that have a label; labels with fewer than ``MIN_LABELLED`` of them are not
-    languages.  Without any, the model knows no language and rejects every text."""
+    """Fits on about ``rows`` different texts of every label at most; labels with fewer than ``MIN_LABELLED`` in the whole table
+    are not languages.  Without any, the model knows no language and rejects every text."""
     some = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.lower(label).alias("label"), F.col(text).alias("text"))
-    n = some.count()
-    if n > rows:
-        some = some.where(bucket(1 << 30, F.lit(6), "text") < int((1 << 30) * rows / n))
-    # copies of a text count once, so that a text with very many copies cannot fill the sample
+    # copies of a text count once, so that a text with very many copies makes no language and cannot fill a sample
+    sizes = some.groupBy("label", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("rows")) \
+        .groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    sizes = materialise(sizes, "labels")
+    n = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    sizes = sizes.where(F.col("n") >= min(MIN_LABELLED, max(1, n // 50))).select("label", "n")
+    size = {r["label"]: r["n"] for r in sizes.collect()}  # one row per language, as the model has
+    share = F.lit(float(rows)) / F.col("n")
+    some = some.join(F.broadcast(sizes), "label").where(bucket(1 << 30, F.lit(6), "text") < share * F.lit(1 << 30))
     some = some.groupBy("label", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     some = materialise(some, "labelled", "zstd")
-    size = {r["label"]: r["n"] for r in some.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(MIN_LABELLED, max(1, n // 50)))
-            .orderBy(F.desc("n"), "label").limit(rows // MIN_LABELLED).collect()}
     names = sorted(size)
-    grams = some.where(F.col("label").isin(names)).mapInArrow(_count, "label string, gram long, n long") \
+    grams = some.mapInArrow(_count, "label string, gram long, n long") \
         .groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most languages x 2^BITS rows
     table = np.full((len(names), 1 << BITS), 0.5)
     for x, name in enumerate(names):

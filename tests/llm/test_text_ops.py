@@ -124,6 +124,19 @@ def test_junk_is_rejected_and_odd_rows_pass(spark, model, odd_docs, no_docs):
     assert unfit.languages == [] and not any(r["__kept"] for r in L.identify(odd_docs, unfit).collect())
 
 
+def test_rare_languages_are_known_at_every_size(spark):
+    rng = random.Random(4)
+    words = {"en": "the and house tree with night of a great", "eu": "etxea zuhaitza gaua eta handia dago mendian ura"}
+    text = lambda x: " ".join(rng.choice(words[x].split()) for _ in range(30))
+    rows = [(i, text("en"), "en") for i in range(3000)] + [(5000 + i, text("eu"), "EU") for i in range(25)]
+    rows += [(6000 + i, "one text, many copies", "xx") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(df, rows=200)
+    assert model.languages == ["en", "eu"] and abs(model.prior[1] - 25 / 3025) < 1e-3
+    got = {r["doc_id"]: r["__language"] for r in L.identify(df, model, declared=F.col("lang")).collect()}
+    assert all(got[5000 + i] == "eu" for i in range(25)) and all(got[i] == "en" for i in range(3000))
+
+
 def test_page_evidence(spark, model):
     rows = [(1, "http://a.b.example.fr/x", '<html class="x" lang="fr-CA"><script>var x</script><b>Bon&nbsp;jour</b><!-- no -->'),
             (2, None, None), (3, "not a url %", "<p>hi</p>")]
