@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules, in DataFrame expressions only.
 
 A text is cut into sentences; each is normalised (lower case, a-z, digits and dots only, single blanks) and mapped to the
-identifier of a known licence sentence, if it is one; a sentence that is none is looked up line by line (headings and
+identifier of a known licence sentence, if it is one; a sentence that is none is cut at blank lines (also those with only
+comment marks), which end headings, and a paragraph of it that is none is looked up line by line (headings and
 one-line notices often lack a full stop).  The sequence of identifiers is then matched against the licence rules in
 their order: a rule that finds its identifiers as a run in the sequence reports its licence and consumes every such run,
 so that a shorter rule cannot report a part of it again.
@@ -70,8 +71,12 @@ RULES = [
 SENTENCE_END = r"[;:!?]+|\.([ \t\r\n]|\z)"
 MARK = "\x01"
 LINE_END = r"[\r\n]+"
-#: every known sentence has one of these, so texts and sentences without any are passed over
+#: a line without letters and digits, with the line breaks around it
+BLANK_LINE = r"\r?\n([^\p{L}\p{N}\r\n]*\r?\n)+|\r([^\p{L}\p{N}\r\n]*\r)+"
+#: as the SQL statement has it, which does without comment marks between words and without blank lines
 KEYWORD = r"(?i)licen[sc]e|permission|copyright|redistribut|free[ \t\r\n]+software|rights[ \t\r\n]+reserved"
+#: every known sentence has one of these, so texts and sentences without any are passed over
+KNOWN_WORDS = r"(?i)licen[sc]e|permission|copyright|redistribut|free[^a-zA-Z0-9.]+software|rights[^a-zA-Z0-9.]+reserved"
 
 
 def normalised(sentence: Column) -> Column:
@@ -85,12 +90,20 @@ def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     def lookup(s: Column) -> Column:
         return F.try_element_at(known, normalised(s))
 
+    def parts(s: Column, end: str) -> Column:
+        return F.filter(F.split(s, end), lambda x: x.rlike(KNOWN_WORDS))
+
+    def first_known(s: Column, otherwise: Column) -> Column:
+        return F.when(lookup(s).isNotNull(), F.array(lookup(s))).otherwise(otherwise)
+
+    def of_paragraph(s: Column) -> Column:
+        return first_known(s, F.transform(parts(s, LINE_END), lookup))
+
     def of_sentence(s: Column) -> Column:
-        lines = F.filter(F.split(s, LINE_END), lambda x: x.rlike(KEYWORD))
-        return F.when(lookup(s).isNotNull(), F.array(lookup(s))).otherwise(F.transform(lines, lookup))
-    parts = F.filter(F.split(F.regexp_replace(text, SENTENCE_END, MARK), MARK), lambda s: s.rlike(KEYWORD))
-    found = F.filter(F.flatten(F.transform(parts, of_sentence)), lambda x: x.isNotNull())
-    return F.when(text.rlike(KEYWORD), found).otherwise(F.array().cast("array<string>"))
+        return first_known(s, F.flatten(F.transform(parts(s, BLANK_LINE), of_paragraph)))
+    sentence = parts(F.regexp_replace(text, SENTENCE_END, MARK), MARK)
+    found = F.filter(F.flatten(F.transform(sentence, of_sentence)), lambda x: x.isNotNull())
+    return F.when(text.rlike(KNOWN_WORDS), found).otherwise(F.array().cast("array<string>"))
 
 
 def match_rules(ids: Column, rules=RULES) -> Column:

@@ -79,6 +79,59 @@ def test_licence_rules(spark, text, want):
     assert r["__licences"] == want
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2023 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+BSD2_FILE = """BSD 2-Clause License
+
+Copyright (c) 2023, Jane Doe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3_FILE = BSD2_FILE.replace("2-Clause", "3-Clause") + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize("name,file", [("MIT", MIT_FILE), ("BSD-2-Clause", BSD2_FILE), ("BSD-3-Clause", BSD3_FILE)])
+def test_whole_licence_files(spark, name, file):
+    lines = file.split("\n")
+    forms = [file, file.replace("\n", "\r\n"), file.replace("\n", "\r"), "\n".join(("# " + x).rstrip() for x in lines),
+             "\n".join("// " + x for x in lines), "/*\n" + "\n".join(" * " + x for x in lines) + "\n */\nint main;"]
+    got = scan_licences(spark.createDataFrame(list(enumerate(forms)), TEXT)).orderBy("doc_id").collect()
+    assert [r["__licences"] for r in got] == [[name]] * len(forms)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("/* This program is free\n * software */", ["GplFree"]), ("# All rights\n# reserved.", ["AllRights"]),
+    ("Released under\n\nthe MIT License.", ["MitRelease"]),  # found with a blank line inside, too
+])
+def test_known_sentences_across_comment_lines(spark, text, want):
+    assert scan_licences(spark.createDataFrame([(1, text)], TEXT)).first()["__sentences"] == want
+
+
 def test_licence_odd_rows(spark, odd_docs, no_docs):
     out = scan_licences(odd_docs)
     assert out.count() == 12 and out.where(F.size("__licences") > 0).count() == 0
