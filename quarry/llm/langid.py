@@ -38,11 +38,18 @@ _CLASS[128:] = np.arange(128, 256)
 
 
 def trigrams(col: pa.Array):
-    """For ranges of rows: first row, one past the last, and row and hashed trigram of every position, three blanks left out."""
+    """For ranges of rows: first row, one past the last, and row and hashed trigram of every position, three blanks left out.
+    Texts of less than three bytes get a blank before and after them, so any text with a letter has a trigram."""
     offsets, data = string_buffers(col)
     for i, j in row_chunks(offsets):
         o = offsets[i:j + 1] - offsets[i]
         b = _CLASS[data[offsets[i]:offsets[j]]].astype(np.uint32)
+        short = np.diff(o) < 3
+        if short.any():
+            shift = np.r_[0, np.cumsum(2 * short)]
+            padded = np.full(len(b) + shift[-1], 32, np.uint32)
+            padded[np.arange(len(b)) + np.repeat(shift[:-1] + short, np.diff(o))] = b
+            o, b = o + shift, padded
         if len(b) < 3:
             yield i, j, np.zeros(0, np.int64), np.zeros(0, np.int64)
             continue

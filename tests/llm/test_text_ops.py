@@ -190,6 +190,18 @@ def test_rare_languages_are_known_at_every_size(spark):
     assert all(got[5000 + i] == "eu" for i in range(25)) and all(got[i] == "en" for i in range(3000))
 
 
+def test_texts_of_one_or_two_bytes_are_texts(spark, model):
+    rows = [(1, "Ok", "en"), (2, "de", "es"), (3, "a", "fr"), (4, "é", "fr"), (5, "7", "en"), (6, "..", "de"), (7, "", "de"), (8, None, "en")]
+    rows += [(100 + i, "the tree and the house in the night", "en") for i in range(30)]
+    rows += [(200 + i, "la maison de la rue est dans une ville", "fr") for i in range(30)]
+    rows += [(300 + i, "el árbol que se dice en la casa es grande", "es") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in L.identify(df, model, declared=F.col("lang")).collect()}
+    assert all(got[i]["__kept"] and got[i]["__language"] and got[i]["__text_language"] for i in range(1, 5))
+    assert got[2]["__language"] == "es" and got[4]["__language"] == "fr"
+    assert not any(got[i]["__kept"] for i in range(5, 9))
+
+
 def test_page_evidence(spark, model):
     rows = [(1, "http://a.b.example.fr/x", '<html class="x" lang="fr-CA"><script>var x</script><b>Bon&nbsp;jour</b><!-- no -->'),
             (2, None, None), (3, "not a url %", "<p>hi</p>")]
