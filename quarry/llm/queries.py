@@ -104,7 +104,8 @@ def op9_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 2048 words; copies of a text never share one."""
+    """All documents packed into sequences of 2048 words; byte-equal copies of a text never share one.  Near copies may, as
+    the cluster is the text's hash: only exact copies are kept apart here."""
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "source", n_words(F.col("text")).alias("__size"), F.xxhash64("text").alias("__cluster"))
     return pack(docs, capacity=2048)
