@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from plan_util import plan_text
 from quarry.operators import hooks as HK
 from quarry.operators import runs as RN

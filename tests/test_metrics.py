@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from plan_util import plan_text
 from quarry.operators import metrics as M
 from quarry.plans import fixtures as fx

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from quarry.plans.registry import QUERIES as BASE  # the optional subpackage is tested in tests/llm
-from conftest import SF001, SF01
+from paths import SF001, SF01
 from oracle_check import compare
 
 QUERIES = {k: v for k, v in E.queries().items() if k in BASE}

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from plan_util import plan_text
 from quarry.operators import outcomes as OC
 from quarry.operators import runs as RN

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from quarry.plans.registry import QUERIES as BASE  # the optional subpackage is tested in tests/llm
-from conftest import SF01
+from paths import SF01
 from plan_util import plan_text
 
 # queries whose builders write to the scratch folder before returning a reader

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from plan_util import plan_text
 from quarry.operators import retrieve as RT
 from quarry.plans import fixtures as fx

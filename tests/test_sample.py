@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from plan_util import plan_text
 from quarry.operators import fewshot as FS
 from quarry.operators import sample as SA

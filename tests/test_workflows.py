@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from quarry.functions.fixed import PLACEHOLDER
 from quarry.operators import prompt as PR
 from quarry.plans import fixtures as fx
