@@ -13,8 +13,11 @@ from .licence import KEYWORD, LINE_END, RULES, SENTENCE_END, SENTENCES, scan_lic
 from .lm import score_texts
 from .mix import mix
 from .neardup import near_duplicates
+from .negatives import hard_negatives
 from .pack import pack
 from .shard import shard
+from .tokens import token_counts
+from .variants import spelling_variants
 from .warc import archive
 
 
@@ -111,6 +114,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, capacity=2048)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words' number, the commoner spelling next to them and the one its forms lead to."""
+    out = spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector for each of its 5 positives; every 7th vector's label is shifted first."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(vectors, label=label)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they pass 1024."""
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=1024)
+
+
 QUERIES = {
     "op1_exact_hamming_search": op1_exact_hamming_search,
     "op2_mix_sources": op2_mix_sources,
@@ -122,6 +144,9 @@ QUERIES = {
     "op8_backoff_scoring": op8_backoff_scoring,
     "op9_lpt_sharding": op9_lpt_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_counts": op13_token_counts,
 }
 
 
@@ -196,8 +221,67 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 FROM u
 """
 
+#: crc32 byte by byte over the table of its polynomial; near words are those that share a rest with one letter deleted, verified
+#: letter by letter (one letter replaced) or by being such a rest (one deleted or inserted)
+_VARIANTS = r"""
+WITH RECURSIVE t AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, b) AS v FROM range(256) r(b))),
+run AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents),
+kind AS (SELECT doc_id, run, count(*) AS n FROM run GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, run, n, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: unicode(c)) AS u FROM kind),
+utf8 AS (
+  SELECT doc_id, run, n, flatten(list_transform(u, lambda x: CASE WHEN x < 128 THEN [x] ELSE [192 + (x >> 6), 128 + (x & 63)] END)) AS b FROM bytes),
+hashed AS (
+  SELECT run, n, xor(list_reduce(b, lambda v, x: xor(v >> 8, t[1 + (xor(v, CAST(x AS BIGINT)) & 255)]), 4294967295::BIGINT), 4294967295) AS h FROM utf8, t),
+word AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % len(run) AS INTEGER)) || substr(run, CAST(h % len(run) AS INTEGER) + 2) ELSE run END AS word, n FROM hashed),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM word GROUP BY word HAVING len(word) >= 5 AND sum(n) >= 3),
+rest AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM w)),
+pair AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM rest a JOIN rest b USING (rest)
+  WHERE len(list_filter(list_zip(string_split(a.word, ''), string_split(b.word, '')), lambda p: p[1] <> p[2])) = 1
+  UNION SELECT a.word, a.n, w.word, w.n FROM rest a JOIN w ON a.rest = w.word
+  UNION SELECT w.word, w.n, a.word, a.n FROM rest a JOIN w ON a.rest = w.word),
+best AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM pair),
+form AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+  FROM w LEFT JOIN best b ON w.word = b.word AND b.r = 1),
+way AS (
+  SELECT word, word AS at FROM form
+  UNION ALL SELECT way.word, form.form FROM way JOIN form ON way.at = form.word WHERE form.form IS NOT NULL)
+SELECT form.word, form.form, way.at AS root, form.n, form.n_near, form.form_n
+FROM form JOIN way ON form.word = way.word JOIN form f ON f.word = way.at AND f.form IS NULL
+"""
+
+#: brute force over integer vectors
+_NEGATIVES = """
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, a.label AS own, b.id, b.label, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE own = label
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND s.own <> s.label AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_hamming_search": _HAMMING,
     "op5_licence_scan": _licence_sql(),
     "op7_warc_merge": _WARC_SQL,
+    "op11_spelling_variants": _VARIANTS,
+    "op12_hard_negatives": _NEGATIVES,
 }
