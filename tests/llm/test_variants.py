@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from oracle_check import compare, duck_connection
 from quarry.llm.queries import ORACLE_SQL, QUERIES
-from quarry.llm.variants import codes, decompose, grams_at, near_words, spelling_variants
+from quarry.llm.variants import decompose, grams_at, near_words, padded, spelling_variants
 
 SF01 = "/root/testdata/sf0.01"
 FIXED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -67,8 +67,9 @@ def test_every_pair_of_a_dense_vocabulary(spark, qmin, qmax, long_list):
     words = {"".join(w) for w in product("abé", repeat=5)}
     words |= {"".join(rng.choice(list("abc"), rng.integers(5, 12))) for _ in range(300)} | {"a" * k for k in range(5, 30)}
     words = sorted(words)
-    vocabulary = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, n long")
-    got = {(r["word"], r["near"]) for r in near_words(vocabulary, qmin, qmax, long_list).collect()}
+    words += ["x" * 70, "x" * 71, "x" * 69 + "y", "y" + "x" * 70]  # longer than what is compared at once
+    vocabulary = spark.createDataFrame([(bytearray(w, "latin-1"), i + 1) for i, w in enumerate(words)], "word binary, n long")
+    got = {(r["word"].decode("latin-1"), r["near"].decode("latin-1")) for r in near_words(vocabulary, qmin, qmax, long_list).collect()}
     assert got == {(a, b) for a in words for b in words if near(a, b)}
 
 
@@ -81,14 +82,16 @@ def test_bound_holds(w, at, kind, letter, picks):
     """No edit spoils more grams than the bound says, whatever the dictionary."""
     at = at % len(w)
     v = {"d": w[:at] + w[at + 1:], "r": w[:at] + letter + w[at + 1:], "a": w[:at] + letter + w[at:]}[kind]
-    every = sorted({g for x in (w, v) for q in (2, 3) for g in grams_at(codes(x, 3), q).tolist()})
-    frequent = {every[i % len(every)] for i in picks}
+    offsets = np.array([0, len(w), len(w) + len(v)])
+    o, flat = padded(offsets, np.frombuffer((w + v).encode("latin-1"), np.uint8), 3)
+    every = np.unique(np.concatenate([grams_at(flat, q) for q in (2, 3)]))
+    frequent = {int(every[i % len(every)]) for i in picks}
     # a gram that is frequent has frequent beginnings
-    frequent = {g for g in frequent if g >> 24 != 3 or (g >> 8 & 0xFFFF | 2 << 16) in frequent}
-    a, bound_a = decompose(codes(w, 3), frequent, 2, 4)
-    b, bound_b = decompose(codes(v, 3), frequent, 2, 4)
-    common = sum((Counter(g for _, g in a) & Counter(g for _, g in b)).values())
-    assert common >= len(a) - bound_a and common >= len(b) - bound_b
+    frequent = np.array(sorted(g for g in frequent if g >> 24 != 3 or (g >> 8 & 0xFFFF | 2 << 16) in frequent), np.int64)
+    _, gram, word_, bound = decompose(o, flat, frequent, 2, 4)
+    a, b = gram[word_ == 0].tolist(), gram[word_ == 1].tolist()
+    common = sum((Counter(a) & Counter(b)).values())
+    assert common >= len(a) - bound[0] and common >= len(b) - bound[1]
 
 
 def test_small_texts(spark, odd_docs, no_docs):
