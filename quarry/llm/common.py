@@ -6,11 +6,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -30,14 +31,48 @@ _INV = pow(_BASE, -1, 1 << 64)
 _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+_TABLES: list[str] = []
+
+
 def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written as Parquet under the shared checkpoint folder and read back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _TABLES.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(since: Iterable[str] = ()) -> list[str]:
+    """Tables of ``materialise`` that are still there, but for those in ``since``."""
+    known = set(since)
+    return [t for t in _TABLES if t not in known]
+
+
+def drop(spark: SparkSession, tables: Iterable[str], keep: tuple[str, ...] = ()) -> None:
+    """Deletes ``tables`` but those named in ``keep``; what was to be read from them has been.  The driver's garbage goes too, for
+    Spark deletes the shuffle files of finished jobs with it."""
+    for path in tables:
+        if path in _TABLES and path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _TABLES.remove(path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def roots(df: DataFrame) -> list[str]:
+    """Folders of the files that a plan reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    out = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            out += [paths.apply(x).toString() for x in range(paths.size())]
+    return out
+
+
 def named(columns: list[str]) -> list[Column]:
     """Columns by their literal names, dots and backticks included."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]

@@ -21,7 +21,7 @@ from .common import bucket, materialise, named, row_chunks, string_buffers
 #: the model is fitted on about this many different texts of each label at most (chosen by hash), whatever the table's size
 TRAIN_ROWS = 5_000
 #: which labels are languages is counted over the whole table
-MIN_LABELLED = 20
+MIN_LABELLED = 4
 BITS = 14
 #: a text's evidence counts for at most this many independent trigrams
 EFFECTIVE = 60.0
@@ -91,16 +91,14 @@ def _count(batches):
                                              names=["label", "gram", "n"])
 
 
-def train(labelled: DataFrame, *, label: str = "lang", text: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """Fits on about ``rows`` different texts of every label at most; labels with fewer than ``MIN_LABELLED`` in the whole table
-    are not languages.  Without any, the model knows no language and rejects every text."""
+def train(labelled: DataFrame, *, label: str = "lang", text: str = "text", rows: int = TRAIN_ROWS, least: int = MIN_LABELLED) -> Model:
+    """Fits on about ``rows`` different texts of every label at most; labels with fewer than ``least`` in the whole table, whatever its
+    size, are not languages.  Without any, the model knows no language and rejects every text."""
     some = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.lower(label).alias("label"), F.col(text).alias("text"))
     # copies of a text count once, so that a text with very many copies makes no language and cannot fill a sample
-    sizes = some.groupBy("label", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("rows")) \
-        .groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    sizes = some.select("label", F.xxhash64("text").alias("h")).distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     sizes = materialise(sizes, "labels")
-    n = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    sizes = sizes.where(F.col("n") >= min(MIN_LABELLED, max(1, n // 50))).select("label", "n")
+    sizes = sizes.where(F.col("n") >= least).select("label", "n")
     size = {r["label"]: r["n"] for r in sizes.collect()}  # one row per language, as the model has
     share = F.lit(float(rows)) / F.col("n")
     some = some.join(F.broadcast(sizes), "label").where(bucket(1 << 30, F.lit(6), "text") < share * F.lit(1 << 30))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket, materialise, mix64, shingles, word_chunks
+from .common import bucket, drop, materialise, mix64, shingles, word_chunks, written
 
 SKETCH = 64
 TREES, BRANCH = 10, 2
@@ -187,24 +187,51 @@ def _links(cols: dict, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def _contract(batches):
+    """A task's edges as one edge from every end to the smallest id it is connected with in this task."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.get(top, top) != top:
+            top = parent[top]
+        while parent.get(x, x) != x:
+            parent[x], x = top, parent[x]
+        return top
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    ends = [(x, root(x)) for x in list(parent)]
+    if ends:
+        u, v = np.array(ends, np.int64).T
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``(kid, comp)`` for every end of an edge ``(a, b)``: the smallest id reachable.  Alternating large and
-    small stars; every round is a written table, and hot hubs are minima with map-side combine.  The edges are mostly few, so
-    each round runs with as many tasks as they need."""
+    """``(kid, comp)`` for every end of an edge ``(a, b)``: the smallest id reachable.  The edges are mostly few, so tasks of about
+    ``EDGES_PER_TASK`` of them contract their own first; where that takes more than one task, alternating large and small stars
+    join what the tasks found; every round is a written table, and hot hubs are minima with map-side combine."""
+    spark, before = edges.sparkSession, written()
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    tasks = 1 + e.count() // EDGES_PER_TASK
+    e = materialise(e.coalesce(tasks).mapInArrow(_contract, "u long, v long"), "cc")
     state = None
-    while True:
+    while tasks > 1:
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state or not now[0]:
             break
-        state, tasks = now, 1 + now[0] // EDGES_PER_TASK
+        state, tasks = now, max(2, 1 + now[0] // EDGES_PER_TASK)
         e = e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old = written(before)
         e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), "cc")
+        drop(spark, old)
     return e.select(F.col("u").alias("kid"), F.col("v").alias("comp")).unionByName(
         e.select(F.col("v").alias("kid"), F.col("v").alias("comp")).distinct())
 
@@ -217,15 +244,17 @@ class _Join:
 
     def links(self, members: DataFrame) -> DataFrame:
         """Links within the nodes of ``(g, kid, comp, place, done, side)``: sketches narrow the members down, then texts are fetched
-        once per set and compared in the node."""
-        sketch = self.reps.select("kid", "sketch")
+        once per set and compared in the node.  Which texts is a narrow table, so where it is small no text is shuffled for it."""
+        before = written()
         members = materialise(members, "members")
-        some = materialise(_grouped(members.join(sketch, "kid"), _with_partner, "g long, kid long"), "candidates")
-        rids = self.reps.select("kid", "rid").join(some.select("kid").distinct(), "kid", "left_semi")
-        texts = self.base.select(F.col("__rid").alias("rid"), F.col(self.text).alias("text")).join(rids, "rid").select("kid", "text")
-        texts = texts.join(sketch, "kid")
+        some = materialise(_grouped(members.join(self.reps.select("kid", "sketch"), "kid"), _with_partner, "g long, kid long"), "candidates")
+        rids = materialise(self.reps.select("kid", "rid").join(some.select("kid").distinct(), "kid", "left_semi"), "wanted")
+        texts = self.base.select(F.col("__rid").alias("rid"), F.col(self.text).alias("text"), F.col("__sketch").alias("sketch"))
+        texts = texts.join(rids, "rid").select("kid", "text", "sketch")
         full = members.join(some.distinct(), ["g", "kid"]).join(texts, "kid")
-        return materialise(_grouped(full, _links, "a long, b long", _set_columns(self.k, self.percent)), "links")
+        out = materialise(_grouped(full, _links, "a long, b long", _set_columns(self.k, self.percent)), "links")
+        drop(members.sparkSession, written(before), keep=("links",))
+        return out
 
 
 def _weight() -> Column:
@@ -233,15 +262,13 @@ def _weight() -> Column:
     return (F.lit(1) + F.floor(F.col("n") / HEAVY)).cast("long")
 
 
-def _seed_nodes(sets: DataFrame, small: int, salt: int) -> tuple[DataFrame, DataFrame]:
-    """Members of the first root children and, per child that lies in several components, how many pieces of about ``small`` it has
-    and its leader: the member with most links so far."""
-    rows = sets.select("kid", "comp", "w", "links", F.posexplode(F.slice("sketch", 1, SEED_TOKENS)).alias("i", "token")).select(
-        F.xxhash64(F.lit(0), "i", "token").alias("node"), "kid", "comp", "w", "links")
+def _seed_nodes(rows: DataFrame, small: int, salt: int) -> DataFrame:
+    """Of members ``(node, kid, comp, w, links)``, per node that lies in several components, how many pieces of about ``small``
+    it has and its leader: the member with most links so far."""
     s = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("w").alias("w"),
                                  F.max(F.struct("links", "kid")).alias("t")).where("lo <> hi")
     s = s.select("node", F.col("t.kid").alias("lead"), F.ceil(F.col("w") / small).alias("m"))
-    return rows.select("node", "kid", "comp"), s if not salt else s.where("m > 1")
+    return s if not salt else s.where("m > 1")
 
 
 def _seed_members(rows: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
@@ -322,6 +349,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     id is larger than every id: a component of NULL ids only has a NULL ``__component``.  An empty table gives
     an empty result.  Further columns pass through, whatever their names.
     """
+    before = written()
     cols = docs.columns
     plain = [f"c{i}" for i in range(len(cols))]
     id_col, text = (plain[cols.index(x)] for x in (id_col, text))
@@ -336,23 +364,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
                                   F.col("rep.rid").alias("rid"), _weight().alias("w"), "sketch"), "reps")
     join = _Join(base, reps, text, shingle, percent)
     zero = F.lit(0).cast("long")
-    sets, links = reps.select("kid", F.col("kid").alias("comp"), "w", "sketch", zero.alias("links")), None
+    # members of the first root children, written once; rounds after the first read those of children that were too large
+    rows = materialise(reps.select("kid", "w", F.posexplode(F.slice("sketch", 1, SEED_TOKENS)).alias("i", "token")).select(
+        F.xxhash64(F.lit(0), "i", "token").alias("node"), "kid", "w"), "first-nodes")
+    sets, links = reps.select("kid", F.col("kid").alias("comp"), "w"), None
     for salt in range(SEED_ROUNDS):
-        rows, nodes = _seed_nodes(sets, small_node, salt)
-        nodes = materialise(nodes, "seeds")
+        if salt:
+            at = rows.join(nodes.where("m > 1").select("node"), "node").join(sets.select("kid", "comp", "links"), "kid")
+        else:
+            at = rows.withColumn("comp", F.col("kid")).withColumn("links", zero)
+        nodes = materialise(_seed_nodes(at, small_node, salt), "seeds")
         if salt and nodes.isEmpty():
             break
-        new = join.links(_seed_members(rows, nodes, salt))
-        links = new if links is None else links.unionByName(new)
+        new = join.links(_seed_members(at.select("node", "kid", "comp"), nodes, salt))
+        links = new if links is None else materialise(links.unionByName(new), "links")
         comp = materialise(components(links), "comp")
         ends = links.select(F.col("a").alias("kid")).unionByName(links.select(F.col("b").alias("kid")))
         ends = comp.join(ends.groupBy("kid").agg(F.count(F.lit(1)).alias("links")), "kid", "left")
-        sets = materialise(reps.select("kid", "w", "sketch").join(ends, "kid", "left").select(
-            "kid", F.coalesce("comp", "kid").alias("comp"), "w", "sketch", F.coalesce("links", zero).alias("links")), "sets")
+        sets = materialise(reps.select("kid", "w").join(ends, "kid", "left").select(
+            "kid", F.coalesce("comp", "kid").alias("comp"), "w", F.coalesce("links", zero).alias("links")), "sets")
+    sets = materialise(sets.select("kid", "comp", "w").join(reps.select("kid", "sketch"), "kid"), "tree-sets")
     links = join.links(_tree_members(sets, small_node, trees, branch, max_depth))
     comp = components(comp.select(F.col("kid").alias("a"), F.col("comp").alias("b")).unionByName(links))
     # labels: the smallest id (and its row) of each component
     member = materialise(reps.select("key", "id", "rid", "kid").join(comp, "kid", "left").withColumn("comp", F.coalesce("comp", "kid")), "labels")
+    drop(docs.sparkSession, written(before), keep=("signed", "labels"))
     best = member.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), "rid")).alias("w"))
     labels = member.select("key", "comp").join(best, "comp").select(
         F.col("key").alias("__key"), F.col("w.i").alias("__component"), F.col("w.rid").alias("__first"))
