@@ -48,7 +48,7 @@ def l2_normalise(vec) -> Column:
 def embed_with(df: DataFrame, fn: Callable[[pd.Series], object], text_col: str = "text",
                out: str = "embedding", normalise: bool = True) -> DataFrame:
     """``out = fn(text)`` (a 2-D array or a sequence of vectors per batch), then L2-normalised
-    JVM-side."""
+    JVM-side.  Where the encoder gives None, as it may for a NULL text, the vector is NULL."""
     require_columns(df, text_col)
     if out != text_col:
         df = df.drop(out)
@@ -58,7 +58,7 @@ def embed_with(df: DataFrame, fn: Callable[[pd.Series], object], text_col: str =
     def run(batches):
         for pdf in batches:
             vecs = fn(pdf[text_col])
-            pdf[out] = [np.asarray(v, dtype="float32") for v in vecs]
+            pdf[out] = [None if v is None else np.asarray(v, dtype="float32") for v in vecs]
             yield pdf
 
     res = df.mapInPandas(run, schema)

@@ -8,12 +8,13 @@ physical strategies, chosen by a size check on the query side:
   scanned with ``mapInPandas`` (Arrow batches, numpy matmul) keeping a running top-k per query
   (copies of a document count once), so a partition emits at most ``queries x k`` rows and the KB
   itself is never shuffled.
-* **blocked** (larger query sides): query and KB rows are assigned to blocks by row; every
-  (query block, KB block) cell is a cogroup handled by ``applyInPandas`` with the same local top-k.
-  Block sizes bound the memory of each group; no cell ever materialises pairs as rows.
+* **pivots** (larger query sides): rows lie in cells around sampled pivots, and a query visits only the cells that can still hold
+  one of its k best rows (``pivots.py``).  Cells are split by row, so no group is large, and no pairs are ever rows.
 
-Both end in the same merge: one row per (query, doc), then a per-query ``row_number`` window whose
-``WindowGroupLimit`` keeps only k rows per query before the final shuffle.  The merged top-k (at most queries x k rows) is
+Vectors that are NULL, hold a NULL or non-finite component or have another length than most queries take no part, on either side.
+
+Both end in the same merge: one exchange by query, then one row per (query, doc) and a per-query ``row_number`` without another.
+The merged top-k (at most queries x k rows) is
 checkpointed into the shared checkpoint folder: the expensive KB scan runs once, later uses
 (re-ranking, payload lookups, counts) read the small materialised result, and a lost executor never
 forces the scan to be replayed.
@@ -26,8 +27,6 @@ returns one row per id, so copies of an id never multiply rows.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import concat_messages
 from .fewshot import ordered_turns
+from .pivots import pivot_candidates
 from .prompt import resolve_prefix, templated_turns
 from ._check import require_columns
 
@@ -130,12 +130,20 @@ def _matrix(series: pd.Series) -> np.ndarray:
 
 
 def _merge_topk(cand: DataFrame, k: int, rank_col: str = "rank") -> DataFrame:
-    """Global top-k per query; ties by doc_id; at most one row per (query, doc)."""
-    one = cand.groupBy("query_id", "doc_id").agg(F.max("sim").alias("sim"))
+    """Global top-k per query; ties by doc_id; at most one row per (query, doc).  Candidates are dealt by query once, which
+    serves the de-duplication and the window."""
+    one = cand.repartition("query_id").groupBy("query_id", "doc_id").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("doc_id"))
     return one.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+def _usable(df: DataFrame, dims: int) -> DataFrame:
+    """Rows whose vector ``v`` holds ``dims`` finite numbers, as doubles."""
+    v = F.col("v")
+    ok = (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(F.coalesce(ok, F.lit(False))).withColumn("v", F.transform(v, lambda x: x.cast("double")))
+
+
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -146,7 +154,8 @@ def knn_topk(queries: DataFrame, kb: DataFrame, k: int, query_id: str = "query_i
     """J2 + W1 + L4: ``(query_id, doc_id, sim, rank)`` for the k most similar KB rows per query.
 
     The query side is broadcast only when its float64 matrix (rows x dims x 8 bytes, measured by
-    one aggregate) fits ``max_broadcast_bytes``; otherwise the blocked cogroup path runs.
+    one aggregate) fits ``max_broadcast_bytes``; otherwise the pivot path runs, in pieces of at most about ``block_rows`` rows.
+    Ids are not NULL; unusable vectors (see the module) take no part: such a query gets no rows.
     """
     require_columns(queries, query_id, vector)
     require_columns(kb, doc_id, vector)
@@ -154,12 +163,16 @@ def knn_topk(queries: DataFrame, kb: DataFrame, k: int, query_id: str = "query_i
         raise ValueError("k must be >= 1")
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("v"))
     d = kb.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(vector).alias("v"))
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-    n_q, dim = int(size["n"]), int(size["dim"] or 0)
-    if n_q * max(dim, 1) * 8 <= max_broadcast_bytes:
+    sizes = q.where(F.col("v").isNotNull()).groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.orderBy(F.desc("n"), "dims").first()
+    n_q, dims = (int(most["n"]), int(most["dims"])) if most else (0, 0)
+    q, d = _usable(q, dims), _usable(d, dims)
+    if not dims:
+        cand = d.limit(0).select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("sim"))
+    elif n_q * dims * 8 <= max_broadcast_bytes:
         cand = _broadcast_candidates(q, d, k)
     else:
-        cand = _blocked_candidates(q, d, k, n_q, block_rows)
+        cand = pivot_candidates(q, d, k, dims, lambda c: _merge_topk(c, k), _local_topk, block_rows)
     top = _merge_topk(cand, k)
     return top.checkpoint(eager=True) if materialize else top
 
@@ -194,31 +207,6 @@ def _broadcast_candidates(q: DataFrame, d: DataFrame, k: int) -> DataFrame:
     return d.mapInPandas(scan, _CAND_SCHEMA)
 
 
-def _blocked_candidates(q: DataFrame, d: DataFrame, k: int, n_q: int, block_rows: int) -> DataFrame:
-    n_d = d.count()
-    qb = max(1, math.ceil(n_q / block_rows))
-    db = max(1, math.ceil(n_d / block_rows))
-    # blocks are assigned by row, not by id: rows sharing an id never concentrate in one cell (the
-    # row id is nondeterministic, so Spark re-runs the whole map stage on a fetch failure).  The
-    # block id is fixed in its own projection BEFORE the replication, so every copy of a row
-    # carries the same block.
-    # Both block columns are INT on both sides: cogroup keys of different types (BIGINT vs INT)
-    # hash to different partitions and the cells would never meet.
-    qx = q.withColumn("_qb", F.pmod(F.monotonically_increasing_id(), F.lit(qb)).cast("int")) \
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("_db"))  # array<int>
-    dx = d.withColumn("_db", F.pmod(F.monotonically_increasing_id(), F.lit(db)).cast("int")) \
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_qb"))  # array<int>
-
-    def cell(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(dpdf) == 0:
-            return _emit(np.zeros(0, dtype="int64"), None)
-        q_ids = qpdf["query_id"].to_numpy("int64")
-        best = _local_topk(_matrix(qpdf["v"]), dpdf["doc_id"].to_numpy("int64"), _matrix(dpdf["v"]), k)
-        return _emit(q_ids, best)
-
-    return qx.groupBy("_qb", "_db").cogroup(dx.groupBy("_qb", "_db")).applyInPandas(cell, _CAND_SCHEMA)
-
-
 # J4 / W2 --------------------------------------------------------------------------------------
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),

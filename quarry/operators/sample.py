@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ._check import require_columns
 
-# The selection by rank works on buckets of the shuffle key's leading hex digits, with about this many rows each.
+# Selections of at most this many rows are numbered in one group per seed; larger ones in buckets of the key of about this size.
 BUCKET_ROWS = 50_000
+# Hex digits of the key that one pass over the ids counts by, and up to how many rows of a bucket the n-th one is looked up at once.
+DIGITS, SMALL_BUCKET = 3, 10_000
 
 
 # L1 -------------------------------------------------------------------------------------------
@@ -56,6 +58,45 @@ def _ranked_ids(df: DataFrame, id_col: str, n: int, seeds: list[int]) -> DataFra
     return at.where(F.col("rank") <= n).select("_seed", "_cid", "rank")
 
 
+def _cuts(df: DataFrame, id_col: str, n: int, seeds: list[int], small: int | None = None) -> dict[int, Column] | None:
+    """Per seed the condition that a row is among the first ``n`` of the shuffle; None where there are fewer than ``n`` rows.
+
+    Found by radix counts: one pass counts the ids by the first digits of their key, the next ones only look into the bucket where the
+    n-th lies, until it holds a few rows.  Nothing but a count per bucket and seed (at most ``16 ** DIGITS``) reaches the driver, and
+    the rows themselves are chosen by comparing their key with the n-th one: no sort, join or shuffle of theirs.  NULL ids come first."""
+    small = SMALL_BUCKET if small is None else small
+    ids = df.select(F.col(id_col).alias("i"), F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("s"))
+    ids = ids.withColumn("k", F.md5(F.concat(F.col("s").cast("string"), F.lit(":"), F.col("i").cast("string"))))
+    prefix, before, ready, out = {s: "" for s in seeds}, {s: 0 for s in seeds}, {}, {}
+    while prefix:
+        at = F.lit(False)
+        for s, p in prefix.items():
+            at = at | ((F.col("s") == s) & (F.col("k").startswith(p) if p else F.lit(True)))
+        length = len(next(iter(prefix.values())))
+        counts = ids.where(at).groupBy("s", F.substring("k", 1, length + DIGITS).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()
+        by_seed = {s: sorted(((r["p"] or "", r["p"] is not None, r["c"]) for r in counts if r["s"] == s), key=lambda x: x[:2]) for s in prefix}
+        for s in list(prefix):
+            row = before[s]
+            for p, known, c in by_seed[s]:
+                if row + c >= n:
+                    break
+                row += c
+            else:
+                return None
+            del prefix[s]
+            if not known:  # the n-th row is one without an id, and they are all alike
+                out[s] = F.col(id_col).isNull()
+            elif c <= small or len(p) >= 32:
+                ready[s] = (p, n - row)
+            else:
+                prefix[s], before[s] = p, row
+    for s, (p, rank) in ready.items():
+        last = ids.where((F.col("s") == s) & F.col("k").startswith(p)).orderBy("k", "i").offset(rank - 1).limit(1).first()
+        k = shuffle_key(id_col, s)
+        out[s] = F.coalesce((k < last["k"]) | ((k == last["k"]) & (F.col(id_col) <= F.lit(last["i"]))), F.lit(True))
+    return out
+
+
 def _guarded(df: DataFrame, source: DataFrame, n: int) -> DataFrame:
     """``df``, failing at run time where ``source`` has fewer than ``n`` rows (K3), also when ``df`` is empty: the check is a
     branch of its own that adds no row, not a filter on the rows."""
@@ -67,7 +108,7 @@ def _guarded(df: DataFrame, source: DataFrame, n: int) -> DataFrame:
 
 def first_n(df: DataFrame, id_col: str, n: int, seed: int, rank_col: str = "rank") -> DataFrame:
     """The first ``n`` rows of the seeded shuffle with their 1-based rank; fewer than ``n`` rows raise (K3), also for an empty
-    ``df``.  Ids are ranked alone and the rows fetched by id, so texts don't ride through a sort.  Nested by construction:
+    ``df``.  Only chosen rows are numbered, so other rows' texts don't ride through a sort.  Nested by construction:
     for one seed, ``first_n(k)`` is a prefix of ``first_n(k+1)``.  ``id_col`` must be unique."""
     out = first_n_by_seed(df, id_col, n, [seed], rank_col, "_seed_of")
     return out.drop("_seed_of")
@@ -75,26 +116,34 @@ def first_n(df: DataFrame, id_col: str, n: int, seed: int, rank_col: str = "rank
 
 def first_n_by_seed(df: DataFrame, id_col: str, n: int, seeds: list[int], rank_col: str = "rank",
                     seed_col: str = "seed") -> DataFrame:
-    """``first_n`` for several seeds: ids are replicated per seed, rows only when they are chosen."""
+    """``first_n`` for several seeds: rows are replicated per seed only when they are chosen."""
     require_columns(df, id_col)
-    top = _ranked_ids(df, id_col, n, seeds).select("_cid", F.col("_seed").alias(seed_col), F.col("rank").alias(rank_col))
-    out = df.join(top, F.col(id_col).eqNullSafe(F.col("_cid"))).drop("_cid")
-    return _guarded(out, df, n)
+    seeds = list(dict.fromkeys(int(s) for s in seeds))
+    cuts = _cuts(df, id_col, n, seeds) if 0 < n <= BUCKET_ROWS and seeds else None
+    if cuts is None:
+        top = _ranked_ids(df, id_col, n, seeds).select("_cid", F.col("_seed").alias(seed_col), F.col("rank").alias(rank_col))
+        out = df.join(top, F.col(id_col).eqNullSafe(F.col("_cid"))).drop("_cid")
+        return _guarded(out, df, n)
+    chosen = F.array_compact(F.array(*[F.when(cuts[s], F.lit(s)) for s in seeds]))
+    out = df.withColumn(seed_col, F.explode(chosen))
+    key = F.md5(F.concat(F.col(seed_col).cast("string"), F.lit(":"), F.col(id_col).cast("string")))
+    w = Window.partitionBy(seed_col).orderBy(key, F.col(id_col))
+    return out.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
 def carve(df: DataFrame, id_col: str, n: int, seed: int = 42, chosen: str = "validation",
           rest: str = "train", split_col: str = "split") -> DataFrame:
-    """Label the first ``n`` rows of the seeded shuffle ``chosen`` and the rest ``rest``, for any ``n``.
+    """Label the first ``n`` rows of the seeded shuffle ``chosen`` and the rest ``rest``, for any ``n``: a projection of ``df`` that
+    compares keys, after narrow passes over the ids (``_cuts``).
 
-    Disjoint and exhaustive by construction (K16); fewer than ``n`` rows raise (K3), an empty ``df`` included.  ``id_col``
-    must be unique.
+    Disjoint and exhaustive by construction (K16); fewer than ``n`` rows raise (K3) when the result is read, an empty ``df``
+    included.  ``id_col`` must be unique; copies of an id get the same label.
     """
     require_columns(df, id_col)
-    # the chosen-id side is made unique, so copies of an id never multiply rows in the join
-    ids = _ranked_ids(df, id_col, n, [seed]).select("_cid").distinct().withColumn("_chosen", F.lit(True))
-    flagged = df.join(ids, F.col(id_col).eqNullSafe(F.col("_cid")), "left")
-    split = F.when(F.col("_chosen"), F.lit(chosen)).otherwise(F.lit(rest))
-    return _guarded(flagged.withColumn(split_col, split).drop("_cid", "_chosen"), df, n)
+    cuts = _cuts(df, id_col, n, [seed]) if n > 0 else {seed: F.lit(False)}
+    if cuts is None:
+        return _guarded(df.withColumn(split_col, F.lit(rest)), df, n)
+    return df.withColumn(split_col, F.when(cuts[seed], F.lit(chosen)).otherwise(F.lit(rest)))
 
 
 # J7 -------------------------------------------------------------------------------------------

@@ -357,6 +357,14 @@ select query_id, doc_id, final_rank, round(maxsim, 5) as maxsim from rr"""
 
     s["knn_topk_blocked"] = s["knn_topk"]
 
+    s["knn_self_join"] = """
+with p as (
+  select a.vec_id as query_id, b.vec_id as doc_id,
+         round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double * x[2]::double)), 12) as sim
+  from embeddings a cross join embeddings b)
+select query_id, doc_id, row_number() over (partition by query_id order by sim desc, doc_id) as rank, round(sim, 5) as sim
+from p qualify rank <= 5"""
+
     s["rag_prompt"] = duck_with("rq", "kb_docs") + ", kb as (select * from kb_docs), " + reranked(5, 2) + f""",
 ctx as (select rr.query_id, string_agg({render_pair('d.text', 'd.source')}, '' order by rr.final_rank) as txt, count(*) as n
         from rr join documents d on d.doc_id = rr.doc_id group by rr.query_id)

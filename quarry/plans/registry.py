@@ -309,13 +309,20 @@ def q_rerank_maxsim(spark, sf):
 
 
 def q_knn_topk_blocked(spark, sf):
-    """J2 with the query side treated as too large to broadcast: blocks of queries meet blocks of the knowledge base."""
+    """J2 with the query side treated as too large to broadcast: queries visit the pivot cells that can hold their nearest rows."""
     res = RT.knn_topk(fx.retrieval_queries(spark, sf), fx.knowledge_base(spark, sf), KNN_K, max_broadcast_bytes=0,
                       block_rows=KNN_BLOCK)
     return res.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"),
                       F.round("sim", 5).alias("sim"))
 
 
+def q_knn_self_join(spark, sf):
+    """J2/W1 as a join of the whole table with itself: every vector's nearest ones (its own included), through pivot cells."""
+    v = fx.table(spark, sf, "embeddings")
+    res = RT.knn_topk(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "doc_id"), KNN_K, max_broadcast_bytes=0)
+    return res.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 5).alias("sim"))
+
+
 def q_rag_prompt(spark, sf):
     """T6 over all documents: each is in the knowledge base with its own text, unless it is a query's."""
     docs, q = fx.table(spark, sf, "documents"), fx.retrieval_queries(spark, sf)
@@ -595,6 +602,7 @@ QUERIES = {
     "run_outputs_roundtrip": q_run_outputs_roundtrip,
     "knn_topk": q_knn_topk,
     "knn_topk_blocked": q_knn_topk_blocked,
+    "knn_self_join": q_knn_self_join,
     "rerank_maxsim": q_rerank_maxsim,
     "rag_prompt": q_rag_prompt,
     "apps_accuracy": q_apps_accuracy,

@@ -155,3 +155,24 @@ def test_seeded_order_prefix_equals_first_n(spark):
 def test_carve_zero_rows_keeps_everything_in_rest(docs):
     m = _split_map(SA.carve(docs, "doc_id", 0, seed=42))
     assert set(m.values()) == {"train"} and len(m) == docs.count()
+
+
+@pytest.mark.parametrize("small", [1, 3, 10_000])
+def test_cut_equals_the_sorted_order(spark, small):
+    """Radix counts find the n-th key for every n, with NULL and repeated ids, whatever the bucket size."""
+    ids = [f"id{i}" for i in range(60)] + ["id3", "id4"]
+    df = spark.createDataFrame([(i,) for i in [*ids, None, None]], "id string")
+    keys = [r[0] for r in df.orderBy(SA.shuffle_key("id", 7), "id").collect()]
+    for n in (1, 2, 3, 17, 63, 64):
+        got = [r[0] for r in df.where(SA._cuts(df, "id", n, [7], small)[7]).collect()]
+        first = set(keys[:n])
+        assert sorted(map(str, got)) == sorted(str(k) for k in keys if k in first)
+    assert SA._cuts(df, "id", 65, [7], small) is None
+
+
+def test_carve_is_a_projection(spark):
+    df = spark.range(1000).selectExpr("id", "repeat('text ', 50) as text")
+    plan = SA.carve(df, "id", 300, seed=1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert SA.carve(df, "id", 300, seed=1).where("split = 'validation'").count() == 300
+    assert SA.carve(df, "id", 0, seed=1).where("split = 'validation'").isEmpty()
