@@ -1,10 +1,10 @@
 """Run analytics: parameter grids (G1, G2), telemetry summaries (A11, A12), running peak and
 progress (W4, W5), best run per sweep (A14) and seed aggregation (A15).
 
-Running (ordered, cumulative) quantities are computed as a two-level scan so that no run — even
-one holding a third of all rows — is ordered inside a single task: rows are cut into time chunks,
-chunk totals (one row per run and chunk) give each chunk its carry-in, and the per-row window is
-partitioned by (run, chunk).
+Running (ordered, cumulative) quantities are a prefix scan over a global range sort, so that no run, instant or
+group of rows without a time — even one holding most rows — is ordered inside a single task: rows are cut into parts of
+about equal size, totals (one row per run and part) give each part its carry-in, and the per-row window is
+partitioned by (run, part).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import epoch_micros
+from ..session import scratch_path
 from ._check import join_null_safe, require_columns
 
 
@@ -71,40 +72,41 @@ def run_summary(polls: DataFrame, run: str = "run_id", ts: str = "poll_ts", valu
 
 
 # W4 / W5 --------------------------------------------------------------------------------------
-CHUNK_ROWS = 50_000
-_LAST_CHUNK = 2 ** 62  # rows without a timestamp: one chunk after every real one
+def _order(order: list[str]) -> list:
+    return [F.col("_epoch_us").asc_nulls_last(), *[F.col(o).asc_nulls_last() for o in order], F.col("_tie")]
+
+
+def _range_parts(df: DataFrame, run: str, order: list[str], partitions: int | None) -> DataFrame:
+    """``df`` with ``_rkey``, ``_epoch_us``, ``_tie`` and the number ``_chunk`` of its range partition, written once: these numbers must
+    not change between two readings."""
+    spark = df.sparkSession
+    c = df.select("*", F.struct(F.col(run).alias("r")).alias("_rkey"),
+                  epoch_micros(df, order[0]).alias("_epoch_us")).withColumn("_tie", F.monotonically_increasing_id())
+    along = [F.col("_rkey"), *_order(order)]
+    parts = c.repartitionByRange(partitions, *along) if partitions else c.repartitionByRange(*along)
+    parts = parts.withColumn("_chunk", F.spark_partition_id())
+    path = scratch_path(spark, "running-parts")
+    parts.write.parquet(path)
+    return spark.read.schema(parts.schema).parquet(path)
 
 
 def running_stats(df: DataFrame, run: str, order: list[str], value: str | None = None,
-                  chunk_seconds: int = 3_600) -> DataFrame:
+                  partitions: int | None = None) -> DataFrame:
     """Adds ``processed`` (rows so far, inclusive), ``total`` (rows in the run), ``pct`` and, with
     ``value``, ``running_peak`` (max so far) per run in ``order`` (first column a timestamp; NULLs
     last, as SQL engines order by default).
 
-    The ordered window only ever sees one (run, chunk) group.  Chunks are at most ``chunk_seconds`` long and shorter where a run
-    is dense, so that its chunks hold about ``CHUNK_ROWS`` rows if its times are spread evenly; rows without a time are spread by
-    hash if time is the only order column (with others they form one chunk, as do rows of one instant).  The chunk
-    carry-ins come from a table with one row per (run, chunk).  Chunk ids use the epoch of the
-    timestamps as stored (no session-time-zone conversion), so results do not depend on
-    ``chunk_seconds`` or on the session; rows are ordered by that same epoch (then the other
-    ``order`` columns).  The run key travels as ``struct(run)`` — never NULL itself, while a NULL
-    run id inside it matches NULL — so the join to the carry-ins and the per-chunk window share one
-    hash partitioning: one shuffle of the rows.
+    A prefix scan over a global range sort: rows are range-partitioned by (run, time, other order columns, row), so
+    parts are about equal whatever the skew: a run that holds most rows, one instant or rows without a time are cut like
+    any others.  The parts are written once (their numbers must not change between the two readings); carry-ins come from a
+    table with one row per run and part, and the ordered window only ever sees one run in one part.  The result does not
+    depend on ``partitions`` (default: Spark's), nor, as rows are ordered by the epoch of the times as stored, on the session's
+    time zone; rows that no order column tells apart come in any order.  The run key travels as ``struct(run)`` — never NULL itself,
+    while a NULL run id inside it matches NULL — so the join to the carry-ins and the window share one
+    hash partitioning.
     """
     require_columns(df, run, *order, *([value] if value else []))
-    c = df.select("*", F.struct(F.col(run).alias("r")).alias("_rkey"),
-                  epoch_micros(df, order[0]).alias("_epoch_us"))
-    # chunks shrink until the densest run has about CHUNK_ROWS rows in each; rows without a time tie in it and, where no other
-    # order column tells them apart, in any order: they are spread by hash
-    per = c.groupBy("_rkey").agg(F.count("_epoch_us").alias("n"), (F.max("_epoch_us") - F.min("_epoch_us")).alias("span"),
-                                 F.count(F.when(F.col("_epoch_us").isNull(), 1)).alias("bare"))
-    dense = per.agg(F.min(F.when(F.col("n") > CHUNK_ROWS, F.col("span") * F.lit(float(CHUNK_ROWS)) / F.col("n"))).alias("w")).scalar()
-    width = F.greatest(F.lit(1.0), F.least(F.lit(chunk_seconds * 1_000_000.0), F.coalesce(dense, F.lit(float("inf")))))
-    last = F.lit(_LAST_CHUNK).cast("long")
-    if len(order) == 1:
-        bare = per.agg(F.ceil(F.max("bare") / CHUNK_ROWS).cast("long").alias("b")).scalar()
-        last = last + F.pmod(F.xxhash64(*df.columns), F.greatest(F.lit(1).cast("long"), F.coalesce(bare, F.lit(1).cast("long"))))
-    c = c.withColumn("_chunk", F.coalesce(F.floor(F.col("_epoch_us") / width).cast("long"), last))
+    c = _range_parts(df, run, order, partitions)
     rk = ["_rkey"]
     aggs = [F.count(F.lit(1)).alias("_ccnt")] + ([F.max(value).alias("_cmax")] if value else [])
     chunks = c.groupBy(*rk, "_chunk").agg(*aggs)
@@ -114,9 +116,8 @@ def running_stats(df: DataFrame, run: str, order: list[str], value: str | None =
         F.coalesce(F.sum("_ccnt").over(before), F.lit(0)).alias("_prev_cnt"),
         F.sum("_ccnt").over(Window.partitionBy(*rk)).alias("total"),
         *([F.max("_cmax").over(before).alias("_prev_max")] if value else []))
-    # the parsed time first (it defines the chunks), then every order column as given (ties)
-    inside = Window.partitionBy(*rk, "_chunk").orderBy(F.col("_epoch_us").asc_nulls_last(),
-                                                       *[F.col(o).asc_nulls_last() for o in order])
+    # the parsed time first, then every order column as given (ties)
+    inside = Window.partitionBy(*rk, "_chunk").orderBy(*_order(order))
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     j = c.join(carry, [*rk, "_chunk"])
     out = j.withColumn("processed", F.col("_prev_cnt") + F.row_number().over(inside))
@@ -124,7 +125,7 @@ def running_stats(df: DataFrame, run: str, order: list[str], value: str | None =
         # greatest() skips NULLs: the first chunk of a run has no carry-in
         out = out.withColumn("running_peak", F.greatest(F.max(value).over(upto), F.col("_prev_max")))
     out = out.withColumn("pct", F.round(100.0 * F.col("processed") / F.col("total"), 2))
-    return out.drop("_chunk", "_prev_cnt", "_prev_max", "_rkey", "_epoch_us")
+    return out.drop("_chunk", "_prev_cnt", "_prev_max", "_rkey", "_epoch_us", "_tie")
 
 
 # A14 / A15 ------------------------------------------------------------------------------------

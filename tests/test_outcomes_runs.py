@@ -53,8 +53,8 @@ def test_range_label_is_a_case_not_a_join(spark):
 
 def test_running_stats_match_pandas_and_chunk_independent(spark):
     polls = RN.poll_totals(fx.telemetry(spark, SF01), [0, 1])
-    a = RN.running_stats(polls, "run_id", ["poll_ts"], value="used_mb", chunk_seconds=3600)
-    b = RN.running_stats(polls, "run_id", ["poll_ts"], value="used_mb", chunk_seconds=7 * 86400)
+    a = RN.running_stats(polls, "run_id", ["poll_ts"], value="used_mb", partitions=1)
+    b = RN.running_stats(polls, "run_id", ["poll_ts"], value="used_mb", partitions=5)
     key = lambda r: (r.run_id, r.poll_ts)
     ra = sorted(a.select("run_id", "poll_ts", "running_peak", "processed", "total").collect(), key=key)
     rb = sorted(b.select("run_id", "poll_ts", "running_peak", "processed", "total").collect(), key=key)
@@ -136,8 +136,8 @@ def test_chunks_follow_stored_order_across_dst(spark):
                                     (1, "2024-03-10 03:10:00", 2.0)], "run_id int, t string, used_mb double") \
             .withColumn("ts", F.to_timestamp_ntz("t"))
         res = []
-        for chunk in (3600, 600):
-            rows = RN.running_stats(df, "run_id", ["ts"], value="used_mb", chunk_seconds=chunk).orderBy("ts").collect()
+        for chunk in (1, 3):
+            rows = RN.running_stats(df, "run_id", ["ts"], value="used_mb", partitions=chunk).orderBy("ts").collect()
             res.append([(r.processed, r.running_peak) for r in rows])
         assert res[0] == res[1] == [(1, 5.0), (2, 5.0), (3, 5.0)]
     finally:
@@ -202,8 +202,8 @@ def test_running_stats_key_and_time_edge_cases(spark):
     assert got == {"1704067200": 1, "1704070800": 2, "": 3}
     w = spark.createDataFrame([(1, "2024-01-01 9:00:00"), (1, "2024-01-01 10:00:00"), (1, "2024-01-01 10:30:00")],
                               "run_id int, t string")
-    for chunk in (3600, 86400):
-        got = {r.t: r.processed for r in RN.running_stats(w, "run_id", ["t"], chunk_seconds=chunk).collect()}
+    for chunk in (1, 3):
+        got = {r.t: r.processed for r in RN.running_stats(w, "run_id", ["t"], partitions=chunk).collect()}
         assert got == {"2024-01-01 9:00:00": 1, "2024-01-01 10:00:00": 2, "2024-01-01 10:30:00": 3}
 
 
@@ -223,21 +223,23 @@ def test_time_edge_values(spark):
     assert got == {"2024-01-01T10:00:00+02:00": 1, "2024-01-01T09:00:00Z": 2}
 
 
-def test_one_dense_hour_and_rows_without_time_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(RN, "CHUNK_ROWS", 500)
+def test_hot_runs_instants_and_rows_without_time_are_spread(spark):
+    """Nine tenths of the rows lie in one second, a tenth of these in one instant; others have no time at all."""
     base = spark.range(20_000)
-    hour = base.select(F.lit(1).alias("run_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 150_000).alias("ts"),
-                       (F.col("id") % 977).cast("double").alias("used_mb"))
-    bare = base.select(F.lit(2).alias("run_id"), F.lit(None).cast("timestamp").alias("ts"), F.col("id").cast("double").alias("used_mb"))
-    out = RN.running_stats(hour.unionByName(bare), "run_id", ["ts"], value="used_mb")
-    got = out.where("run_id = 1").orderBy("ts").select("processed", "total", "running_peak").collect()
-    assert [r.processed for r in got] == list(range(1, 20_001)) and {r.total for r in got} == {20_000}
-    assert [r.running_peak for r in got] == [float(min(i, 976)) for i in range(20_000)]
-    rest = out.where("run_id = 2").orderBy("processed").select("processed", "running_peak", "used_mb").collect()
-    assert [r.processed for r in rest] == list(range(1, 20_001))
-    peak = 0.0
-    for r in rest:
-        peak = max(peak, r.used_mb)
-        assert r.running_peak == peak
-    groups = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
-    assert groups < 20_000
+    hour = base.select(F.lit(1).alias("run_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.when(F.col("id") < 200, F.col("id") * 150_000_000)
+                       .when(F.col("id") % 10 == 0, 30_000_000_000).otherwise(30_000_000_000 + F.col("id"))).alias("ts"),
+                       F.col("id").alias("n"), (F.col("id") % 977).cast("double").alias("used_mb"))
+    bare = base.select(F.lit(2).alias("run_id"), F.lit(None).cast("timestamp").alias("ts"), F.col("id").alias("n"), F.col("id").cast("double").alias("used_mb"))
+    both = hour.unionByName(bare)
+    sizes = [r["count"] for r in RN._range_parts(both, "run_id", ["ts"], 8).groupBy("_chunk").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
+    out = RN.running_stats(both, "run_id", ["ts", "n"], value="used_mb", partitions=8)
+    for run in (1, 2):
+        got = out.where(F.col("run_id") == run).orderBy(F.col("ts").asc_nulls_last(), "n").select("processed", "total", "running_peak", "used_mb").collect()
+        assert [r.processed for r in got] == list(range(1, 20_001)) and {r.total for r in got} == {20_000}
+        peak = 0.0
+        for r in got:
+            peak = max(peak, r.used_mb)
+            assert r.running_peak == peak
+    tied = RN.running_stats(both, "run_id", ["ts"], partitions=8)  # without the second order column ties come in any order
+    assert sorted(r.processed for r in tied.where("run_id = 2").collect()) == list(range(1, 20_001))
