@@ -7,7 +7,9 @@ strings per batch and must be picklable; tests inject deterministic stubs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,57 @@ def generate_with(df: DataFrame, fn: Callable[[pd.Series], pd.Series], prompt_co
     return df.mapInPandas(run, schema)
 
 
+_MODELS: dict[str, Callable[[pd.Series], pd.Series]] = {}
+
+
+def _model(token: str, factory: Callable[[], Callable[[pd.Series], pd.Series]]) -> Callable[[pd.Series], pd.Series]:
+    """The model of a run, built once per worker process."""
+    if token not in _MODELS:
+        _MODELS[token] = factory()
+    return _MODELS[token]
+
+
+def generate_resumable(df: DataFrame, factory: Callable[[], Callable[[pd.Series], pd.Series]], path: str,
+                       keys: tuple[str, ...] = ("example_id",), prompt_col: str = "prompt", out: str = "response",
+                       batches: int = 16) -> DataFrame:
+    """X2 that survives a failure: ``(keys..., out)`` of every row of ``df``, kept under ``path``.
+
+    Rows are cut by a hash of their keys into ``batches``, each generated and appended by a job of its own.  A rerun with the same
+    ``path`` calls the model only for keys without an answer there: what a failed run had written stays, and as files appear whole or
+    not at all, a key has its answer exactly once.  ``factory`` builds the model, once per worker process of a run.
+
+    Keys are unique in ``df``; a NULL key is a key like any other.  An answer that is NULL counts as given.  Rows of ``path`` whose key is
+    no longer in ``df`` stay there and are not returned.
+    """
+    require_columns(df, prompt_col, *keys)
+    spark, token = df.sparkSession, uuid.uuid4().hex
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(out, T.StringType(), True)])
+    asked = df.select(*keys, F.col(prompt_col).alias("_prompt"))
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+    def answers() -> DataFrame:
+        return spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
+
+    def run(rows):
+        model = _model(token, factory)
+        for pdf in rows:
+            pdf[out] = pd.Series(list(model(pdf["_prompt"])), index=pdf.index, dtype="object")
+            yield pdf[[*keys, out]]
+
+    done = answers().select(*keys)
+    todo = asked.join(done, same(asked, done), "left_anti")
+    todo = todo.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(batches)))
+    for r in todo.groupBy("_batch").count().orderBy("_batch").collect():  # a row per batch
+        one = todo.where(F.col("_batch") == r["_batch"]).drop("_batch").select(*keys, "_prompt")
+        one.mapInPandas(run, schema).write.mode("append").parquet(path)
+    given, wanted = answers(), df.select(*keys)
+    return given.join(wanted, same(given, wanted), "left_semi")
+
+
 def l2_normalise(vec) -> Column:
     """Scale a vector to unit length (a zero vector stays zero)."""
     v = F.col(vec) if isinstance(vec, str) else vec

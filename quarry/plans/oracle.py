@@ -255,6 +255,16 @@ with g as (select seed, n, avg(length(prompt)) as c from ({s["icl_grid"]}) x gro
 select 'conala' as dataset, n, count(distinct seed) as n_seeds, round(avg(c), 4) as mean_prompt_chars, round(stddev_samp(c), 4) as std_prompt_chars,
   round(min(c), 4) as min_prompt_chars, round(max(c), 4) as max_prompt_chars from g group by n"""
 
+    grid = duck_with("pairs").rstrip() + f""",
+g as ({s["icl_grid"]}),
+raws as (select example_id, seed, n, substr(prompt, 1, (length(prompt) % 200 + 50)::integer) as raw from g),
+answers as (select a.seed, a.n, a.example_id, {strip("split_part(raw, '```', 1)")} as response, p.reference from raws a join pairs p on a.example_id = p.example_id)"""
+    s["icl_scores_by_n"] = chrf_family_sql("select concat(seed, ':', n) as grp, example_id, response as hyp, reference as ref from answers", grid) + """,
+em as (select seed, n, concat(seed, ':', n) as grp, avg(case when response = reference then 1.0::double else 0.0::double end) as exact_match from answers group by seed, n),
+v as (select seed, n, 'exact_match' as metric, exact_match as value from em union all select em.seed, em.n, 'chrf', sc.chrf from em join sc on sc.grp = em.grp)
+select 'conala' as dataset, n, metric, count(distinct seed) as n_seeds, round(avg(value), 4) as mean_value, round(stddev_samp(value), 4) as std_value,
+  round(min(value), 4) as min_value, round(max(value), 4) as max_value from v group by n, metric"""
+
     s["render_cut"] = duck_with("pairs") + f""", {BLINDED}
 select example_id, {cut(render_pair('nl', 'reference'))} as prompt from blinded"""
 
@@ -438,6 +448,10 @@ union all select 'references', count(*), sum(length({_escape('reference')}))::bi
     s["batch_score"] = duck_with("pairs") + f""", {BLINDED}
 select example_id, replace({cut(render_pair('nl', 'reference'))}, 'e', 'E') as response from blinded"""
 
+    s["import_text"] = duck_with("pairs") + """
+select row_number() over (order by example_id) - 1 as line, coalesce(prediction, '') as prediction, coalesce(reference, '') as reference from pairs"""
+    s["generate_resumed"] = s["batch_score"]
+
     counts = ", ".join(f"(length(text) - length(replace(text, {q(ch)}, '')))::double" for ch in ["a", "e", "i", "o", "u", " "])
     s["embed_normalise"] = f"""
 with c as (select doc_id, [{counts}] as v from documents),

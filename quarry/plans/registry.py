@@ -157,6 +157,20 @@ def q_icl_prompt_by_n(spark, sf):
     return s.select("dataset", "n", "n_seeds", *[F.round(f"{f}_prompt_chars", 4).alias(f"{f}_prompt_chars") for f in ("mean", "std", "min", "max")])
 
 
+def _grid_model(prompts: pd.Series) -> pd.Series:
+    """Deterministic stand-in whose answer depends on the whole prompt's length: the prompt's beginning."""
+    return pd.Series([p[:len(p) % 200 + 50] for p in prompts], index=prompts.index, dtype="object")
+
+
+def q_icl_scores_by_n(spark, sf):
+    """A15 over the scored few-shot grid: exact match and chrF of the model's answers per (dataset, n), over the seeds."""
+    train = fx.pairs(spark, sf).where(F.col("split") == "train")
+    runs = WF.icl_grid_scores(_conala_test_messages(spark, sf), train, ICL_SIZES, ICL_SEEDS, _grid_model, "example_id", "nl", "reference", "conala")
+    runs = runs.where(F.col("metric").isin("exact_match", "chrf")).withColumn("dataset", F.lit("conala"))
+    s = RN.seed_summary(runs, ["dataset", "n", "metric"], "value")
+    return s.select("dataset", F.col("n").cast("int").alias("n"), "metric", "n_seeds", *[F.round(f"{f}_value", 4).alias(f"{f}_value") for f in ("mean", "std", "min", "max")])
+
+
 def q_render_cut(spark, sf):
     t = _templated_pairs(spark, sf)
     return t.select("example_id", render_cut("messages").alias("prompt"))
@@ -452,6 +466,23 @@ def q_export_text(spark, sf):
                                     F.sum(F.length("value")).cast("long").alias("n_chars"))
 
 
+def q_import_text(spark, sf):
+    """S8 read back: line-aligned predictions and references paired by their position."""
+    path = scratch_path(spark, "import")
+    IO.export_aligned_text(fx.pairs(spark, sf), path, {"predictions": "prediction", "references": "reference"})
+    back = IO.read_aligned_text(spark, {k: f"{path}/kind={k}" for k in ("predictions", "references")})
+    return back.select("line", F.col("predictions").alias("prediction"), F.col("references").alias("reference"))
+
+
+def q_generate_resumed(spark, sf):
+    """X2 run twice under one path: the second run asks the model only for what the first one has not answered."""
+    t = _templated_pairs(spark, sf).select("example_id", render_cut("messages").alias("prompt"))
+    path = scratch_path(spark, "answers")
+    first = t.where(F.crc32(F.col("example_id").cast("string").cast("binary")) % 3 == 0)  # what an interrupted run had done
+    HK.generate_resumable(first, lambda: _stub_model, path, batches=2)
+    return HK.generate_resumable(t, lambda: _stub_model, path, batches=4)
+
+
 def _stub_model(prompts: pd.Series) -> pd.Series:
     """Deterministic stand-in for a model: echoes the prompt with 'e' upper-cased."""
     return prompts.str.replace("e", "E", regex=False)
@@ -584,6 +615,7 @@ QUERIES = {
     "icl_prompt": q_icl_prompt,
     "icl_grid": q_icl_grid,
     "icl_prompt_by_n": q_icl_prompt_by_n,
+    "icl_scores_by_n": q_icl_scores_by_n,
     "render_cut": q_render_cut,
     "fence_cut": q_fence_cut,
     "stop_truncate": q_stop_truncate,
@@ -618,6 +650,8 @@ QUERIES = {
     "responses_roundtrip": q_responses_roundtrip,
     "dataset_roundtrip": q_dataset_roundtrip,
     "export_text": q_export_text,
+    "import_text": q_import_text,
+    "generate_resumed": q_generate_resumed,
     "batch_score": q_batch_score,
     "embed_normalise": q_embed_normalise,
     "prepare_magicoder_oss": q_prepare_magicoder_oss,

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import APPS_SLICES, INSTRUCTION_PREFIX, VALIDATION_SIZE
-from ..functions.text import fence_cut, stop_truncate
+from ..functions.text import fence_cut, render_cut, stop_truncate
 from ..operators import align as AL
 from ..operators import fewshot as FS
+from ..operators import hooks as HK
 from ..operators import metrics as M
 from ..operators import outcomes as OC
 from ..operators import prompt as PR
@@ -176,6 +177,19 @@ def write_run_record(scores: DataFrame, telemetry: DataFrame, path: str, address
     IO.write_run_outputs(tall.select(*[F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in address.items()], "*"), path)
 
 
+def icl_grid_scores(test: DataFrame, train: DataFrame, ns: list[int], seeds: list[int], model, id_col: str, instruction: str,
+                    reference: str, prefix: str, stops: list[str] | None = None) -> DataFrame:
+    """E2 over the few-shot grid: ``(seed, n, metric, value)`` of the model's cleaned answers to every test prompt of every
+    configuration, prompted and scored in one job."""
+    grid = FS.icl_grid(test, train, ns, seeds, id_col, instruction, reference, prefix)
+    key = F.concat_ws(":", "seed", "n", F.col(id_col).cast("string"))
+    grid = grid.select(key.alias("_run_row"), F.col("seed").alias("_seed"), F.col("n").alias("_shots"), F.col(reference).alias("reference"), render_cut("messages").alias("prompt"))
+    answers = HK.generate_with(grid.select("_run_row", "prompt"), model).select("_run_row", F.col("response").alias("raw"))
+    refs = grid.select("_run_row", "_seed", "_shots", "reference")
+    scores = evaluate_responses(clean_responses(answers, stops=stops), refs, ["_seed", "_shots"], key="_run_row")
+    return scores.withColumnsRenamed({"_seed": "seed", "_shots": "n"})
+
+
 # E3 -------------------------------------------------------------------------------------------
 def apps_report(outcomes: DataFrame, slices=APPS_SLICES, ks=(1, 10, 100), position: str = "problem_id"):
     """Difficulty from fixed position slices (J6/L5); returns (accuracy table, pass@k table) over all generations.

@@ -8,7 +8,7 @@ suffixes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators._check import require_columns
@@ -137,6 +137,44 @@ def export_aligned_text(df: DataFrame, path: str, columns: dict[str, str], key:
      .select("kind", "value").write.mode("overwrite").partitionBy("kind").text(path))
 
 
+def unescape_lines(col) -> F.Column:
+    """What ``escape_lines`` was given."""
+    c = F.col(col) if isinstance(col, str) else col
+    # escaped backslashes part the value into pieces in which every other mark stands for itself
+    plain = F.transform(F.split(c, r"\\\\", -1), lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(plain, "\\")
+
+
+def read_lines(spark: SparkSession, path: str, line: str = "line") -> DataFrame:
+    """``(line, value)``: every line of the text files under ``path`` with its number from 0, files in the order of their names.
+
+    Files are read in splits by many tasks.  A line's number is the number of lines in earlier splits (a table with one row per split)
+    plus its place in its own.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"),
+                                        F.monotonically_increasing_id().alias("_m"))
+    splits = rows.groupBy("_file", "_from").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_from", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = rows.join(F.broadcast(splits), ["_file", "_from"])  # a row per split
+    return out.select((F.col("_before") + F.col("_m") - F.col("_first")).alias(line), "value")
+
+
+def read_aligned_text(spark: SparkSession, paths: dict[str, str], line: str = "line") -> DataFrame:
+    """Line-aligned text files paired by position: ``line`` (from 0) and one column per name of ``paths``, newlines inside values
+    restored.  Files of unequal numbers of lines raise when the result is read."""
+    one = None
+    for name, path in paths.items():
+        part = read_lines(spark, path, line).select(line, unescape_lines("value").alias(name), F.lit(True).alias(f"_has_{name}"))
+        one = part if one is None else one.join(part, line, "full")
+    whole = F.lit(True)
+    for name in paths:
+        whole = whole & F.coalesce(F.col(f"_has_{name}"), F.lit(False))
+    bad = F.raise_error(F.concat(F.lit("files of unequal length: line "), F.col(line).cast("string"), F.lit(" is not in all of them")))
+    checked = F.when(whole, F.col(line)).otherwise(bad.cast("long"))
+    return one.select(checked.alias(line), *paths)
+
+
 # P11 ------------------------------------------------------------------------------------------
 def preview(df: DataFrame, n: int = 10, key: str = "example_id") -> DataFrame:
     """The first n positions (``key < n``), deterministic unlike ``limit``."""
