@@ -493,18 +493,19 @@ em as (select split, count(*)::double as n_examples,
   avg(case when response = reference then 1.0::double else 0.0::double end) as exact_match from aligned group by split),
 w as (select em.split, n_examples, exact_match, sc.chrf, sc.chrf_pp from em left join sc on sc.grp = em.split),
 {ALL_POLLS}
-, run as (select * from ({tele}) r where run_id = 0),
-vals as (select split, 'n_examples' as metric, n_examples as value, null as unit from w
-union all select split, 'exact_match', exact_match, null from w
-union all select split, 'chrf', chrf, null from w
-union all select split, 'chrf_pp', chrf_pp, null from w
-union all select 'all', 'peak_memory', peak_mb, 'MB' from run
-union all select 'all', 'elapsed', elapsed_s, 's' from run)
-select 'stub' as model, 'ckpt-1' as checkpoint, split, metric, round(value, 4) as value, unit from vals"""
+, run as (select * from ({tele}) r),
+vals as (select run_id, split, 'n_examples' as metric, n_examples as value, null as unit from w, run
+union all select run_id, split, 'exact_match', exact_match, null from w, run
+union all select run_id, split, 'chrf', chrf, null from w, run
+union all select run_id, split, 'chrf_pp', chrf_pp, null from w, run
+union all select run_id, 'all', 'peak_memory', peak_mb, 'MB' from run
+union all select run_id, 'all', 'elapsed', elapsed_s, 's' from run)
+select 'stub' as model, concat('ckpt-', run_id) as checkpoint, split, metric, round(value, 4) as value, unit,
+  case when unit is not null then concat(round(value)::bigint, ' ', unit) end as shown from vals"""
 
     s["run_address_two_runs"] = duck_with("all_runs") + """,
-a as (select round(avg(eval_loss), 6) as value from all_runs where seed = 42)
-select t as temperature, c as checkpoint, 'eval_loss' as metric, value from a,
+a as (select seed::integer as seed, round(avg(eval_loss), 6) as value from all_runs group by seed)
+select t as temperature, c as checkpoint, seed, 'eval_loss' as metric, value from a,
   (values (0.12::double, 'base'), (0.124::double, 'base'), (0.12::double, 'ckpt-1')) r(t, c)"""
 
     # outcomes ------------------------------------------------------------------------------
@@ -520,6 +521,8 @@ select difficulty, 'strict_accuracy' as metric, round(avg(all_pass::int::double)
 union all
 select difficulty, concat('pass_at_', k), round(avg(p), 6) from est group by difficulty, k having min(n) >= k"""
 
+    s["apps_metrics_file"] = f"select 'icl' as method, 3 as n, difficulty, metric, round(value, 6) as value from ({s['apps_report']}) a"
+
     s["outcome_null_status"] = duck_with("outcomes") + ", o2 as (select problem_id, gen_id, test_id, " \
         "case when test_id % 7 <> 0 then status end as status from outcomes), " + difficulty("o2") + """,
 g as (select difficulty, problem_id, gen_id, sum(case when status > 0 then 1 else 0 end)::double / count(*) as pass_share,

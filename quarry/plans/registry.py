@@ -532,33 +532,42 @@ def q_prepare_joint(spark, sf):
 
 
 def q_run_end_to_end(spark, sf):
-    """E2 in one run: prompts, model, cleaned responses, scores by split and the run's telemetry in one record, written under the
-    run's address and read back."""
+    """E2 for every run: prompts, model, cleaned responses, scores by split and each run's telemetry in a record of its own, written
+    under the run's address and read back; memory and time are shown with their units (F10)."""
     prompts = _templated_pairs(spark, sf).select("example_id", render_cut("messages").alias("prompt"))
     answers = HK.generate_with(prompts, _stub_model).select("example_id", F.col("response").alias("raw"))
     refs = fx.pairs(spark, sf).select("example_id", "split", "reference")
     scores = WF.evaluate_responses(WF.clean_responses(answers, stops=STOPS), refs, group_by=["split"])
-    telemetry = RN.run_summary(_polls(spark, sf)).where("run_id = 0")
+    telemetry = RN.run_summary(_polls(spark, sf)).withColumn("checkpoint", F.concat(F.lit("ckpt-"), F.col("run_id").cast("string")))
     path = scratch_path(spark, "run-record")
-    WF.write_run_record(scores, telemetry, path, {"model": "stub", "checkpoint": "ckpt-1", "dataset": "conala", "temperature": 0.2,
-                                                  "strategy": "none", "n": 0, "seed": None}, group_by=["split"])
+    WF.write_run_record(scores, telemetry, path, {"model": "stub", "dataset": "conala", "temperature": 0.2,
+                                                  "strategy": "none", "n": 0, "seed": None}, group_by=["split"], own_address=["checkpoint"])
     back = spark.read.parquet(path)
+    whole = F.round("value").cast("long")
+    shown = F.when(F.col("unit") == "s", IO.format_with_unit(whole, "s")).when(F.col("unit") == "MB", IO.format_with_unit(whole, "MB"))
     return back.select("model", "checkpoint", F.coalesce("split", F.lit("all")).alias("split"), "metric", F.round("value", 4).alias("value"),
-                       "unit")
+                       "unit", shown.alias("shown"))
 
 
 def q_run_address_two_runs(spark, sf):
-    """Runs whose temperatures differ in the third decimal, and a base and a tuned run, keep their own results."""
-    runs = fx.all_sweep_runs(spark, sf).where("seed = 42").groupBy().agg(F.round(F.avg("eval_loss"), 6).alias("eval_loss"))
+    """Runs of every seed whose temperatures differ in the third decimal, and base and tuned runs, keep their own results."""
+    runs = fx.all_sweep_runs(spark, sf).groupBy("seed").agg(F.round(F.avg("eval_loss"), 6).alias("eval_loss"))
     path = scratch_path(spark, "addresses")
     for t, c in ((0.12, None), (0.124, None), (0.12, "ckpt-1")):
         IO.write_run_outputs(IO.to_tall(runs.select(
             F.lit("m").alias("model"), F.lit("conala").alias("dataset"), F.lit(t).alias("temperature"), F.lit("icl").alias("strategy"),
-            F.lit(3).alias("n"), F.lit(42).alias("seed"), F.lit(c).cast("string").alias("checkpoint"), F.col("eval_loss")),
+            F.lit(3).alias("n"), F.col("seed").cast("int").alias("seed"), F.lit(c).cast("string").alias("checkpoint"), F.col("eval_loss")),
             [*IO.RUN_ADDRESS, "checkpoint"], ["eval_loss"]), path)
     back = spark.read.parquet(path)
     return back.select(F.col("temperature").cast("double").alias("temperature"), F.coalesce("checkpoint", F.lit("base")).alias("checkpoint"),
-                       "metric", F.round("value", 6).alias("value"))
+                       F.col("seed").cast("int").alias("seed"), "metric", F.round("value", 6).alias("value"))
+
+
+def q_apps_metrics_file(spark, sf):
+    """Accuracy and pass@k per difficulty as JSON lines under the method and number of exemplars, read back."""
+    path = scratch_path(spark, "apps-metrics")
+    IO.write_metrics(q_apps_report(spark, sf).withColumns({"method": F.lit("icl"), "n": F.lit(ICL_N)}), path, ["method", "n"])
+    return spark.read.json(path).select("method", F.col("n").cast("int").alias("n"), "difficulty", "metric", F.round("value", 6).alias("value"))
 
 
 def q_apps_report(spark, sf):
@@ -660,6 +669,7 @@ QUERIES = {
     "run_end_to_end": q_run_end_to_end,
     "run_address_two_runs": q_run_address_two_runs,
     "apps_report": q_apps_report,
+    "apps_metrics_file": q_apps_metrics_file,
     "outcome_null_status": q_outcome_null_status,
     "json_fields": q_json_fields,
     "contains_any": q_contains_any,

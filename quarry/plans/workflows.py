@@ -166,13 +166,22 @@ def evaluate_responses(responses: DataFrame, references: DataFrame, group_by: li
     return tall.drop("_all") if keys == ["_all"] else tall
 
 
-def write_run_record(scores: DataFrame, telemetry: DataFrame, path: str, address: dict, group_by: list[str]) -> None:
-    """One record of a run: its scores per group and its memory and time (one row of ``run_summary``), as tall rows
-    ``(group..., metric, value, unit)`` under the run's address."""
-    use = IO.to_tall(telemetry.select(F.col("peak_mb").alias("peak_memory"), F.col("elapsed_s").alias("elapsed")), [], ["peak_memory", "elapsed"])
+def write_run_record(scores: DataFrame, telemetry: DataFrame, path: str, address: dict, group_by: list[str],
+                     own_address: list[str] | None = None) -> None:
+    """The record of a run: its scores per group and its memory and time (``run_summary``), as tall rows
+    ``(group..., metric, value, unit)`` under the run's address.
+
+    ``address`` holds what all runs share.  ``own_address`` names columns of ``telemetry`` that tell its runs apart; each run then
+    gets a record of its own.  ``scores`` may have these columns, too; scores without them hold for every run.
+    """
+    own = list(own_address or [])
+    use = IO.to_tall(telemetry.select(*own, F.col("peak_mb").alias("peak_memory"), F.col("elapsed_s").alias("elapsed")), own, ["peak_memory", "elapsed"])
     use = use.withColumn("unit", F.when(F.col("metric") == "elapsed", "s").otherwise("MB"))
+    if own and not set(own) <= set(scores.columns):  # a handful of scores, given to every run
+        listed = scores.agg(F.collect_list(F.struct(*scores.columns))).scalar()
+        scores = telemetry.select(*own, F.inline(listed))
     tall = scores.withColumn("unit", F.lit(None).cast("string")).unionByName(
-        use.select(*[F.lit(None).cast(scores.schema[g].dataType).alias(g) for g in group_by], "metric", "value", "unit"))
+        use.select(*own, *[F.lit(None).cast(scores.schema[g].dataType).alias(g) for g in group_by], "metric", "value", "unit"))
     kinds = {"temperature": "double", "n": "int", "seed": "int"}
     IO.write_run_outputs(tall.select(*[F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in address.items()], "*"), path)
 
