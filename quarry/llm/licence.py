@@ -10,6 +10,8 @@ so that a shorter rule cannot report a part of it again.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,23 +77,40 @@ LINE_END = r"[\r\n]+"
 BLANK_LINE = r"\r?\n([^\p{L}\p{N}\r\n]*\r?\n)+|\r([^\p{L}\p{N}\r\n]*\r)+"
 #: as the SQL statement has it, which does without comment marks between words and without blank lines
 KEYWORD = r"(?i)licen[sc]e|permission|copyright|redistribut|free[ \t\r\n]+software|rights[ \t\r\n]+reserved"
-#: every known sentence has one of these, so texts and sentences without any are passed over
+#: every sentence of SENTENCES has one of these, so texts and sentences without any are passed over
 KNOWN_WORDS = r"(?i)licen[sc]e|permission|copyright|redistribut|free[^a-zA-Z0-9.]+software|rights[^a-zA-Z0-9.]+reserved"
 
 
+def gate(sentences: dict[str, str]) -> str:
+    """A pattern that is found in every text with one of the ``sentences``: few words that each of them has one of."""
+    if sentences is SENTENCES:
+        return KNOWN_WORDS
+    left, chosen = [set(s.split()) for s in sentences], []
+    while left:
+        words = sorted({w for s in left for w in s})
+        if not words:  # an empty sentence: nothing can be passed over
+            return ""
+        best = max(words, key=lambda w: (sum(w in s for s in left), len(w)))
+        chosen.append(best)
+        left = [s for s in left if best not in s]
+    return "(?i)" + "|".join(re.escape(w) for w in chosen)
+
+
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+", " "))
 
 
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of a text's known sentences, in order."""
-    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    if not sentences:
+        return F.array().cast("array<string>")
+    known, words = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair]), gate(sentences)
 
     def lookup(s: Column) -> Column:
         return F.try_element_at(known, normalised(s))
 
     def parts(s: Column, end: str) -> Column:
-        return F.filter(F.split(s, end), lambda x: x.rlike(KNOWN_WORDS))
+        return F.filter(F.split(s, end), lambda x: x.rlike(words))
 
     def first_known(s: Column, otherwise: Column) -> Column:
         return F.when(lookup(s).isNotNull(), F.array(lookup(s))).otherwise(otherwise)
@@ -103,7 +122,7 @@ def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
         return first_known(s, F.flatten(F.transform(parts(s, BLANK_LINE), of_paragraph)))
     sentence = parts(F.regexp_replace(text, SENTENCE_END, MARK), MARK)
     found = F.filter(F.flatten(F.transform(sentence, of_sentence)), lambda x: x.isNotNull())
-    return F.when(text.rlike(KNOWN_WORDS), found).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(words), found).otherwise(F.array().cast("array<string>"))
 
 
 def match_rules(ids: Column, rules=RULES) -> Column:

@@ -359,3 +359,23 @@ def test_every_repeated_ngram_counts_whatever_its_share(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[:3]
         assert math.isclose(r["base_score"], want[3], rel_tol=1e-9) and math.isclose(r["score"], want[4], rel_tol=1e-9)
     assert all(got[1000 + i]["score"] > 0.3 * got[1000 + i]["base_score"] for i in range(10))
+
+
+def test_own_sentences_need_no_known_word(spark):
+    """What is passed over follows from the sentences given, not from the built-in ones."""
+    from quarry.llm.licence import scan_licences as scan
+    own = {"this file is dedicated to the public domain": "Domain", "do as you like": "Like", "v1.0 applies": "V"}
+    texts = ["This file is dedicated to the public domain.", "Hello. Do as\n  you like!", "V1.0 applies", "nothing", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    rules = [("PD", ["Domain"]), ("WTF", ["Like"]), ("V1", ["V"])]
+    got = {r["doc_id"]: r["__licences"] for r in scan(docs, sentences=own, rules=rules).collect()}
+    assert got == {0: ["PD"], 1: ["WTF"], 2: ["V1"], 3: [], 4: []}
+    assert all(r["__sentences"] == [] for r in scan(docs, sentences={}, rules=rules).collect())
+
+
+def test_one_language_threshold_at_every_size(spark):
+    """Twelve Finnish texts make a language beside 450 English ones and beside 1500."""
+    fi = [("fi", f"tämä on suomenkielinen lause numero {i} ja siinä on sanoja") for i in range(12)]
+    for n in (450, 1500):
+        rows = fi + [("en", f"this is the english sentence number {i} with some words") for i in range(n)]
+        assert L.train(spark.createDataFrame(rows, "lang string, text string")).languages == ["en", "fi"]
