@@ -23,9 +23,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 MAX_PIVOTS, RINGS = 1024, 64
-PIECE_ROWS = 50_000
-#: shuffle partitions of a visit round at most; a task takes its pieces one after the other
-MAX_TASKS = 16_384
+PIECE_ROWS, CELL_ROWS = 50_000, 512
 _SLACK = 1e-9
 
 
@@ -56,7 +54,8 @@ class PivotIndex:
     def __init__(self, rows: DataFrame, dims: int, piece_rows: int = PIECE_ROWS, max_pivots: int = MAX_PIVOTS):
         self.dims, self.spark = dims, rows.sparkSession
         n = rows.count()
-        want = min(max_pivots, max(1, math.isqrt(n)))
+        # cells of a few rows cost more visits than they save
+        want = min(max_pivots, max(1, math.isqrt(n)), 1 + n // max(1, min(CELL_ROWS, piece_rows // 4)))
         # a bounded sample by hash; copies of a vector make one pivot
         some = rows.select("v").orderBy(F.xxhash64("v")).limit(4 * want).collect()
         some = np.unique(np.array([r["v"] for r in some], np.float64).reshape(-1, dims), axis=0)
@@ -75,6 +74,8 @@ class PivotIndex:
         self.split = -(-self.n // piece_rows)
         self.first = np.cumsum(self.split) - self.split
         self.pieces = int(self.split.sum())
+        # most pieces are small: a task takes several, about piece_rows rows together
+        self.tasks = max(1, min(self.pieces, max(self.spark.sparkContext.defaultParallelism, -(-n // piece_rows))))
         known = [(int(r["cell"]), int(r["ring"]), int(f), int(s)) for r, f, s in zip(per, self.first, self.split)]
         known = self.spark.createDataFrame(known, "cell int, ring int, first long, split long")
         piece = F.col("first") + F.pmod(F.xxhash64("row"), F.col("split"))
@@ -134,7 +135,7 @@ class PivotIndex:
 
     def search(self, asked: DataFrame, k: int, local_topk) -> DataFrame:
         """The k best rows ``(query_id, doc_id, sim)`` of every visited piece for every query that visits it."""
-        dims, tasks = self.dims, max(1, min(self.pieces, MAX_TASKS))
+        dims, tasks = self.dims, self.tasks
         rows = self.rows.join(asked.select("piece").distinct(), "piece", "left_semi")
         cells = rows.select("piece", F.lit(0).alias("kind"), "id", "v").unionByName(asked.select("piece", F.lit(1).alias("kind"), "id", "v"))
         cells = cells.repartition(tasks, "piece").sortWithinPartitions("piece", "kind")

@@ -90,10 +90,15 @@ def _cuts(df: DataFrame, id_col: str, n: int, seeds: list[int], small: int | Non
                 ready[s] = (p, n - row)
             else:
                 prefix[s], before[s] = p, row
-    for s, (p, rank) in ready.items():
-        last = ids.where((F.col("s") == s) & F.col("k").startswith(p)).orderBy("k", "i").offset(rank - 1).limit(1).first()
-        k = shuffle_key(id_col, s)
-        out[s] = F.coalesce((k < last["k"]) | ((k == last["k"]) & (F.col(id_col) <= F.lit(last["i"]))), F.lit(True))
+    if ready:  # the n-th row of each bucket, all in one job
+        at, rank = F.lit(False), F.lit(0)
+        for s, (p, place) in ready.items():
+            at = at | ((F.col("s") == s) & F.col("k").startswith(p))
+            rank = F.when(F.col("s") == s, F.lit(place)).otherwise(rank)
+        w = Window.partitionBy("s").orderBy("k", "i")
+        for last in ids.where(at).withColumn("r", F.row_number().over(w)).where(F.col("r") == rank).select("s", "k", "i").collect():
+            k = shuffle_key(id_col, last["s"])
+            out[last["s"]] = F.coalesce((k < last["k"]) | ((k == last["k"]) & (F.col(id_col) <= F.lit(last["i"]))), F.lit(True))
     return out
 
 
