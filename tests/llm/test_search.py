@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm.ann import inner_product_neighbours
+from quarry.llm import ann
+from quarry.llm.ann import CollisionIndex, inner_product_neighbours
 from quarry.llm.hamming import MultiIndex, hamming_top_k
 from quarry.llm.queries import ORACLE_SQL, QUERIES
 from oracle_check import compare, duck_connection
@@ -104,3 +105,46 @@ def test_neighbours_recall(spark):
         assert list(g.sort_values("rank")["score"]) == sorted(g["score"], reverse=True)
     assert total == 20 * (ids % 20 == 0).sum()
     assert hit / total >= 0.9
+
+
+@pytest.mark.parametrize("n", [1000, 5000, 30000])
+def test_collision_search_work_and_recall(n):
+    """Windows grow by what they add: every entry is read once, and the work stays below comparing every row."""
+    rng = np.random.default_rng(n)
+    centres = rng.standard_normal((50, 64))
+    x = centres[rng.integers(0, 50, n)] + rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, own = np.arange(n), np.arange(0, n, n // 40)
+    index = CollisionIndex(ids, x, 1.0)
+    hit, asked = 0, set()
+    for q, found, score in index.top(x[own], own, 20):
+        s = x @ x[own[q]]
+        s[own[q]] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(found.tolist()))
+        asked.add(q)
+    assert asked == set(range(len(own)))
+    assert hit >= 0.9 * 20 * len(own)
+    assert index.counted <= len(own) * n * 64  # no entry twice
+    if n >= 5000:  # the least number of verified rows weighs on small blocks
+        assert index.counted + index.verified * 64 < 0.9 * len(own) * n * 64
+
+
+def test_collision_counts_equal_windows():
+    """The counts of grown windows are those of the last windows taken alone."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.standard_normal((1500, 8)), 1)  # ties in every projection
+    x[x.any(axis=1) == 0] = 1.0
+    norm = np.linalg.norm(x, axis=1).max()
+    index = CollisionIndex(np.arange(1500), x, norm)
+    p = np.c_[x / norm, np.sqrt(np.maximum(0.0, 1.0 - ((x / norm) ** 2).sum(axis=1)))] @ index.axes
+    queries = x[:300]
+    at = np.c_[queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros(300)] @ index.axes
+    got = dict(index.candidates(queries))
+    assert set(got) == set(range(300))
+    for q, found in got.items():
+        for level in range(ann.LEVELS):
+            w = index.width * ann.WIDEN ** level
+            alone = np.flatnonzero(((p >= at[q] - w) & (p <= at[q] + w)).sum(axis=1) >= int(ann.THRESHOLD * ann.PROJECTIONS))
+            if len(alone) >= ann.MIN_VERIFY:
+                break
+        assert abs(len(set(found) ^ set(alone))) <= 2  # rounding at a window's edge
