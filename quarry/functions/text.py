@@ -1,15 +1,19 @@
-"""Scalar text functions (F1-F9, T1-T5) as JVM-side Column expressions.
+"""Scalar text functions (F1-F9, T1-T5) as Column expressions.
 
-All of them are built from ``pyspark.sql.functions`` so they stay inside whole-stage codegen (the
-higher-order ones run as interpreted lambdas, still JVM-side); no Python runs per row.
+They are built from ``pyspark.sql.functions`` so they stay inside whole-stage codegen (the higher-order ones run as
+interpreted lambdas, still JVM-side).  The JSON functions (F5, F6) alone run in Python, on Arrow batches: each text is
+parsed once, by the parser whose rules they promise.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fixed import CHATML_CLOSE, CHATML_OPEN, FENCE, PLACEHOLDER, WS_CLASS_JAVA
 
@@ -63,27 +67,37 @@ def contains_any(col, needles: Iterable[str]) -> Column:
 
 
 # F5 / F6 / F7 ---------------------------------------------------------------------------------
-def _whole_json(col) -> Column:
-    """The text as a variant, NULL unless all of it is one JSON value.
+def _read_json(text):
+    """What ``json.loads`` gives, or Ellipsis for anything it refuses."""
+    try:
+        return json.loads(text) if text is not None else ...
+    except (ValueError, RecursionError):
+        return ...
 
-    The parser stops after the first value, so the text is parsed inside an array and inside an object: trailing
-    characters break at least one of them.
-    """
-    c = _c(col)
-    inside = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    alone = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    return F.when(inside.isNotNull(), F.try_variant_get(alone, "$.v", "variant"))
+
+def _as_text(value) -> str | None:
+    """A JSON value as text; half a surrogate pair, which no column can hold, becomes ``?``."""
+    if value is None or isinstance(value, str):
+        return value if value is None else value.encode("utf-8", "replace").decode()
+    return json.dumps(value, separators=(",", ":"))
 
 
 def json_truthy_field(col, field: str) -> Column:
     """``json.loads(s).get(field)`` in a try, as text: bad JSON (anything after the value included), non-objects and
-    falsy values (``null``, ``false``, 0, ``""``, ``[]``, ``{}``) give NULL.  An object with a repeated key counts as bad."""
-    v = F.try_variant_get(_whole_json(col), f"$.{field}", "variant")
-    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
-    falsy = (v.isNull() | (kind == "VOID") | ((kind == "BOOLEAN") & (text == "false")) | ((kind == "STRING") & (text == ""))
-             | (kind.startswith("ARRAY") & (text == "[]")) | (kind.startswith("OBJECT") & (text == "{}"))
-             | (kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (text.try_cast("double") == 0)))
-    return F.when(~falsy, text)
+    falsy values (``null``, ``false``, 0, ``""``, ``[]``, ``{}``) give NULL.  The last of repeated keys counts."""
+    @F.pandas_udf(T.StringType())
+    def truthy(texts: pd.Series) -> pd.Series:
+        out = []
+        for x in texts:
+            value = _read_json(x)
+            got = value.get(field) if isinstance(value, dict) else None
+            out.append(_as_text(got) if got else None)
+        return pd.Series(out, dtype="object")
+
+    return truthy(_c(col))
+
+
+_FIRST = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("text", T.StringType())])
 
 
 def json_first_element(col, strict: bool = False) -> Column:
@@ -91,13 +105,19 @@ def json_first_element(col, strict: bool = False) -> Column:
 
     A valid empty array is an error in ``strict`` mode, NULL otherwise; so is a first element ``null``.
     """
-    whole = _whole_json(col)
-    n = F.size(F.try_variant_get(whole, "$", "array<variant>"))
-    first = F.try_variant_get(whole, "$[0]", "string")
+    @F.pandas_udf(_FIRST)
+    def first_of(texts: pd.Series) -> pd.DataFrame:
+        values = [_read_json(x) for x in texts]
+        lists = [v if isinstance(v, list) else None for v in values]
+        return pd.DataFrame({"n": pd.Series([-1 if v is None else len(v) for v in lists], dtype="int32"),
+                             "text": pd.Series([_as_text(v[0]) if v else None for v in lists], dtype="object")})
+
+    whole = first_of(_c(col))
+    first = whole["text"]
     if strict:
-        first = F.when(n == 0, F.raise_error(F.lit("solutions is an empty JSON array"))).otherwise(
+        first = F.when(whole["n"] == 0, F.raise_error(F.lit("solutions is an empty JSON array"))).otherwise(
             F.coalesce(first, F.raise_error(F.lit("solutions has no text as first element"))))
-    return F.when(whole.isNull() | ~F.schema_of_variant(whole).startswith("ARRAY"), F.lit("")).otherwise(first)
+    return F.when(whole["n"] < 0, F.lit("")).otherwise(first)
 
 
 def empty_to_null(col) -> Column:

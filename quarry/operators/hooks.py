@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,32 +60,43 @@ def generate_resumable(df: DataFrame, factory: Callable[[], Callable[[pd.Series]
     no longer in ``df`` stay there and are not returned.
     """
     require_columns(df, prompt_col, *keys)
-    spark, token = df.sparkSession, uuid.uuid4().hex
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(out, T.StringType(), True)])
     asked = df.select(*keys, F.col(prompt_col).alias("_prompt"))
+    given = _resume(asked, factory, path, keys, T.StructField(out, T.StringType(), True), lambda res: list(res), batches)
+    wanted = df.select(*keys)
+    return given.join(wanted, _same(given, wanted, keys), "left_semi")
+
+
+def _same(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
+def _kept(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """The answers under ``path``; none if nothing has been written there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
-    def same(a: DataFrame, b: DataFrame) -> Column:
-        return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
 
-    def answers() -> DataFrame:
-        return spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
+def _resume(asked: DataFrame, factory: Callable, path: str, keys: tuple[str, ...], out: T.StructField, values: Callable,
+            batches: int) -> DataFrame:
+    """All answers under ``path`` once every key of ``asked`` (keys and ``_prompt``) has one; ``values`` turns what the model gives into
+    a list of column values."""
+    spark, token = asked.sparkSession, uuid.uuid4().hex
+    schema = T.StructType([asked.schema[k] for k in keys] + [out])
 
     def run(rows):
         model = _model(token, factory)
         for pdf in rows:
-            pdf[out] = pd.Series(list(model(pdf["_prompt"])), index=pdf.index, dtype="object")
-            yield pdf[[*keys, out]]
+            pdf[out.name] = pd.Series(values(model(pdf["_prompt"])), index=pdf.index, dtype="object")
+            yield pdf[[*keys, out.name]]
 
-    done = answers().select(*keys)
-    todo = asked.join(done, same(asked, done), "left_anti")
+    done = _kept(spark, schema, path).select(*keys)
+    todo = asked.join(done, _same(asked, done, keys), "left_anti")
     todo = todo.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(batches)))
     for r in todo.groupBy("_batch").count().orderBy("_batch").collect():  # a row per batch
         one = todo.where(F.col("_batch") == r["_batch"]).drop("_batch").select(*keys, "_prompt")
         one.mapInPandas(run, schema).write.mode("append").parquet(path)
-    given, wanted = answers(), df.select(*keys)
-    return given.join(wanted, same(given, wanted), "left_semi")
+    return _kept(spark, schema, path)
 
 
 def l2_normalise(vec) -> Column:
@@ -116,3 +127,32 @@ def embed_with(df: DataFrame, fn: Callable[[pd.Series], object], text_col: str =
 
     res = df.mapInPandas(run, schema)
     return res.withColumn(out, l2_normalise(out)) if normalise else res
+
+
+def embed_incremental(df: DataFrame, factory: Callable[[], Callable[[pd.Series], object]], path: str, keys: tuple[str, ...],
+                      text_col: str = "text", out: str = "embedding", normalise: bool = True, batches: int = 16) -> DataFrame:
+    """X3 for a table that changes: ``(keys..., out)`` of every row of ``df``, with vectors kept under ``path`` by content.
+
+    The store holds a vector per text, addressed by the text's SHA-256.  A call encodes only texts that it lacks, each once however
+    many rows hold it, in batches as ``generate_resumable`` does; so a failed run goes on where it ended, and a changed table costs its
+    new texts.  The store keeps vectors as the encoder gives them, ``normalise`` applies to what is returned.  ``factory`` builds the
+    encoder, once per worker process.  Another encoder needs another ``path``.
+
+    Rows with a NULL text, or one for which the encoder gives None, get a NULL vector; NULL texts never reach the encoder.  Keys are
+    passed through as they are, repeated or NULL ones included.
+    """
+    require_columns(df, text_col, *keys)
+    spark = df.sparkSession
+    vectors = T.StructField(out, T.ArrayType(T.FloatType()), True)
+    content = F.sha2(F.col(text_col).cast("binary"), 256)
+    texts = df.where(F.col(text_col).isNotNull()).select(content.alias("_content"), F.col(text_col).alias("_prompt"))
+    done = _kept(spark, T.StructType([texts.schema["_content"], vectors]), path).select("_content")
+    new = texts.select("_content").distinct().join(done, "_content", "left_anti")  # narrow: known texts are not moved
+    asked = texts.join(new, "_content", "left_semi").groupBy("_content").agg(F.first("_prompt").alias("_prompt"))
+
+    def values(res):
+        return [None if v is None else np.asarray(v, dtype="float32") for v in res]
+
+    store = _resume(asked, factory, path, ("_content",), vectors, values, batches)
+    res = df.select(*keys, content.alias("_content")).join(store, "_content", "left").select(*keys, out)
+    return res.withColumn(out, l2_normalise(out)) if normalise else res

@@ -460,6 +460,8 @@ select doc_id, (i - 1)::bigint as dim,
   round((case when nm > 0 then (v[i] / nm)::float else v[i]::float end)::double, 5) as value
 from nv, range(1, 7) t(i)"""
 
+    s["embed_updated"] = s["embed_normalise"]
+
     # corpora as prepared -------------------------------------------------------------------
     carve50 = ("case when split = 'train' and row_number() over (partition by split = 'train' "
                "order by md5(concat('42:', {id})), {id2}) <= 50 then 'validation' else split end")
@@ -537,6 +539,8 @@ from g group by difficulty"""
     s["json_fields"] = f"""
 select d.doc_id, c.fn_name, c.first from documents d join (values {cases}) c(i, fn_name, first) on d.doc_id % {len(JSON_CASES)} = c.i"""
 
+    s["json_documents"] = "select doc_id, md5(nullif(text, '')) as fn_name, md5(text) as first from documents"
+
     s["contains_any"] = "select doc_id, contains(text, 'License') or contains(text, '@') or contains(text, 'the th') as found from documents"
     s["preview"] = "select doc_id, lang from documents where doc_id < 10"
     return s

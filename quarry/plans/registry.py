@@ -508,6 +508,17 @@ def q_embed_normalise(spark, sf):
         "doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+def q_embed_updated(spark, sf):
+    """X3 kept by content: vectors of an earlier state of the table stay, the second call encodes only new texts."""
+    d = fx.table(spark, sf, "documents")
+    path = scratch_path(spark, "embedding-store")
+    earlier = d.where("lang = 'en'")  # what the knowledge base held before
+    HK.embed_incremental(earlier, lambda: _stub_encoder, path, ("doc_id",), batches=2)
+    e = HK.embed_incremental(d, lambda: _stub_encoder, path, ("doc_id",), batches=4)
+    return e.select("doc_id", F.posexplode("embedding").alias("dim", "value")).select(
+        "doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
 # the reference's corpora as they are prepared, and the rules for odd rows -----------------------
 def q_prepare_magicoder_oss(spark, sf):
     """E1 for magicoder_oss: problems and solutions as plain turns, validation carved from train."""
@@ -596,6 +607,17 @@ def q_json_fields(spark, sf):
     return d.select("doc_id", json_truthy_field("json", "fn_name").alias("fn_name"), json_first_element("json").alias("first"))
 
 
+def q_json_documents(spark, sf):
+    """F5/F6 on JSON made of every document: a problem's metadata with its key given twice, and its list of solutions."""
+    d = fx.table(spark, sf, "documents").select(
+        "doc_id",
+        F.concat(F.lit('{"fn_name":"old",'), F.substring(F.to_json(F.struct(F.col("text").alias("fn_name"), "lang"),
+                                                                  {"ignoreNullFields": "false"}), 2, 2_000_000_000)).alias("meta"),
+        F.to_json(F.array("text", "source")).alias("solutions"))
+    return d.select("doc_id", F.md5(json_truthy_field("meta", "fn_name").cast("binary")).alias("fn_name"),
+                    F.md5(json_first_element("solutions").cast("binary")).alias("first"))
+
+
 def q_contains_any(spark, sf):
     """documents that hold any of a list of strings."""
     return fx.table(spark, sf, "documents").select("doc_id", contains_any("text", NEEDLES).alias("found"))
@@ -663,6 +685,7 @@ QUERIES = {
     "generate_resumed": q_generate_resumed,
     "batch_score": q_batch_score,
     "embed_normalise": q_embed_normalise,
+    "embed_updated": q_embed_updated,
     "prepare_magicoder_oss": q_prepare_magicoder_oss,
     "prepare_conala": q_prepare_conala,
     "prepare_joint": q_prepare_joint,
@@ -672,6 +695,7 @@ QUERIES = {
     "apps_metrics_file": q_apps_metrics_file,
     "outcome_null_status": q_outcome_null_status,
     "json_fields": q_json_fields,
+    "json_documents": q_json_documents,
     "contains_any": q_contains_any,
     "preview": q_preview,
 }

@@ -85,3 +85,35 @@ def test_unequal_files_raise(spark):
     with pytest.raises(Exception, match="unequal length: line 4"):
         IO.read_aligned_text(spark, {"a": f"{path}/a", "b": f"{path}/b"}).collect()
     assert [r["line"] for r in IO.read_lines(spark, f"{path}/a").orderBy("line").collect()] == list(range(5))
+
+
+def test_only_new_texts_reach_the_encoder(spark, tmp_path):
+    def encoder(folder, fail_on=None):
+        make = logged(folder, fail_on)
+
+        def factory():
+            model = make()
+            return lambda texts: [None if t == "none" else [float(len(t)), 0.0] for t in model(texts).str.lower()]
+        return factory
+
+    schema, path = "doc_id long, text string", scratch_path(spark, "vectors")
+    folders = [tmp_path / x for x in ("one", "two", "three")]
+    for f in folders:
+        f.mkdir()
+    old = [(i, f"t{i % 30}") for i in range(300)] + [(900, "hot")] * 200  # copies, one text held by many rows
+    df = spark.createDataFrame(old, schema)
+    with pytest.raises(Exception, match="model failed"):
+        HK.embed_incremental(df, encoder(str(folders[0]), "t7"), path, ("doc_id",), batches=8)
+    kept = spark.read.parquet(path).count()
+    assert 0 < kept < 31
+    assert HK.embed_incremental(df, encoder(str(folders[1])), path, ("doc_id",), batches=8).count() == 500
+    assert len(asked(folders[1])) == len(set(asked(folders[1]))) == 31 - kept
+    # rows added, changed and removed; a row without a text
+    now = spark.createDataFrame(old[50:] + [(1, "t1 changed"), (2, None), (None, "t5"), (4, ""), (5, "none")], schema)
+    res = HK.embed_incremental(now, encoder(str(folders[2])), path, ("doc_id",), normalise=False)
+    assert asked(folders[2]) == ["", "none", "t1 changed"]
+    got = {(r["doc_id"], tuple(r["embedding"]) if r["embedding"] is not None else None) for r in res.collect()}
+    want = {(i, None if t in (None, "none") else (float(len(t)), 0.0))
+            for i, t in [*old[50:], (1, "t1 changed"), (2, None), (None, "t5"), (4, ""), (5, "none")]}
+    assert got == want and res.count() == now.count()
+    assert HK.embed_incremental(df.limit(0), encoder(str(folders[2])), scratch_path(spark, "no-vectors"), ("doc_id",)).count() == 0

@@ -51,9 +51,11 @@ def test_fence_cut_cases(spark):
 NAMES = [('{"fn_name":"f","inputs":[]}', "f"), ('{"inputs":[]}', None), ("", None), ("{bad", None), ('{"fn_name":""}', None),
          ('{"fn_name":"f"} junk', None), ('{"fn_name":false}', None), ('{"fn_name":0}', None), ('{"fn_name":0.0}', None),
          ('{"fn_name":[]}', None), ('{"fn_name":{}}', None), ('{"fn_name":null}', None), ('{"fn_name":"false"}', "false"),
-         ('{"fn_name":"f"}] {', None), ('["fn_name"]', None), (None, None)]
+         ('{"fn_name":"f"}] {', None), ('["fn_name"]', None), (None, None),
+         ('{"fn_name":"a","fn_name":"b"}', "b"), ('{"fn_name":"a","fn_name":0}', None), ('{"fn_name":{"k":[1,2]}}', '{"k":[1,2]}'),
+         ('{"fn_name":"\\ud800"}', "?"), ("[" * 100_000, None)]
 FIRSTS = [('["s1","s2"]', "s1"), ('["only"]', "only"), ("", ""), ("bad[", ""), ('["a"] junk', ""), ('["a"], ["b"]', ""),
-          (' ["a"]\n', "a"), ('{"a":1}', ""), ("[]", None)]
+          (' ["a"]\n', "a"), ('{"a":1}', ""), ("[]", None), (None, ""), ('[{"a":1,"a":2}]', '{"a":2}'), ("[null]", None), ("[3]", "3")]
 
 
 def test_json_zoo(spark):
