@@ -403,6 +403,15 @@ select difficulty, k::bigint as k, round(avg(p), 6) as pass_at_k from est group
     s["run_telemetry"] = duck_with("telemetry") + ", " + POLLS + "\n" + SUMMARY
     s["telemetry_stream"] = duck_with("telemetry") + ", " + ALL_POLLS + "\n" + SUMMARY
 
+    s["telemetry_sessions"] = duck_with("telemetry") + ", " + ALL_POLLS + """,
+b as (select *, case when poll_ts - lag(poll_ts) over (partition by run_id order by poll_ts) <= interval 6 hours then 0 else 1 end as new
+      from polls where run_id is not null and poll_ts is not null),
+g as (select *, sum(new) over (partition by run_id order by poll_ts) as session from b)
+select run_id, epoch_us(min(poll_ts)) as first_poll_us,
+  round(coalesce(arg_min(used_mb, case when used_mb >= 0 then poll_ts end), arg_min(used_mb, poll_ts)), 6) as initial_mb,
+  round(max(used_mb), 6) as peak_mb, round((epoch_us(max(poll_ts)) - epoch_us(min(poll_ts))) / 1e6, 3) as elapsed_s,
+  count(*) as n_polls from g group by run_id, session"""
+
     s["running_peak"] = duck_with("telemetry") + ", " + ALL_POLLS + """
 select run_id, poll_ts, round(used_mb, 6) as used_mb, round(max(used_mb) over w, 6) as running_peak,
   row_number() over w as processed, count(*) over (partition by run_id) as total,

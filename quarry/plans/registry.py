@@ -34,6 +34,7 @@ from . import workflows as WF
 CARVE_N = 100
 ICL_N = 3
 ICL_SEED = 42
+SESSION_GAP = "6 hours"
 KNN_K = 5
 KNN_BLOCK = 4096
 RERANK_RETRIEVE, RERANK_FINAL = 10, 3
@@ -414,6 +415,27 @@ def q_telemetry_stream(spark, sf):
     return _summary_out(spark.read.parquet(out_dir))
 
 
+def q_telemetry_sessions(spark, sf):
+    """X4 with A12 and A11 in one stream: device readings arrive in two parts, the query is started for each and goes on from its
+    checkpoint; a heartbeat lets the last runs end."""
+    t = fx.telemetry(spark, sf)
+    r = t.select(F.col("run_id").cast("long").alias("run_id"), as_instant(t, "poll_ts").alias("poll_ts"), "device", "used_mb")
+    span = r.agg(F.min("poll_ts").alias("lo"), F.max("poll_ts").alias("hi"))
+    middle = span.select(F.timestamp_micros(((F.unix_micros("lo") + F.unix_micros("hi")) / 2).cast("long")).alias("at"))
+    late = r.join(F.broadcast(middle), F.col("poll_ts") > F.col("at"), "left_semi")
+    early = r.join(F.broadcast(middle), F.col("poll_ts") > F.col("at"), "left_anti")
+    beat = span.select(F.lit(None).cast("long").alias("run_id"), (F.col("hi") + F.expr("interval 30 days")).alias("poll_ts"),
+                       F.lit(None).cast("int").alias("device"), F.lit(None).cast("double").alias("used_mb"))
+    staged, out, ckpt = (scratch_path(spark, x) for x in ("readings", "sessions", "sessions-ckpt"))
+    for part in (early, late.unionByName(beat)):
+        part.write.mode("append").parquet(staged)
+        ST.run_sessions_stream(spark, staged, out, ckpt, gap=SESSION_GAP).awaitTermination()
+    s = spark.read.parquet(out)
+    return s.select("run_id", F.unix_micros("first_poll").alias("first_poll_us"), F.round("initial_mb", 6).alias("initial_mb"),
+                    F.round("peak_mb", 6).alias("peak_mb"), F.round("elapsed_s", 3).alias("elapsed_s"),
+                    F.col("n_polls").cast("long").alias("n_polls"))
+
+
 def _sweep_grid(spark):
     return RN.param_grid(spark, SWEEP_GRID)
 
@@ -674,6 +696,7 @@ QUERIES = {
     "running_peak": q_running_peak,
     "run_progress": q_run_progress,
     "telemetry_stream": q_telemetry_stream,
+    "telemetry_sessions": q_telemetry_sessions,
     "sweep_grid": q_sweep_grid,
     "grid_missing": q_grid_missing,
     "best_run": q_best_run,

@@ -123,6 +123,57 @@ def test_stream_equals_batch(spark):
         assert a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2]) and a[3] == pytest.approx(b[3])
 
 
+def _readings(spark, rows):
+    """(run, minutes, device, value) as readings."""
+    df = spark.createDataFrame(rows, "run_id long, m long, device int, used_mb double")
+    return df.select("run_id", F.timestamp_seconds(F.col("m") * 60 + 1_700_000_000).alias("poll_ts"), "device", "used_mb").coalesce(1)
+
+
+def _sessions(df):
+    return sorted((r["run_id"], (r["first_poll"].timestamp() - 1_700_000_000) // 60, r["initial_mb"], r["peak_mb"], r["elapsed_s"] / 60, r["n_polls"])
+                  for r in df.collect())
+
+
+def test_session_stream_lateness_end_and_restart(spark):
+    src, out, ckpt = (scratch_path(spark, x) for x in ("t-readings", "t-sessions", "t-sessions-ckpt"))
+    seen = []
+
+    def more(rows):
+        _readings(spark, rows).write.mode("append").parquet(src)
+        q = ST.run_sessions_stream(spark, src, out, ckpt, gap="60 minutes", lateness="10 minutes")  # a restart each time
+        q.awaitTermination()
+        seen.append([o["numRowsTotal"] for o in q.lastProgress["stateOperators"]])
+        return _sessions(spark.read.schema("run_id long, first_poll timestamp, initial_mb double, peak_mb double, elapsed_s double, "
+                                           "n_polls long").parquet(out))
+
+    # two devices per poll are summed, a failed one makes its poll -1; the session is open, so nothing is emitted
+    assert more([(1, 0, 0, -1.0), (1, 0, 1, 5.0), (1, 5, 0, 2.0), (1, 5, 1, 3.0), (2, 6, 0, 1.0), (1, 20, 0, 1.0)]) == []
+    # the watermark stands at 10: a reading of minute 9 is late and dropped, one of minute 12 counts, in the session still open
+    assert more([(1, 9, 0, 99.0), (1, 12, 0, 7.0), (3, 30, 0, 1.0)]) == []
+    # at 300 all earlier runs have ended; run 1 goes on as a new session
+    first = [(1, 0, 5.0, 7.0, 20, 4), (2, 6, 1.0, 1.0, 0, 1), (3, 30, 1.0, 1.0, 0, 1)]
+    assert more([(1, 300, 0, 4.0)]) == first
+    # a heartbeat and a reading without a time: the last session ends and no state is left
+    assert more([(None, 5000, None, None), (4, None, 0, 1.0)]) == sorted([*first, (1, 300, 4.0, 4.0, 0, 1)])
+    assert sum(seen[0]) > 0 and sum(seen[-1]) == 0
+
+
+def test_session_stream_equals_table(spark):
+    t = fx.telemetry(spark, SF01)
+    r = t.select(F.col("run_id").cast("long").alias("run_id"), F.col("poll_ts").cast("timestamp").alias("poll_ts"), "device", "used_mb")
+    # a run that holds most rows, and one without polls but failed ones
+    r = r.withColumn("run_id", F.when(F.col("run_id") < 14, 1).otherwise(F.col("run_id")))
+    r = r.withColumn("used_mb", F.when(F.col("run_id") == 15, -1.0).otherwise(F.col("used_mb")))
+    hi = r.agg(F.max("poll_ts")).first()[0]
+    beat = spark.createDataFrame([(None, hi + pd.Timedelta(days=9).to_pytimedelta(), 0, 0.0)], r.schema)
+    src, out, ckpt = (scratch_path(spark, x) for x in ("t-readings", "t-sessions", "t-sessions-ckpt"))
+    r.unionByName(beat).write.parquet(src)
+    ST.run_sessions_stream(spark, src, out, ckpt, gap="3 hours", devices=[0, 1]).awaitTermination()
+    got, want = _sessions(spark.read.parquet(out)), _sessions(ST.run_sessions(r, "3 hours", devices=[0, 1]))
+    assert len(want) > 10
+    assert [(*g[:2], *np.round(g[2:], 6)) for g in got] == [(*w[:2], *np.round(w[2:], 6)) for w in want]
+
+
 def test_generate_hook(spark):
     # nested callables are pickled by value, so workers need not import this test module
     def _upper(s: pd.Series) -> pd.Series:
