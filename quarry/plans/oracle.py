@@ -365,6 +365,14 @@ select query_id, doc_id, rank, round(sim, 5) as sim from knn"""
     s["rerank_maxsim"] = duck_with("rq", "kb") + ", " + reranked(10, 3) + """
 select query_id, doc_id, final_rank, round(maxsim, 5) as maxsim from rr"""
 
+    s["maxsim_search"] = duck_with("rq", "kb") + """,
+qt as (select query_id, i.i, list_slice(embedding::double[], i.i * 8 + 1, i.i * 8 + 8) as t from rq cross join range(0, 8) i(i)),
+dt as (select doc_id, list_slice(embedding::double[], j.j * 8 + 1, j.j * 8 + 8) as t from kb cross join range(0, 8) j(j)),
+best as (select query_id, doc_id, i, max(list_inner_product(qt.t, dt.t)) as b from qt cross join dt group by query_id, doc_id, i),
+ms as (select query_id, doc_id, round(sum(b), 9) as maxsim from best group by query_id, doc_id)
+select query_id, doc_id, row_number() over (partition by query_id order by maxsim desc, doc_id) as rank, round(maxsim, 5) as maxsim
+from ms qualify rank <= 10"""
+
     s["knn_topk_blocked"] = s["knn_topk"]
 
     s["knn_self_join"] = """

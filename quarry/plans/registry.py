@@ -18,6 +18,7 @@ from ..functions.text import (completion_span, contains_any, earliest_stop, fenc
 from ..operators import align as AL
 from ..operators import fewshot as FS
 from ..operators import hooks as HK
+from ..operators import late_interaction as LI
 from ..operators import metrics as M
 from ..operators import outcomes as OC
 from ..operators import prompt as PR
@@ -323,6 +324,12 @@ def q_rerank_maxsim(spark, sf):
                     F.round("maxsim", 5).alias("maxsim"))
 
 
+def q_maxsim_search(spark, sf):
+    """J4 as a search of the whole knowledge base: posting lists of tokens by centroid."""
+    res = LI.maxsim_topk(fx.retrieval_queries(spark, sf), fx.knowledge_base(spark, sf), RERANK_RETRIEVE, TOKEN_DIM)
+    return res.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("maxsim", 5).alias("maxsim"))
+
+
 def q_knn_topk_blocked(spark, sf):
     """J2 with the query side treated as too large to broadcast: queries visit the pivot cells that can hold their nearest rows."""
     res = RT.knn_topk(fx.retrieval_queries(spark, sf), fx.knowledge_base(spark, sf), KNN_K, max_broadcast_bytes=0,
@@ -689,6 +696,7 @@ QUERIES = {
     "knn_topk_blocked": q_knn_topk_blocked,
     "knn_self_join": q_knn_self_join,
     "rerank_maxsim": q_rerank_maxsim,
+    "maxsim_search": q_maxsim_search,
     "rag_prompt": q_rag_prompt,
     "apps_accuracy": q_apps_accuracy,
     "pass_at_k": q_pass_at_k,
