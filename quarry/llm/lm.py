@@ -1,7 +1,7 @@
 """Scoring texts with a weighted backoff automaton learnt from the corpus.
 
-Tokens are words (A-Z lower-cased) and one end token per text.  Every token and every n-gram of up to ``ORDER`` tokens (the
-start of a text counts as one) is counted, at any size of the corpus.  Histories are states: every word, the longer ones
+Tokens are words (A-Z lower-cased) and one end token per text.  Every token and every n-gram of up to three tokens (the
+start of a text counts as one) is counted, at any size of the corpus.  Histories are states: every word, the pairs
 seen at least ``MIN_COUNT`` times, and the start of a text; these are absolute counts, so more text only adds states.  From
 a state there is an arc for every word seen at least ``MIN_COUNT`` times after it, weighted by absolute discounting,
 
@@ -10,9 +10,14 @@ a state there is an arc for every word seen at least ``MIN_COUNT`` times after i
 and a failure arc of weight ``rest(h)`` (what the discounts leave) to the state of the longest shorter history.  At the root,
 p(w) = (c(w) + 1) / (N + V + 1).  The probabilities after any history sum to one.
 
-No task holds the model.  Texts are scored in blocks: a block asks for the counts of its distinct words and n-grams, gets by one
-join those it doesn't know already from its own texts, and follows all its tokens through the automaton, one length of
-history after the other.
+No task holds the model.  Texts lie in blocks.  A block sends its distinct pairs and triples once, as packed pieces: the first
+words, under each the pairs (40 bits of their hash), under each pair its triples (40 bits again), all with the block's own counts.
+Pieces go by the hash of the pair to buckets, where a pair meets all its triples; there whole counts and what a pair's arcs keep
+are known, and every block is told, by place in its piece, those that differ from its own.  What the arcs of words keep is summed over the
+buckets and, with the words' counts, joined to the blocks.  A pair of two words that each hold more than a bucket's
+share has its triples spread over the buckets by their own hash, and what its arcs keep is summed like a word's; so a bucket is
+bounded whatever the texts.  A block then builds the part of the automaton that its texts can reach and follows every text through it from
+left to right.
 """
 
 from __future__ import annotations
@@ -22,14 +27,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialise, mix64, row_chunks, string_buffers, word_chunks
+from .common import drop, materialise, mix64, string_buffers, word_chunks
 
-ORDER = 3
 MIN_COUNT = 2
 DISCOUNT = 0.75
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 END, START = (int(mix64(np.array([x], np.uint64)).view(np.int64)[0]) for x in (0x454E44, 0x5354415254))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,13 +54,6 @@ def _rows(**arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays.values()], names=list(arrays))
 
 
-def _slices(batches, column: int = 0, size: int = 8 << 20):
-    """Batches cut into pieces of at most ``size`` bytes of text (or one text), which bounds a task's arrays."""
-    for b in batches:
-        for i, j in row_chunks(string_buffers(b.column(column))[0], size):
-            yield b.slice(i, j - i)
-
-
 def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Places of ``x`` in a sorted table, -1 where it isn't there."""
     if not len(table):
@@ -70,145 +67,334 @@ def _before(x: np.ndarray, first) -> np.ndarray:
     return np.concatenate([np.array([first], x.dtype), x[:-1]])[:len(x)]
 
 
-def grams(t: np.ndarray, count: np.ndarray, order: int, words: np.ndarray | None = None):
-    """For every length, per token: the n-gram ending there and its history (without the token) as 64-bit hashes, whether there
-    is such a history, and such an n-gram.  With ``words`` (sorted), only those are in n-grams of two and more."""
-    start = np.zeros(len(t), bool)
-    start[np.cumsum(count) - count] = True
-    known = np.ones(len(t), bool) if words is None else _find(words, t) >= 0
-    yield t, np.zeros(len(t), np.int64), np.ones(len(t), bool), np.ones(len(t), bool)
-    key, inside = t, known
-    for length in range(2, order + 1):
-        history = _before(key, START)
-        open_ = _before(inside, False) & ~start
-        if length == 2:
-            history[start] = START
-            open_ |= start
-        key = mix64(history.view(np.uint64) * _STEP + t.view(np.uint64) + np.uint64(length)).view(np.int64)
-        inside = open_ & known
-        yield key, history, open_, inside
-
-
-def _count(order: int, words: np.ndarray | None):
-    """Distinct n-grams of texts, with their histories (0: a word's) and counts."""
-    def count(batches):
-        for b in _slices(batches):
-            t, n = tokens(b.column(0))
-            for key, history, _, inside in grams(t, n, order, words):
-                key, at, c = np.unique(key[inside], return_index=True, return_counts=True)
-                yield _rows(key=key, history=history[inside][at], c=c)
-    return count
+def _hash(history: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return mix64(history.view(np.uint64) * _STEP + x.view(np.uint64)).view(np.int64)
+
+
+def _docs(batches):
+    """The blocks of a table of blocks, one by one: number, ids, held out, tokens, tokens of each text, which are trained on."""
+    for b in batches:
+        for i in range(b.num_rows):
+            ids, held_out, text = (b.column(x)[i].values for x in ("ids", "held_out", "texts"))
+            t, n = tokens(text)
+            yield b.column("block")[i].as_py(), ids, held_out, t, n, np.repeat(~held_out.to_numpy(zero_copy_only=False).astype(bool), n)
+
+
+def _count(batches):
+    """Distinct tokens that are trained on, and their counts."""
+    for _, _, _, t, _, trained in _docs(batches):
+        key, c = np.unique(t[trained], return_counts=True)
+        yield _rows(key=key, c=c)
 
 
 def _blocks(size: int):
-    """Numbers consecutive texts of a task into blocks of about ``size`` bytes."""
+    """Consecutive rows of a task as blocks of about ``size`` bytes of text, a block a row."""
+    def block(rows: list[pa.RecordBatch], at: int, used: int) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        lists = [pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column(x).chunk(0)) for x in ("id", "held_out", "text")]
+        return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([used]), *lists], names=["at", "bytes", "ids", "held_out", "texts"])
+
     def number(batches):
-        block, used = 0, 0
+        rows, at, used = [], 0, 0
         for b in batches:
-            length = pc.fill_null(pc.binary_length(b.column("text").cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
-            place = np.zeros(len(length), np.int64)
-            for i, n in enumerate(length.tolist()):
+            first = 0
+            for i, n in enumerate(np.diff(string_buffers(b.column("text"))[0]).tolist()):
                 if used and used + n > size:
-                    block, used = block + 1, 0
+                    rows.append(b.slice(first, i - first))
+                    yield block(rows, at, used)
+                    rows, first, at, used = [], i, at + 1, 0
                 used += n + 1
-                place[i] = block
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place)], names=[*b.schema.names, "at"])
+            if first < b.num_rows:
+                rows.append(b.slice(first))
+        if rows:
+            yield block(rows, at, used)
     return number
 
 
 def _own(key: np.ndarray, trained: np.ndarray):
-    """The distinct n-grams, which of them each token's is, and how often each stands in texts that are trained on."""
+    """The distinct words, which of them each token is, and how often each stands in texts that are trained on."""
     key, at = np.unique(key, return_inverse=True)
     return key, at, np.bincount(at[trained], minlength=len(key))
 
 
-def _trained(held_out, count: np.ndarray) -> np.ndarray:
-    return np.repeat(~held_out.to_numpy(zero_copy_only=False).astype(bool), count)
+class Grams:
+    """The distinct words, pairs and triples of a block's texts, and which of them ends at each token (-1: none).
+
+    ``pair`` and ``triple`` are ordered as their pieces are sent: by bucket, first word, pair and triple.  ``words`` (sorted) are the only
+    ones in pairs and triples, where given; ``hot`` (sorted) are those whose pairs are spread.
+    """
+
+    def __init__(self, t: np.ndarray, n: np.ndarray, trained: np.ndarray, words: np.ndarray | None, hot: np.ndarray, buckets: int):
+        self.t, self.first = t, np.zeros(len(t), bool)
+        self.first[np.cumsum(n) - n] = True
+        known = np.ones(len(t), bool) if words is None else _find(words, t) >= 0
+        left = _before(t, START)
+        left[self.first] = START
+        two = known & (_before(known, False) | self.first)
+        three = known & _before(two, False) & ~self.first
+        self.word, self.word_at, self.word_own = _own(t, trained)
+        # pairs, by bucket, first word and 40 bits of their hash
+        at = np.flatnonzero(two)
+        key, rep, inverse, own = _distinct(_hash(left[at], t[at]), trained[at])
+        rep = at[rep]
+        u, v = left[rep], t[rep]
+        spread = ((u == START) | (_find(hot, u) >= 0)) & (_find(hot, v) >= 0)
+        bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        part = key.view(np.uint64) >> np.uint64(24)
+        order = np.lexsort((part, u.view(np.uint64), bucket))
+        self.pair, self.pair_own, self.pair_rep, self.spread = key[order], own[order], rep[order], spread[order]
+        self.pair_u, self.pair_part, self.pair_bucket = u[order], part[order], bucket[order]
+        self.pair_at = np.full(len(t), -1, np.int64)
+        self.pair_at[at] = _inverse(order)[inverse]
+        # triples, by the place of their pair
+        at = np.flatnonzero(three)
+        parent = _before(self.pair_at, -1)[at]
+        key, rep, inverse, own = _distinct(_hash(self.pair[parent], t[at]), trained[at])
+        parent, rep = parent[rep], at[rep]
+        wide = self.spread[parent]
+        bucket = np.where(wide, (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64), self.pair_bucket[parent])
+        part = key.view(np.uint64) >> np.uint64(24)
+        # a spread pair has a node of its own in every bucket where triples of it lie
+        extra = np.unique(np.stack([bucket[wide], parent[wide]]), axis=1) if wide.any() else np.zeros((2, 0), np.int64)
+        node_bucket, node_pair = np.r_[self.pair_bucket, extra[0]], np.r_[np.arange(len(self.pair)), extra[1]]
+        node_kind = np.r_[self.spread.astype(np.int64), np.full(extra.shape[1], 2)]  # 0 plain, 1 spread: its count, 2 spread: some triples
+        by = np.lexsort((node_kind, self.pair_part[node_pair], self.pair_u[node_pair].view(np.uint64), node_bucket))
+        place = _inverse(by)
+        node = parent.copy()
+        if wide.any():
+            code = lambda b, p: b * len(self.pair) + p
+            node[wide] = len(self.pair) + np.searchsorted(code(*extra), code(bucket[wide], parent[wide]))
+        node = place[node]
+        order = np.lexsort((part, node))
+        self.node_pair, self.node_kind, self.node_bucket = node_pair[by], node_kind[by], node_bucket[by]
+        self.node_of_pair = place[:len(self.pair)]
+        self.triple_own, self.triple_rep, self.parent = own[order], rep[order], parent[order]
+        self.triple_part, self.arcs = part[order], np.bincount(node, minlength=len(by))
+        self.triple_at = np.full(len(t), -1, np.int64)
+        self.triple_at[at] = _inverse(order)[inverse]
+        self.buckets, self.node_from = np.unique(self.node_bucket, return_index=True)
+        self.node_from = np.r_[self.node_from, len(by)]
+        self.triple_from = np.r_[0, np.cumsum(self.arcs)][self.node_from]
+
+    def spread_pairs(self) -> np.ndarray:
+        """Identities of the spread pairs, by which the buckets name them."""
+        return _identity(self.pair_u, self.pair_part)
+
+    def pieces(self):
+        """``(bucket, packed piece)`` of every bucket that holds something of the block."""
+        for i, bucket in enumerate(self.buckets.tolist()):
+            nodes = slice(self.node_from[i], self.node_from[i + 1])
+            triples = slice(self.triple_from[i], self.triple_from[i + 1])
+            pair = self.node_pair[nodes]
+            u, start, of = np.unique(self.pair_u[pair].view(np.uint64), return_index=True, return_counts=True)
+            own = np.where(self.node_kind[nodes] == 2, 0, self.pair_own[pair])
+            yield bucket, _pack([(np.diff(u, prepend=np.uint64(0)), 8), (of, 4), (self.pair_part[pair], 5), (own, 4), (self.node_kind[nodes], 1),
+                                 (self.arcs[nodes], 4), (self.triple_part[triples], 5), (self.triple_own[triples], 4)])
+
+
+def _distinct(key: np.ndarray, trained: np.ndarray):
+    """Distinct keys, a place of each, the key of each place, and how often each stands in texts that are trained on."""
+    key, rep, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return key, rep, inverse, np.bincount(inverse[trained], minlength=len(key))
+
+
+def _inverse(order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
 
+def _identity(u: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return _hash(u.view(np.int64), part.view(np.int64))
 
-def _wanted(order: int, words: np.ndarray | None):
-    """Distinct n-grams of every block, as (block, key, own): n-grams found nowhere else than in the block need no answer."""
+
+def _pack(columns) -> bytes:
+    """Arrays of unsigned numbers of so many bytes each, byte by byte and compressed."""
+    out = []
+    for x, width in columns:
+        raw = np.ascontiguousarray(np.asarray(x).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+        z = pa.compress(raw, "zstd", asbytes=True)
+        out += [len(raw).to_bytes(8, "little"), len(z).to_bytes(8, "little"), z]
+    return b"".join(out)
+
+
+def _unpack(blob: bytes, widths) -> list[np.ndarray]:
+    out, at = [], 0
+    for width in widths:
+        size, z = (int.from_bytes(blob[at + i:at + i + 8], "little") for i in (0, 8))
+        raw = np.frombuffer(pa.decompress(blob[at + 16:at + 16 + z], size, "zstd", asbytes=True), np.uint8)
+        at += 16 + z
+        x = np.zeros((size // width, 8), np.uint8)
+        x[:, :width] = raw.reshape(width, -1).T
+        out.append(x.reshape(-1).view(np.int64))
+    return out
+
+
+_PIECE, _REPLY = (8, 4, 5, 4, 1, 4, 5, 4), (8, 8, 8, 8, 8, 8)
+_REPLIES = "block long, bucket long, key long, c long, arcs long, piece binary"
+
+
+def _send(words: np.ndarray | None, hot: np.ndarray, buckets: int):
+    def send(batches):
+        for block, _, _, t, n, trained in _docs(batches):
+            for bucket, piece in Grams(t, n, trained, words, hot, buckets).pieces():
+                yield _rows(block=[block], bucket=[bucket], piece=[piece])
+    return send
+
+
+def _tally(min_count: int):
+    """A bucket's pieces are added up; replies name those pairs and triples, by place in the piece, whose count is not the block's own
+    (counts under ``min_count`` make no arc, so they need none).  Rows without a block say what arcs of words and of spread pairs keep."""
+    def tally(pieces: pa.Table) -> pa.Table:
+        read = [_unpack(x.as_py(), _PIECE) for x in pieces.column("piece")]
+        us = [np.repeat(np.cumsum(r[0].view(np.uint64)).view(np.int64), r[1]) for r in read]
+        pair_of = [_identity(u, r[2]) for u, r in zip(us, read)]
+        triple_of = [_hash(np.repeat(p, r[5]), r[6]) for p, r in zip(pair_of, read)]
+        pair, first, of = np.unique(np.concatenate(pair_of), return_index=True, return_inverse=True)
+        c2 = np.bincount(of, weights=np.concatenate([r[3] for r in read]), minlength=len(pair)).astype(np.int64)
+        wide = np.zeros(len(pair), bool)
+        wide[of[np.concatenate([r[4] for r in read]) > 0]] = True
+        triple, rep, of3 = np.unique(np.concatenate(triple_of), return_index=True, return_inverse=True)
+        c3 = np.bincount(of3, weights=np.concatenate([r[7] for r in read]), minlength=len(triple)).astype(np.int64)
+        parent = of[np.repeat(np.arange(len(of)), np.concatenate([r[5] for r in read]))[rep]] if len(rep) else rep
+        arc = c3 >= min_count
+        kept_c = np.bincount(parent[arc], weights=c3[arc], minlength=len(pair)).astype(np.int64)
+        kept_n = np.bincount(parent[arc], minlength=len(pair))
+        out = {"block": [], "bucket": [], "piece": []}
+        at2 = at3 = 0
+        for r, block, bucket in zip(read, pieces.column("block").to_pylist(), pieces.column("bucket").to_pylist()):
+            mine, mine3 = of[at2:at2 + len(r[2])], of3[at3:at3 + len(r[6])]
+            at2, at3 = at2 + len(r[2]), at3 + len(r[6])
+            told = np.flatnonzero((c2[mine] >= min_count) & (r[4] < 2))
+            told3 = np.flatnonzero((c3[mine3] >= min_count) & (c3[mine3] != r[7]))
+            if len(told) or len(told3):
+                out["block"].append(block)
+                out["bucket"].append(bucket)
+                out["piece"].append(_pack([(np.diff(told, prepend=0), 8), (c2[mine[told]], 8), (kept_c[mine[told]], 8), (kept_n[mine[told]], 8),
+                                           (np.diff(told3, prepend=0), 8), (c3[mine3[told3]], 8)]))
+        u = np.concatenate(us)[first]
+        arc = c2 >= min_count
+        words, w = np.unique(u[arc], return_inverse=True)
+        some = wide & (kept_n > 0)
+        key = np.r_[words, pair[some]]
+        c = np.r_[np.bincount(w, weights=c2[arc], minlength=len(words)).astype(np.int64), kept_c[some]]
+        arcs = np.r_[np.bincount(w, minlength=len(words)), kept_n[some]]
+        m, k = len(out["block"]), len(key)
+        return pa.table({"block": pa.array(out["block"] + [None] * k, pa.int64()), "bucket": pa.array(out["bucket"] + [None] * k, pa.int64()),
+                         "key": pa.array([None] * m + key.tolist(), pa.int64()), "c": pa.array([None] * m + c.tolist(), pa.int64()),
+                         "arcs": pa.array([None] * m + arcs.tolist(), pa.int64()), "piece": pa.array(out["piece"] + [None] * k, pa.binary())})
+    return tally
+
+
+def _wanted(hot: np.ndarray):
+    """Distinct words and spread pairs of every block, and START."""
     def want(batches):
-        for b in batches:
-            block = b.column("block").to_numpy()
-            for x in np.unique(block):
-                part = b.filter(pa.array(block == x))
-                t, n = tokens(part.column("text"))
-                trained = _trained(part.column("held_out"), n)
-                for key, _, _, inside in grams(t, n, order, words):
-                    key, _, own = _own(key[inside], trained[inside])
-                    yield _rows(block=np.full(len(key), x), key=key, own=own)
+        for block, _, _, t, _, _ in _docs(batches):
+            first = _before(t == END, True)
+            left = np.where(first, START, _before(t, START))
+            wide = np.flatnonzero((_find(hot, t) >= 0) & (first | (_find(hot, left) >= 0)))
+            pairs = _identity(left[wide], _hash(left[wide], t[wide]).view(np.uint64) >> np.uint64(24))
+            key = np.unique(np.r_[t, pairs, np.int64(START)])
+            yield _rows(block=np.full(len(key), block), key=key)
     return want
 
 
 _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(order: int, words: np.ndarray | None, total: int, kinds: int, texts: int, start_kept: float, least: float, min_count: int,
+def walk(texts, word: list[int], start: int, arcs: dict[int, int], weight: list[float], target: list[int], fail: list[int],
+         fail_weight: list[float], kinds: int) -> list[float]:
+    """The sum of weights along the path of every text (``(first token, one past the last)``): an arc of the state by the token's word or,
+    where there is none, the failure arc and the same word again.  The root has an arc for every word."""
+    out = []
+    find = arcs.get
+    for i, j in texts:
+        state, total = start, 0.0
+        for w in word[i:j]:
+            arc = find(state * kinds + w)
+            while arc is None:
+                total += fail_weight[state]
+                state = fail[state]
+                arc = find(state * kinds + w)
+            total += weight[arc]
+            state = target[arc]
+        out.append(total)
+    return out
+
+
+def _score(words: np.ndarray | None, hot: np.ndarray, buckets: int, total: int, kinds: int, texts: int, least: float, min_count: int,
            discount: float):
-    """Scores of a block's texts.  Every n-gram has its count and, as a history, what its arcs keep (the sum of their discounted
-    counts); one that no answer names stands in the block only, and so do its arcs."""
+    """Scores of a block's texts by the part of the automaton that they can reach."""
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        t, n = tokens(docs.column("text").combine_chunks())
-        trained = _trained(docs.column("held_out"), n)
-        told, pick = np.unique(answers.column("key").to_numpy(), return_index=True)
-        told_c, told_kept = (answers.column(x).to_numpy()[pick] for x in ("c", "kept"))
-        steps, counts, kept = [], [], []
-        keys = at = None
-        for key, history, open_, inside in grams(t, n, order, words):
-            shorter, shorter_at = keys, at
-            places = np.flatnonzero(inside)
-            keys, at, c = _own(key[places], trained[places])
-            answer = _find(told, keys)
-            c = np.where(answer >= 0, np.r_[told_c, 0][answer], c).astype(np.float64)
-            k = np.where(answer >= 0, np.r_[told_kept, 0.0][answer], 0.0)
-            if shorter is not None:  # arcs of histories that stand in this block only
-                first = np.zeros(len(keys), np.int64)
-                first[at] = places
-                arc = c >= min_count
-                h = _find(shorter, history[first[arc]])
-                own = np.bincount(h[h >= 0], weights=(c[arc] - discount)[h >= 0], minlength=len(shorter))
-                kept[-1] = np.where(known, kept[-1], own)
-            known = answer >= 0
-            kept.append(k)
-            counts.append(c)
-            steps.append((open_, places, at))
-        spread = lambda x, i: _spread(x[steps[i][2]], steps[i][1], len(t))
-        c = spread(counts[0], 0)
-        p = base = (c + 1) / (total + kinds + 1)
-        seen = c > 0
-        start = np.zeros(len(t), bool)
-        start[np.cumsum(n) - n] = True
-        for i in range(1, order):
-            of, rest = _before(c, 0.0), _before(spread(kept[i - 1], i - 1), 0.0)
-            if i == 1:
-                of[start], rest[start] = texts, start_kept
-            state = steps[i][0] & (of >= (np.where(start, 1, least) if i == 1 else max(min_count, least)))
-            c = spread(counts[i], i)
-            of = np.where(state, of, 1.0)
-            p = np.where(state, np.where(c >= min_count, c - discount, 0.0) / of + (1.0 - rest / of) * p, p)
+        (_, ids, held_out, t, n, trained), = _docs(docs.combine_chunks().to_batches())
+        g = Grams(t, n, trained, words, hot, buckets)
+        # a pair without an answer is seen less than min_count times; a triple without one too, or in no other block
+        c2, k2, c3 = np.zeros(len(g.pair), np.int64), np.zeros(len(g.pair)), g.triple_own.copy()
+        plain = answers.filter(pc.is_valid(answers.column("piece")))
+        for bucket, piece in zip(plain.column("bucket").to_pylist(), plain.column("piece").to_pylist()):
+            i = int(np.searchsorted(g.buckets, bucket))
+            at, c, kept_c, kept_n, at3, triple = _unpack(piece, _REPLY)
+            pair = g.node_pair[g.node_from[i] + np.cumsum(at)]
+            c2[pair], k2[pair] = c, kept_c - discount * kept_n
+            c3[g.triple_from[i] + np.cumsum(at3)] = triple
+        told = answers.filter(pc.is_null(answers.column("piece")))
+        key = told.column("key").to_numpy()
+        order = np.argsort(key)
+        key, c, kept = key[order], np.r_[told.column("c").to_numpy()[order], 0], np.r_[told.column("kept").to_numpy()[order], 0.0]
+        at = _find(key, g.word)
+        c1, k1 = c[at].astype(np.float64), kept[at]
+        k2[g.spread] = kept[_find(key, g.spread_pairs()[g.spread])]
+        start_kept = kept[_find(key, np.array([START]))][0]
+        # states: the root, the start, words, pairs; what a history has no state for is the next shorter one's
+        base = np.log10((c1 + 1) / (total + kinds + 1))
+        m = len(g.word)
+        is_word = (c1 >= least) & (c1 > 0) & (g.word != END) & (True if words is None else _find(words, g.word) >= 0)
+        last = g.word_at[g.pair_rep]
+        is_pair = (c2 >= max(min_count, least)) & (t[g.pair_rep] != END)
+        of_word = np.where(is_word, 2 + np.cumsum(is_word) - 1, 0)
+        pairs_from = 2 + int(is_word.sum())
+        of_pair = np.where(is_pair, pairs_from + np.cumsum(is_pair) - 1, of_word[last])
+        rest = np.ones(pairs_from + int(is_pair.sum()))
+        count = np.ones(len(rest))
+        rest[1], count[1] = (1 - start_kept / texts if texts else 1.0), max(texts, 1)
+        rest[of_word[is_word]], count[of_word[is_word]] = 1 - k1[is_word] / c1[is_word], c1[is_word]
+        rest[of_pair[is_pair]], count[of_pair[is_pair]] = 1 - k2[is_pair] / c2[is_pair], c2[is_pair]
+        fail = np.zeros(len(rest), np.int64)
+        fail[of_pair[is_pair]] = of_word[last[is_pair]]
+        # arcs of words and the start
+        left = np.where(g.first[g.pair_rep], 1, of_word[_before(g.word_at, 0)[g.pair_rep]])
+        lower = (c1[last] + 1) / (total + kinds + 1)
+        arc = (c2 >= min_count) & (left > 0)
+        p2 = np.where(arc, c2 - discount, 0.0) / count[left] + rest[left] * lower
+        p2[left == 0] = lower[left == 0]
+        # arcs of pairs: the shorter history's probability is that of the pair that ends at the same token
+        under = g.pair_at[g.triple_rep]
+        state = of_pair[g.parent]
+        arc3 = (c3 >= min_count) & is_pair[g.parent]
+        p3 = (c3[arc3] - discount) / count[state[arc3]] + rest[state[arc3]] * p2[under[arc3]]
+        source = np.r_[np.zeros(m, np.int64), left[arc], state[arc3]]
+        by = np.r_[np.arange(m), last[arc], g.word_at[g.triple_rep[arc3]]]
+        weight = np.r_[base, np.log10(p2[arc]), np.log10(p3)]
+        target = np.r_[of_word, of_pair[arc], of_pair[under[arc3]]]
+        ends = np.cumsum(n)
+        found = walk(zip((ends - n).tolist(), ends.tolist()), g.word_at.tolist(), 1, dict(zip((source * m + by).tolist(), range(len(source)))),
+                     weight.tolist(), target.tolist(), fail.tolist(), np.log10(rest).tolist(), m)
         text = np.repeat(np.arange(len(n)), n)
-        per_text = lambda x: np.bincount(text, weights=x, minlength=len(n))
-        return pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": n,
-                         "n_known": per_text(seen).astype(np.int64), "base_score": per_text(np.log10(base)),
-                         "score": per_text(np.log10(p))})
+        per_text = lambda x: np.bincount(text, weights=x[g.word_at], minlength=len(n))
+        return pa.table({"id": ids, "held_out": held_out, "n_tokens": n,
+                         "n_known": per_text((c1 > 0).astype(np.float64)).astype(np.int64), "base_score": per_text(base),
+                         "score": np.array(found, np.float64)})
     return score
 
 
-def _spread(x: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n)
-    out[places] = x
-    return out
-
-
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", held_out=None, order: int = ORDER,
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", held_out=None,
                 state_share: float = 0.0, min_count: int = MIN_COUNT, discount: float = DISCOUNT,
-                block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row: whether it was kept from training
     (``held_out``, a boolean column; NULL: not), its tokens, those seen in training, the training tokens, and the log10
     probability under the unigrams alone and under the automaton.
 
-    Words and n-grams are identified by 64-bit hashes.  A NULL, empty or blank text is one end token; texts are scored whole,
+    Words are identified by 64-bit hashes, pairs by 40 further bits and triples by 40 more.  A NULL, empty or blank text is one end token; texts are scored whole,
     whatever their length.  Repeated rows count and are scored each.  Where nothing is trained on, every token has probability 1.  An empty
     table gives an empty result.  Other columns are not read, whatever their names.
 
@@ -217,34 +403,36 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """
     out_ = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), out_.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = T.StructType([*plain.schema.fields, T.StructField("at", T.LongType())])
-    corpus = plain.mapInArrow(_blocks(block_bytes), schema).withColumn(
-        "block", F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("at")).drop("at")
+    corpus = plain.mapInArrow(_blocks(block_bytes), "at long, bytes long, ids array<long>, held_out array<boolean>, texts array<string>")
+    corpus = corpus.select((F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("at")).alias("block"), "bytes", "ids", "held_out", "texts")
     corpus = materialise(corpus, "corpus", "zstd")
-    train = corpus.where(~F.col("held_out")).select("text")
+    blocks = corpus.drop("bytes")
+    single = blocks.mapInArrow(_count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    single = materialise(single, "words", "zstd")
+    total, kinds, texts = single.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)),
+                                     F.coalesce(F.sum(F.when(F.col("key") == END, F.col("c"))), F.lit(0))).first()
+    size = corpus.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    buckets = int(size // bucket_bytes) + 1
 
-    def counted(order: int, words: np.ndarray | None) -> DataFrame:
-        c = train.mapInArrow(_count(order, words), "key long, history long, c long").groupBy("key").agg(
-            F.first("history").alias("history"), F.sum("c").alias("c"))
-        return c.where((F.col("history") == 0) | (F.col("c") >= min_count))
+    def at_least(c: float) -> np.ndarray:
+        return single.where(F.col("c") >= c).select("key").orderBy("key").toPandas()["key"].to_numpy(np.int64)
 
     words = None
     least = 1.0
     if state_share > 0:  # at most 1 / state_share words
-        single = materialise(counted(1, None), "words")
-        least = max(least, state_share * (single.agg(F.sum("c")).first()[0] or 0))
-        words = single.where(F.col("c") >= least).select("key").orderBy("key").toPandas()["key"].to_numpy(np.int64)
-    counts = materialise(counted(order, words), "counts", "zstd")
-    total, kinds, texts = counts.where("history = 0").agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("key") == END, F.col("c"))), F.lit(0))).first()
-    # what the discounts leave to the failure arc is the history's count less the sum of its arcs' discounted counts
-    kept = counts.where("history <> 0").groupBy(F.col("history").alias("of")).agg(F.sum(F.col("c") - discount).alias("kept"))
-    kept = materialise(kept, "kept", "zstd")
-    start = kept.where(F.col("of") == START).first()
-    model = counts.join(kept, F.col("key") == F.col("of"), "left").select("key", "c", F.coalesce("kept", F.lit(0.0)).alias("kept"))
-    wanted = corpus.select("block", "held_out", "text").mapInArrow(_wanted(order, words), "block long, key long, own long")
-    found = wanted.join(model, "key").where("c <> own").select("block", "key", "c", "kept")
-    score = _score(order, words, total, kinds, texts, start["kept"] if start else 0.0, least, min_count, discount)
-    scored = corpus.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, _SCORES)
+        least = max(least, state_share * total)
+        words = at_least(least)
+    hot = at_least(max(2.0, total / buckets))  # at most as many words as there are buckets
+    pieces = blocks.mapInArrow(_send(words, hot, buckets), "block long, bucket long, piece binary")
+    replies = materialise(pieces.groupBy("bucket").applyInArrow(_tally(min_count), _REPLIES), "replies", "zstd")
+    drop(corpus.sparkSession, ())  # the shuffled pieces
+    kept = replies.where("block IS NULL").groupBy("key").agg((F.sum("c") - discount * F.sum("arcs")).alias("kept"))
+    model = single.join(kept, "key", "full").select("key", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("kept", F.lit(0.0)).alias("kept"))
+    wanted = blocks.mapInArrow(_wanted(hot), "block long, key long")
+    found = wanted.join(model, "key").select("block", F.lit(None).cast("long").alias("bucket"), "key", "c", "kept",
+                                             F.lit(None).cast("binary").alias("piece"))
+    told = replies.where("block IS NOT NULL").select("block", "bucket", "key", "c", F.lit(None).cast("double").alias("kept"), "piece")
+    score = _score(words, hot, buckets, total, kinds, texts, least, min_count, discount)
+    scored = blocks.groupBy("block").cogroup(found.unionByName(told).groupBy("block")).applyInArrow(score, _SCORES)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                          "base_score", "score")

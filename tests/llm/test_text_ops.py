@@ -16,7 +16,7 @@ from oracle_check import compare, duck_connection
 from quarry.llm import common as C
 from quarry.llm import langid as L
 from quarry.llm.licence import scan_licences
-from quarry.llm.lm import score_texts
+from quarry.llm.lm import score_texts, walk
 from quarry.llm.queries import ORACLE_SQL, QUERIES
 from quarry.llm.warc import LoserTree, archive, read_captures, records, url_key, write_warc
 
@@ -361,6 +361,28 @@ def test_every_repeated_ngram_counts_whatever_its_share(spark):
     assert all(got[1000 + i]["score"] > 0.3 * got[1000 + i]["base_score"] for i in range(10))
 
 
+def test_buckets_and_spread_pairs_change_nothing(spark):
+    """Pairs of words that each hold more than a bucket's share have their triples in many buckets; scores stay those of dictionaries."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of", "a", *(f"r{i}" for i in range(40))]) if rng.random() < 0.5 else "the" for _ in range(rng.randint(0, 300)))
+             for _ in range(200)] + ["", None, "the", "the of"]
+    rows = [(i, t, i % 7 == 2) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, out boolean").repartition(3)
+    for block, bucket in ((3_000, 4_000), (20_000, 1_000), (1 << 20, 30_000)):
+        got = {r["doc_id"]: r for r in score_texts(df, held_out=F.col("out"), block_bytes=block, bucket_bytes=bucket).collect()}
+        assert len(got) == len(rows)
+        for d, want in zip(rows, brute_scores([(i, t or "", o) for i, t, o in rows], 0.0)):
+            r = got[d[0]]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[:3]
+            assert math.isclose(r["base_score"], want[3], rel_tol=1e-9) and math.isclose(r["score"], want[4], rel_tol=1e-9)
+
+
+def test_walk_takes_failure_arcs():
+    """Word 1 has no arc at state 2: the failure arcs to state 1 and the root are taken, and their weights counted."""
+    arcs = {0 * 2 + 0: 0, 0 * 2 + 1: 1, 1 * 2 + 0: 2}
+    assert walk([(0, 3), (3, 3)], [0, 0, 1], 1, arcs, [-1.0, -2.0, -0.5], [0, 0, 2], [0, 0, 1], [0.0, -0.25, -0.125], 2) == [-0.5 - (0.125 + 0.5) - (0.125 + 0.25 + 2.0), 0.0]
+
+
 def test_own_sentences_need_no_known_word(spark):
     """What is passed over follows from the sentences given, not from the built-in ones."""
     from quarry.llm.licence import scan_licences as scan
