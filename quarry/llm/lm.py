@@ -12,7 +12,8 @@ p(w) = (c(w) + 1) / (N + V + 1).  The probabilities after any history sum to one
 
 No task holds the model.  Texts lie in blocks.  A block sends its distinct pairs and triples once, as packed pieces: the first
 words, under each the pairs (40 bits of their hash), under each pair its triples (40 bits again), all with the block's own counts.
-Pieces go by the hash of the pair to buckets, where a pair meets all its triples; there whole counts and what a pair's arcs keep
+Pieces go by the hash of the first word (of the pair, if that word holds more than a bucket's share) to buckets, in ``ROUNDS``
+rounds, where a pair meets all its triples; there whole counts and what a pair's arcs keep
 are known, and every block is told, by place in its piece, those that differ from its own.  What the arcs of words keep is summed over the
 buckets and, with the words' counts, joined to the blocks.  A pair of two words that each hold more than a bucket's
 share has its triples spread over the buckets by their own hash, and what its arcs keep is summed like a word's; so a bucket is
@@ -34,6 +35,7 @@ MIN_COUNT = 2
 DISCOUNT = 0.75
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
+ROUNDS = 2
 END, START = (int(mix64(np.array([x], np.uint64)).view(np.int64)[0]) for x in (0x454E44, 0x5354415254))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,10 +76,11 @@ def _hash(history: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _docs(batches):
     """The blocks of a table of blocks, one by one: number, ids, held out, tokens, tokens of each text, which are trained on."""
     for b in batches:
-        for i in range(b.num_rows):
-            ids, held_out, text = (b.column(x)[i].values for x in ("ids", "held_out", "texts"))
-            t, n = tokens(text)
-            yield b.column("block")[i].as_py(), ids, held_out, t, n, np.repeat(~held_out.to_numpy(zero_copy_only=False).astype(bool), n)
+        for block, rows in zip(b.column("block").to_pylist(), b.column("rows")):
+            docs = pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks()
+            t, n = tokens(docs.column("text").chunk(0))
+            held_out = docs.column("held_out").to_numpy()
+            yield block, docs.column("id"), held_out, t, n, np.repeat(~held_out.astype(bool), n)
 
 
 def _count(batches):
@@ -88,11 +91,12 @@ def _count(batches):
 
 
 def _blocks(size: int):
-    """Consecutive rows of a task as blocks of about ``size`` bytes of text, a block a row."""
+    """Consecutive rows of a task as blocks of about ``size`` bytes of text, a block a row, compressed."""
     def block(rows: list[pa.RecordBatch], at: int, used: int) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(rows).combine_chunks()
-        lists = [pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column(x).chunk(0)) for x in ("id", "held_out", "text")]
-        return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([used]), *lists], names=["at", "bytes", "ids", "held_out", "texts"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(rows).combine_chunks())
+        return _rows(at=[at], bytes=[used], rows=[sink.getvalue().to_pybytes()])
 
     def number(batches):
         rows, at, used = [], 0, 0
@@ -121,10 +125,12 @@ class Grams:
     """The distinct words, pairs and triples of a block's texts, and which of them ends at each token (-1: none).
 
     ``pair`` and ``triple`` are ordered as their pieces are sent: by bucket, first word, pair and triple.  ``words`` (sorted) are the only
-    ones in pairs and triples, where given; ``hot`` (sorted) are those whose pairs are spread.
+    ones in pairs and triples, where given; ``hot`` (sorted) are those whose pairs are spread.  With ``only``, what goes to buckets of
+    that round alone is looked at.
     """
 
-    def __init__(self, t: np.ndarray, n: np.ndarray, trained: np.ndarray, words: np.ndarray | None, hot: np.ndarray, buckets: int):
+    def __init__(self, t: np.ndarray, n: np.ndarray, trained: np.ndarray, words: np.ndarray | None, hot: np.ndarray, buckets: int,
+                 only: int | None = None):
         self.t, self.first = t, np.zeros(len(t), bool)
         self.first[np.cumsum(n) - n] = True
         known = np.ones(len(t), bool) if words is None else _find(words, t) >= 0
@@ -135,11 +141,17 @@ class Grams:
         self.word, self.word_at, self.word_own = _own(t, trained)
         # pairs, by bucket, first word and 40 bits of their hash
         at = np.flatnonzero(two)
-        key, rep, inverse, own = _distinct(_hash(left[at], t[at]), trained[at])
-        rep = at[rep]
-        u, v = left[rep], t[rep]
-        spread = ((u == START) | (_find(hot, u) >= 0)) & (_find(hot, v) >= 0)
-        bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        key, often = _hash(left[at], t[at]), _find(hot, t) >= 0
+        wide = self.first[at] | _before(often, False)[at]  # pairs of a hot first word go by their own hash, others by that word's
+        home = _modulo(np.where(wide, key, left[at]), buckets)
+        wide &= often[at]
+        self.round = only
+        if only is not None:
+            here = (home % ROUNDS == only) | wide
+            at, key, home, wide = at[here], key[here], home[here], wide[here]
+        key, rep, inverse, own = _distinct(key, trained[at])
+        bucket, spread, rep = home[rep], wide[rep], at[rep]
+        u = left[rep]
         part = key.view(np.uint64) >> np.uint64(24)
         order = np.lexsort((part, u.view(np.uint64), bucket))
         self.pair, self.pair_own, self.pair_rep, self.spread = key[order], own[order], rep[order], spread[order]
@@ -147,12 +159,16 @@ class Grams:
         self.pair_at = np.full(len(t), -1, np.int64)
         self.pair_at[at] = _inverse(order)[inverse]
         # triples, by the place of their pair
-        at = np.flatnonzero(three)
+        at = np.flatnonzero(three & (_before(self.pair_at, -1) >= 0))
         parent = _before(self.pair_at, -1)[at]
-        key, rep, inverse, own = _distinct(_hash(self.pair[parent], t[at]), trained[at])
+        key = _hash(self.pair[parent], t[at])
+        if only is not None:
+            here = ~self.spread[parent] | (_modulo(key, buckets) % ROUNDS == only)
+            at, parent, key = at[here], parent[here], key[here]
+        key, rep, inverse, own = _distinct(key, trained[at])
         parent, rep = parent[rep], at[rep]
         wide = self.spread[parent]
-        bucket = np.where(wide, (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64), self.pair_bucket[parent])
+        bucket = np.where(wide, _modulo(key, buckets), self.pair_bucket[parent])
         part = key.view(np.uint64) >> np.uint64(24)
         # a spread pair has a node of its own in every bucket where triples of it lie
         extra = np.unique(np.stack([bucket[wide], parent[wide]]), axis=1) if wide.any() else np.zeros((2, 0), np.int64)
@@ -183,6 +199,8 @@ class Grams:
     def pieces(self):
         """``(bucket, packed piece)`` of every bucket that holds something of the block."""
         for i, bucket in enumerate(self.buckets.tolist()):
+            if self.round is not None and bucket % ROUNDS != self.round:
+                continue
             nodes = slice(self.node_from[i], self.node_from[i + 1])
             triples = slice(self.triple_from[i], self.triple_from[i + 1])
             pair = self.node_pair[nodes]
@@ -198,6 +216,10 @@ def _distinct(key: np.ndarray, trained: np.ndarray):
     return key, rep, inverse, np.bincount(inverse[trained], minlength=len(key))
 
 
+def _modulo(key: np.ndarray, n: int) -> np.ndarray:
+    return (key.view(np.uint64) % np.uint64(n)).astype(np.int64)
+
+
 def _inverse(order: np.ndarray) -> np.ndarray:
     out = np.empty(len(order), np.int64)
     out[order] = np.arange(len(order))
@@ -234,10 +256,10 @@ _PIECE, _REPLY = (8, 4, 5, 4, 1, 4, 5, 4), (8, 8, 8, 8, 8, 8)
 _REPLIES = "block long, bucket long, key long, c long, arcs long, piece binary"
 
 
-def _send(words: np.ndarray | None, hot: np.ndarray, buckets: int):
+def _send(words: np.ndarray | None, hot: np.ndarray, buckets: int, only: int):
     def send(batches):
         for block, _, _, t, n, trained in _docs(batches):
-            for bucket, piece in Grams(t, n, trained, words, hot, buckets).pieces():
+            for bucket, piece in Grams(t, n, trained, words, hot, buckets, only).pieces():
                 yield _rows(block=[block], bucket=[bucket], piece=[piece])
     return send
 
@@ -403,9 +425,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """
     out_ = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), out_.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    corpus = plain.mapInArrow(_blocks(block_bytes), "at long, bytes long, ids array<long>, held_out array<boolean>, texts array<string>")
-    corpus = corpus.select((F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("at")).alias("block"), "bytes", "ids", "held_out", "texts")
-    corpus = materialise(corpus, "corpus", "zstd")
+    corpus = plain.mapInArrow(_blocks(block_bytes), "at long, bytes long, rows binary")
+    corpus = corpus.select((F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("at")).alias("block"), "bytes", "rows")
+    corpus = materialise(corpus, "corpus")
     blocks = corpus.drop("bytes")
     single = blocks.mapInArrow(_count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     single = materialise(single, "words", "zstd")
@@ -423,9 +445,13 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         least = max(least, state_share * total)
         words = at_least(least)
     hot = at_least(max(2.0, total / buckets))  # at most as many words as there are buckets
-    pieces = blocks.mapInArrow(_send(words, hot, buckets), "block long, bucket long, piece binary")
-    replies = materialise(pieces.groupBy("bucket").applyInArrow(_tally(min_count), _REPLIES), "replies", "zstd")
-    drop(corpus.sparkSession, ())  # the shuffled pieces
+    replies = None
+    for only in range(ROUNDS):  # one after the other, so that only a part of the pieces is on disk at once
+        pieces = blocks.mapInArrow(_send(words, hot, buckets, only), "block long, bucket long, piece binary")
+        told = materialise(pieces.groupBy("bucket").applyInArrow(_tally(min_count), _REPLIES), "replies", "zstd")
+        replies = told if replies is None else replies.unionByName(told)
+        del pieces
+        drop(corpus.sparkSession, ())  # the shuffled pieces
     kept = replies.where("block IS NULL").groupBy("key").agg((F.sum("c") - discount * F.sum("arcs")).alias("kept"))
     model = single.join(kept, "key", "full").select("key", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("kept", F.lit(0.0)).alias("kept"))
     wanted = blocks.mapInArrow(_wanted(hot), "block long, key long")
