@@ -23,6 +23,8 @@ left to right.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +35,7 @@ from .common import drop, materialise, mix64, string_buffers, word_chunks
 
 MIN_COUNT = 2
 DISCOUNT = 0.75
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 ROUNDS = 2
 END, START = (int(mix64(np.array([x], np.uint64)).view(np.int64)[0]) for x in (0x454E44, 0x5354415254))
@@ -324,8 +326,8 @@ def _wanted(hot: np.ndarray):
 _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def walk(texts, word: list[int], start: int, arcs: dict[int, int], weight: list[float], target: list[int], fail: list[int],
-         fail_weight: list[float], kinds: int) -> list[float]:
+def walk(texts, word: Sequence[int], start: int, arcs: dict[int, int], weight: Sequence[float], target: Sequence[int],
+         fail: Sequence[int], fail_weight: Sequence[float], kinds: int) -> list[float]:
     """The sum of weights along the path of every text (``(first token, one past the last)``): an arc of the state by the token's word or,
     where there is none, the failure arc and the same word again.  The root has an arc for every word."""
     out = []
@@ -399,10 +401,12 @@ def _score(words: np.ndarray | None, hot: np.ndarray, buckets: int, total: int,
         weight = np.r_[base, np.log10(p2[arc]), np.log10(p3)]
         target = np.r_[of_word, of_pair[arc], of_pair[under[arc3]]]
         ends = np.cumsum(n)
-        found = walk(zip((ends - n).tolist(), ends.tolist()), g.word_at.tolist(), 1, dict(zip((source * m + by).tolist(), range(len(source)))),
-                     weight.tolist(), target.tolist(), fail.tolist(), np.log10(rest).tolist(), m)
+        word, fail_weight = g.word_at, np.log10(rest)
         text = np.repeat(np.arange(len(n)), n)
-        per_text = lambda x: np.bincount(text, weights=x[g.word_at], minlength=len(n))
+        per_text = lambda x: np.bincount(text, weights=x[word], minlength=len(n))
+        arcs = dict(zip((source * m + by).tolist(), range(len(source))))
+        del g, t, told, plain, answers, source, by, under, state, arc3, p3, p2, left, lower, arc, of_pair, is_pair, last, c2, c3, k2
+        found = walk(zip((ends - n).tolist(), ends.tolist()), word.data, 1, arcs, weight.tolist(), target.data, fail.data, fail_weight.data, m)
         return pa.table({"id": ids, "held_out": held_out, "n_tokens": n,
                          "n_known": per_text((c1 > 0).astype(np.float64)).astype(np.int64), "base_score": per_text(base),
                          "score": np.array(found, np.float64)})
