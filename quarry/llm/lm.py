@@ -36,7 +36,7 @@ from .common import drop, materialise, mix64, string_buffers, word_chunks
 MIN_COUNT = 2
 DISCOUNT = 0.75
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 ROUNDS = 2
 END, START = (int(mix64(np.array([x], np.uint64)).view(np.int64)[0]) for x in (0x454E44, 0x5354415254))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
