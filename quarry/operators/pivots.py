@@ -6,7 +6,9 @@ Angles obey the triangle inequality, so for a query at angle t from a pivot no r
 than max(0, t - hi, lo - t), which bounds its inner product with the query.
 
 A query visits the rings of highest bound until they hold k rows; its k-th best row there is a threshold, and only rings whose
-bound reaches it are visited next.  Rings of more than ``piece_rows`` rows are dealt to pieces by row, so copies or
+bound reaches it are visited next.  A visit sends the query's vector, so cells serve where visits are few: a bounded sample of queries
+tells how many to expect, and beyond ``MAX_VISITS`` per row of the table (vectors without clusters, or nearly as many queries as rows) the
+rows are not asked through cells but met block by block (``blocks.py``), where nothing is sent per visit.  Rings of more than ``piece_rows`` rows are dealt to pieces by row, so copies or
 a dense cell make no large task.  A piece's rows are shuffled once per visit round, never once per block of queries; the queries
 that visit it stream past them.
 """
@@ -21,9 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .blocks import block_candidates
 
 MAX_PIVOTS, RINGS = 1024, 64
 PIECE_ROWS, CELL_ROWS = 50_000, 512
+#: visits per row of the table, all queries together, and the queries sampled to tell
+MAX_VISITS, ASKED = 1.0, 64
+#: numbers of an intermediate array of a task
+_CHUNK = 1 << 20
 _SLACK = 1e-9
 
 
@@ -48,17 +55,26 @@ def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
 
 
+def _slices(batches, width: int):
+    """Batches in slices of rows for which arrays of ``width`` columns stay small."""
+    rows = max(1, _CHUNK // max(1, width))
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 class PivotIndex:
     """Rows ``(doc_id, v)`` in pieces; ``v`` holds ``dims`` finite doubles."""
 
     def __init__(self, rows: DataFrame, dims: int, piece_rows: int = PIECE_ROWS, max_pivots: int = MAX_PIVOTS):
         self.dims, self.spark = dims, rows.sparkSession
-        n = rows.count()
+        n = self.total = rows.count()
         # cells of a few rows cost more visits than they save
         want = min(max_pivots, max(1, math.isqrt(n)), 1 + n // max(1, min(CELL_ROWS, piece_rows // 4)))
         # a bounded sample by hash; copies of a vector make one pivot
         some = rows.select("v").orderBy(F.xxhash64("v")).limit(4 * want).collect()
         some = np.unique(np.array([r["v"] for r in some], np.float64).reshape(-1, dims), axis=0)
+        self.some = some
         some, norm = _unit(some)
         some = some[norm > 0]
         order = np.random.default_rng(1).permutation(len(some))[:want]
@@ -85,7 +101,7 @@ class PivotIndex:
         pivots, dims = self.pivots, self.dims
 
         def place(batches):
-            for b in batches:
+            for b in _slices(batches, len(pivots)):
                 unit, norm = _unit(_matrix(b.column("v"), dims))
                 angle = _angles(unit, pivots) if len(unit) else np.zeros((0, len(pivots)))
                 cell = angle.argmin(axis=1) if len(unit) else np.zeros(0, np.int64)
@@ -102,27 +118,42 @@ class PivotIndex:
         cos = np.minimum(1.0, np.cos(np.maximum(0.0, np.maximum(t - self.hi, self.lo - t) - _SLACK)) + _SLACK)
         return norm[:, None] * np.where(cos >= 0, self.large, self.small) * cos + _SLACK * (1 + norm[:, None] * self.large)
 
+    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds, and per query the rings of highest bound that together hold k rows."""
+        up = self.bounds(queries)
+        order = np.argsort(-up, axis=1, kind="stable")
+        before = np.cumsum(self.n[order], axis=1) - self.n[order]
+        first = np.zeros(up.shape, bool)
+        np.put_along_axis(first, order, before < k, axis=1)
+        return up, first
+
+    def expected_visits(self, queries: np.ndarray, k: int) -> float:
+        """Visits per query, by a sample of queries; thresholds come from the sampled rows, so there are fewer."""
+        if not len(queries) or not self.pieces:
+            return 0.0
+        up, first = self.nearest(queries, k)
+        dots = queries @ self.some.T
+        least = np.partition(dots, -k, axis=1)[:, -k] if dots.shape[1] >= k else np.full(len(queries), -np.inf)
+        return float(((first | (up >= least[:, None])) * self.split).sum(axis=1).mean())
+
     def visits(self, queries: DataFrame, k: int, second: bool) -> DataFrame:
         """``(id, v, piece)`` of ``queries`` (query_id, v, and ``least``, the threshold, in the second round)."""
         index = self._plain()
 
         def ask(batches):
-            for whole in batches:
-                for lo in range(0, len(whole), 256):
-                    b = whole.slice(lo, 256)
-                    up = index.bounds(_matrix(b.column("v"), index.dims))
-                    order = np.argsort(-up, axis=1, kind="stable")
-                    before = np.cumsum(index.n[order], axis=1) - index.n[order]
-                    first = np.zeros(up.shape, bool)
-                    np.put_along_axis(first, order, before < k, axis=1)
-                    if second:
-                        least = b.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
-                        first = ~first & (up >= least[:, None])
-                    q, ring = np.nonzero(first)
-                    size = index.split[ring]
-                    piece = np.repeat(index.first[ring], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    at = pa.array(np.repeat(q, size))
-                    yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("v").take(at), pa.array(piece)], names=["id", "v", "piece"])
+            for b in _slices(batches, len(index.n)):
+                up, first = index.nearest(_matrix(b.column("v"), index.dims), k)
+                if second:
+                    least = b.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+                    first = ~first & (up >= least[:, None])
+                q, ring = np.nonzero(first)
+                size = index.split[ring]
+                piece = np.repeat(index.first[ring], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                at = np.repeat(q, size)
+                for lo in range(0, len(at), _CHUNK // index.dims + 1):
+                    some = slice(lo, lo + _CHUNK // index.dims + 1)
+                    ids = pa.array(at[some])
+                    yield pa.RecordBatch.from_arrays([b.column("query_id").take(ids), b.column("v").take(ids), pa.array(piece[some])], names=["id", "v", "piece"])
         columns = ["query_id", "v", "least"] if second else ["query_id", "v"]
         return queries.select(*columns).mapInArrow(ask, "id long, v array<double>, piece long")
 
@@ -165,12 +196,18 @@ class PivotIndex:
 
 
 def pivot_candidates(queries: DataFrame, rows: DataFrame, k: int, dims: int, merge, local_topk, piece_rows: int = PIECE_ROWS,
-                     max_pivots: int = MAX_PIVOTS) -> DataFrame:
+                     max_pivots: int = MAX_PIVOTS, max_visits: float = MAX_VISITS) -> DataFrame:
     """``(query_id, doc_id, sim)`` holding every query's k best rows: ``merge`` takes candidates to the k best per query,
-    ``local_topk`` scores queries against a piece."""
+    ``local_topk`` scores queries against a piece.  Where more than ``max_visits`` visits per row are expected, queries meet all rows
+    in blocks of at most ``piece_rows``."""
     index = PivotIndex(rows, dims, piece_rows, max_pivots)
     if not index.pieces:
         return queries.select(F.col("query_id"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("double").alias("sim")).limit(0)
+    asked = queries.select("v").orderBy(F.xxhash64("v")).limit(ASKED).collect()
+    per_query = index.expected_visits(np.array([r["v"] for r in asked], np.float64).reshape(-1, dims), k)
+    n_queries = queries.count()
+    if n_queries * per_query > max_visits * index.total:
+        return block_candidates(queries, rows, k, dims, n_queries, index.total, local_topk, piece_rows)
     first = _written(merge(index.search(_written(index.visits(queries, k, False), "pivot-visits"), k, local_topk)).select("query_id", "doc_id", "sim"), "pivot-first")
     least = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("sim").alias("least"))
     least = least.select("query_id", F.when(F.col("found") >= k, F.col("least")).otherwise(F.lit(float("-inf"))).alias("least"))

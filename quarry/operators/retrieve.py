@@ -9,7 +9,8 @@ physical strategies, chosen by a size check on the query side:
   (copies of a document count once), so a partition emits at most ``queries x k`` rows and the KB
   itself is never shuffled.
 * **pivots** (larger query sides): rows lie in cells around sampled pivots, and a query visits only the cells that can still hold
-  one of its k best rows (``pivots.py``).  Cells are split by row, so no group is large, and no pairs are ever rows.
+  one of its k best rows (``pivots.py``).  Cells are split by row, so no group is large, and no pairs are ever rows.  Where visits
+  would outnumber the rows, packed blocks of both sides meet instead (``blocks.py``).
 
 Vectors that are NULL, hold a NULL or non-finite component or have another length than most queries take no part, on either side.
 
@@ -103,12 +104,24 @@ def _local_topk(q_mat: np.ndarray, d_ids: np.ndarray, d_mat: np.ndarray, k: int,
     for t in range(0, len(d_ids), _KB_CHUNK):
         ids, mat = d_ids[t:t + _KB_CHUNK], d_mat[t:t + _KB_CHUNK]
         for s in range(0, n, _QUERY_CHUNK):
+            sims = q_mat[s:s + _QUERY_CHUNK] @ mat.T
+            floor = b_s[s:s + len(sims), -1]
+            # most rows of a later chunk are below a query's k-th best: only the others are sorted
+            least = floor - np.where(np.isfinite(floor), 1e-12 + 1e-14 * np.abs(floor), 0.0)
+            hit = sims >= least[:, None]
+            n_hit = np.count_nonzero(hit, axis=1)
+            rows = np.flatnonzero(n_hit)
+            if not len(rows):
+                continue
+            n_hit = n_hit[rows]
+            r, col = np.nonzero(hit[rows])
+            place = np.arange(len(r)) - np.repeat(np.cumsum(n_hit) - n_hit, n_hit)
+            new_s = np.full((len(rows), n_hit.max()), -np.inf)
+            new_i = np.full(new_s.shape, np.iinfo("int64").max, dtype="int64")
             # a matrix product may score equal vectors a rounding step apart; 12 decimals make them ties again
-            sims = np.round(q_mat[s:s + _QUERY_CHUNK] @ mat.T, 12)
-            c = sims.shape[0]
-            cat_s = np.concatenate([b_s[s:s + c], sims], axis=1)
-            cat_i = np.concatenate([b_i[s:s + c], np.broadcast_to(ids, (c, len(ids)))], axis=1)
-            b_s[s:s + c], b_i[s:s + c] = _topk_rows(cat_s, cat_i, k)
+            new_s[r, place], new_i[r, place] = np.round(sims[rows[r], col], 12), ids[col]
+            rows += s
+            b_s[rows], b_i[rows] = _topk_rows(np.concatenate([b_s[rows], new_s], axis=1), np.concatenate([b_i[rows], new_i], axis=1), k)
     return b_s, b_i
 
 

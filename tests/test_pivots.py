@@ -83,3 +83,32 @@ def test_queries_visit_few_cells(spark):
     assert first.count() + second.count() < 0.25 * 400 * index.pieces
     plan = index.search(first, 5, RT._local_topk)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_blocks_meet_where_visits_outnumber_rows(spark, monkeypatch):
+    """Without clusters nearly every query would visit every cell: packed blocks meet instead, and no vector is written per visit."""
+    from quarry.operators import pivots
+    written = []
+    monkeypatch.setattr(pivots, "_written", lambda df, name, f=pivots._written: (written.append(name), f(df, name))[1])
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 24))
+    x[::7] *= 1e20  # no single precision there; the others keep theirs
+    rows = list(enumerate(x)) + [(2000 + i, x[4].astype(np.float32)) for i in range(60)] + [(3, x[5])]
+    got = RT.knn_topk(frame(spark, "query_id", rows[:900]), frame(spark, "doc_id", rows), 4, max_broadcast_bytes=0, block_rows=100)
+    assert lists(got) == brute(rows[:900], rows, 4)
+    assert written == ["pivot-cells"]
+
+
+@pytest.mark.parametrize("most", [0.0, 1e9])
+def test_both_ways_return_the_same(spark, most):
+    rng = np.random.default_rng(4)
+    x = clustered(rng, 500, 8, 10, 0.1)
+    q, d = (frame(spark, name, list(enumerate(x))).selectExpr(name, "embedding as v") for name in ("query_id", "doc_id"))
+    merge = lambda c: RT._merge_topk(c, 5)
+    got = merge(pivots_of(q, d, merge, most))
+    assert lists(got) == brute(list(enumerate(x)), list(enumerate(x)), 5)
+
+
+def pivots_of(q, d, merge, most):
+    from quarry.operators.pivots import pivot_candidates
+    return pivot_candidates(q, d, 5, 8, merge, RT._local_topk, 64, max_visits=most)
