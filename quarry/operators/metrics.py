@@ -12,6 +12,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,7 @@ def exact_match(df: DataFrame, prediction: str, reference: str, group_by: list[s
 
 # shared n-gram machinery ----------------------------------------------------------------------
 _PUNCT = frozenset(string.punctuation)
-_SLICE_CHARS = 1 << 21  # characters handled at once in a task, however large its Arrow batches
+_SLICE_CHARS = 1 << 17  # characters of pairs handled at once in a task, however large its Arrow batches
 
 
 def chrf_words(text: str) -> list[str]:
@@ -108,7 +109,9 @@ def _unit_arrays(texts: list, kind: str) -> tuple[np.ndarray, np.ndarray, list |
 
 def _pair_stats(keys: list[str], char_order: int, word_order: int, words: str, weights: dict | None, h_needs_ref: bool):
     def slices(b):
-        size = np.cumsum([len(h or "") + len(r or "") for h, r in zip(b.column("_h").to_pylist(), b.column("_r").to_pylist())])
+        # lengths are counted in Arrow: only a slice's texts become Python's
+        h, r = (pc.fill_null(pc.utf8_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_h", "_r"))
+        size = np.cumsum(h + r)
         i = 0
         while i < b.num_rows:
             j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + _SLICE_CHARS, "right")))

@@ -167,3 +167,26 @@ def test_null_sides_do_not_collide(spark):
     df = spark.createDataFrame([(1, None, "abc"), (1, "abc", None)], "example_id long, h string, r string")
     st = M.ngram_match_stats(df, ["example_id"], "h", "r", char_order=3).agg(F.sum("r").alias("r"), F.sum("h").alias("h")).first()
     assert st.r == 6 and st.h == 6
+
+
+def test_pair_statistics_hold_a_slice_at_once():
+    """A large Arrow batch is handled in small slices: memory beyond the batch doesn't grow with it, results are those of single rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"w{i * 7919 % 4001}" for i in range(4001)]
+    text = [" ".join(words[(i * 37 + j * j) % 4001] for j in range(70)) for i in range(2500)] + [None, ""]
+    b = pa.RecordBatch.from_arrays([pa.array(range(2502)), pa.array(text), pa.array(text[1:] + text[:1])], names=["_k0", "_h", "_r"])
+
+    def stats(batches):
+        return [tuple(r.values()) for o in M._pair_stats(["id"], 6, 2, "chrf", None, True)(iter(batches)) if o.num_rows for r in o.to_pylist()]
+
+    tracemalloc.start()
+    for _ in M._pair_stats(["id"], 6, 2, "chrf", None, True)(iter([b])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 40, peak
+    some = b.slice(2450)
+    assert sorted(stats([some])) == sorted(stats([some.slice(i, 1) for i in range(some.num_rows)]))
