@@ -9,6 +9,10 @@ A query reads, for each of its tokens, the lists in the order of their bounds.
 of the next lists' bounds; once that is below the k-th best score found, the reading ends, and of the documents met only those
 whose own bound reaches that score are scored.  The result is exact whatever the centroids are; they only decide how much is read.
 
+Lists are read query by query, which pays where scoring a batch for one query is much work (many or long tokens).  Where it is
+little (``LIST_WORK``), queries are scored together: products of tokens in single precision, token by token of the
+documents, give every score but for a known error, and only documents within that error of a query's k-th best are scored exactly.
+
 The knowledge base is scanned once, never shuffled, and a task keeps k rows per query.  Queries go to the executors in blocks of a
 checked size, with a scan for each block.
 """
@@ -29,6 +33,10 @@ MAX_CENTROIDS = 256
 SAMPLE_DOCS, SAMPLE_TOKENS = 8, 64
 ROUNDS = 5
 _CHUNK = 1 << 14
+#: multiplications that score a batch for one query, from which lists are read
+LIST_WORK = 1 << 27
+#: queries' tokens and documents whose products are held at once
+ASKED_TOKENS, DOCS = 512, 1024
 _SLACK = 1e-9
 
 
@@ -124,6 +132,95 @@ class TokenPostings:
         return best[0][0, -1] - _SLACK * (1.0 + abs(best[0][0, -1])) if np.isfinite(best[0][0, -1]) else -np.inf
 
 
+class DenseScores:
+    """Documents of a batch scored for many queries at once; ``search`` is exact as ``TokenPostings.search`` is."""
+
+    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray], dim: int):
+        self.ids, self.dim = ids, dim
+        self.sizes = np.array([len(v) // dim for v in vectors])
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.tokens = np.concatenate(vectors).reshape(-1, dim)
+        #: copies of an id among the rows: of so many more rows the best must be looked at for k different ids
+        self.copies = len(ids) - len(np.unique(ids))
+        self.kind = np.float32 if not len(self.tokens) or np.abs(self.tokens).max() < 1e15 else np.float64
+        self.longest = np.sqrt((self.tokens * self.tokens).sum(axis=1).max(initial=0.0))
+        self.chunks = list(self._chunks())
+
+    def _chunks(self):
+        """Places of documents and their tokens, ``(token, document, dim)``; a document's last token is repeated up to the chunk's
+        longest, which changes no maximum."""
+        order = np.argsort(self.sizes, kind="stable")
+        step = DOCS
+        lo = 0
+        while lo < len(order):
+            docs = order[lo:lo + step]
+            # a chunk's longest document has less than twice its shortest's tokens
+            docs = docs[:np.searchsorted(self.sizes[docs], 2 * self.sizes[docs[0]], "left")] if self.sizes[docs[-1]] >= 2 * self.sizes[docs[0]] else docs
+            lo += len(docs)
+            at = np.minimum(np.arange(self.sizes[docs].max())[:, None], self.sizes[docs] - 1) + self.first[docs]
+            yield docs, at
+
+    def search(self, asked: list[np.ndarray], best: tuple[np.ndarray, np.ndarray], k: int) -> None:
+        """Puts into ``best`` (scores and ids, queries x k) the documents of this batch that belong there."""
+        sizes = np.array([len(a) for a in asked])
+        lo = 0
+        while lo < len(asked):
+            hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), ASKED_TOKENS, "right")) + lo)
+            self._search(np.concatenate(asked[lo:hi]), sizes[lo:hi], (best[0][lo:hi], best[1][lo:hi]), k)
+            lo = hi
+
+    def _search(self, query: np.ndarray, sizes: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int) -> None:
+        starts = np.cumsum(sizes) - sizes
+        length = np.sqrt((query * query).sum(axis=1))
+        kind = self.kind if np.abs(query).max(initial=0.0) < 1e15 else np.float64
+        eps = np.finfo(kind).eps
+        # rounding of the numbers, of a product's sum and of the sum over the tokens; what is below the smallest number
+        error = (2 * self.dim + sizes + 8) * eps * np.add.reduceat(length, starts) * self.longest
+        error += 1e-36 * self.dim * sizes * (1.0 + length.max(initial=0.0) + self.longest) + 1e-11 * sizes
+        q = query.astype(kind)
+        for docs, at in self.chunks:
+            top = None
+            for row in at:
+                dots = q @ self.tokens[row].astype(kind).T
+                top = dots if top is None else np.maximum(top, dots, out=top)
+            found = np.add.reduceat(top, starts, axis=0)
+            floor = best[0][:, -1]
+            m = k + self.copies
+            if m < len(docs):
+                new = np.flatnonzero(np.count_nonzero(found >= (floor - error)[:, None], axis=1) > 2 * m)
+                if len(new):
+                    floor = floor.copy()
+                    floor[new] = np.maximum(floor[new], np.partition(found[new], -m, axis=1)[:, -m] - error[new])
+            hit = found >= (floor - error - _SLACK * (1 + np.abs(np.where(np.isfinite(floor), floor, 0.0))))[:, None]
+            n = np.count_nonzero(hit, axis=1)
+            rows = np.flatnonzero(n)
+            if not len(rows):
+                continue
+            n = n[rows]
+            r, col = np.nonzero(hit[rows])
+            place = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+            new_s = np.full((len(rows), n.max()), -np.inf)
+            new_i = np.full(new_s.shape, np.iinfo("int64").max, dtype="int64")
+            new_s[r, place], new_i[r, place] = self._exact(query, starts[rows[r]], sizes[rows[r]], docs[col]), self.ids[docs[col]]
+            best[0][rows], best[1][rows] = _topk_rows(np.c_[best[0][rows], new_s], np.c_[best[1][rows], new_i], k)
+
+    def _exact(self, query: np.ndarray, start: np.ndarray, size: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores of (query, document) pairs, in groups of as many tokens."""
+        out = np.empty(len(docs))
+        shape = np.stack([size, self.sizes[docs]])
+        kinds, of = np.unique(shape, axis=1, return_inverse=True)
+        for g, (a, b) in enumerate(kinds.T.tolist()):
+            mine = np.flatnonzero(of.ravel() == g)
+            step = max(1, (1 << 20) // max(a * b, (a + b) * self.dim))
+            for lo in range(0, len(mine), step):
+                pair = mine[lo:lo + step]
+                x = query[start[pair][:, None] + np.arange(a)]
+                y = self.tokens[self.first[docs[pair]][:, None] + np.arange(b)]
+                # twelve decimals make equal tokens equal again, wherever they stand in a product
+                out[pair] = np.round(np.round(x @ y.transpose(0, 2, 1), 12).max(axis=2).sum(axis=1), 12)
+        return out
+
+
 def _tokens(df: DataFrame, id_col: str, name: str, vector: str, dim: int) -> DataFrame:
     v = F.col("v")
     ok = (F.size(v) > 0) & (F.size(v) % dim == 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -133,7 +230,7 @@ def _tokens(df: DataFrame, id_col: str, name: str, vector: str, dim: int) -> Dat
 
 def maxsim_topk(queries: DataFrame, kb: DataFrame, k: int, token_dim: int, query_id: str = "query_id", doc_id: str = "doc_id",
                 vector: str = "embedding", max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-                max_centroids: int = MAX_CENTROIDS) -> DataFrame:
+                max_centroids: int = MAX_CENTROIDS, list_work: int = LIST_WORK) -> DataFrame:
     """``(query_id, doc_id, maxsim, rank)``: the k documents of highest MaxSim per query, ties (equal to 12 decimals) to the smaller id.
 
     Vectors are flat arrays of ``token_dim``-sized tokens, as many as a text has.  Rows with a NULL id, or a vector that is NULL,
@@ -154,11 +251,11 @@ def maxsim_topk(queries: DataFrame, kb: DataFrame, k: int, token_dim: int, query
         centroids = fit_centroids(np.concatenate([np.asarray(r["v"]) for r in some]).reshape(-1, token_dim), n_centroids)
         blocks = -(-size // max_broadcast_bytes)
         for b in range(blocks):
-            found = found.unionAll(_scan(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), d, k, centroids))
+            found = found.unionAll(_scan(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), d, k, centroids, list_work))
     return _merge_topk(found, k).withColumnRenamed("sim", "maxsim").checkpoint(eager=True)
 
 
-def _scan(q: DataFrame, d: DataFrame, k: int, centroids: np.ndarray) -> DataFrame:
+def _scan(q: DataFrame, d: DataFrame, k: int, centroids: np.ndarray, list_work: int) -> DataFrame:
     local = q.toPandas()  # a block of checked size
     dim = centroids.shape[1]
     shipped = q.sparkSession.sparkContext.broadcast(
@@ -166,14 +263,18 @@ def _scan(q: DataFrame, d: DataFrame, k: int, centroids: np.ndarray) -> DataFram
 
     def scan(batches):
         ids, asked, middle = shipped.value
-        best = [(np.full((1, k), -np.inf), np.full((1, k), np.iinfo("int64").max, dtype="int64")) for _ in ids]
+        best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo("int64").max, dtype="int64")
+        mean = sum(map(len, asked)) / max(1, len(asked))
         for pdf in batches:
-            if len(pdf):
-                lists = TokenPostings(pdf["doc_id"].to_numpy("int64"), [np.asarray(v, dtype="float64") for v in pdf["v"]], middle)
-                best = [lists.search(a, kept, k) for a, kept in zip(asked, best)]
-        if len(ids):
-            yield _emit(ids, (np.concatenate([s for s, _ in best]), np.concatenate([i for _, i in best])))
-        else:
-            yield _emit(ids, None)
+            if not len(pdf) or not len(ids):
+                continue
+            docs, vectors = pdf["doc_id"].to_numpy("int64"), [np.asarray(v, dtype="float64") for v in pdf["v"]]
+            if mean * sum(map(len, vectors)) < list_work:
+                DenseScores(docs, vectors, dim).search(asked, best, k)
+                continue
+            lists = TokenPostings(docs, vectors, middle)
+            for i, a in enumerate(asked):
+                best[0][i:i + 1], best[1][i:i + 1] = lists.search(a, (best[0][i:i + 1], best[1][i:i + 1]), k)
+        yield _emit(ids, best if len(ids) else None)
 
     return d.mapInPandas(scan, _CAND_SCHEMA)

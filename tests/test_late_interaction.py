@@ -64,3 +64,30 @@ def test_reading_ends_early():
         assert best[1][0].tolist() == np.lexsort((np.arange(5000), -np.round(s, 12)))[:5].tolist()
     assert lists.scored < 0.2 * 20 * 5000
     assert lists.read < 0.7 * 20 * 4 * len(lists.doc)
+
+
+def test_lists_and_dense_scores_agree(spark):
+    """Both ways equal brute force, on ragged texts, copies, ties, and numbers beyond single precision."""
+    rng = np.random.default_rng(4)
+    docs, queries = texts(rng, 300), texts(rng, 10, 1000)
+    docs += docs[:60] * 2 + [(5, docs[9][1]), (3000, [1e18] * DIM), (3001, [1e-18] * DIM), (3002, [1.0 + 1e-9] * DIM), (3003, [1.0] * DIM)]
+    queries += [(1100, [0.0] * DIM), (1101, docs[7][1]), (1102, [1e16, 0.0, 0.0, 1.0]), (1103, [1.0] * DIM)]
+    want = sorted(brute(queries, docs, 6))
+    for work in (0, 1 << 60):
+        got = sorted(run(spark, queries, docs, 6, list_work=work))
+        assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-14, atol=0)
+
+
+def test_dense_scores_confirm_few():
+    """Queries are scored together: of the pairs only those near the k-th best are scored a second time, and none of the best is missed."""
+    from quarry.operators.late_interaction import DenseScores
+    rng = np.random.default_rng(5)
+    docs, asked = rng.standard_normal((6000, 32)), [x.reshape(-1, 8) for x in rng.standard_normal((150, 32))]
+    scores, confirmed = DenseScores(np.arange(6000), list(docs), 8), []
+    scores._exact = lambda *a: (confirmed.append(len(a[-1])), DenseScores._exact(scores, *a))[1]
+    best = np.full((150, 5), -np.inf), np.full((150, 5), 1 << 62)
+    scores.search(asked, best, 5)
+    for q, ids in zip(asked, best[1]):
+        s = np.einsum("qd,ntd->qnt", q, docs.reshape(-1, 4, 8)).max(axis=2).sum(axis=0)
+        assert ids.tolist() == np.lexsort((np.arange(6000), -np.round(s, 12)))[:5].tolist()
+    assert sum(confirmed) < 0.01 * 150 * 6000 and len(confirmed) < 20 * 150
