@@ -112,3 +112,23 @@ def test_both_ways_return_the_same(spark, most):
 def pivots_of(q, d, merge, most):
     from quarry.operators.pivots import pivot_candidates
     return pivot_candidates(q, d, 5, 8, merge, RT._local_topk, 64, max_visits=most)
+
+
+def test_placing_a_large_batch_takes_little_memory():
+    """Angles to all pivots are held for a slice of an Arrow batch, and a batch's rows are placed as single rows are."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    index = object.__new__(PivotIndex)
+    index.dims, index.pivots = 8, clustered(rng, 1024, 8, 30, 0.3)
+    x = rng.standard_normal((10_000, 8))
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(list(x))], names=["doc_id", "v"])
+    tracemalloc.start()
+    for _ in index._placer()(iter([b])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 60, peak
+    cells = lambda parts: [c for o in index._placer()(iter(parts)) for c in o.column("cell").to_pylist()]
+    assert cells([b]) == np.arccos(np.clip(x / np.linalg.norm(x, axis=1)[:, None] @ index.pivots.T, -1, 1)).argmin(axis=1).tolist()
