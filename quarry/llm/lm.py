@@ -23,11 +23,11 @@ left to right.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,10 @@ DISCOUNT = 0.75
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 ROUNDS = 2
+#: a finished query, and so its shuffle files, is held until its events are handled and the next query has run
+SETTLE_S = 1.0
+#: tokens that a state knows, and tokens of a text that are followed at once
+HISTORY, PART = 2, 64
 END, START = (int(mix64(np.array([x], np.uint64)).view(np.int64)[0]) for x in (0x454E44, 0x5354415254))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,29 +80,35 @@ def _hash(history: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _docs(batches):
-    """The blocks of a table of blocks, one by one: number, ids, held out, tokens, tokens of each text, which are trained on."""
+    """The blocks of a table of blocks, one by one: number, ids, held out, distinct words, which of them each token is, tokens of each
+    text, which are trained on."""
     for b in batches:
-        for block, rows in zip(b.column("block").to_pylist(), b.column("rows")):
+        for block, rows, words in zip(b.column("block").to_pylist(), b.column("rows"), b.column("words")):
             docs = pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks()
-            t, n = tokens(docs.column("text").chunk(0))
-            held_out = docs.column("held_out").to_numpy()
-            yield block, docs.column("id"), held_out, t, n, np.repeat(~held_out.astype(bool), n)
+            step, word_at = _unpack(words.as_py(), (8, 4))
+            held_out, n = docs.column("held_out").to_numpy(), docs.column("n").to_numpy()
+            yield block, docs.column("id"), held_out, np.cumsum(step), word_at, n, np.repeat(~held_out.astype(bool), n)
 
 
 def _count(batches):
     """Distinct tokens that are trained on, and their counts."""
-    for _, _, _, t, _, trained in _docs(batches):
-        key, c = np.unique(t[trained], return_counts=True)
-        yield _rows(key=key, c=c)
+    for _, _, _, word, word_at, _, trained in _docs(batches):
+        c = np.bincount(word_at[trained], minlength=len(word))
+        yield _rows(key=word[c > 0], c=c[c > 0])
 
 
 def _blocks(size: int):
-    """Consecutive rows of a task as blocks of about ``size`` bytes of text, a block a row, compressed."""
+    """Consecutive rows of a task as blocks of about ``size`` bytes of text, a block a row: ids and lengths, and the tokens as numbers
+    of the block's distinct words, so that texts are read once."""
     def block(rows: list[pa.RecordBatch], at: int, used: int) -> pa.RecordBatch:
+        docs = pa.Table.from_batches(rows).combine_chunks()
+        t, n = tokens(docs.column("text").chunk(0))
+        word, _, word_at = _unique(t)
+        docs = docs.drop_columns("text").append_column("n", pa.array(n))
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(pa.Table.from_batches(rows).combine_chunks())
-        return _rows(at=[at], bytes=[used], rows=[sink.getvalue().to_pybytes()])
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(docs)
+        return _rows(at=[at], bytes=[used], rows=[sink.getvalue().to_pybytes()], words=[_pack([(np.diff(word, prepend=0), 8), (word_at, 4)])])
 
     def number(batches):
         rows, at, used = [], 0, 0
@@ -117,10 +127,23 @@ def _blocks(size: int):
     return number
 
 
-def _own(key: np.ndarray, trained: np.ndarray):
-    """The distinct words, which of them each token is, and how often each stands in texts that are trained on."""
-    key, at = np.unique(key, return_inverse=True)
-    return key, at, np.bincount(at[trained], minlength=len(key))
+def _unique(key: np.ndarray):
+    """Distinct keys in order, a place of each, and which of them each place holds."""
+    order = np.argsort(key)
+    rep, inverse = _runs(order, _changes(key[order]))
+    return key[rep], rep, inverse
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers of an array, in order."""
+    x = np.sort(x)
+    return x[_changes(x)]
 
 
 class Grams:
@@ -131,65 +154,69 @@ class Grams:
     that round alone is looked at.
     """
 
-    def __init__(self, t: np.ndarray, n: np.ndarray, trained: np.ndarray, words: np.ndarray | None, hot: np.ndarray, buckets: int,
-                 only: int | None = None):
-        self.t, self.first = t, np.zeros(len(t), bool)
+    def __init__(self, word: np.ndarray, word_at: np.ndarray, n: np.ndarray, trained: np.ndarray, words: np.ndarray | None, hot: np.ndarray,
+                 buckets: int, only: int | None = None):
+        self.word, self.word_at, self.first, m = word, word_at, np.zeros(len(word_at), bool), len(word)
         self.first[np.cumsum(n) - n] = True
-        known = np.ones(len(t), bool) if words is None else _find(words, t) >= 0
-        left = _before(t, START)
-        left[self.first] = START
+        known = np.ones(len(word_at), bool) if words is None else (_find(words, word) >= 0)[word_at]
+        often = (_find(hot, word) >= 0)[word_at]
+        left = _before(word_at, m)
+        left[self.first] = m
         two = known & (_before(known, False) | self.first)
         three = known & _before(two, False) & ~self.first
-        self.word, self.word_at, self.word_own = _own(t, trained)
+        table = np.r_[word, START]
+        rank = _inverse(np.argsort(table.view(np.uint64), kind="stable"))
         # pairs, by bucket, first word and 40 bits of their hash
         at = np.flatnonzero(two)
-        key, often = _hash(left[at], t[at]), _find(hot, t) >= 0
+        key = _hash(table[left[at]], word[word_at[at]])
         wide = self.first[at] | _before(often, False)[at]  # pairs of a hot first word go by their own hash, others by that word's
-        home = _modulo(np.where(wide, key, left[at]), buckets)
-        wide &= often[at]
+        word_home = _modulo(table, buckets)
+        home = word_home[left[at]]
+        home[wide] = _modulo(key[wide], buckets)
+        spread = wide & often[at]
         self.round = only
         if only is not None:
-            here = (home % ROUNDS == only) | wide
-            at, key, home, wide = at[here], key[here], home[here], wide[here]
-        key, rep, inverse, own = _distinct(key, trained[at])
-        bucket, spread, rep = home[rep], wide[rep], at[rep]
-        u = left[rep]
+            here = (home % ROUNDS == only) | spread
+            at, key, home, wide, spread = at[here], key[here], home[here], wide[here], spread[here]
+        first_word = left[at]
+        group = home[wide] * (m + 1) + rank[first_word[wide]]
+        word_group = word_home * (m + 1) + rank
+        groups = _sorted(np.r_[word_group, _sorted(group)])
+        major = np.searchsorted(groups, word_group)[first_word]
+        major[wide] = np.searchsorted(groups, group)
         part = key.view(np.uint64) >> np.uint64(24)
-        order = np.lexsort((part, u.view(np.uint64), bucket))
-        self.pair, self.pair_own, self.pair_rep, self.spread = key[order], own[order], rep[order], spread[order]
-        self.pair_u, self.pair_part, self.pair_bucket = u[order], part[order], bucket[order]
-        self.pair_at = np.full(len(t), -1, np.int64)
-        self.pair_at[at] = _inverse(order)[inverse]
+        rep, inverse, self.pair_own = _distinct(major, part, len(groups), trained[at])
+        self.pair, self.pair_rep, self.spread, self.pair_part, self.pair_bucket = key[rep], at[rep], spread[rep], part[rep], home[rep]
+        first_word = first_word[rep]
+        self.pair_u = table[first_word]
+        self.pair_at = np.full(len(word_at), -1, np.int64)
+        self.pair_at[at] = inverse
         # triples, by the place of their pair
-        at = np.flatnonzero(three & (_before(self.pair_at, -1) >= 0))
-        parent = _before(self.pair_at, -1)[at]
-        key = _hash(self.pair[parent], t[at])
-        if only is not None:
-            here = ~self.spread[parent] | (_modulo(key, buckets) % ROUNDS == only)
-            at, parent, key = at[here], parent[here], key[here]
-        key, rep, inverse, own = _distinct(key, trained[at])
-        parent, rep = parent[rep], at[rep]
+        parent = _before(self.pair_at, -1)
+        at = np.flatnonzero(three & (parent >= 0))
+        parent = parent[at]
+        key = _hash(self.pair[parent], word[word_at[at]])
         wide = self.spread[parent]
-        bucket = np.where(wide, _modulo(key, buckets), self.pair_bucket[parent])
-        part = key.view(np.uint64) >> np.uint64(24)
+        if only is not None and wide.any():
+            here = ~wide
+            here[wide] = _modulo(key[wide], buckets) % ROUNDS == only
+            at, parent, key, wide = at[here], parent[here], key[here], wide[here]
         # a spread pair has a node of its own in every bucket where triples of it lie
-        extra = np.unique(np.stack([bucket[wide], parent[wide]]), axis=1) if wide.any() else np.zeros((2, 0), np.int64)
-        node_bucket, node_pair = np.r_[self.pair_bucket, extra[0]], np.r_[np.arange(len(self.pair)), extra[1]]
-        node_kind = np.r_[self.spread.astype(np.int64), np.full(extra.shape[1], 2)]  # 0 plain, 1 spread: its count, 2 spread: some triples
-        by = np.lexsort((node_kind, self.pair_part[node_pair], self.pair_u[node_pair].view(np.uint64), node_bucket))
+        pairs = len(self.pair)
+        apart = _modulo(key[wide], buckets) * pairs + parent[wide]
+        extra = _sorted(apart)
+        extra_bucket, extra_pair = np.divmod(extra, max(pairs, 1))
+        node_bucket, node_pair = np.r_[self.pair_bucket, extra_bucket], np.r_[np.arange(pairs), extra_pair]
+        node_kind = np.r_[self.spread.astype(np.int64), np.full(len(extra), 2)]  # 0 plain, 1 spread: its count, 2 spread: some triples
+        by = np.argsort(node_bucket * (m + 1) + rank[first_word[node_pair]], kind="stable")
         place = _inverse(by)
-        node = parent.copy()
-        if wide.any():
-            code = lambda b, p: b * len(self.pair) + p
-            node[wide] = len(self.pair) + np.searchsorted(code(*extra), code(bucket[wide], parent[wide]))
-        node = place[node]
-        order = np.lexsort((part, node))
+        node = place[parent]
+        node[wide] = place[pairs + np.searchsorted(extra, apart)]
+        part = key.view(np.uint64) >> np.uint64(24)
+        rep, inverse, self.triple_own = _distinct(node, part, len(by), trained[at])
         self.node_pair, self.node_kind, self.node_bucket = node_pair[by], node_kind[by], node_bucket[by]
-        self.node_of_pair = place[:len(self.pair)]
-        self.triple_own, self.triple_rep, self.parent = own[order], rep[order], parent[order]
-        self.triple_part, self.arcs = part[order], np.bincount(node, minlength=len(by))
-        self.triple_at = np.full(len(t), -1, np.int64)
-        self.triple_at[at] = _inverse(order)[inverse]
+        self.triple_rep, self.parent, self.triple_part = at[rep], parent[rep], part[rep]
+        self.arcs = np.bincount(node[rep], minlength=len(by))
         self.buckets, self.node_from = np.unique(self.node_bucket, return_index=True)
         self.node_from = np.r_[self.node_from, len(by)]
         self.triple_from = np.r_[0, np.cumsum(self.arcs)][self.node_from]
@@ -212,10 +239,25 @@ class Grams:
                                  (self.arcs[nodes], 4), (self.triple_part[triples], 5), (self.triple_own[triples], 4)])
 
 
-def _distinct(key: np.ndarray, trained: np.ndarray):
-    """Distinct keys, a place of each, the key of each place, and how often each stands in texts that are trained on."""
-    key, rep, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return key, rep, inverse, np.bincount(inverse[trained], minlength=len(key))
+def _runs(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each run of equals in ``order``, and the run of each place."""
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
+def _distinct(major: np.ndarray, part: np.ndarray, size: int, trained: np.ndarray):
+    """Distinct pairs of a number under ``size`` and 40 bits, ordered by both: a place of each, which of them each place holds, and how
+    often each stands in texts that are trained on."""
+    if size < 1 << 23:
+        code = (major << 40) | part.view(np.int64)
+        order = np.argsort(code)
+        new = _changes(code[order])
+    else:
+        order = np.lexsort((part, major))
+        new = _changes(major[order]) | _changes(part[order])
+    rep, inverse = _runs(order, new)
+    return rep, inverse, np.bincount(inverse[trained], minlength=len(rep))
 
 
 def _modulo(key: np.ndarray, n: int) -> np.ndarray:
@@ -260,8 +302,8 @@ _REPLIES = "block long, bucket long, key long, c long, arcs long, piece binary"
 
 def _send(words: np.ndarray | None, hot: np.ndarray, buckets: int, only: int):
     def send(batches):
-        for block, _, _, t, n, trained in _docs(batches):
-            for bucket, piece in Grams(t, n, trained, words, hot, buckets, only).pieces():
+        for block, _, _, word, word_at, n, trained in _docs(batches):
+            for bucket, piece in Grams(word, word_at, n, trained, words, hot, buckets, only).pieces():
                 yield _rows(block=[block], bucket=[bucket], piece=[piece])
     return send
 
@@ -274,11 +316,11 @@ def _tally(min_count: int):
         us = [np.repeat(np.cumsum(r[0].view(np.uint64)).view(np.int64), r[1]) for r in read]
         pair_of = [_identity(u, r[2]) for u, r in zip(us, read)]
         triple_of = [_hash(np.repeat(p, r[5]), r[6]) for p, r in zip(pair_of, read)]
-        pair, first, of = np.unique(np.concatenate(pair_of), return_index=True, return_inverse=True)
+        pair, first, of = _unique(np.concatenate(pair_of))
         c2 = np.bincount(of, weights=np.concatenate([r[3] for r in read]), minlength=len(pair)).astype(np.int64)
         wide = np.zeros(len(pair), bool)
         wide[of[np.concatenate([r[4] for r in read]) > 0]] = True
-        triple, rep, of3 = np.unique(np.concatenate(triple_of), return_index=True, return_inverse=True)
+        triple, rep, of3 = _unique(np.concatenate(triple_of))
         c3 = np.bincount(of3, weights=np.concatenate([r[7] for r in read]), minlength=len(triple)).astype(np.int64)
         parent = of[np.repeat(np.arange(len(of)), np.concatenate([r[5] for r in read]))[rep]] if len(rep) else rep
         arc = c3 >= min_count
@@ -310,61 +352,116 @@ def _tally(min_count: int):
     return tally
 
 
-def _wanted(hot: np.ndarray):
-    """Distinct words and spread pairs of every block, and START."""
-    def want(batches):
-        for block, _, _, t, _, _ in _docs(batches):
-            first = _before(t == END, True)
-            left = np.where(first, START, _before(t, START))
-            wide = np.flatnonzero((_find(hot, t) >= 0) & (first | (_find(hot, left) >= 0)))
-            pairs = _identity(left[wide], _hash(left[wide], t[wide]).view(np.uint64) >> np.uint64(24))
-            key = np.unique(np.r_[t, pairs, np.int64(START)])
-            yield _rows(block=np.full(len(key), block), key=key)
-    return want
+def _asked(word: np.ndarray, word_at: np.ndarray, n: np.ndarray, hot: np.ndarray, buckets: int):
+    """Distinct words and spread pairs of a block, and START, by bucket: keys, and where each bucket's begin."""
+    first = np.zeros(len(word_at), bool)
+    first[np.cumsum(n) - n] = True
+    often = (_find(hot, word) >= 0)[word_at]
+    wide = np.flatnonzero(often & (first | _before(often, False)))
+    left = np.where(first, START, word[_before(word_at, 0)])[wide]
+    pairs = _identity(left, _hash(left, word[word_at[wide]]).view(np.uint64) >> np.uint64(24))
+    key = _sorted(np.r_[word, pairs, np.int64(START)])
+    home = key % buckets
+    order = np.argsort(home, kind="stable")
+    return key[order], np.searchsorted(home[order], np.arange(buckets + 1))
+
+
+def _ask(hot: np.ndarray, buckets: int):
+    """What ``_asked`` gives as packed pieces, one for each bucket."""
+    def ask(batches):
+        for block, _, _, word, word_at, n, _ in _docs(batches):
+            key, cut = _asked(word, word_at, n, hot, buckets)
+            pieces = [(i, _pack([(np.diff(key[cut[i]:cut[i + 1]], prepend=0), 8)])) for i in range(buckets) if cut[i] < cut[i + 1]]
+            yield _rows(block=[block] * len(pieces), bucket=[i for i, _ in pieces], piece=[p for _, p in pieces])
+    return ask
+
+
+_ANSWERS = "block long, bucket long, piece binary"
+
+
+def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """Counts of the keys asked for, and the counts and number of the arcs that they keep, added up over ``model``; buckets count from -1 down."""
+    key, _, of = _unique(model.column("key").to_numpy())
+    total = [np.r_[np.bincount(of, weights=model.column(x).to_numpy(), minlength=len(key)).astype(np.int64), 0] for x in ("c", "kept", "arcs")]
+    out = []
+    for piece in asked.column("piece"):
+        at = _find(key, np.cumsum(_unpack(piece.as_py(), (8,))[0]))
+        out.append(_pack([(x[at], 8) for x in total]))
+    return pa.table({"block": asked.column("block"), "bucket": pa.array(-1 - asked.column("bucket").to_numpy(), pa.int64()),
+                     "piece": pa.array(out, pa.binary())})
 
 
 _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def walk(texts, word: Sequence[int], start: int, arcs: dict[int, int], weight: Sequence[float], target: Sequence[int],
-         fail: Sequence[int], fail_weight: Sequence[float], kinds: int) -> list[float]:
+def walk(texts, word: Sequence[int], start: int, arcs: dict[int, int] | np.ndarray, weight: Sequence[float], target: Sequence[int],
+         fail: Sequence[int], fail_weight: Sequence[float], kinds: int, part: int = PART) -> list[float]:
     """The sum of weights along the path of every text (``(first token, one past the last)``): an arc of the state by the token's word or,
-    where there is none, the failure arc and the same word again.  The root has an arc for every word."""
-    out = []
-    find = arcs.get
-    for i, j in texts:
-        state, total = start, 0.0
-        for w in word[i:j]:
-            arc = find(state * kinds + w)
-            while arc is None:
-                total += fail_weight[state]
-                state = fail[state]
-                arc = find(state * kinds + w)
-            total += weight[arc]
-            state = target[arc]
-        out.append(total)
-    return out
+    where there is none, the failure arc and the same word again.  The root, state 0, has an arc for every word.  ``arcs`` are the
+    arcs' keys, state * kinds + word, in order, or arcs by their key.
+
+    All texts advance together, a token a step, each with its state.  A state knows ``HISTORY`` tokens at most, so texts of more than
+    ``part`` tokens advance in parts, each of which starts at the root that many tokens early.
+    """
+    key = np.fromiter(arcs, np.int64, len(arcs)) if isinstance(arcs, dict) else arcs
+    order = np.argsort(key)
+    arc = np.fromiter(arcs.values(), np.int64, len(arcs))[order] if isinstance(arcs, dict) else order
+    key, word, weight, target, fail, fail_weight = key[order], *(np.asarray(x) for x in (word, weight, target, fail, fail_weight))
+    begin, end = np.array(list(texts), np.int64).reshape(-1, 2).T
+    size = end - begin
+    parts = -(-size // part)
+    text = np.repeat(np.arange(len(size)), parts)
+    later = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+    own = begin[text] + later * part
+    at, until = np.where(later > 0, own - HISTORY, own), np.minimum(own + part, end[text])
+    longest = np.argsort(at - until, kind="stable")
+    own, at, until, state = own[longest], at[longest], until[longest], np.where(later > 0, 0, start)[longest]
+    taken, failed = np.zeros(len(word)), []  # weights by token: the arc's, and those of the failure arcs before it
+    for step in range(int((until - at).max(initial=0))):
+        live = int(np.searchsorted(at - until, -step))
+        i, s = at[:live] + step, state[:live]
+        w, counted = word[i], at[:live] + step >= own[:live]
+        found = _find(key, s * kinds + w)
+        none, depth = np.flatnonzero(found < 0), 0
+        while len(none):
+            if depth == len(failed):
+                failed.append(np.zeros(len(word)))
+            here = none[counted[none]]
+            failed[depth][i[here]] = fail_weight[s[here]]
+            s[none] = fail[s[none]]
+            found[none] = _find(key, s[none] * kinds + w[none])
+            none, depth = none[found[none] < 0], depth + 1
+        found = arc[found]
+        taken[i[counted]] = weight[found[counted]]
+        state[:live] = target[found]
+    place = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+    path = np.stack([*failed, taken], axis=1)[place]
+    return np.bincount(np.repeat(np.arange(len(size)), size * path.shape[1]), weights=path.ravel(), minlength=len(size)).tolist()
 
 
 def _score(words: np.ndarray | None, hot: np.ndarray, buckets: int, total: int, kinds: int, texts: int, least: float, min_count: int,
            discount: float):
     """Scores of a block's texts by the part of the automaton that they can reach."""
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        (_, ids, held_out, t, n, trained), = _docs(docs.combine_chunks().to_batches())
-        g = Grams(t, n, trained, words, hot, buckets)
+        (_, ids, held_out, word, word_at, n, trained), = _docs(docs.combine_chunks().to_batches())
+        g = Grams(word, word_at, n, trained, words, hot, buckets)
         # a pair without an answer is seen less than min_count times; a triple without one too, or in no other block
         c2, k2, c3 = np.zeros(len(g.pair), np.int64), np.zeros(len(g.pair)), g.triple_own.copy()
-        plain = answers.filter(pc.is_valid(answers.column("piece")))
-        for bucket, piece in zip(plain.column("bucket").to_pylist(), plain.column("piece").to_pylist()):
+        key, cut = _asked(word, word_at, n, hot, buckets)
+        c, kept = np.zeros(len(key), np.int64), np.zeros(len(key))
+        for bucket, piece in zip(answers.column("bucket").to_pylist(), answers.column("piece")):
+            if bucket < 0:
+                here = slice(cut[-1 - bucket], cut[-bucket])
+                c[here], kept_c, kept_n = _unpack(piece.as_py(), (8, 8, 8))
+                kept[here] = kept_c - discount * kept_n
+                continue
             i = int(np.searchsorted(g.buckets, bucket))
-            at, c, kept_c, kept_n, at3, triple = _unpack(piece, _REPLY)
+            at, often, kept_c, kept_n, at3, triple = _unpack(piece.as_py(), _REPLY)
             pair = g.node_pair[g.node_from[i] + np.cumsum(at)]
-            c2[pair], k2[pair] = c, kept_c - discount * kept_n
+            c2[pair], k2[pair] = often, kept_c - discount * kept_n
             c3[g.triple_from[i] + np.cumsum(at3)] = triple
-        told = answers.filter(pc.is_null(answers.column("piece")))
-        key = told.column("key").to_numpy()
         order = np.argsort(key)
-        key, c, kept = key[order], np.r_[told.column("c").to_numpy()[order], 0], np.r_[told.column("kept").to_numpy()[order], 0.0]
+        key, c, kept = key[order], np.r_[c[order], 0], np.r_[kept[order], 0.0]
         at = _find(key, g.word)
         c1, k1 = c[at].astype(np.float64), kept[at]
         k2[g.spread] = kept[_find(key, g.spread_pairs()[g.spread])]
@@ -374,7 +471,7 @@ def _score(words: np.ndarray | None, hot: np.ndarray, buckets: int, total: int,
         m = len(g.word)
         is_word = (c1 >= least) & (c1 > 0) & (g.word != END) & (True if words is None else _find(words, g.word) >= 0)
         last = g.word_at[g.pair_rep]
-        is_pair = (c2 >= max(min_count, least)) & (t[g.pair_rep] != END)
+        is_pair = (c2 >= max(min_count, least)) & (g.word[last] != END)
         of_word = np.where(is_word, 2 + np.cumsum(is_word) - 1, 0)
         pairs_from = 2 + int(is_word.sum())
         of_pair = np.where(is_pair, pairs_from + np.cumsum(is_pair) - 1, of_word[last])
@@ -401,12 +498,12 @@ def _score(words: np.ndarray | None, hot: np.ndarray, buckets: int, total: int,
         weight = np.r_[base, np.log10(p2[arc]), np.log10(p3)]
         target = np.r_[of_word, of_pair[arc], of_pair[under[arc3]]]
         ends = np.cumsum(n)
-        word, fail_weight = g.word_at, np.log10(rest)
+        fail_weight = np.log10(rest)
         text = np.repeat(np.arange(len(n)), n)
-        per_text = lambda x: np.bincount(text, weights=x[word], minlength=len(n))
-        arcs = dict(zip((source * m + by).tolist(), range(len(source))))
-        del g, t, told, plain, answers, source, by, under, state, arc3, p3, p2, left, lower, arc, of_pair, is_pair, last, c2, c3, k2
-        found = walk(zip((ends - n).tolist(), ends.tolist()), word.data, 1, arcs, weight.tolist(), target.data, fail.data, fail_weight.data, m)
+        per_text = lambda x: np.bincount(text, weights=x[word_at], minlength=len(n))
+        arcs = source * m + by
+        del g, answers, source, by, under, state, arc3, p3, p2, left, lower, arc, of_pair, is_pair, last, c2, c3, k2
+        found = walk(zip((ends - n).tolist(), ends.tolist()), word_at, 1, arcs, weight, target, fail, fail_weight, m)
         return pa.table({"id": ids, "held_out": held_out, "n_tokens": n,
                          "n_known": per_text((c1 > 0).astype(np.float64)).astype(np.int64), "base_score": per_text(base),
                          "score": np.array(found, np.float64)})
@@ -429,8 +526,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """
     out_ = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), out_.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    corpus = plain.mapInArrow(_blocks(block_bytes), "at long, bytes long, rows binary")
-    corpus = corpus.select((F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("at")).alias("block"), "bytes", "rows")
+    corpus = plain.mapInArrow(_blocks(block_bytes), "at long, bytes long, rows binary, words binary")
+    corpus = corpus.select((F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("at")).alias("block"), "bytes", "rows", "words")
     corpus = materialise(corpus, "corpus")
     blocks = corpus.drop("bytes")
     single = blocks.mapInArrow(_count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
@@ -455,13 +552,16 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
         told = materialise(pieces.groupBy("bucket").applyInArrow(_tally(min_count), _REPLIES), "replies", "zstd")
         replies = told if replies is None else replies.unionByName(told)
         del pieces
+        time.sleep(SETTLE_S)
+        replies.limit(1).count()
         drop(corpus.sparkSession, ())  # the shuffled pieces
-    kept = replies.where("block IS NULL").groupBy("key").agg((F.sum("c") - discount * F.sum("arcs")).alias("kept"))
-    model = single.join(kept, "key", "full").select("key", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("kept", F.lit(0.0)).alias("kept"))
-    wanted = blocks.mapInArrow(_wanted(hot), "block long, key long")
-    found = wanted.join(model, "key").select("block", F.lit(None).cast("long").alias("bucket"), "key", "c", "kept",
-                                             F.lit(None).cast("binary").alias("piece"))
-    told = replies.where("block IS NOT NULL").select("block", "bucket", "key", "c", F.lit(None).cast("double").alias("kept"), "piece")
+    none = F.lit(0).cast("long")
+    model = single.select("key", "c", none.alias("kept"), none.alias("arcs")).unionByName(
+        replies.where("block IS NULL").select("key", none.alias("c"), F.col("c").alias("kept"), "arcs"))
+    model = model.withColumn("bucket", F.pmod("key", F.lit(buckets).cast("long")))
+    asked = blocks.mapInArrow(_ask(hot, buckets), _ANSWERS)
+    found = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_answer, _ANSWERS)
+    told = replies.where("block IS NOT NULL").select("block", "bucket", "piece")
     score = _score(words, hot, buckets, total, kinds, texts, least, min_count, discount)
     scored = blocks.groupBy("block").cogroup(found.unionByName(told).groupBy("block")).applyInArrow(score, _SCORES)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
