@@ -35,13 +35,15 @@ from .common import drop, materialise, mix64, string_buffers, word_chunks
 
 MIN_COUNT = 2
 DISCOUNT = 0.75
-BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
+BUCKET_BYTES = 5 << 20
 ROUNDS = 2
+#: bytes of a part of a hash
+RAW = 5
 #: a finished query, and so its shuffle files, is held until its events are handled and the next query has run
 SETTLE_S = 1.0
 #: tokens that a state knows, and tokens of a text that are followed at once
-HISTORY, PART = 2, 64
+HISTORY, PART = 2, 128
 END, START = (int(mix64(np.array([x], np.uint64)).view(np.int64)[0]) for x in (0x454E44, 0x5354415254))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,6 +193,7 @@ class Grams:
         self.pair_u = table[first_word]
         self.pair_at = np.full(len(word_at), -1, np.int64)
         self.pair_at[at] = inverse
+        del at, key, wide, home, spread, major, part, rep, inverse, left, known, often, two
         # triples, by the place of their pair
         parent = _before(self.pair_at, -1)
         at = np.flatnonzero(three & (parent >= 0))
@@ -275,27 +278,60 @@ def _identity(u: np.ndarray, part: np.ndarray) -> np.ndarray:
 
 
 def _pack(columns) -> bytes:
-    """Arrays of unsigned numbers of so many bytes each, byte by byte and compressed."""
-    out = []
+    """Arrays of unsigned numbers of so many bytes each, byte by byte and compressed; parts of hashes (``RAW`` bytes) are as they are."""
+    raw, plain = [], []
     for x, width in columns:
-        raw = np.ascontiguousarray(np.asarray(x).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-        z = pa.compress(raw, "zstd", asbytes=True)
-        out += [len(raw).to_bytes(8, "little"), len(z).to_bytes(8, "little"), z]
-    return b"".join(out)
+        (plain if width == RAW else raw).append(np.ascontiguousarray(np.asarray(x).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    sizes = np.array([len(x) for x, _ in columns], np.int64).tobytes()
+    whole = b"".join(raw)
+    z = pa.compress(whole, "zstd", asbytes=True)
+    return b"".join([sizes, len(z).to_bytes(8, "little"), z, *plain])
 
 
 def _unpack(blob: bytes, widths) -> list[np.ndarray]:
-    out, at = [], 0
-    for width in widths:
-        size, z = (int.from_bytes(blob[at + i:at + i + 8], "little") for i in (0, 8))
-        raw = np.frombuffer(pa.decompress(blob[at + 16:at + 16 + z], size, "zstd", asbytes=True), np.uint8)
-        at += 16 + z
-        x = np.zeros((size // width, 8), np.uint8)
-        x[:, :width] = raw.reshape(width, -1).T
+    sizes = np.frombuffer(blob, np.int64, len(widths)).tolist()
+    at = 8 * len(widths)
+    z = int.from_bytes(blob[at:at + 8], "little")
+    packed = sum(n * w for n, w in zip(sizes, widths) if w != RAW)
+    raw = np.frombuffer(pa.decompress(blob[at + 8:at + 8 + z], packed, "zstd", asbytes=True), np.uint8)
+    plain = np.frombuffer(blob, np.uint8, offset=at + 8 + z)
+    out, ends = [], [0, 0]
+    for n, width in zip(sizes, widths):
+        of, source = (0, plain) if width == RAW else (1, raw)
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = source[ends[of]:ends[of] + n * width].reshape(width, n).T
+        ends[of] += n * width
         out.append(x.reshape(-1).view(np.int64))
     return out
 
 
+class _Table:
+    """Places of distinct keys, found by a part of their hash."""
+
+    def __init__(self, key: np.ndarray):
+        self.shift = np.uint64(64 - max(1, (2 * len(key)).bit_length()))
+        slot = self._slot(key)
+        order = np.argsort(slot)
+        self.key, self.place = np.r_[key[order], -1], np.r_[order, -1]
+        self.begin = np.r_[0, np.cumsum(np.bincount(slot, minlength=1 << (64 - int(self.shift))))]
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return ((x.view(np.uint64) * _STEP) >> self.shift).view(np.int64)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Places of ``x``, none of them negative, -1 where it isn't there."""
+        slot = self._slot(x)
+        at, until = self.begin[slot], self.begin[slot + 1]
+        out = np.where(self.key[at] == x, self.place[at], -1)
+        left, at = np.flatnonzero((out < 0) & (at + 1 < until)), at + 1
+        while len(left):
+            here = self.key[at[left]] == x[left]
+            out[left[here]] = self.place[at[left[here]]]
+            at[left] += 1
+            left = left[~here & (at[left] < until[left])]
+        return out
+
+
 _PIECE, _REPLY = (8, 4, 5, 4, 1, 4, 5, 4), (8, 8, 8, 8, 8, 8)
 _REPLIES = "block long, bucket long, key long, c long, arcs long, piece binary"
 
@@ -312,27 +348,33 @@ def _tally(min_count: int):
     """A bucket's pieces are added up; replies name those pairs and triples, by place in the piece, whose count is not the block's own
     (counts under ``min_count`` make no arc, so they need none).  Rows without a block say what arcs of words and of spread pairs keep."""
     def tally(pieces: pa.Table) -> pa.Table:
-        read = [_unpack(x.as_py(), _PIECE) for x in pieces.column("piece")]
-        us = [np.repeat(np.cumsum(r[0].view(np.uint64)).view(np.int64), r[1]) for r in read]
-        pair_of = [_identity(u, r[2]) for u, r in zip(us, read)]
-        triple_of = [_hash(np.repeat(p, r[5]), r[6]) for p, r in zip(pair_of, read)]
+        read, us, pair_of, triple_of = [], [], [], []
+        for x in pieces.column("piece"):
+            step, of, part, own, kind, arcs, part3, own3 = _unpack(x.as_py(), _PIECE)
+            us.append(np.repeat(np.cumsum(step), of))
+            pair_of.append(_identity(us[-1], part))
+            triple_of.append(_hash(np.repeat(pair_of[-1], arcs), part3))
+            read.append((own.astype(np.uint32), kind.astype(np.uint8), arcs.astype(np.uint32), own3.astype(np.uint32)))
         pair, first, of = _unique(np.concatenate(pair_of))
-        c2 = np.bincount(of, weights=np.concatenate([r[3] for r in read]), minlength=len(pair)).astype(np.int64)
+        c2 = np.bincount(of, weights=np.concatenate([r[0] for r in read]), minlength=len(pair)).astype(np.int64)
         wide = np.zeros(len(pair), bool)
-        wide[of[np.concatenate([r[4] for r in read]) > 0]] = True
-        triple, rep, of3 = _unique(np.concatenate(triple_of))
-        c3 = np.bincount(of3, weights=np.concatenate([r[7] for r in read]), minlength=len(triple)).astype(np.int64)
-        parent = of[np.repeat(np.arange(len(of)), np.concatenate([r[5] for r in read]))[rep]] if len(rep) else rep
+        wide[of[np.concatenate([r[1] for r in read]) > 0]] = True
+        del pair_of
+        triple_of = np.concatenate(triple_of)
+        _, rep, of3 = _unique(triple_of)
+        del triple_of
+        c3 = np.bincount(of3, weights=np.concatenate([r[3] for r in read]), minlength=len(rep)).astype(np.int64)
+        parent = of[np.repeat(np.arange(len(of)), np.concatenate([r[2] for r in read]))[rep]] if len(rep) else rep
         arc = c3 >= min_count
         kept_c = np.bincount(parent[arc], weights=c3[arc], minlength=len(pair)).astype(np.int64)
         kept_n = np.bincount(parent[arc], minlength=len(pair))
         out = {"block": [], "bucket": [], "piece": []}
         at2 = at3 = 0
         for r, block, bucket in zip(read, pieces.column("block").to_pylist(), pieces.column("bucket").to_pylist()):
-            mine, mine3 = of[at2:at2 + len(r[2])], of3[at3:at3 + len(r[6])]
-            at2, at3 = at2 + len(r[2]), at3 + len(r[6])
-            told = np.flatnonzero((c2[mine] >= min_count) & (r[4] < 2))
-            told3 = np.flatnonzero((c3[mine3] >= min_count) & (c3[mine3] != r[7]))
+            mine, mine3 = of[at2:at2 + len(r[1])], of3[at3:at3 + len(r[3])]
+            at2, at3 = at2 + len(r[1]), at3 + len(r[3])
+            told = np.flatnonzero((c2[mine] >= min_count) & (r[1] < 2))
+            told3 = np.flatnonzero((c3[mine3] >= min_count) & (c3[mine3] != r[3]))
             if len(told) or len(told3):
                 out["block"].append(block)
                 out["bucket"].append(bucket)
@@ -404,9 +446,18 @@ def walk(texts, word: Sequence[int], start: int, arcs: dict[int, int] | np.ndarr
     ``part`` tokens advance in parts, each of which starts at the root that many tokens early.
     """
     key = np.fromiter(arcs, np.int64, len(arcs)) if isinstance(arcs, dict) else arcs
-    order = np.argsort(key)
-    arc = np.fromiter(arcs.values(), np.int64, len(arcs))[order] if isinstance(arcs, dict) else order
-    key, word, weight, target, fail, fail_weight = key[order], *(np.asarray(x) for x in (word, weight, target, fail, fail_weight))
+    arc = np.fromiter(arcs.values(), np.int64, len(arcs)) if isinstance(arcs, dict) else None
+    word, weight, target, fail, fail_weight = (np.asarray(x) for x in (word, weight, target, fail, fail_weight))
+    root = np.zeros(kinds, np.int64)
+    at_root = np.flatnonzero(key < kinds)
+    root[key[at_root]] = at_root if arc is None else arc[at_root]
+    others = np.flatnonzero(key >= kinds)
+    table = _Table(key[others])
+    arc = np.r_[others if arc is None else arc[others], -1]
+
+    def find(state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return np.where(state == 0, root[word], arc[table.find(state * kinds + word)])
+
     begin, end = np.array(list(texts), np.int64).reshape(-1, 2).T
     size = end - begin
     parts = -(-size // part)
@@ -421,7 +472,7 @@ def walk(texts, word: Sequence[int], start: int, arcs: dict[int, int] | np.ndarr
         live = int(np.searchsorted(at - until, -step))
         i, s = at[:live] + step, state[:live]
         w, counted = word[i], at[:live] + step >= own[:live]
-        found = _find(key, s * kinds + w)
+        found = find(s, w)
         none, depth = np.flatnonzero(found < 0), 0
         while len(none):
             if depth == len(failed):
@@ -429,9 +480,8 @@ def walk(texts, word: Sequence[int], start: int, arcs: dict[int, int] | np.ndarr
             here = none[counted[none]]
             failed[depth][i[here]] = fail_weight[s[here]]
             s[none] = fail[s[none]]
-            found[none] = _find(key, s[none] * kinds + w[none])
+            found[none] = find(s[none], w[none])
             none, depth = none[found[none] < 0], depth + 1
-        found = arc[found]
         taken[i[counted]] = weight[found[counted]]
         state[:live] = target[found]
     place = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)

@@ -401,3 +401,68 @@ def test_one_language_threshold_at_every_size(spark):
     for n in (450, 1500):
         rows = fi + [("en", f"this is the english sentence number {i} with some words") for i in range(n)]
         assert L.train(spark.createDataFrame(rows, "lang string, text string")).languages == ["en", "fi"]
+
+
+def test_long_texts_are_walked_in_parts():
+    """Parts of a text, each read from a little before its start, give the sums of a walk token by token, over arcs, failure arcs and no text."""
+    rng = random.Random(3)
+    words, pairs = 6, {}
+    for u in range(4):  # states: the root, the start, a word each, and some pairs
+        for v in rng.sample(range(4), 2):
+            pairs[u, v] = 6 + len(pairs)
+    states = 6 + len(pairs)
+    arcs = {w: w for w in range(words)}
+    target = [2 + w if w < 4 else 0 for w in range(words)]
+    fail = [0] * 6 + [2 + v for _, v in pairs]
+    for (u, v), s in zip(pairs, range(6, states)):
+        arcs[(2 + u) * words + v] = len(target)
+        target.append(s)
+        for w in (w for x, w in pairs if x == v):
+            arcs[s * words + w] = len(target)
+            target.append(6 + list(pairs).index((v, w)))
+    weight = [rng.uniform(-3, 0) for _ in target]
+    fail_weight = [rng.uniform(-1, 0) for _ in fail]
+    sizes = [0, 1, 7, 300, 0, 41]
+    word = [rng.randrange(words) for _ in range(sum(sizes))]
+    texts, at = [], 0
+    for n in sizes:
+        texts.append((at, at + n))
+        at += n
+    want = []
+    for i, j in texts:
+        state, total = 1, 0.0
+        for w in word[i:j]:
+            while state * words + w not in arcs:
+                total += fail_weight[state]
+                state = fail[state]
+            total += weight[arcs[state * words + w]]
+            state = target[arcs[state * words + w]]
+        want.append(total)
+    keys = np.array(sorted(arcs, key=arcs.get))
+    for part in (2, 5, 64, 1000):
+        assert walk(texts, word, 1, arcs, weight, target, fail, fail_weight, words, part) == want
+        assert walk(texts, np.array(word), 1, keys, np.array(weight), np.array(target), np.array(fail), np.array(fail_weight), words, part) == want
+
+
+def test_words_are_asked_for_in_packed_pieces(spark, odd_docs):
+    """No word of a block is a row of a join, and a block holds numbers of words, no texts."""
+    from quarry.llm import lm
+    plan = score_texts(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CoGroup" in plan
+    docs = pa.table({"id": [1, None], "held_out": [False, True], "text": ["a B a", None]}).to_batches()
+    block, = lm._blocks(1 << 20)(iter(docs))
+    (_, ids, _, word, word_at, n, trained), = lm._docs([block.append_column("block", pa.array([0]))])
+    t, _ = lm.tokens(docs[0].column("text"))
+    assert ids.to_pylist() == [1, None] and n.tolist() == [4, 1] and word[word_at].tolist() == t.tolist() and trained.tolist() == [True] * 4 + [False]
+
+
+@pytest.mark.parametrize("size", [50, 1 << 30])
+def test_ngrams_are_ordered_alike_whatever_the_number_of_groups(size):
+    from quarry.llm.lm import _distinct
+    rng = np.random.default_rng(2)
+    major, part, trained = rng.integers(0, 50, 3000), rng.integers(0, 40, 3000).astype(np.uint64) << np.uint64(33), rng.random(3000) < 0.5
+    rep, inverse, own = _distinct(major, part, size, trained)
+    pairs = list(zip(major.tolist(), part.tolist()))
+    assert [pairs[i] for i in rep] == sorted(set(pairs)) and [sorted(set(pairs))[i] for i in inverse] == pairs
+    count = Counter(p for p, t in zip(pairs, trained) if t)
+    assert own.tolist() == [count[p] for p in sorted(set(pairs))]
