@@ -10,15 +10,15 @@ a state there is an arc for every word seen at least ``MIN_COUNT`` times after i
 and a failure arc of weight ``rest(h)`` (what the discounts leave) to the state of the longest shorter history.  At the root,
 p(w) = (c(w) + 1) / (N + V + 1).  The probabilities after any history sum to one.
 
-No task holds the model.  Texts lie in blocks.  A block sends its distinct pairs and triples once, as packed pieces: the first
+No task holds the model.  Texts are read once: blocks hold their tokens as numbers of the block's distinct words.  A block sends its distinct pairs and triples once, as packed pieces: the first
 words, under each the pairs (40 bits of their hash), under each pair its triples (40 bits again), all with the block's own counts.
 Pieces go by the hash of the first word (of the pair, if that word holds more than a bucket's share) to buckets, in ``ROUNDS``
 rounds, where a pair meets all its triples; there whole counts and what a pair's arcs keep
 are known, and every block is told, by place in its piece, those that differ from its own.  What the arcs of words keep is summed over the
-buckets and, with the words' counts, joined to the blocks.  A pair of two words that each hold more than a bucket's
+buckets; with the words' counts it reaches the blocks in packed pieces too, which ask for their words by bucket and are answered by place.  A pair of two words that each hold more than a bucket's
 share has its triples spread over the buckets by their own hash, and what its arcs keep is summed like a word's; so a bucket is
 bounded whatever the texts.  A block then builds the part of the automaton that its texts can reach and follows every text through it from
-left to right.
+left to right, all texts a token at a time.
 """
 
 from __future__ import annotations
