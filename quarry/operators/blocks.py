@@ -43,7 +43,7 @@ def _pack(size: int, dims: int):
 
 
 def _unpack(b: pa.RecordBatch, i: int, side: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(b.column(f"{side}_ids")[i].as_buffer(), np.int64)
+    ids = np.frombuffer(b.column(f"{side}_ids")[i].as_buffer(), np.int64).copy()  # a view would keep the whole batch
     raw = b.column(f"{side}_vs")[i].as_buffer()
     kind = np.float32 if raw.size == 4 * dims * len(ids) else np.float64
     return ids, np.frombuffer(raw, kind).reshape(-1, dims).astype(np.float64)

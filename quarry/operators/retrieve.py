@@ -40,7 +40,8 @@ from .prompt import resolve_prefix, templated_turns
 from ._check import require_columns
 
 _CAND_SCHEMA = "query_id long, doc_id long, sim double"
-_QUERY_CHUNK, _KB_CHUNK = 512, 4096
+#: of a first chunk every score is a candidate, at some 90 bytes each
+_QUERY_CHUNK, _KB_CHUNK = 256, 1024
 
 
 def _first_k_unique(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +97,7 @@ def _local_topk(q_mat: np.ndarray, d_ids: np.ndarray, d_mat: np.ndarray, k: int,
                 best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Merge the top-k (sim desc, doc_id asc) of q x d into the running ``best`` (sims, ids),
     both shaped (queries, k); empty slots hold -inf / max int.  Both sides are processed in chunks, so the
-    similarity block stays ``_QUERY_CHUNK x _KB_CHUNK`` doubles (16 MB), whatever the batch or block."""
+    similarity block stays ``_QUERY_CHUNK x _KB_CHUNK`` doubles (2 MB; some 22 MB with its candidates), whatever the batch or block."""
     n = q_mat.shape[0]
     if best is None:
         best = (np.full((n, k), -np.inf), np.full((n, k), np.iinfo("int64").max, dtype="int64"))

@@ -132,3 +132,39 @@ def test_placing_a_large_batch_takes_little_memory():
     assert peak < 60, peak
     cells = lambda parts: [c for o in index._placer()(iter(parts)) for c in o.column("cell").to_pylist()]
     assert cells([b]) == np.arccos(np.clip(x / np.linalg.norm(x, axis=1)[:, None] @ index.pivots.T, -1, 1)).argmin(axis=1).tolist()
+
+
+def test_comparing_two_blocks_takes_little_memory():
+    """Scores and their candidates are held for a chunk of both blocks, and chunks give what a whole comparison gives."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    q, d = rng.standard_normal((600, 16)), rng.standard_normal((4096, 16))
+    d[3000:3200] = d[0]  # ties, in several chunks
+    q[0] = d[0]
+    ids = rng.permutation(10_000)[:4096]
+    ids[4000:] = ids[3000:3096]  # copies of an id
+    tracemalloc.start()
+    s, i = RT._local_topk(q, ids, d, 5)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 60, peak
+    best = [{} for _ in q]
+    for row, scores in zip(best, np.round(q @ d.T, 12)):
+        for at, score in zip(ids.tolist(), scores.tolist()):
+            row[at] = max(score, row.get(at, score))
+    want = [sorted(row.items(), key=lambda x: (-x[1], x[0]))[:5] for row in best]
+    assert i.tolist() == [[at for at, _ in row] for row in want]
+    np.testing.assert_allclose(s, [[score for _, score in row] for row in want], atol=1e-11)
+
+
+def test_ids_of_a_block_do_not_keep_its_batch():
+    """A query block's ids outlive the Arrow batch (up to 64 MB) that they came in."""
+    import pyarrow as pa
+    from quarry.operators.blocks import _pack, _unpack
+    b = pa.RecordBatch.from_arrays([pa.array([4, 9]), pa.array([[1.0, 2.0], [3.0, 0.5]])], names=["id", "v"])
+    (packed,) = _pack(8, 2)(iter([b]))
+    batch = packed.rename_columns(["q_at", "q_ids", "q_vs"])
+    ids, x = _unpack(batch, 0, "q", 2)
+    assert (ids.tolist(), x.tolist()) == ([4, 9], [[1.0, 2.0], [3.0, 0.5]])
+    assert ids.flags.owndata and x.flags.owndata
